@@ -5,17 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallywheel.llm.chunk_store import store_and_read
 from tallywheel.llm.common import documents
 from tallywheel.llm.exact_dedup import exact_dedup
+from tallywheel.llm.minmax_hash import near_duplicates
 from tallywheel.llm.packing import pack_documents
+from tallywheel.llm.substring_dedup import substring_dedup
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(documents(spark, sf_dir), min_words=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), percent=85)
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(documents(spark, sf_dir))
 
@@ -25,7 +37,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op7_token_store, op10_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op5_substring_dedup, op6_minmax_near_dedup, op7_token_store, op10_packing)}
 
 
 ORACLE_SQL = {
