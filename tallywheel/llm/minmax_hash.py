@@ -1,9 +1,11 @@
 """Near-duplicate detection by min-max hashing.
 
 Each permutation of the shingle hashes gives two values of a signature, its minimum and its maximum,
-so 90 evaluations give 180 values. Five values make a band, minima and maxima in bands of their own:
-at a similarity of 0.85 a pair shares one of the 36 bands but for one case in 10^9, at 0.8 but for one
-in 10^6. Links are confirmed on full shingle sets.
+so 182 evaluations give 364 values. Seven values make a band, minima and maxima in bands of their own:
+at a similarity of 0.85 a pair shares one of the 52 bands but for two cases in 10^9, at 0.8 but for
+five in 10^6. One bit of each of the first 320 values makes a sketch, and candidates whose sketches
+differ by seven standard deviations more than the threshold leads to expect are passed over. All
+others are confirmed on full shingle sets.
 
 Documents with equal shingle sets form a class and go on as its smallest id. In a band's bucket each
 class is first held against the bucket's smallest, which joins large groups by a number of pairs in
@@ -14,6 +16,7 @@ pair is confirmed or refused, so no link is lost to a group's size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +29,8 @@ from tallywheel.llm.common import settled
 from tallywheel.llm.components import components
 from tallywheel.llm.words import mixed, portions, run_hashes, word_hashes, word_lists
 
-PERMUTATIONS, BAND_ROWS, SHINGLE = 90, 5, 5
-_SIG = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+PERMUTATIONS, BAND_ROWS, SHINGLE, SKETCH = 182, 7, 5, 5
+_SIG = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
 
 def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarray]:
@@ -48,8 +51,8 @@ def factors(permutations: int) -> np.ndarray:
     return np.random.default_rng(20240229).integers(0, 2**63, permutations, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def band_hashes(sets: list[np.ndarray], permutations: int = PERMUTATIONS, rows: int = BAND_ROWS) -> np.ndarray:
-    """One row of band hashes for each (nonempty) set."""
+def band_hashes(sets: list[np.ndarray], permutations: int = PERMUTATIONS, rows: int = BAND_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """One row of band hashes, and one of sketch words, for each (nonempty) set."""
     flat = np.concatenate(sets)
     starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
     low = np.empty((permutations, len(sets)), np.uint64)
@@ -65,7 +68,9 @@ def band_hashes(sets: list[np.ndarray], permutations: int = PERMUTATIONS, rows:
             for v in values[b * rows : (b + 1) * rows]:
                 h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + v)
             bands.append(h)
-    return np.stack(bands, axis=1).view(np.int64)
+        bits = mixed(values[: 64 * SKETCH]) & np.uint64(1)
+        words = [np.bitwise_or.reduce(bits[64 * i : 64 * i + 64] << np.arange(64, dtype=np.uint64)[:, None], axis=0) for i in range(SKETCH)]
+    return np.stack(bands, axis=1).view(np.int64), np.stack(words, axis=1).view(np.int64)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,13 +79,15 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(texts):
             sets = shingle_sets(texts[part])
             full = [s for s in sets if len(s)]
-            rows = iter(band_hashes(full).tolist() if full else ())
+            bands, sketches = band_hashes(full) if full else ((), ())
+            rows, words = iter(np.asarray(bands).tolist()), iter(np.asarray(sketches).tolist())
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(part.start, part.stop - part.start),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(rows) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                    pa.array([next(words) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                 ],
                 schema=_SIG,
             )
@@ -114,9 +121,16 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "v long, m long")
 
 
-def _near_sizes(n_a: str, n_b: str, percent: int):
-    """Sets whose sizes differ more can't be similar enough."""
-    return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+def _near(percent: int):
+    """Condition that a pair with n_a, n_b, sketch_a and sketch_b can be similar enough."""
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    bits, apart = 64 * SKETCH, (1 - percent / 100) / 2
+    differ = sum((F.bit_count(F.get("sketch_a", i).bitwiseXOR(F.get("sketch_b", i))) for i in range(1, SKETCH)), F.bit_count(F.get("sketch_a", 0).bitwiseXOR(F.get("sketch_b", 0))))
+    return sizes & (differ <= math.ceil(bits * apart + 7 * math.sqrt(bits * apart * (1 - apart))))
+
+
+def _side(classes: DataFrame, side: str) -> DataFrame:
+    return classes.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,16 +144,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     other columns of ``docs`` are not carried.
     """
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    signed = settled(texts.mapInArrow(_signatures, "id long, n_shingles long, set_key binary, bands array<long>"), "signatures")
+    signed = settled(texts.mapInArrow(_signatures, "id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"), "signatures")
     linked = signed.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = settled(linked.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    buckets = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    leads = buckets.groupBy("bucket").agg(F.min_by(F.struct("rep", "n"), "rep").alias("lead"), F.count("*").alias("c")).where("c > 1").select("bucket", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n"))
+    classes = settled(linked.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    buckets = classes.select("rep", F.explode("bands").alias("bucket"))
+    leads = buckets.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("bucket", "lead")
     shared = settled(buckets.join(leads, "bucket"), "buckets")
-    stars = settled(shared.where("lead <> rep").where(_near_sizes("n", "lead_n", percent)).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    met = shared.where("lead <> rep").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = settled(met.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").where(_near(percent)).select("a", "b"), "stars")
     edges = settled(_linked(stars, texts, percent), "links")
     first = components(edges)
-    rest = _across(shared, first, stars, percent)
+    rest = _across(shared, classes, first, stars, percent)
     more = settled(_linked(rest, texts, percent), "links")
     final = components(first.unionAll(more)) if more.take(1) else first
     label = classes.select("set_key", "rep").join(final, F.col("rep") == F.col("v"), "left").select("set_key", F.coalesce("m", "rep").alias("component"))
@@ -147,15 +162,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"), F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def _across(shared: DataFrame, first: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+def _across(shared: DataFrame, classes: DataFrame, first: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of one bucket in different components that weren't tried yet."""
-    at = shared.join(first, F.col("rep") == F.col("v"), "left").select("bucket", "rep", "n", F.coalesce("m", "rep").alias("comp"))
-    at = settled(at, "members")
+    at = settled(shared.join(first, F.col("rep") == F.col("v"), "left").select("bucket", "rep", F.coalesce("m", "rep").alias("comp")), "members")
     mixed_up = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    open_ = settled(at.join(mixed_up, "bucket", "left_semi"), "open")
-    x = open_.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-    y = open_.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-    pairs = x.join(y, "bucket").where("a < b AND comp_a <> comp_b").where(_near_sizes("n_a", "n_b", percent)).select("a", "b").distinct()
+    open_ = settled(at.join(mixed_up, "bucket", "left_semi").join(classes.select("rep", "n", "sketch"), "rep"), "open")
+    x = open_.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), F.col("sketch").alias("sketch_a"))
+    y = open_.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), F.col("sketch").alias("sketch_b"))
+    pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _near(percent)).select("a", "b").distinct()
     return settled(pairs.join(tried, ["a", "b"], "left_anti"), "across")
 
 

@@ -11,7 +11,9 @@ from tallywheel.llm.chunk_store import store_and_read
 from tallywheel.llm.common import documents
 from tallywheel.llm.exact_dedup import exact_dedup
 from tallywheel.llm.minmax_hash import near_duplicates
+from tallywheel.llm.mixing import mix_plan
 from tallywheel.llm.packing import pack_documents
+from tallywheel.llm.quality_rules import BOILERPLATE, MENU_WORDS, quality_rules
 from tallywheel.llm.substring_dedup import substring_dedup
 
 
@@ -32,20 +34,70 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(documents(spark, sf_dir))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source at least once and at most four times, in blocks of a million words."""
+    return mix_plan(documents(spark, sf_dir), max_repeats=4.0).select("doc_id", "source", "pass", "n_tokens", "before", "block")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op5_substring_dedup, op6_minmax_near_dedup, op7_token_store, op10_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op5_substring_dedup, op6_minmax_near_dedup, op7_token_store, op8_quality_rules, op9_mixing, op10_packing)}
 
 
+_PHRASES = " OR ".join(f"contains(lower(line), '{x}')" for x in BOILERPLATE)
+_MENU = ", ".join(f"'{x}'" for x in MENU_WORDS)
+
 ORACLE_SQL = {
     "op1_exact_dedup": """
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS content FROM documents),
         g AS (SELECT content, first(doc_id ORDER BY points DESC, doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY content)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.content) AS text_sha256 FROM d JOIN g USING (content)
     """,
+    "op8_quality_rules": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        r AS (SELECT doc_id, unnest(list(i)) AS i FROM (SELECT doc_id, w, unnest(range(len(w) - 7)) AS i FROM d WHERE len(w) >= 8) GROUP BY doc_id, array_to_string(w[i + 1 : i + 8], ' ') HAVING count(*) > 1),
+        rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(8) AS s(k) GROUP BY doc_id),
+        l AS (SELECT doc_id, line, regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g') AS dense, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS lw FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+        f AS (SELECT doc_id, line, length(dense) AS n,
+                10 * length(regexp_replace(dense, '[^#*$%&|<>]', '', 'g')) >= length(dense)
+                OR (length(dense) >= 20 AND NOT regexp_matches(line, '\\p{{Ll}}') AND regexp_matches(line, '\\p{{Lu}}'))
+                OR (length(dense) <= 400 AND ((len(lw) <= 20 AND ({_PHRASES}))
+                    OR (len(lw) <= 10 AND 2 * len(list_filter(lw, lambda x: lower(regexp_replace(x, '[^\\p{{L}}]+', '', 'g')) IN ({_MENU}))) >= len(lw)))) AS fails
+              FROM l WHERE dense <> ''),
+        g AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS word_chars, CAST(coalesce(sum(n) FILTER (NOT fails), 0) AS BIGINT) AS kept_chars, count(*) - count(DISTINCT line) AS dup FROM f GROUP BY doc_id),
+        o AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(kept_chars, 0) AS kept_chars
+              FROM d LEFT JOIN g USING (doc_id) LEFT JOIN rep USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+            NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 2 * kept_chars >= word_chars AND word_chars > 0 AS kept
+        FROM o
+    """,
+    "op9_mixing": """
+        WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+        s AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY source HAVING sum(n_tokens) > 0),
+        e AS (SELECT CAST(max(tokens) AS DOUBLE) / min(tokens) AS ratio, CAST(max(tokens) AS DOUBLE) AS top FROM s),
+        b(k, lo, hi, ratio) AS (
+            SELECT 0, CAST(0 AS DOUBLE), CASE WHEN ratio <= 4 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END, ratio FROM e
+            UNION ALL
+            SELECT k + 1, CASE WHEN pow(ratio, 1 - (lo + hi) / 2) <= 4 THEN lo ELSE (lo + hi) / 2 END, CASE WHEN pow(ratio, 1 - (lo + hi) / 2) <= 4 THEN (lo + hi) / 2 ELSE hi END, ratio FROM b WHERE k < 40),
+        x AS (SELECT hi FROM b WHERE k = 40),
+        z AS (SELECT sum(pow(CAST(tokens AS DOUBLE), hi)) AS z FROM s, x),
+        w AS (SELECT source, tokens, greatest(CAST(round(pow(CAST(tokens AS DOUBLE), hi) / z * (top / (pow(top, hi) / z))) AS BIGINT), tokens) AS budget FROM s, x, z, e),
+        n AS (SELECT greatest(1, CAST(ceil(sum(budget) / 1000000.0) AS BIGINT)) AS blocks FROM w),
+        p AS (SELECT d.doc_id, d.source, d.n_tokens, tokens, budget, unnest(range(CAST(greatest(1, ceil(CAST(budget AS DOUBLE) / tokens)) AS BIGINT))) AS pass FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source),
+        q AS (SELECT *, CAST('0x' || substr(sha256('0|' || coalesce(source, '') || '|' || pass || '|' || doc_id), 1, 15) AS BIGINT) AS order_key FROM p WHERE pass = 0 OR n_tokens > 0),
+        c AS (SELECT *, pass * tokens + coalesce(CAST(sum(n_tokens) OVER (PARTITION BY source, pass ORDER BY order_key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before FROM q)
+        SELECT doc_id, source, CAST(pass AS INTEGER) AS pass, n_tokens, before, least(before // greatest(1, CAST(ceil(CAST(budget AS DOUBLE) / blocks) AS BIGINT)), blocks - 1) AS block
+        FROM c, n WHERE before < budget OR n_tokens = 0
+    """,
 }
 
 
