@@ -4,20 +4,22 @@ A byte-level BPE splits a text by a pattern before it merges anything, and no pi
 runs from a character that isn't white space into one that is. A text can thus be cut before any
 white space that follows other characters, the cuts encoded by themselves, and their ids joined:
 the result equals the ids of the whole text. Natural text repeats its words, so each Python worker
-keeps the ids of the cuts it has seen. The memory is bounded: a full table is emptied.
+keeps the ids of the cuts it has seen, a bounded number of them.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 
+from tallywheel.llm.words import portions
+
 #: Characters with the Unicode property White_Space (fixed values).
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-_IRREGULAR = object()
 _JOINED = 2000
 
 
@@ -30,34 +32,51 @@ def default_tokenizer() -> str:
 class TextEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    ``max_cuts`` bounds the remembered cuts. Null texts count as empty and give no ids.
+    ``max_cuts`` bounds the cuts that are remembered for good: the first ones met, among them the
+    frequent ones. Later ones are remembered for a while. Null texts count as empty and give no ids.
     """
 
-    def __init__(self, path: str, max_cuts: int = 1_000_000):
+    def __init__(self, path: str, max_cuts: int = 800_000, passing: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.max_cuts = max_cuts
-        self.plain: dict[str, object] = {}  # what stands between single spaces or before a line feed
-        self.odd: dict[str, bytes] = {}  # all other cuts, white space included
+        self.max_cuts, self.passing = max_cuts, passing
+        self.kept: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
         (self.feed,) = self._ids(["\n"])[0]
+        self.ends = {c: self._bytes(self._ids([c])[0]) for c in ",."}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        return np.asarray(ids, "<u4").tobytes()
+
+    def _keep(self, piece: str, ids: bytes) -> None:
+        (self.kept if len(self.kept) < self.max_cuts else self.later)[piece] = ids
+
+    def _known(self, piece: str) -> bytes:
+        return self.kept.get(piece) or self.later.get(piece, b"")
+
     def _learn(self, pieces: set[str]) -> None:
-        """Fill ``plain`` for pieces: 'x' stands for ' x', and '\\nx' for itself."""
-        spaced, lined, other = [], [], []
+        """Remember pieces: 'x' stands for ' x', and '\\nx' for itself; one that isn't a cut gets no ids."""
+        spaced, lined, other, ended = [], [], [], []
         for p in pieces:
-            if not p or p[-1] in SPACES or p == "\n":
-                self.plain[p] = _IRREGULAR
-            elif any(c in SPACES for c in (p[1:] if p[0] == "\n" else p)):
-                other.append(p)
+            if not p or p[-1] in SPACES:
+                continue
+            if p[-1] in self.ends and p[:-1].isalpha():  # letters, then one mark: two pieces of the split
+                ended.append(p)
+                p = p[:-1]
+                if p in pieces or self._known(p):
+                    continue
+            if p[0] == "\n":
+                (other if any(c in SPACES for c in p[1:]) else lined).append(p)
             else:
-                (lined if p[0] == "\n" else spaced).append(p)
-        for group, glue, lead in ((spaced, "\n ", " "), (lined, "", "")):
+                (other if any(c in SPACES for c in p) else spaced).append(p)
+        for group, glue, lead in ((list(dict.fromkeys(spaced)), "\n ", " "), (lined, "", "")):
             blocks = [group[i : i + _JOINED] for i in range(0, len(group), _JOINED)]
             for block, ids in zip(blocks, self._ids([lead + glue.join(b) for b in blocks]), strict=True):
                 flat = np.asarray(ids, "<u4")
@@ -68,41 +87,49 @@ class TextEncoder:
                     starts, ends = at, np.concatenate((at[1:], [len(flat)]))
                 raw = flat.tobytes()
                 for p, s, e in zip(block, (starts * 4).tolist(), (ends * 4).tolist(), strict=True):
-                    self.plain[p] = raw[s:e]
+                    self._keep(p, raw[s:e])
         for p, ids in zip(other, self._ids([p if p[0] == "\n" else " " + p for p in other]), strict=True):
-            self.plain[p] = np.asarray(ids, "<u4").tobytes()
+            self._keep(p, self._bytes(ids))
+        for p in ended:
+            self._keep(p, self._known(p[:-1]) + self.ends[p[-1]])
 
-    def _odd(self, cuts: list[str]) -> list[bytes]:
-        missing = [c for c in set(cuts) if c not in self.odd]
-        if missing:
-            if len(self.odd) + len(missing) > self.max_cuts:
-                self.odd.clear()
-                missing = list(set(cuts))
-            for c, ids in zip(missing, self._ids(missing), strict=True):
-                self.odd[c] = np.asarray(ids, "<u4").tobytes()
-        return [self.odd[c] for c in cuts]
+    def _whole(self, text: str) -> bytes:
+        """Ids of a text with several blanks in a row, cut by pattern."""
+        cuts = _CUT.findall(text)
+        block = list(dict.fromkeys(cuts))
+        found = {c: self._bytes(i) for c, i in zip(block, self._ids(block), strict=True)}
+        return b"".join(map(found.__getitem__, cuts))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " \n").split(" ") for t in texts]
+        out: list[bytes] = []
+        for part in portions(texts, 1 << 18):
+            out += self._portion(texts[part])
+        return out
+
+    def _portion(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.later) > self.passing:
+            self.later.clear()
+        get, none, rows, missing = self.kept.get, repeat(b""), [], set()
+        for text in texts:
+            pieces = text.replace("\n", " \n").split(" ") if text else [""]
+            first = pieces.pop(0)
+            got = list(map(get, pieces, none))
+            if not all(got):
+                missing.update(p for p, g in zip(pieces, got, strict=True) if not g and p not in self.later)
+            rows.append((first, pieces, got))
+        if missing:
+            self._learn(missing)
         out = []
-        for text, pieces in zip(texts, split, strict=True):
+        for text, (first, pieces, got) in zip(texts, rows, strict=True):
             if not text:
                 out.append(b"")
                 continue
-            got = list(map(self.plain.get, pieces[1:]))
-            if None in got:
-                missing = {p for p, g in zip(pieces[1:], got, strict=True) if g is None}
-                if len(self.plain) + len(missing) > self.max_cuts:
-                    self.plain.clear()
-                    missing = set(pieces[1:])
-                self._learn(missing)
-                got = list(map(self.plain.get, pieces[1:]))
-            if _IRREGULAR in got or text[0] == "\n":
-                out.append(b"".join(self._odd(_CUT.findall(text))))
-            elif not pieces[0] or pieces[0][-1] in SPACES:
-                out.append(b"".join(self._odd(_CUT.findall(text))))
+            if not all(got):
+                got = [g or self._known(p) for p, g in zip(pieces, got, strict=True)]
+            if not first or first[-1] in SPACES or not all(got):
+                out.append(self._whole(text))
             else:
-                out.append(self._odd([pieces[0]])[0] + b"".join(got))
+                out.append(self._bytes(self._ids([first])[0]) + b"".join(got))
         return out
 
 

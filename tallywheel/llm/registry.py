@@ -10,17 +10,34 @@ from pyspark.sql import functions as F
 from tallywheel.llm.chunk_store import store_and_read
 from tallywheel.llm.common import documents
 from tallywheel.llm.exact_dedup import exact_dedup
+from tallywheel.llm.labelled import fold
 from tallywheel.llm.minmax_hash import near_duplicates
 from tallywheel.llm.mixing import mix_plan
 from tallywheel.llm.packing import pack_documents
 from tallywheel.llm.quality_rules import BOILERPLATE, MENU_WORDS, quality_rules
+from tallywheel.llm.quality_model import quality_scores
 from tallywheel.llm.substring_dedup import substring_dedup
+from tallywheel.llm.toxicity import toxicity
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def _judged(scored: DataFrame, modulus: int, held_out: int, cut: float) -> DataFrame:
+    return scored.select("doc_id", (fold(F.col("doc_id"), modulus) == held_out).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _judged(toxicity(docs, labels, modulus=3, held_out=1), 3, 1, 0.7)
+
+
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _judged(quality_scores(docs, labels, modulus=5, held_out=0), 5, 0, 0.3)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(documents(spark, sf_dir), min_words=20)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -49,7 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op5_substring_dedup, op6_minmax_near_dedup, op7_token_store, op8_quality_rules, op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_quality_model, op5_substring_dedup, op6_minmax_near_dedup, op7_token_store, op8_quality_rules, op9_mixing, op10_packing)}
 
 
 _PHRASES = " OR ".join(f"contains(lower(line), '{x}')" for x in BOILERPLATE)
