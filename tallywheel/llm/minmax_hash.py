@@ -3,13 +3,16 @@
 Each permutation of the shingle hashes gives two values of a signature, its minimum and its maximum,
 so 182 evaluations give 364 values. Seven values make a band, minima and maxima in bands of their own:
 at a similarity of 0.85 a pair shares one of the 52 bands but for two cases in 10^9, at 0.8 but for
-five in 10^6. One bit of each of the first 320 values makes a sketch, and candidates whose sketches
-differ by seven standard deviations more than the threshold leads to expect are passed over. All
-others are confirmed on full shingle sets.
+five in 10^6. Candidates are first held against each other by sketches. One has the parities of the
+numbers of shingles in 2048 bins; sets differ by at least as many shingles as parities, so what it
+refuses is never similar enough. The other has one bit of each of the first 320 signature values, and
+refuses what differs by seven standard deviations more than the threshold leads to expect. All others
+are confirmed on full shingle sets.
 
 Documents with equal shingle sets form a class and go on as its smallest id. In a band's bucket each
-class is first held against the bucket's smallest, which joins large groups by a number of pairs in
-proportion to their size. After that only classes of one bucket that are still in different components
+class is first held against the most central one, whose buckets hold most classes in all; it is often
+the text that others were made from, so that large groups join by a number of pairs in proportion to
+their size. After that only classes of one bucket that are still in different components
 are held against each other: pairs within a component can't change anything, and every other candidate
 pair is confirmed or refused, so no link is lost to a group's size.
 """
@@ -17,7 +20,9 @@ pair is confirmed or refused, so no link is lost to a group's size.
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywheel.llm.common import settled
+from tallywheel.llm.common import settled, width
 from tallywheel.llm.components import components
 from tallywheel.llm.words import mixed, portions, run_hashes, word_hashes, word_lists
 
-PERMUTATIONS, BAND_ROWS, SHINGLE, SKETCH = 182, 7, 5, 5
+PERMUTATIONS, BAND_ROWS, SHINGLE = 182, 7, 5
+#: 64-bit words of the two sketches: parities of shingles by bin, and one bit of each signature value.
+PARITIES, BITS = 32, 5
+_BLOCK = 2048
 _SIG = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
 
@@ -68,9 +76,11 @@ def band_hashes(sets: list[np.ndarray], permutations: int = PERMUTATIONS, rows:
             for v in values[b * rows : (b + 1) * rows]:
                 h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + v)
             bands.append(h)
-        bits = mixed(values[: 64 * SKETCH]) & np.uint64(1)
-        words = [np.bitwise_or.reduce(bits[64 * i : 64 * i + 64] << np.arange(64, dtype=np.uint64)[:, None], axis=0) for i in range(SKETCH)]
-    return np.stack(bands, axis=1).view(np.int64), np.stack(words, axis=1).view(np.int64)
+        bits = mixed(values[: 64 * BITS]) & np.uint64(1)
+        words = [np.bitwise_or.reduce(bits[64 * i : 64 * i + 64] << np.arange(64, dtype=np.uint64)[:, None], axis=0) for i in range(BITS)]
+    bins = 64 * PARITIES
+    odd = np.stack([np.packbits((np.bincount((mixed(s) % np.uint64(bins)).astype(np.int64), minlength=bins) & 1).astype(np.uint8)).view(np.int64) for s in sets])
+    return np.stack(bands, axis=1).view(np.int64), np.concatenate((odd, np.stack(words, axis=1).view(np.int64)), axis=1)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,15 +132,17 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _near(percent: int):
-    """Condition that a pair with n_a, n_b, sketch_a and sketch_b can be similar enough."""
+    """Condition that a pair, with columns as ``_sketched`` names them, can be similar enough."""
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    bits, apart = 64 * SKETCH, (1 - percent / 100) / 2
-    differ = sum((F.bit_count(F.get("sketch_a", i).bitwiseXOR(F.get("sketch_b", i))) for i in range(1, SKETCH)), F.bit_count(F.get("sketch_a", 0).bitwiseXOR(F.get("sketch_b", 0))))
-    return sizes & (differ <= math.ceil(bits * apart + 7 * math.sqrt(bits * apart * (1 - apart))))
+    differ = [F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(PARITIES + BITS)]
+    odd, bits = reduce(operator.add, differ[:PARITIES]), reduce(operator.add, differ[PARITIES:])
+    few = (100 + percent) * odd <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    return sizes & few & (bits <= _limits(percent))
 
 
-def _side(classes: DataFrame, side: str) -> DataFrame:
-    return classes.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+def _sketched(side: str) -> list:
+    """Id, set size and sketch words of one side of a pair; columns of their own keep the join's code small enough to be compiled."""
+    return [F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), *[F.get("sketch", i).alias(f"s{i}_{side}") for i in range(PARITIES + BITS)]]
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,10 +160,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     linked = signed.where("n_shingles > 0 AND id IS NOT NULL")
     classes = settled(linked.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     buckets = classes.select("rep", F.explode("bands").alias("bucket"))
-    leads = buckets.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("bucket", "lead")
-    shared = settled(buckets.join(leads, "bucket"), "buckets")
-    met = shared.where("lead <> rep").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = settled(met.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").where(_near(percent)).select("a", "b"), "stars")
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    shared = settled(buckets.join(sizes, "bucket"), "shared")
+    central = shared.groupBy("rep").agg(F.sum("c").alias("weight"))
+    shared = settled(shared.join(central, "rep").select("bucket", "rep", "weight"), "buckets")
+    leads = shared.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("lead"))
+    met = shared.join(leads, "bucket").where("lead <> rep").select(F.greatest("lead", "rep").alias("b"), F.least("lead", "rep").alias("a")).distinct()
+    stars = settled(met.join(classes.select(*_sketched("a")), "a").join(classes.select(*_sketched("b")), "b").where(_near(percent)).select("a", "b"), "stars")
     edges = settled(_linked(stars, texts, percent), "links")
     first = components(edges)
     rest = _across(shared, classes, first, stars, percent)
@@ -162,14 +177,74 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"), F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def _limits(percent: int) -> int:
+    """Most bits in which the second sketches of linked sets may differ."""
+    apart = (1 - percent / 100) / 2
+    return math.ceil(64 * BITS * apart + 7 * math.sqrt(64 * BITS * apart * (1 - apart)))
+
+
+def _pairs_in_blocks(percent: int):
+    """Pairs of classes in different components that can be similar enough, from rows sorted by bucket, lo and hi.
+
+    A group has the members of two blocks of a bucket (or of one block), a few thousand rows; only
+    pairs that pass the sketches leave it.
+    """
+    most = _limits(percent)
+
+    def near(rep, comp, block, n, sketch, lo, hi):
+        left, right = (np.flatnonzero(block == k) for k in (lo, hi))
+        step = max(1, (1 << 21) // (len(right) * sketch.shape[1]))
+        for at in range(0, len(left), step):
+            i = left[at : at + step]
+            differ = np.bitwise_count(sketch[i][:, None, :] ^ sketch[right][None, :, :])
+            odd, bits = differ[:, :, :PARITIES].sum(axis=2, dtype=np.int64), differ[:, :, PARITIES:].sum(axis=2, dtype=np.int64)
+            n_i, n_j = n[i][:, None], n[right][None, :]
+            fit = (comp[i][:, None] != comp[right][None, :]) & (bits <= most) & ((100 + percent) * odd <= (100 - percent) * (n_i + n_j)) & (100 * np.minimum(n_i, n_j) >= percent * np.maximum(n_i, n_j))
+            if lo == hi:
+                fit &= rep[i][:, None] < rep[right][None, :]
+            x, y = np.nonzero(fit)
+            if len(x):
+                u, v = rep[i[x]], rep[right[y]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def groups(rows: pa.Table, whole: bool):
+            nonlocal held
+            rows = rows.combine_chunks()
+            key = np.stack([rows[c].to_numpy() for c in ("bucket", "lo", "hi")])
+            starts = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [rows.num_rows]))
+            done = len(starts) - 1 if whole else len(starts) - 2
+            held = None if whole else rows.slice(int(starts[done]))
+            rep, comp, block, n = (rows[c].to_numpy() for c in ("rep", "comp", "block", "n"))
+            sketch = rows["sketch"].chunk(0).flatten().to_numpy().reshape(len(rep), -1)
+            for s, e in zip(starts[:done].tolist(), starts[1 : done + 1].tolist(), strict=True):
+                if e - s > 1:
+                    yield from near(rep[s:e], comp[s:e], block[s:e], n[s:e], sketch[s:e], key[1, s], key[2, s])
+
+        for b in batches:
+            if b.num_rows:
+                new = pa.Table.from_batches([b])
+                yield from groups(new if held is None else pa.concat_tables([held, new]), False)
+        if held is not None and held.num_rows:
+            yield from groups(held, True)
+
+    return run
+
+
 def _across(shared: DataFrame, classes: DataFrame, first: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of one bucket in different components that weren't tried yet."""
+    """Candidate pairs of one bucket in different components that weren't tried yet.
+
+    A bucket with many members is dealt into blocks, and each pair of blocks is a group of its own.
+    """
+    spark = shared.sparkSession
     at = settled(shared.join(first, F.col("rep") == F.col("v"), "left").select("bucket", "rep", F.coalesce("m", "rep").alias("comp")), "members")
-    mixed_up = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    open_ = settled(at.join(mixed_up, "bucket", "left_semi").join(classes.select("rep", "n", "sketch"), "rep"), "open")
-    x = open_.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), F.col("sketch").alias("sketch_a"))
-    y = open_.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), F.col("sketch").alias("sketch_b"))
-    pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _near(percent)).select("a", "b").distinct()
+    mixed_up = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / F.lit(_BLOCK)).cast("int").alias("blocks")).where("lo < hi").select("bucket", "blocks")
+    members = at.join(mixed_up, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = members.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "comp").join(classes.select("rep", "n", "sketch"), "rep")
+    dealt = dealt.select("bucket", "lo", "hi", "block", "rep", "comp", "n", "sketch").repartition(width(spark), "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    pairs = dealt.mapInArrow(_pairs_in_blocks(percent), "a long, b long").distinct()
     return settled(pairs.join(tried, ["a", "b"], "left_anti"), "across")
 
 

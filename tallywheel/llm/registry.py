@@ -11,6 +11,7 @@ from tallywheel.llm.chunk_store import store_and_read
 from tallywheel.llm.common import documents
 from tallywheel.llm.exact_dedup import exact_dedup
 from tallywheel.llm.labelled import fold
+from tallywheel.llm.licenses import license_scan
 from tallywheel.llm.minmax_hash import near_duplicates
 from tallywheel.llm.mixing import mix_plan
 from tallywheel.llm.packing import pack_documents
@@ -24,6 +25,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(documents(spark, sf_dir))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_findings", "n_unconfirmed", F.array_max(F.transform("findings", lambda s: s["score"])).alias("best_score"))
+
+
 def _judged(scored: DataFrame, modulus: int, held_out: int, cut: float) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), modulus) == held_out).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
@@ -66,7 +72,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_toxicity, op4_quality_model, op5_substring_dedup, op6_minmax_near_dedup, op7_token_store, op8_quality_rules, op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_toxicity, op4_quality_model, op5_substring_dedup, op6_minmax_near_dedup, op7_token_store, op8_quality_rules, op9_mixing, op10_packing)}
 
 
 _PHRASES = " OR ".join(f"contains(lower(line), '{x}')" for x in BOILERPLATE)
