@@ -19,7 +19,7 @@ class CostError(RuntimeError):
 
 def estimated_bytes(df: DataFrame) -> int:
     """Size of the optimised plan's input as Catalyst estimates it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def guarded(df: DataFrame, most_bytes: int = 50 << 30) -> DataFrame:
