@@ -119,3 +119,12 @@ def match_payment_actions(actions: DataFrame, movements: DataFrame) -> DataFrame
     out = edge(idle, "not_expected", [F.lit("not_expected")], none, F.lit(0), none, "no token movement expected")
     out = out.unionAll(edge(met.where("movement_id IS NULL"), "unmatched", [F.lit("unmatched")], none, F.lit(0), none, "no movement of the amount"))
     return out.unionAll(edge(met.where("movement_id IS NOT NULL"), "exact", [F.col("movement_id"), F.lit("exact")], F.col("movement_id"), F.col("_target"), F.when(F.col("_source") == "log", "event_log").otherwise("trace"), "PA action amount matches token movement"))
+
+
+def write_outputs(edges: DataFrame, transactions: DataFrame, partition: DataFrame, root: str, run_partition_id: str) -> dict[str, str]:
+    """Write the edges, the transactions' status and the partition's row as three Parquet folders of a run."""
+    out = {}
+    for name, df in (("edges", edges), ("transactions", transactions), ("partition", partition)):
+        out[name] = f"{root.rstrip('/')}/reconciliation/{name}/run_partition_id={run_partition_id}"
+        df.write.mode("overwrite").parquet(out[name])
+    return out

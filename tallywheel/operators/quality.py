@@ -96,3 +96,12 @@ def first_of_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     from pyspark.sql import Window
 
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def metrics(decode_results: DataFrame, partition: DataFrame, reorgs: DataFrame) -> DataFrame:
+    """metric and value: decode failure rate in percent, pass rate, reorganised blocks and distinct unknown topics."""
+    rate = decode_results.agg((F.count_if(~F.col("success")) * 100.0 / F.greatest(F.count("*"), F.lit(1))).alias("value")).select(F.lit("decode_failure_rate").alias("metric"), F.col("value").cast("double").alias("value"))
+    passed = partition.select(F.lit("reconciliation_pass_rate").alias("metric"), F.col("pass_rate").alias("value"))
+    blocks = reorgs.agg(F.count("*").cast("double").alias("value")).select(F.lit("reorg_events").alias("metric"), "value")
+    unknown = decode_results.where("failure_reason = 'unknown_topic'").agg(F.count_distinct(F.get("topics", 0)).cast("double").alias("value")).select(F.lit("unknown_signatures").alias("metric"), "value")
+    return rate.unionAll(passed).unionAll(blocks).unionAll(unknown)

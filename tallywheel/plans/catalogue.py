@@ -465,6 +465,87 @@ def merge_by_key(spark, d):
     return merged(c.where("c_custkey % 3 <> 0"), c.where("c_custkey % 2 = 0").withColumn("segment", F.lit("new")), ["c_custkey"])
 
 
+# Further scans and operators
+
+
+@query(_with(X.BASE) + " SELECT event_id, block_number FROM base WHERE user_id % 7 IN (1, 4) AND event_id % 7 <> 0 AND block_number BETWEEN 50 AND 500")
+def traces_by_callee(spark, d):
+    addresses = ["0x" + format(4096 + n, "040x") for n in (1, 4)]
+    return scans.traces_by_callee(_frames(spark, d), addresses, 50, 500, successful_only=True).select("event_id", "block_number")
+
+
+@query(_with(X.BASE) + " SELECT event_id FROM base WHERE user_id % 7 = 3 AND block_number BETWEEN 10 AND 900 AND (user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) OR (event_id % 150) IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3))")
+def transfer_logs(spark, d):
+    from tallywheel.functions.fixed import TRANSFER_TOPIC
+
+    logs = X.base(spark, d).select("event_id", "chain_id", "block_number", "tx_hash", "log_index", F.col("contract_address").alias("address"), F.array(F.lit(TRANSFER_TOPIC), X.hexed(F.col("user_id"), 64), X.hexed(F.col("event_id") % 150, 64)).alias("topics"), F.lit("0x").alias("data"))
+    sides = X.table(spark, d, "customer").where("c_nationkey = 3").select(X.hexed(F.col("c_custkey"), 40).alias("address"))
+    return scans.transfer_logs(logs, "0x" + format(4099, "040x"), sides, 10, 900).select("event_id")
+
+
+@query(_with(X.BASE) + " SELECT tx_hash, block_number, log_index, event_id FROM base WHERE block_number BETWEEN 20 AND 40")
+def transactions_in_range(spark, d):
+    b = X.base(spark, d).withColumn("tx_index", F.col("log_index"))
+    return scans.transactions(b, 20, 40).select("tx_hash", "block_number", "log_index", "event_id")
+
+
+@query(_with(X.BASE) + ", p AS (SELECT *, event_id % 3 AS k FROM base WHERE cents > 0 AND event_id % 4 < 3) SELECT ['pa_reserves', 'pa_fee_aggregator', 'pa_swap_automator'][event_id % 4 + 1] AS contract_role, ['pa_reserves_deposit', 'pa_fee_received', 'pa_service_fee_forwarded'][event_id % 4 + 1] AS kind, count(*) AS n, CAST(sum(cents) AS BIGINT) AS amount FROM p GROUP BY event_id % 4")
+def payment_actions_from_transfers(spark, d):
+    from tallywheel.functions.fixed import PA_ROLES
+
+    to = F.coalesce(F.get(F.array(*[F.lit(a) for a in PA_ROLES]), (F.col("event_id") % 4).cast("int")), F.lit("0x00"))
+    m = X.base(spark, d).select(to.alias("to_addr"), F.col("wallet").alias("from_addr"), F.col("cents").cast("decimal(38,0)").alias("amount"))
+    return A.payment_actions_from_transfers(m).groupBy("contract_role", "kind").agg(F.count("*").alias("n"), F.sum("amount").cast("long").alias("amount"))
+
+
+@query(_with(X.BASE, _FEES) + ", g AS (SELECT service, payer AS source_address, CAST(sum(cents) AS BIGINT) AS amount, count(*) AS actions FROM fees GROUP BY ALL) SELECT * FROM g")
+def attribute_fees(spark, d):
+    known = F.array(*[F.lit(a) for a in SERVICES])
+    payer = F.when(F.col("user_id") % 6 < 4, F.get(known, (F.col("user_id") % 6).cast("int"))).otherwise(F.col("wallet"))
+    return _long(yields.attribute_fees(X.base(spark, d).select(payer.alias("counterparty"), F.col("cents").cast("decimal(38,0)").alias("output_amount"))), "amount")
+
+
+@query(_with(X.BASE, "h AS (SELECT contract_address AS pool, CAST(sum(cents * 86400) FILTER (WHERE cents > 0) AS BIGINT) AS ps, CAST(coalesce(sum(cents) FILTER (WHERE kind = 'reward_claimed'), 0) AS BIGINT) AS rewards FROM base GROUP BY 1)") + " SELECT pool, ps AS principal_seconds, rewards, round(rewards * 31536000.0 / ps, 6) AS apy FROM h")
+def realized_apy(spark, d):
+    b = X.base(spark, d).withColumn("pool", F.col("contract_address"))
+    stakes = b.select("pool", F.col("cents").alias("principal"), F.col("timestamp").alias("start_unix"), (F.col("timestamp") + 86400).alias("end_unix"))
+    rewards = b.where("kind = 'reward_claimed'").select("pool", F.col("timestamp").alias("ts_unix"), F.col("cents").cast("decimal(38,0)").alias("amount_link"))
+    r = yields.realized_apy(stakes, rewards, 2_000_000_000, "pool")
+    return _long(r.select("pool", "principal_seconds", "rewards", F.round("realized_apy", 6).alias("apy")), "principal_seconds", "rewards")
+
+
+@query(_with(X.BASE, X.MOVEMENTS, "s AS (SELECT contract_address AS pool, max(cents) FILTER (WHERE block_number = 99) AS a, max(cents) FILTER (WHERE block_number = 800) AS b FROM base WHERE block_number IN (99, 800) GROUP BY 1)", "n AS (SELECT to_addr AS pool, sum(amount) AS x FROM movements WHERE block_number BETWEEN 100 AND 800 GROUP BY 1)") + " SELECT pool AS holder_address, b - a AS observed_delta, CAST(coalesce(x, 0) AS BIGINT) AS net_amount, CAST(b - a - coalesce(x, 0) AS BIGINT) AS difference FROM s LEFT JOIN n USING (pool)")
+def reconcile_pools(spark, d):
+    snaps = X.base(spark, d).groupBy(F.col("contract_address").alias("holder_address"), "block_number").agg(F.max("cents").alias("balance"))
+    return _long(balances.reconcile_pools(snaps, X.movements(spark, d), 100, 800), "net_amount", "difference")
+
+
+@query(_with(X.BASE, X.ACTIONS, X.MOVEMENTS, X.SMALL_ACTIONS, _ALL_EDGES, f"t AS (SELECT tx_hash, {_WORST}[min(list_position({_WORST}, status))] AS s FROM every GROUP BY tx_hash)") + " SELECT count(*) AS tx_count, count(*) FILTER (WHERE s = 'exact') AS exact, count(*) FILTER (WHERE s = 'unmatched') AS unmatched, count(*) FILTER (WHERE s = 'unexpected') AS unexpected, round(count(*) FILTER (WHERE s IN ('exact', 'not_expected')) / count(*), 9) AS pass_rate FROM t")
+def partition_status(spark, d):
+    a, m = X.small_actions(spark, d), X.movements(spark, d)
+    r = matching.partition_status(matching.match_transactions(a, m), a.select("tx_hash").unionAll(m.select("tx_hash")), 1, 0, 10**9)
+    n = lambda s: F.try_element_at("counts_by_status", F.lit(s)).alias(s)
+    return r.select("tx_count", n("exact"), n("unmatched"), n("unexpected"), F.round("pass_rate", 9).alias("pass_rate"))
+
+
+@query(_with(X.BASE) + " SELECT event_id, '0x' || lpad(lower(hex(event_id)), 40, '0') AS address, CAST(event_id AS BIGINT) AS n, sha256('raw_log|1|' || block_number || '|' || tx_hash || '|' || log_index) AS id FROM base")
+def sql_functions(spark, d):
+    """The SQL functions, called from SQL."""
+    from tallywheel.functions import sql
+
+    sql.register(spark)
+    b = X.base(spark, d).withColumn("w", F.lpad(F.lower(F.hex("event_id")), 64, "0"))
+    return spark.sql("SELECT event_id, topic_to_address('0x' || w) AS address, CAST(word_to_decimal(w) AS BIGINT) AS n, raw_log_id(chain_id, block_number, tx_hash, log_index) AS id FROM {b}", b=b)
+
+
+@query(_with(X.BASE) + f", r AS (SELECT {_REASON} AS reason FROM base) SELECT 'decode_failure_rate' AS metric, round(count(reason) * 100.0 / count(*), 6) AS value FROM r UNION ALL SELECT 'reorg_events', count(*) FROM blocks WHERE block_number % 9 = 0 UNION ALL SELECT 'reconciliation_pass_rate', 1 UNION ALL SELECT 'unknown_signatures', count(DISTINCT reason) FROM r WHERE reason = 'unknown_topic'")
+def metrics(spark, d):
+    decoded = decode.decode_logs(_logs(spark, d), _registry())
+    m = X.movements(spark, d)
+    none = matching.partition_status(matching.match_actions(X.small_actions(spark, d).where("false"), m), m.where("false"), 1, 0, 1)
+    return quality.metrics(decoded, none, reorg_conflicts(spark, d)).select("metric", F.round("value", 6).alias("value"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -247,3 +247,15 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, n, "y") for n in range(100, 120)], schema).write.mode("append").parquet(str(src))
     start(spark.readStream.schema(schema).parquet(str(src)), sink, str(tmp_path / "offsets")).awaitTermination()
     assert final.read().count() == 110 and check.last_block(1, "logs") == 109
+
+
+def test_schemas(spark):
+    from tallywheel import schemas
+
+    assert schemas.empty(spark, "logs").columns[:3] == ["chain_id", "block_number", "block_hash"]
+    text = spark.range(1).schema.json()
+    spark.sql("DROP TABLE IF EXISTS made_once")
+    assert schemas.create_table(spark, "made_once", text) and not schemas.create_table(spark, "made_once", text)
+    spark.sql("DROP TABLE made_once")
+    schemas.register_views({"logs": schemas.empty(spark, "logs")})
+    assert spark.table("raw_logs").count() == 0
