@@ -250,18 +250,14 @@ def double_entry_postings(spark, d):
 
 @query(_with(X.BASE, X.ACTIONS, _POSTED) + " SELECT CAST(CAST(to_timestamp(timestamp) AT TIME ZONE 'UTC' AS DATE) AS VARCHAR) AS day, count(*) AS entries, CAST(sum(CASE WHEN direction = 'debit' THEN cents ELSE 0 END) AS BIGINT) AS total_debit, CAST(sum(CASE WHEN direction = 'credit' THEN cents ELSE 0 END) AS BIGINT) AS total_credit, max(entry_id) AS last_id FROM posted GROUP BY day")
 def daily_ledger_balance(spark, d):
-    days = X.base(spark, d).select("tx_hash", "log_index", "block_number", date_from_seconds("timestamp").alias("day"))
-    acts = X.actions(spark, d).join(days, ["tx_hash", "log_index", "block_number"])
-    entries = ledger.staking_entries(acts).join(acts.select("action_id", "day"), "action_id")
+    entries = ledger.staking_entries(X.actions(spark, d, "timestamp"), "timestamp").withColumn("day", date_from_seconds("timestamp"))
     total = lambda x: F.sum(F.when(F.col("direction") == x, F.col("amount_link")).otherwise(0)).cast("long")
     return entries.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("entries"), total("debit").alias("total_debit"), total("credit").alias("total_credit"), F.max("entry_id").alias("last_id"))
 
 
 @query(_with(X.BASE, X.ACTIONS, _POSTED) + " SELECT tx_hash, CAST(sum(CASE WHEN direction = 'debit' THEN cents ELSE -cents END) AS BIGINT) AS delta FROM posted WHERE NOT (i = 1 AND event_id % 4 = 0) GROUP BY tx_hash HAVING delta <> 0")
 def unbalanced_transactions(spark, d):
-    e = ledger.staking_entries(X.actions(spark, d))
-    keep = X.events(spark, d).select(ids.action_id("decoded_event_id", "kind").alias("action_id"), "event_id")
-    broken = e.join(keep, "action_id").where("NOT (entry_index = 1 AND event_id % 4 = 0)")
+    broken = ledger.staking_entries(X.actions(spark, d, "event_id"), "event_id").where("NOT (entry_index = 1 AND event_id % 4 = 0)")
     return _long(ledger.unbalanced(broken).select("tx_hash", "delta"), "delta")
 
 

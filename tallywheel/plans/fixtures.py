@@ -77,9 +77,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def actions(spark: SparkSession, sf_dir: str, *carry: str) -> DataFrame:
     e = events(spark, sf_dir)
-    return e.select(ids.action_id("decoded_event_id", "kind").alias("action_id"), "kind", "chain_id", "block_number", "tx_hash", "log_index", "contract_address", F.lit("pool").alias("pool_role"), "wallet", F.col("cents").cast("decimal(38,0)").alias("amount_link"), "decoded_event_id", "run_partition_id")
+    return e.select(ids.action_id("decoded_event_id", "kind").alias("action_id"), "kind", "chain_id", "block_number", "tx_hash", "log_index", "contract_address", F.lit("pool").alias("pool_role"), "wallet", F.col("cents").cast("decimal(38,0)").alias("amount_link"), "decoded_event_id", "run_partition_id", *carry)
 
 
 ACTIONS = """
