@@ -211,7 +211,7 @@ def inflow_paths(spark, d):
 @query()
 def flatten_traces(spark, d):
     """Nested call traces of two levels through the table function; a test holds it against plain Python."""
-    b = X.base(spark, d).where("event_id % 5 = 0")
+    b = X.base(spark, d).groupBy("tx_hash").agg(F.min("wallet").alias("wallet"), F.min("contract_address").alias("contract_address"))
     leaf = F.struct(F.lit("CALL").alias("type"), F.col("wallet").alias("from"), F.col("contract_address").alias("to"), F.lit("0x1").alias("value"))
     text = F.to_json(F.struct(F.lit("CALL").alias("type"), F.col("wallet").alias("from"), F.col("contract_address").alias("to"), F.lit("0x0").alias("value"), F.array(leaf, leaf).alias("calls")))
     spark.udtf.register("flatten_call_trace", traces.flatten_call_trace())
@@ -255,9 +255,10 @@ def daily_ledger_balance(spark, d):
     return entries.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("entries"), total("debit").alias("total_debit"), total("credit").alias("total_credit"), F.max("entry_id").alias("last_id"))
 
 
-@query(_with(X.BASE, X.ACTIONS, _POSTED) + " SELECT tx_hash, CAST(sum(CASE WHEN direction = 'debit' THEN cents ELSE -cents END) AS BIGINT) AS delta FROM posted WHERE NOT (i = 1 AND event_id % 4 = 0) GROUP BY tx_hash HAVING delta <> 0")
+@query(_with(X.BASE, X.ACTIONS, _POSTED) + " SELECT tx_hash, CAST(sum(CASE WHEN direction = 'debit' THEN cents WHEN event_id % 4 = 0 THEN -cents - 1 ELSE -cents END) AS BIGINT) AS delta FROM posted GROUP BY tx_hash HAVING delta <> 0")
 def unbalanced_transactions(spark, d):
-    broken = ledger.staking_entries(X.actions(spark, d, "event_id"), "event_id").where("NOT (entry_index = 1 AND event_id % 4 = 0)")
+    off = F.when((F.col("direction") == "credit") & (F.col("event_id") % 4 == 0), 1).otherwise(0)
+    broken = ledger.staking_entries(X.actions(spark, d, "event_id"), "event_id").withColumn("amount_link", F.col("amount_link") + off)
     return _long(ledger.unbalanced(broken).select("tx_hash", "delta"), "delta")
 
 
@@ -367,9 +368,9 @@ def pool_economics(spark, d):
     return _long(marts.pool_economics(X.actions(spark, d), snaps, X.blocks(spark, d)).drop("run_partition_id"), "rewards_distributed", "slashes_applied", "end_of_day_balance")
 
 
-@query(_with(X.BASE, X.ACTIONS) + ", r AS (SELECT tx_hash, CASE min(event_id) % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'partial' ELSE 'unmatched' END AS s FROM base WHERE (event_id // 5) % 4 <> 3 GROUP BY tx_hash) SELECT decoded_event_id AS event_id, wallet, kind AS flow_type, cents AS amount, coalesce(s, 'unmatched') AS reconciliation_status FROM actions LEFT JOIN r USING (tx_hash)")
+@query(_with(X.BASE, X.ACTIONS) + ", r AS (SELECT tx_hash, CASE min(event_id) % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'partial' ELSE 'unmatched' END AS s FROM base WHERE block_number >= 30 GROUP BY tx_hash) SELECT decoded_event_id AS event_id, wallet, kind AS flow_type, cents AS amount, coalesce(s, 'unmatched') AS reconciliation_status FROM actions LEFT JOIN r USING (tx_hash)")
 def staking_link_flows(spark, d):
-    recon = X.base(spark, d).where("(event_id div 5) % 4 <> 3").groupBy("tx_hash").agg(F.min("event_id").alias("m")).select("tx_hash", F.when(F.col("m") % 3 == 0, "ok").when(F.col("m") % 3 == 1, "warn").otherwise("fail").alias("overall_status"))
+    recon = X.base(spark, d).where("block_number >= 30").groupBy("tx_hash").agg(F.min("event_id").alias("m")).select("tx_hash", F.when(F.col("m") % 3 == 0, "ok").when(F.col("m") % 3 == 1, "warn").otherwise("fail").alias("overall_status"))
     return marts.staking_link_flows(X.actions(spark, d), recon).select("event_id", "wallet", "flow_type", F.col("amount_link").cast("long").alias("amount"), "reconciliation_status")
 
 
@@ -449,16 +450,18 @@ def orphan_events(spark, d):
     return quality.orphans(X.table(spark, d, "events").select("event_id"), X.table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id")), ["event_id"])
 
 
-@query("SELECT count(*) FILTER (WHERE o_orderkey % 10 <> 0) AS left_rows, count(*) FILTER (WHERE o_orderkey % 7 <> 0) AS right_rows, CAST(sum(CASE WHEN o_orderkey % 10 <> 0 THEN o_custkey ELSE 0 END) AS BIGINT) AS left_amount, CAST(sum(CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey ELSE 0 END) AS BIGINT) AS right_amount, count(*) FILTER (WHERE o_orderkey % 10 <> 0 AND o_orderkey % 7 = 0) AS only_left, count(*) FILTER (WHERE o_orderkey % 10 = 0 AND o_orderkey % 7 <> 0) AS only_right FROM orders")
+@query("SELECT count(*) AS left_rows, count(*) AS right_rows, CAST(sum(a) AS BIGINT) AS left_amount, CAST(sum(b) AS BIGINT) AS right_amount, count(*) FILTER (WHERE a <> b) AS only_left, count(*) FILTER (WHERE a <> b) AS only_right FROM (SELECT o_custkey + CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS a, o_custkey + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS b FROM orders)")
 def parity(spark, d):
+    """Two versions of the orders that differ in some amounts."""
     o = X.table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return quality.parity(o.where("o_orderkey % 10 <> 0"), o.where("o_orderkey % 7 <> 0"), "o_custkey", ["o_orderkey"])
+    version = lambda n: o.withColumn("o_custkey", F.col("o_custkey") + F.when(F.col("o_orderkey") % n == 0, 1).otherwise(0))
+    return quality.parity(version(10), version(7), "o_custkey", ["o_orderkey"])
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE c_mktsegment END AS segment FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 <> 0")
+@query("SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 'new' ELSE c_mktsegment END AS segment FROM customer")
 def merge_by_key(spark, d):
-    c = X.table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
-    return merged(c.where("c_custkey % 3 <> 0"), c.where("c_custkey % 2 = 0").withColumn("segment", F.lit("new")), ["c_custkey"])
+    c = X.table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), "c_acctbal")
+    return merged(c.drop("c_acctbal"), c.where("c_acctbal > 5000").select("c_custkey", F.lit("new").alias("segment")), ["c_custkey"])
 
 
 # Further scans and operators

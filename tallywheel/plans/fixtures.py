@@ -103,14 +103,14 @@ MOVEMENTS = """
 
 
 def small_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actions of every other event, with amounts that one, several or no movements of their transaction make up."""
-    a = base(spark, sf_dir).where("event_id % 2 = 0").withColumn("amount_link", (F.pmod("cents", F.lit(13)) + 1).cast("decimal(38,0)"))
+    """Actions with amounts that one, several or no movements of their transaction make up."""
+    a = base(spark, sf_dir).withColumn("amount_link", (F.pmod("cents", F.lit(13)) + 1).cast("decimal(38,0)"))
     keys = ("chain_id", "block_number", "tx_hash", "log_index")
     return a.select(ids.action_id(ids.decoded_event_id(*keys), "kind").alias("action_id"), "kind", "chain_id", "block_number", "tx_hash", "amount_link")
 
 
 SMALL_ACTIONS = """
-    small AS (SELECT action_id, kind, block_number, tx_hash, ((cents % 13) + 13) % 13 + 1 AS amount_link FROM actions WHERE event_id % 2 = 0),
+    small AS (SELECT action_id, kind, block_number, tx_hash, ((cents % 13) + 13) % 13 + 1 AS amount_link FROM actions),
     ranked AS (
         SELECT s.*, m.movement_id, m.amount, m.source_priority, m.from_addr,
             row_number() OVER (PARTITION BY s.action_id ORDER BY m.source_priority, m.from_addr, m.movement_id) AS r,
