@@ -36,9 +36,18 @@ def batch_places(amounts: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([first_batch([int(x) for x in a], int(t)) for a, t in zip(amounts, target, strict=True)])
 
 
-def _edges(rows: DataFrame, status: str, movement, amount, reason, method=None, index=0) -> DataFrame:
-    n = F.lit(index) if isinstance(index, int) else index
-    return rows.select(ids.edge_id("action_id", movement, F.lit(status), n).alias("edge_id"), "action_id", movement.alias("movement_id"), amount.cast("decimal(38,0)").alias("allocated_amount"), F.lit(status).alias("status"), (method if method is not None else F.lit(None).cast("string")).alias("method"), reason.alias("reason"), "chain_id", "block_number", "tx_hash")
+def _edge(status: str, movement=None, reason: str = "", index=0):
+    """Struct of an edge; a movement is a struct with its id, amount and source."""
+    found = movement is not None
+    method = F.when(movement["source_priority"] == "log", "event_log").otherwise("trace") if found else F.lit(None).cast("string")
+    return F.struct(
+        (movement["movement_id"] if found else F.lit(None).cast("string")).alias("movement_id"),
+        (movement["amount"].cast("decimal(38,0)") if found else F.lit(0).cast("decimal(38,0)")).alias("allocated_amount"),
+        F.lit(status).alias("status"),
+        method.alias("method"),
+        (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"),
+        (F.lit(index) if isinstance(index, int) else index).alias("index"),
+    )
 
 
 def match_actions(actions: DataFrame, movements: DataFrame) -> DataFrame:
@@ -48,36 +57,40 @@ def match_actions(actions: DataFrame, movements: DataFrame) -> DataFrame:
     the same amount; ambiguous, on the first, for more; partial for each of a batch of two to six that
     sums to the amount; else unmatched. Movements are taken in the order of source, sender and id, and
     only amounts above zero count. Addresses and tokens are not compared.
+
+    One join by transaction, whose partitioning the grouping by action keeps; only amounts of actions
+    without an equal movement are sent to Python.
     """
-    none = F.lit(None).cast("string")
-    zero = F.lit(0)
-    still = actions.where(F.col("kind").isin(NO_MOVEMENT_KINDS))
-    out = _edges(still, "not_expected", none, zero, F.concat(F.col("kind"), F.lit(" moves no tokens")))
-    active = actions.where(~F.col("kind").isin(NO_MOVEMENT_KINDS)).select("action_id", "amount_link", "chain_id", "block_number", "tx_hash", F.lower("tx_hash").alias("_tx"))
-    given = movements.where("amount > 0").select(F.lower("tx_hash").alias("_tx"), "movement_id", "amount", "source_priority", "from_addr")
-    met = active.join(given, "_tx", "left")
-    order = ["source_priority", "from_addr", "movement_id"]
-    own, equal = Window.partitionBy("action_id"), F.col("amount") == F.col("amount_link")
-    met = met.withColumns({"_n": F.count("movement_id").over(own), "_equal": F.count_if(equal).over(own), "_rank": F.row_number().over(Window.partitionBy("action_id").orderBy((~F.coalesce(equal, F.lit(False))).cast("int"), *order))})
-    first = met.where("_rank = 1")
-    method = F.when(F.col("source_priority") == "log", "event_log").otherwise("trace")
-    m = F.col("movement_id")
-    out = out.unionAll(_edges(first.where("_n = 0"), "unmatched", none, zero, F.lit("no token movement in the transaction")))
-    out = out.unionAll(_edges(first.where("_equal = 1"), "exact", m, F.col("amount"), F.lit("exact amount match"), method))
-    out = out.unionAll(_edges(first.where("_equal > 1"), "ambiguous", m, F.col("amount"), F.concat(F.col("_equal").cast("string"), F.lit(" movements have the amount")), method))
-    rest = met.where("_n > 0 AND _equal = 0").groupBy("action_id", "amount_link", "chain_id", "block_number", "tx_hash").agg(F.array_sort(F.collect_list(F.struct(*order, "amount"))).alias("_c"))
-    rest = rest.withColumn("_at", batch_places(F.transform("_c", lambda c: c["amount"].cast("string")), F.col("amount_link").cast("string")))
-    part = rest.where("_at IS NOT NULL").select("*", F.posexplode("_at").alias("_i", "_p")).withColumn("_m", F.get("_c", F.col("_p")))
-    said = F.concat(F.lit("batched movement "), (F.col("_i") + 1).cast("string"), F.lit("/"), F.size("_at").cast("string"))
-    out = out.unionAll(_edges(part, "partial", F.col("_m.movement_id"), F.col("_m.amount"), said, F.when(F.col("_m.source_priority") == "log", "event_log").otherwise("trace"), F.col("_i")))
-    said = F.concat(F.lit("no subset of "), F.size("_c").cast("string"), F.lit(" movements sums to "), F.col("amount_link").cast("string"))
-    return out.unionAll(_edges(rest.where("_at IS NULL"), "unmatched", none, zero, said))
+    idle = F.col("kind").isin(NO_MOVEMENT_KINDS)
+    asked = actions.select("action_id", "kind", "amount_link", "chain_id", "block_number", "tx_hash", F.when(~idle, F.lower("tx_hash")).alias("_tx"))
+    given = movements.where("amount > 0").select(F.lower("tx_hash").alias("_tx"), F.struct("source_priority", "from_addr", "movement_id", "amount").alias("_m"))
+    keys = ["_tx", "action_id", "kind", "amount_link", "chain_id", "block_number", "tx_hash"]
+    met = asked.join(given, "_tx", "left").groupBy(*keys).agg(F.array_sort(F.collect_list("_m")).alias("_c"))
+    met = met.withColumn("_same", F.filter("_c", lambda m: m["amount"] == F.col("amount_link")))
+    rest = (F.size("_c") > 0) & (F.size("_same") == 0)
+    amounts = F.when(rest, F.transform("_c", lambda m: m["amount"].cast("string"))).otherwise(F.array().cast("array<string>"))
+    met = met.withColumn("_at", batch_places(amounts, F.col("amount_link").cast("string")))
+    first = F.get("_same", 0)
+    said = lambda i: F.concat(F.lit("batched movement "), (i + 1).cast("string"), F.lit("/"), F.size("_at").cast("string"))
+    edges = (
+        F.when(idle, F.array(_edge("not_expected", reason=F.concat(F.col("kind"), F.lit(" has no expected token movement")))))
+        .when(F.size("_c") == 0, F.array(_edge("unmatched", reason="no movements in tx for this action")))
+        .when(F.size("_same") == 1, F.array(_edge("exact", first, "exact amount match")))
+        .when(F.size("_same") > 1, F.array(_edge("ambiguous", first, F.concat(F.size("_same").cast("string"), F.lit(" movements match action amount; requires manual disambiguation")))))
+        .when(F.col("_at").isNotNull(), F.transform("_at", lambda p, i: _edge("partial", F.get("_c", p), said(i), i)))
+        .otherwise(F.array(_edge("unmatched", reason=F.concat(F.lit("no subset of "), F.size("_c").cast("string"), F.lit(" movements sums to "), F.col("amount_link").cast("string")))))
+    )
+    flat = met.select("action_id", "chain_id", "block_number", "tx_hash", F.inline(edges))
+    return flat.select(ids.edge_id("action_id", "movement_id", "status", "index").alias("edge_id"), *EDGE[1:])
 
 
 def unexpected(edges: DataFrame, movements: DataFrame) -> DataFrame:
-    """Edges for movements that no action of their transaction was matched to."""
-    left = movements.join(edges.where("movement_id IS NOT NULL").select("movement_id").distinct(), "movement_id", "left_anti").withColumn("action_id", F.lit(None).cast("string"))
-    return _edges(left, "unexpected", F.col("movement_id"), F.col("amount"), F.lit("movement without an action"))
+    """Edges for movements that no action of their transaction was matched to; a movement's number is its place in the transaction."""
+    place = F.row_number().over(Window.partitionBy(F.lower("tx_hash")).orderBy("source_priority", "from_addr", "movement_id")) - 1
+    left = movements.withColumn("_place", place).join(edges.where("movement_id IS NOT NULL").select("movement_id").distinct(), "movement_id", "left_anti").withColumn("action_id", F.lit(None).cast("string"))
+    edge = _edge("unexpected", F.struct("movement_id", "amount", "source_priority"), "movement with no matching action", F.col("_place"))
+    flat = left.select("action_id", "chain_id", "block_number", "tx_hash", edge.alias("_e")).select("action_id", "chain_id", "block_number", "tx_hash", "_e.*")
+    return flat.select(ids.edge_id("action_id", "movement_id", "status", "index").alias("edge_id"), *EDGE[1:])
 
 
 def match_transactions(actions: DataFrame, movements: DataFrame) -> DataFrame:
@@ -115,9 +128,9 @@ def match_payment_actions(actions: DataFrame, movements: DataFrame) -> DataFrame
     met = rows.where("NOT (kind = 'pa_config_changed' OR _target = 0)").join(m, ["_tx", "_target"], "left").withColumn("_n", F.row_number().over(Window.partitionBy("action_id").orderBy("_source", "_from", "movement_id"))).where("_n = 1")
     common = ["chain_id", "block_number", "tx_hash"]
     none = F.lit(None).cast("string")
-    edge = lambda df, status, tail, movement, amount, method, reason: df.select(ids.digest(F.lit("pa_edge"), "action_id", *tail).alias("edge_id"), "action_id", movement.alias("movement_id"), amount.cast("decimal(38,0)").alias("allocated_amount"), F.lit(status).alias("status"), method.alias("method"), F.lit(reason).alias("reason"), *common)
-    out = edge(idle, "not_expected", [F.lit("not_expected")], none, F.lit(0), none, "no token movement expected")
-    out = out.unionAll(edge(met.where("movement_id IS NULL"), "unmatched", [F.lit("unmatched")], none, F.lit(0), none, "no movement of the amount"))
+    edge = lambda df, status, tail, movement, amount, method, reason: df.select(ids.digest(F.lit("pa_edge"), "action_id", *tail).alias("edge_id"), "action_id", movement.alias("movement_id"), amount.cast("decimal(38,0)").alias("allocated_amount"), F.lit(status).alias("status"), method.alias("method"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"), *common)
+    out = edge(idle, "not_expected", [F.lit("not_expected")], none, F.lit(0), none, F.concat(F.col("kind"), F.lit(" has no expected movement")))
+    out = out.unionAll(edge(met.where("movement_id IS NULL"), "unmatched", [F.lit("unmatched")], none, F.lit(0), none, "no PA movement with matching amount"))
     return out.unionAll(edge(met.where("movement_id IS NOT NULL"), "exact", [F.col("movement_id"), F.lit("exact")], F.col("movement_id"), F.col("_target"), F.when(F.col("_source") == "log", "event_log").otherwise("trace"), "PA action amount matches token movement"))
 
 
