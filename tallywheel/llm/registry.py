@@ -84,6 +84,27 @@ ORACLE_SQL = {
         g AS (SELECT content, first(doc_id ORDER BY points DESC, doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY content)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.content) AS text_sha256 FROM d JOIN g USING (content)
     """,
+    "op5_substring_dedup": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 20], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(len(w) - 19)) AS i FROM d WHERE len(w) >= 20)),
+        f AS (SELECT k, min({'a': doc_id, 'b': i}) AS lead FROM win GROUP BY k HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT win.doc_id, win.i + t AS pos FROM win JOIN f USING (k), range(20) AS r(t) WHERE win.doc_id <> lead.a OR win.i <> lead.b),
+        words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d),
+        kept AS (SELECT doc_id, count(gone.pos) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone.pos IS NULL) AS text FROM words LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+    """,
+    "op6_minmax_near_dedup": """
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i + 1 : i + 5], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * common >= 85 * (p.n + q.n - common)),
+        both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+        r(id, m) AS (SELECT x, x FROM both_ways UNION SELECT y, m FROM r JOIN both_ways ON x = id),
+        comp AS (SELECT id, min(m) AS component FROM r GROUP BY id)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.id = d.doc_id
+    """,
     "op8_quality_rules": f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         r AS (SELECT doc_id, unnest(list(i)) AS i FROM (SELECT doc_id, w, unnest(range(len(w) - 7)) AS i FROM d WHERE len(w) >= 8) GROUP BY doc_id, array_to_string(w[i + 1 : i + 8], ' ') HAVING count(*) > 1),
