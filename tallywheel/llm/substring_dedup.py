@@ -1,10 +1,10 @@
 """Substring deduplication by seed and extend.
 
-Seeds are winnowed anchors: of the eleven ten-word runs in each window of twenty words, the one with
+Seeds are winnowed anchors: of the fifteen six-word runs in each window of twenty words, the one with
 the smallest hash (the last of equals). Equal windows choose the same anchor, so documents that share
-a passage of twenty words or more meet under at least one anchor; a tenth or so of all words starts one.
+a passage of twenty words or more meet under at least one anchor; an eighth of all words starts one.
 Each occurrence of an anchor carries the extensions that it stands for: hashes of the windows that
-chose it, which reach up to ten words to the left and to the right. Under an anchor, occurrences are
+chose it, which reach up to fourteen words to the left and to the right. Under an anchor, occurrences are
 taken in the order of (document, position), and a window that was seen before is part of a repeat.
 Windows of consecutive anchors overlap, so their union is the maximal repeat.
 
@@ -27,10 +27,10 @@ from tallywheel.llm.common import width
 from tallywheel.llm.words import mixed, portions, run_hashes, word_hashes, word_lists
 
 _LAST = 2**63 - 1
-_SEED = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("place", pa.int32()), ("windows", pa.binary())])
-_SEED_DDL = "anchor long, id long, text_key long, start int, place int, windows binary"
-_MARK = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("ranges", pa.binary())])
-_MARK_DDL = "id long, text_key long, ranges binary"
+_SEED = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("text_key", pa.int32()), ("start", pa.int32()), ("place", pa.int32()), ("windows", pa.binary())])
+_SEED_DDL = "anchor long, id long, text_key int, start int, place int, windows binary"
+_MARK = pa.schema([("id", pa.int64()), ("text_key", pa.int32()), ("ranges", pa.binary())])
+_MARK_DDL = "id long, text_key int, ranges binary"
 _BYTES = 6
 
 
@@ -42,7 +42,7 @@ def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 def _runs(texts: list[str | None], least: int):
     """Runs of windows under one anchor: anchor hash, text, first window, its place, count, and all windows' hashes."""
-    anchor = least // 2
+    anchor = max(1, 3 * least // 10)
     flat, offsets = word_hashes(word_lists(texts, lower=False))
     n = len(flat) - least + 1
     if n <= 0:
@@ -54,8 +54,12 @@ def _runs(texts: list[str | None], least: int):
         lower = other <= best
         best[lower] = other[lower]
         arg[lower] = o
+    whole = seeds[:n].copy()
     with np.errstate(over="ignore"):
-        whole = mixed(seeds[:n] * np.uint64(0x9E3779B97F4A7C15) + seeds[least - anchor : least - anchor + n])
+        for o in [*range(anchor, least - anchor, anchor), least - anchor]:  # runs that cover the window between them
+            whole *= np.uint64(0x9E3779B97F4A7C15)
+            whole += seeds[o : o + n]
+        whole = mixed(whole)
     text = np.repeat(np.arange(len(texts)), np.diff(offsets))
     at = np.flatnonzero(text[:n] == text[least - 1 :])
     if not len(at):
@@ -209,7 +213,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other columns are not carried.
     """
     spark = docs.sparkSession
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(docs[text_col]).alias("text_key"), docs[text_col].alias("text"))
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)).alias("id"), F.hash(docs[text_col]).alias("text_key"), docs[text_col].alias("text"))
     seeds = texts.select("id", "text_key", "text").mapInArrow(_seeds(min_words), _SEED_DDL)
     met = seeds.repartition(width(spark), "anchor").sortWithinPartitions("anchor", "id", "start")
     marks = met.mapInArrow(_extend, _MARK_DDL).groupBy("id", "text_key").agg(F.collect_list("ranges").alias("marks"))
