@@ -77,7 +77,7 @@ def _seeds(least: int):
         for b in batches:
             all_ids, all_keys = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             texts = b.column(2).to_pylist()
-            for part in portions(texts, 4 << 20):
+            for part in portions(texts, 2 << 20):
                 if (found := _runs(texts[part], least)) is None:
                     continue
                 anchor, t, start, place, counts, windows = found

@@ -15,7 +15,7 @@ class _Hashes(dict):
 
 
 _SEEN = _Hashes()
-_MOST = 1_000_000  # remembered words in a worker; the table is emptied beyond that
+_MOST = 250_000  # remembered words in a worker; the table is emptied beyond that
 
 
 def word_lists(texts: list[str | None], lower: bool) -> list[list[bytes]]:
