@@ -8,13 +8,16 @@ n-grams with that vocabulary. A family is accepted where its probability reaches
 calibrated on pieces left out of training; everything else is unknown. A prediction is confirmed where
 enough of the paragraph's n-grams, or of a template's, are shared with one of the family's templates.
 
-Only paragraphs with one of the cues below are scored; every template has one, and the others count as
-unknown without a look at their n-grams.
+Paragraphs that can't reach the cut are told by the model's own weights: from these follows a set of
+words without any of which the n-grams left over don't sum to what a family needs, even if a paragraph
+had all of them. Every paragraph with one of these words is scored; for the others unknown is what the
+model says.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,8 +61,6 @@ OTHER = (
     "You may obtain a copy of the timetable at the station or by writing to the office.",
     "Apache helicopters were seen over the valley, and the general public was asked to stay indoors.",
 )
-#: A paragraph without any of these (in lower case) is no licence (fixed values).
-CUES = ("licen", "spdx", "copyright", "permission", "redistribut", "mozilla public", "creative commons", "free software")
 FAMILIES = tuple(TEMPLATES)
 
 
@@ -69,8 +70,6 @@ def grams(words: list[str]) -> list[str]:
 
 def words_of(text: str) -> list[str]:
     """Lower-case runs of ASCII letters, digits, dots and hyphens, without a mark at either end."""
-    import re
-
     return [w for w in (x.strip(".-") for x in re.findall(r"[a-z0-9.\-]+", text.lower())) if w]
 
 
@@ -202,12 +201,36 @@ def _grams(text: Column) -> Column:
     return _let(words, lambda w: F.array_distinct(F.filter(F.concat(w, pairs(w), triples(w)), lambda g: g.isNotNull())))
 
 
-def _has_cue(text: Column) -> Column:
-    low = F.lower(text)
-    found = F.contains(low, F.lit(CUES[0]))
-    for cue in CUES[1:]:
-        found = found | F.contains(low, F.lit(cue))
-    return found
+def needed_words(model: Model) -> tuple[str, ...] | None:
+    """Words of which every paragraph that reaches the cut has at least one; None where one can reach it without any.
+
+    A family reaches the cut only if its sum exceeds that of class 0 by the logit of the cut. Words are
+    taken until the gains of all n-grams without any of them don't add up to that for any family; long
+    words that aren't in the other prose come first, since few paragraphs have them.
+    """
+    weights = np.round(model.weights, 6)
+    gain = np.maximum(weights[:, 1:] - weights[:, :1], 0)
+    need = np.log(model.cut / (1 - model.cut)) - (model.biases[1:] - model.biases[0]) - 1e-6
+    if (need <= 0).any():
+        return None
+    parts = [set(g.split(" ")) for g in model.vocabulary]
+    prose = [set(words_of(t)) for t in OTHER]
+    rare = {x: 1 / (1 + 10 * sum(x in p for p in prose)) / 3.0 ** max(0, 7 - len(x)) for p in parts for x in p}
+    left, taken = np.ones(len(parts), bool), []
+    while (over := gain[left].sum(axis=0) >= need).any():
+        worth: dict[str, float] = {}
+        for i in np.flatnonzero(left):
+            for x in parts[i]:
+                worth[x] = worth.get(x, 0.0) + float(gain[i][over].sum()) * rare[x]
+        taken.append(max(sorted(worth), key=worth.__getitem__))
+        left &= np.array([taken[-1] not in p for p in parts])
+    return tuple(taken)
+
+
+def _can_reach(text: Column, words: tuple[str, ...] | None) -> Column:
+    if words is None:
+        return F.lit(True)
+    return F.rlike(F.lower(text), F.lit("(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in words) + ")(?![a-z0-9])")) if words else F.lit(False)
 
 
 def _judge(model: Model, share: float):
@@ -227,7 +250,7 @@ def _judge(model: Model, share: float):
             k = F.array_position(F.slice(e, 2, len(FAMILIES)), best).cast("int")
             return F.when(best / total >= model.cut, F.struct(F.element_at(families, k).alias("family"), (best / total).alias("score"), _confirmed(g, k).alias("confirmed"), line.alias("paragraph")))
 
-        return F.when(F.size(at) > 0, _let(at, lambda rows: _let(odds(rows), verdict)))
+        return _let(at, lambda rows: _let(odds(rows), verdict))
 
     def _confirmed(g: Column, k: Column) -> Column:
         def close(t: Column) -> Column:
@@ -254,11 +277,12 @@ def license_scan(docs: DataFrame, text_col: str = "text", share: float = 0.6, mo
     and unlicensed texts have empty arrays. Equal rows get equal results; an empty table gives none.
     """
     new = ("findings", "licenses", "n_findings", "n_unconfirmed")
-    judge = _judge(model or train(), share)
+    model = model or train()
+    judge, words = _judge(model, share), needed_words(model)
     text = F.coalesce(docs[text_col], F.lit(""))
-    lines = F.filter(F.split(text, "\n"), _has_cue)
+    lines = F.filter(F.split(text, "\n"), lambda x: _can_reach(x, words))
     scored = F.filter(F.transform(lines, lambda x: _let(_grams(x), lambda g: judge(x, g))), lambda s: s.isNotNull())
-    found = docs.select(*[c for c in docs.columns if c not in new], F.when(_has_cue(text), scored).alias("findings"))
+    found = docs.select(*[c for c in docs.columns if c not in new], scored.alias("findings"))
     found = found.withColumn("findings", F.coalesce("findings", F.array().cast(found.schema["findings"].dataType)))
     kept = F.filter("findings", lambda s: s["confirmed"])
     return found.withColumns({"licenses": F.array_sort(F.array_distinct(F.transform(kept, lambda s: s["family"]))), "n_findings": F.size("findings").cast("long"), "n_unconfirmed": (F.size("findings") - F.size(kept)).cast("long")})

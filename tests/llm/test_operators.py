@@ -298,6 +298,26 @@ def labelled(n, bad):
     return out
 
 
+def test_every_paragraph_has_the_models_verdict(spark):
+    model, rng = licenses.train(), np.random.default_rng(4)
+    lines = ["Released under the MIT.", "Text: CC BY 4.0", "under CC BY-NC 4.0", "under cc by 4.0", "Released under the BSD.", "", "..."]
+    for t in [*[t for own in licenses.TEMPLATES.values() for t in own], *licenses.OTHER]:
+        words = t.split()
+        cuts = [sorted(rng.integers(0, len(words) + 1, 2)) for _ in range(12)]
+        lines += [" ".join(words[a:b]) for a, b in cuts] + [" ".join(rng.permutation(words))]
+    lines += [" / ".join(rng.choice(model.vocabulary, int(rng.integers(1, 9)))) for _ in range(400)]
+    place = {g: i for i, g in enumerate(model.vocabulary)}
+    want = []
+    for x in lines:
+        own = [place[g] for g in set(licenses.grams(licenses.words_of(x))) if g in place]
+        p = licenses._softmax((model.weights[own].sum(axis=0) + model.biases)[None])[0]
+        want.append(licenses.FAMILIES[int(p[1:].argmax())] if p[1:].max() >= model.cut else None)
+    assert {*want} == {None, *licenses.FAMILIES} and want[0] == "mit" and want[3] == "cc-by"
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"]: r["findings"] for r in licenses.license_scan(d).collect()}
+    assert [got[i][0]["family"] if got[i] else None for i in range(len(lines))] == want
+
+
 def test_toxicity(spark):
     def bad(w):
         w[RNG.randrange(len(w))] = RNG.choice(["nastyword", "nastyful", "vileword"])
