@@ -9,7 +9,8 @@ refuses is never similar enough. The other has one bit of each of the first 320
 refuses what differs by seven standard deviations more than the threshold leads to expect. All others
 are confirmed on full shingle sets.
 
-Documents with equal shingle sets form a class and go on as its smallest id. In a band's bucket each
+Documents with equal shingle sets form a class, which goes on under a number of its own and is mapped to
+its smallest id at the end; classes that have an id in common are linked by it. In a band's bucket each
 class is first held against the most central one, whose buckets hold most classes in all; it is often
 the text that others were made from, so that large groups join by a number of pairs in proportion to
 their size. After that only classes of one bucket that are still in different components
@@ -38,7 +39,7 @@ PERMUTATIONS, BAND_ROWS, SHINGLE = 182, 7, 5
 #: 64-bit words of the two sketches: parities of shingles by bin, and one bit of each signature value.
 PARITIES, BITS = 32, 5
 _BLOCK = 2048
-_SIG = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+_SIG = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
 
 def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarray]:
@@ -85,7 +86,7 @@ def band_hashes(sets: list[np.ndarray], permutations: int = PERMUTATIONS, rows:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, texts = b.column(0), b.column(1).to_pylist()
+        ids, texts, keys = b.column(0), b.column(1).to_pylist(), b.column(2)
         for part in portions(texts):
             sets = shingle_sets(texts[part])
             full = [s for s in sets if len(s)]
@@ -94,6 +95,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(part.start, part.stop - part.start),
+                    keys.slice(part.start, part.stop - part.start),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(rows) if len(s) else [] for s in sets], pa.list_(pa.int64())),
@@ -122,15 +124,28 @@ def _confirm(percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of class representatives whose full shingle sets are similar enough."""
-    needed = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    held = settled(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    one = pairs.join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    two = one.join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full shingle sets are similar enough.
+
+    A class has the text of its ``id`` and ``text_key``; an id alone can stand for texts of several classes.
+    """
+    needed = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).distinct()
+    wanted = classes.select("rep", "id", "text_key").join(needed, "rep", "left_semi")
+    held = settled(texts.join(wanted, ["id", "text_key"]).dropDuplicates(["rep"]).select("rep", "text"), "texts")
+    one = pairs.join(held.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+    two = one.join(held.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
     return two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "v long, m long")
 
 
+def _same_id(linked: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (v, m) of classes that have an id in common: each of an id's classes with one of them."""
+    several = linked.groupBy("id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("id", "lo")
+    keys = linked.select("id", "set_key").join(several, "id").where("set_key <> lo").select("set_key", "lo").distinct()
+    numbers = classes.select("set_key", "rep")
+    one = keys.join(numbers.withColumnRenamed("rep", "v"), "set_key")
+    return one.join(numbers.select(F.col("set_key").alias("lo"), F.col("rep").alias("m")), "lo").select("v", "m")
+
+
 def _near(percent: int):
     """Condition that a pair, with columns as ``_sketched`` names them, can be similar enough."""
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
@@ -141,7 +156,7 @@ def _near(percent: int):
 
 
 def _sketched(side: str) -> list:
-    """Id, set size and sketch words of one side of a pair; columns of their own keep the join's code small enough to be compiled."""
+    """Number, set size and sketch words of one side of a pair; columns of their own keep the join's code small enough to be compiled."""
     return [F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), *[F.get("sketch", i).alias(f"s{i}_{side}") for i in range(PARITIES + BITS)]]
 
 
@@ -155,10 +170,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     with nothing and kept. Rows that repeat an id share its component. An empty table gives no rows;
     other columns of ``docs`` are not carried.
     """
-    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    signed = settled(texts.mapInArrow(_signatures, "id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"), "signatures")
+    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_key"))
+    signed = settled(texts.mapInArrow(_signatures, "id long, text_key long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"), "signatures")
     linked = signed.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = settled(linked.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    grouped = linked.groupBy("set_key").agg(F.min(F.struct("id", "text_key")).alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = settled(grouped.select("set_key", F.monotonically_increasing_id().alias("rep"), "least.id", "least.text_key", "n", "bands", "sketch"), "classes")
     buckets = classes.select("rep", F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     shared = settled(buckets.join(sizes, "bucket"), "shared")
@@ -167,12 +183,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     leads = shared.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("lead"))
     met = shared.join(leads, "bucket").where("lead <> rep").select(F.greatest("lead", "rep").alias("b"), F.least("lead", "rep").alias("a")).distinct()
     stars = settled(met.join(classes.select(*_sketched("a")), "a").join(classes.select(*_sketched("b")), "b").where(_near(percent)).select("a", "b"), "stars")
-    edges = settled(_linked(stars, texts, percent), "links")
+    edges = settled(_linked(stars, classes, texts, percent).unionAll(_same_id(linked, classes)), "links")
     first = components(edges)
     rest = _across(shared, classes, first, stars, percent)
-    more = settled(_linked(rest, texts, percent), "links")
+    more = settled(_linked(rest, classes, texts, percent), "links")
     final = components(first.unionAll(more)) if more.take(1) else first
-    label = classes.select("set_key", "rep").join(final, F.col("rep") == F.col("v"), "left").select("set_key", F.coalesce("m", "rep").alias("component"))
+    of = classes.select("set_key", "rep", "id").join(final, F.col("rep") == F.col("v"), "left").select("set_key", "id", F.coalesce("m", "rep").alias("m"))
+    label = of.join(of.groupBy("m").agg(F.min("id").alias("component")), "m").select("set_key", "component")
     found = signed.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("set_key")).alias("set_key")).join(label, "set_key", "left")
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"), F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
 

@@ -47,6 +47,17 @@ def test_near(docs, rows):
     assert {r["n_shingles"] for r in got if r["doc_id"] is None} == {0, 76}
 
 
+def test_near_copies_of_each_text_of_an_id(spark):
+    say = lambda: [f"v{RNG.randint(0, 900)}" for _ in range(120)]
+    text, near = (lambda w: " ".join(w)), (lambda w: " ".join([*w[:-1], "other"]))
+    x, y, p, q, far = say(), say(), say(), say(), say()
+    rows = [(7, text(x)), (7, text(y)), (3, near(x)), (5, near(y)), (9, text(p)), (9, text(q)), (2, text(p)), (8, near(q)), (6, text(far)), (7, text(x))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minmax_hash.near_duplicates(d, 80).collect()}
+    assert got == {(7, 3, False), (3, 3, True), (5, 3, False), (9, 2, False), (2, 2, True), (8, 2, False), (6, 6, True)}
+    assert {r["doc_id"] for r in minmax_hash.drop_near_duplicates(d, 80).collect()} == {3, 2, 6}
+
+
 def test_store_and_packing(spark, docs, rows, tmp_path):
     path = f"file://{tmp_path}/s"
     chunk_store.write_store(docs, path)
