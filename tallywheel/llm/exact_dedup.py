@@ -214,5 +214,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with their columns unchanged."""
     keyed = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1)).alias("id"), F.sha2(squeezed(docs[text_col]), 256).alias("text_sha256"), squeezed(docs[text_col]).alias("content"), F.length(F.coalesce(docs[text_col], F.lit(""))).alias("code_points"))
-    stay = content_groups(keyed).select(F.col("keep_id").alias("_stays"))
-    return docs.join(stay, F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1)) == F.col("_stays"), "left_semi")
+    stay = content_groups(keyed).select(F.col("keep_id").alias("_stays"), F.col("text_sha256").alias("_content"))
+    rows = docs.withColumns({"_id": F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1)), "_sha256": F.sha2(squeezed(docs[text_col]), 256)})
+    return rows.join(stay, (F.col("_id") == F.col("_stays")) & (F.col("_sha256") == F.col("_content")), "left_semi").drop("_id", "_sha256")

@@ -35,6 +35,15 @@ def test_exact(docs, rows):
     assert by[(None, rows[3][1])]["group_size"] == 2 and not by[(None, rows[3][1])]["kept"]
 
 
+def test_first_copies_are_those_that_exact_dedup_keeps(spark):
+    rows = [(None, "lone"), (None, "x y"), (1, "x y"), (4, "k k"), (4, "m"), (2, "m"), (4, "k k"), (5, "kk"), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = Counter((r["doc_id"], r["text"]) for r in exact_dedup.exact_dedup(d).where("kept").collect())
+    assert want == Counter([(None, "lone"), (1, "x y"), (4, "k k"), (4, "k k"), (2, "m"), (None, None)])
+    got = exact_dedup.keep_first_copies(d)
+    assert got.columns == d.columns and Counter((r["doc_id"], r["text"]) for r in got.collect()) == want
+
+
 def test_substring(docs, rows):
     got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(docs).collect())
     assert got[(1, 60, 0)] == 2 and got[(1, 80, 0)] == 1 and got[(None, 80, 80)] == 1 and got[(None, 0, 0)] == 1
