@@ -84,7 +84,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_kept: float = 0.5
     least ``min_kept``). Columns of ``docs`` with these names are replaced, others pass through.
 
     Null texts count as empty: no words, base_failed, clean_text empty. Lines without a word are
-    neither judged nor removed. Equal rows get equal results; an empty table gives none.
+    neither judged nor removed. The rules on boilerplate and menus hold for lines of at most 400
+    non-blank characters, as in the SQL; a longer line is judged by its symbols and capitals only,
+    however few words it has. Equal rows get equal results; an empty table gives none.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "kept_share", "kept")

@@ -87,6 +87,13 @@ def test_native(docs, rows):
     assert Counter(r["doc_id"] for r in plan if r["pass"] == 0) == Counter(r[0] for r in rows)
 
 
+def test_long_lines_of_few_words_are_judged_by_characters_only(spark):
+    url = lambda n: "click here " + "u" * (n - 9)
+    d = spark.createDataFrame([(1, url(400)), (2, url(401)), (3, "#" * 401)], "doc_id long, text string")
+    got = {r["doc_id"]: r["clean_text"] for r in quality_rules.quality_rules(d).collect()}
+    assert got == {1: "", 2: url(401), 3: ""}
+
+
 def test_scores(spark, docs, rows):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (None, 1, 1), (2, None, None), (3, 0, 0)], "doc_id long, quality int, toxic int")
     for f in (toxicity.toxicity, quality_model.quality_scores):
