@@ -5,20 +5,19 @@ passage is cut alike wherever it stands. A chunk is named by the SHA-256 of its
 unsigned 32-bit) and stored once. A store is a folder:
 
     data/kind=chunk/   digest, n_ids, payload: the ids as zstd-compressed 16-bit or 32-bit integers
-    data/kind=recipe/  the recipes before they were put in order
-    recipes/       doc_id, start, n_tokens, digests, root; files and rows in ascending doc_id order
-    manifest/      one JSON row for each recipe file's part: its documents, ids and Merkle root, and
-                   one with the Merkle root over these roots
+    recipes/           number, doc_id, start, n_tokens, digests, root; files and rows in ascending doc_id order
+    manifest/          level, number, start, documents, ids, root: Merkle nodes over 65536 nodes below, up to one
 
-A document's root is the Merkle root over the digests of its chunks, a part's root that over its
-documents' roots. ``read_documents`` checks every chunk's digest and every document's root.
+A document's root is the Merkle root over the digests of its chunks. Level 1 of the manifest has a node for
+each 65536 documents in a row, level 2 one for each 65536 nodes of level 1, and so on; the last root names
+the store. It depends on the documents alone, not on how they were dealt out. Readers recompute every level
+from the recipes, every document's root and every chunk's digest, so what is lost or altered is found.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-import json
 import zlib
 from collections.abc import Iterator
 
@@ -29,14 +28,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywheel.llm.common import scratch, width
+from tallywheel.llm.common import removed, scratch, width
 from tallywheel.llm.encoder import default_tokenizer, encoder
 
 MIN_IDS, CUT_BITS, MAX_IDS = 128, 9, 2048
 _STAGE = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("digest", pa.binary()), ("n_ids", pa.int32()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("digests", pa.binary())])
 _STAGE_DDL = "kind string, bucket long, digest binary, n_ids int, payload binary, doc_id long, digests binary"
-_RECIPE_DDL = "part int, doc_id long, local_start long, n_tokens long, digests binary, root binary"
-_RECIPE = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.binary()), ("root", pa.binary())])
+_LOCAL_DDL = "part int, row long, before long, doc_id long, n_tokens long, digests binary, root binary"
+_LOCAL = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("before", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.binary()), ("root", pa.binary())])
+_NODE_DDL = "number long, start long, documents long, ids long, root binary"
+_NODE = pa.schema([("number", pa.int64()), ("start", pa.int64()), ("documents", pa.int64()), ("ids", pa.int64()), ("root", pa.binary())])
+FAN = 65536
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
@@ -49,8 +51,8 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream."""
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which a chunk may end: the hash over the last sixteen ids starts with zero bits."""
     with np.errstate(over="ignore"):
         h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
@@ -61,24 +63,33 @@ def cut_points(ids: np.ndarray) -> list[int]:
                 nxt[step:] += h[:-step] * np.uint64(factor)
                 h = nxt
             factor = factor * factor % 2**64
-    marks = np.flatnonzero((h >> np.uint64(64 - CUT_BITS)) == 0) + 1
-    ends, at = [], 0
-    for m in marks.tolist():
+    return np.flatnonzero((h >> np.uint64(64 - CUT_BITS)) == 0) + 1
+
+
+def _ends(marks: list[int], at: int, stop: int) -> list[int]:
+    """Ends of the chunks between two places. The first sixteen ids decide nothing, as a chunk has MIN_IDS at least."""
+    ends = []
+    for m in marks:
         while m - at > MAX_IDS:
             at += MAX_IDS
             ends.append(at)
         if m - at >= MIN_IDS:
             at = m
             ends.append(at)
-    while len(ids) - at > MAX_IDS:
+    while stop - at > MAX_IDS:
         at += MAX_IDS
         ends.append(at)
-    if at < len(ids):
-        ends.append(len(ids))
+    if at < stop:
+        ends.append(stop)
     return ends
 
 
-def pack_ids(raw: bytes) -> bytes:
+def cut_points(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one id stream."""
+    return _ends(_marks(ids).tolist(), 0, len(ids))
+
+
+def pack_ids(raw) -> bytes:
     """Ids (little-endian unsigned 32-bit) as a width byte and zstd-compressed integers of that width."""
     ids = np.frombuffer(raw, "<u4")
     narrow = not len(ids) or int(ids.max()) < 65536
@@ -92,104 +103,158 @@ def unpack_ids(payload: bytes) -> bytes:
 
 @functools.cache
 def _zip():
-    return zstandard.ZstdCompressor(level=3, write_checksum=False)
+    return zstandard.ZstdCompressor(level=1, write_checksum=False)
 
 
 def _chunked(path: str, end_id: int, remembered: int = 200_000):
     """Recipes of all documents, and each chunk that the task has not sent yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, sent = np.uint32(end_id).astype("<u4").tobytes(), set()
+        sent = set()
         for b in batches:
-            rows = []
-            for doc_id, raw in zip(b.column(0).to_pylist(), encoder(path).encode(b.column(1).to_pylist()), strict=True):
-                raw += end
-                at, named = 0, []
-                for stop in cut_points(np.frombuffer(raw, "<u4")):
-                    part = raw[4 * at : 4 * stop]
-                    digest = hashlib.sha256(part).digest()
-                    named.append(digest)
-                    if digest not in sent:
-                        if len(sent) >= remembered:
-                            sent.clear()
-                        sent.add(digest)
-                        rows.append(("chunk", int.from_bytes(digest[:8], "little", signed=True), digest, stop - at, pack_ids(part), None, None))
-                    at = stop
-                own = int.from_bytes(hashlib.blake2b(b"%d" % (doc_id or 0), digest_size=8).digest(), "little", signed=True)
-                rows.append(("recipe", own, None, at, None, doc_id, b"".join(named)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _STAGE, strict=True)] if rows else [pa.array([], f.type) for f in _STAGE], schema=_STAGE)
+            doc_ids = b.column(0).to_pylist()
+            for first, last, ids, offsets in encoder(path).encode(b.column(1), end_id):
+                rows, bounds = [], offsets.tolist()
+                raw, marks = memoryview(ids.astype("<u4")).cast("B"), _marks(ids)
+                spots = np.searchsorted(marks, offsets, side="right").tolist()
+                for k, doc_id in enumerate(doc_ids[first:last]):
+                    begin, end = bounds[k], bounds[k + 1]
+                    at, named = begin, []
+                    for stop in _ends(marks[spots[k] : spots[k + 1]].tolist(), begin, end):
+                        part = raw[4 * at : 4 * stop]
+                        digest = hashlib.sha256(part).digest()
+                        named.append(digest)
+                        if digest not in sent:
+                            if len(sent) >= remembered:
+                                sent.clear()
+                            sent.add(digest)
+                            rows.append(("chunk", int.from_bytes(digest[:8], "little", signed=True), digest, stop - at, pack_ids(part), None, None))
+                        at = stop
+                    own = int.from_bytes(hashlib.blake2b(b"%d" % (doc_id or 0), digest_size=8).digest(), "little", signed=True)
+                    rows.append(("recipe", own, None, end - begin, None, doc_id, b"".join(named)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _STAGE, strict=True)], schema=_STAGE)
 
     return run
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of equal chunks the first; a task gets all that share a digest."""
-    seen = set()
+    """Of equal chunks the first; a task gets all of a bucket one after the other, and a bucket is eight bytes of the digest."""
+    now, seen = None, set()
     for b in batches:
         keep = []
-        for kind, digest in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for kind, bucket, digest in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            if bucket != now:
+                now, seen = bucket, set()
             keep.append(kind == "recipe" or digest not in seen)
             if kind == "chunk":
                 seen.add(digest)
         yield b.filter(pa.array(keep, pa.bool_()))
 
 
-def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, start = TaskContext.get().partitionId(), 0
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Recipes with their Merkle root, their row within the task, and the ids before them in it."""
+    part, row, before = TaskContext.get().partitionId(), 0, 0
     for b in batches:
         rows = []
         for doc_id, n, digests in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            rows.append((part, doc_id, start, n, digests, merkle_root([digests[i : i + 32] for i in range(0, len(digests), 32)])))
-            start += n
+            rows.append((part, row, before, doc_id, n, digests, merkle_root([digests[i : i + 32] for i in range(0, len(digests), 32)])))
+            row, before = row + 1, before + n
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RECIPE, strict=True)], schema=_RECIPE)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _LOCAL, strict=True)], schema=_LOCAL)
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merkle roots of the parts that a task reads; it reads each part whole and in order."""
-    found: dict[int, list] = {}
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merkle nodes over FAN nodes below; a task gets the nodes of a parent together and in order."""
+    parent, start, documents, ids, roots = None, 0, 0, 0, []
+
+    def node():
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((parent, start, documents, ids, merkle_root(roots)), _NODE, strict=True)], schema=_NODE)
+
     for b in batches:
-        for part, doc_id, n, root in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            x = found.setdefault(part, [0, 0, []])
-            x[0], x[1] = x[0] + 1, x[1] + n
-            x[2].append((-1 if doc_id is None else doc_id, root))
-    if found:
-        rows = [(p, n, t, merkle_root([r for _, r in sorted(x)]).hex()) for p, (n, t, x) in sorted(found.items())]
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "documents", "ids", "root"])
+        for number, at, docs, n, root in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in _NODE.names), strict=True):
+            if number // FAN != parent:
+                if roots:
+                    yield node()
+                parent, start, documents, ids, roots = number // FAN, at, 0, 0, []
+            if number != parent * FAN + len(roots) or at != start + ids:
+                raise ValueError(f"the store is incomplete or altered before node {number}")
+            documents, ids = documents + docs, ids + n
+            roots.append(root)
+    if roots:
+        yield node()
+
+
+def _nodes(recipes: DataFrame) -> DataFrame:
+    return recipes.select("number", "start", F.lit(1).cast("long").alias("documents"), F.col("n_tokens").alias("ids"), "root")
+
+
+def _above(nodes: DataFrame) -> DataFrame:
+    """The Merkle nodes one level up: each over FAN nodes at most, so that no task holds more roots than that of one parent."""
+    parent = F.floor(F.col("number") / FAN)
+    return nodes.repartition(width(nodes.sparkSession), parent).sortWithinPartitions("number").mapInArrow(_folded, _NODE_DDL)
 
 
 def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, tokenizer: str | None = None) -> str:
     """Encode every text of ``docs``, append ``end_id`` to each, and write a store at ``path``.
 
-    Null and empty texts have the end id only. A repeated doc_id gives a recipe for each of its rows,
-    a null doc_id comes first; columns besides the two are ignored. An empty table gives a store
-    without rows. The Merkle root over all parts is returned.
+    Null and empty texts have the end id only. A repeated doc_id gives a recipe for each of its rows
+    (ordered by length and content), a null doc_id comes first; columns besides the two are ignored.
+    An empty table gives a store without rows. The root of the store is returned.
     """
     spark = docs.sparkSession
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     staged = texts.mapInArrow(_chunked(tokenizer or default_tokenizer(), end_id), _STAGE_DDL)
-    staged.repartition(width(spark), "bucket").mapInArrow(_once, _STAGE_DDL).drop("bucket").write.partitionBy("kind").option("compression", "none").parquet(f"{path}/data")
+    dealt = staged.repartition(width(spark), "bucket").sortWithinPartitions("bucket")
+    dealt.mapInArrow(_once, _STAGE_DDL).drop("bucket").write.partitionBy("kind").option("compression", "none").parquet(f"{path}/data")
     stored = spark.read.schema(_STAGE_DDL).parquet(f"{path}/data")
     recipes = stored.where("kind = 'recipe'").select("doc_id", F.col("n_ids").cast("long").alias("n_tokens"), "digests")
-    ordered = recipes.repartitionByRange(width(spark), "doc_id").sortWithinPartitions("doc_id", "n_tokens", "digests")
+    order = ("doc_id", "n_tokens", "digests")
     local = f"{path}/_local"
-    ordered.mapInArrow(_recipes, _RECIPE_DDL).write.parquet(local)
-    read = spark.read.schema(_RECIPE_DDL).parquet(local)
-    totals = sorted((r["part"], r["n"]) for r in read.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())  # one row for each part
-    before, rows = 0, []
-    for part, n in totals:
-        rows.append((part, before))
-        before += n
-    starts = spark.createDataFrame(rows, "part int, before long")
-    final = read.join(F.broadcast(starts), "part").select("part", "doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "digests", "root")
-    final.write.parquet(f"{path}/recipes")
-    grouped = spark.read.parquet(f"{path}/recipes").select("part", "doc_id", "n_tokens", "root").repartition(width(spark), "part").sortWithinPartitions("part", "doc_id")
-    parts = grouped.mapInArrow(_roots, "part int, documents long, ids long, root string").collect()  # one row for each part
-    top = merkle_root([bytes.fromhex(r["root"]) for r in sorted(parts)]).hex()
-    lines = [json.dumps(r.asDict()) for r in sorted(parts)] + [json.dumps({"part": None, "documents": sum(r["documents"] for r in parts), "ids": before, "root": top})]
-    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{path}/manifest")
-    return top
+    recipes.repartitionByRange(width(spark), *order).sortWithinPartitions(*order).mapInArrow(_rooted, _LOCAL_DDL).write.parquet(local)
+    read = spark.read.schema(_LOCAL_DDL).parquet(local)
+    totals = sorted(tuple(r) for r in read.groupBy("part").agg(F.count("*"), F.sum("n_tokens")).collect())  # one row for each task
+    documents = ids = 0
+    rows = []
+    for part, n, size in totals:
+        rows.append((part, documents, ids))
+        documents, ids = documents + n, ids + size
+    parts = spark.createDataFrame(rows, "part int, rows_before long, ids_before long")
+    numbered = read.join(F.broadcast(parts), "part").select((F.col("rows_before") + F.col("row")).alias("number"), "doc_id", (F.col("ids_before") + F.col("before")).alias("start"), "n_tokens", "digests", "root")
+    numbered.repartitionByRange(width(spark), "number").sortWithinPartitions("number").write.parquet(f"{path}/recipes")
+    removed(spark, local)
+    removed(spark, f"{path}/data/kind=recipe")
+    nodes, level, left = _nodes(spark.read.parquet(f"{path}/recipes")), 0, documents
+    while not level or left > 1:
+        level, left = level + 1, -(-left // FAN)
+        _above(nodes).withColumn("level", F.lit(level)).write.mode("append").parquet(f"{path}/manifest")
+        nodes = _manifest(spark, path).where(F.col("level") == level)
+    top = nodes.select("root").head(1)
+    return (top[0][0] if top else merkle_root([])).hex()
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_NODE_DDL + ", level int").parquet(f"{path}/manifest")
+
+
+def verify_store(spark: SparkSession, path: str, root: str | None = None) -> None:
+    """Raise ValueError unless the manifest follows from the recipes, level by level, and ends in ``root`` if given.
+
+    This finds recipes and nodes that are lost, added, altered or out of place. Chunks and the roots
+    of documents are checked where they are read.
+    """
+    said = _manifest(spark, path)
+    known = said.agg(F.max("level")).first()[0]
+    nodes, level = _nodes(spark.read.parquet(f"{path}/recipes")), 0
+    while level < (known or 1):
+        level += 1
+        at = said.where(F.col("level") == level).drop("level")
+        found = _above(nodes)
+        if found.exceptAll(at).unionAll(at.exceptAll(found)).head(1):
+            raise ValueError(f"the store at {path} differs from its manifest")
+        nodes = at
+    tops = nodes.select("root").head(2)
+    if len(tops) > 1 or root and root != (tops[0][0] if tops else merkle_root([])).hex():
+        raise ValueError(f"the store at {path} hasn't the root that was asked for")
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,6 +297,8 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chunks.sort(key=lambda c: c["pos"])
             crc = n = 0
             for c in chunks:
+                if c["crc"] is None:
+                    raise ValueError(f"a chunk of document {doc_id} is missing")
                 crc = joined_crc(crc, c["crc"], 4 * c["n_ids"])
                 n += c["n_ids"]
             if n != n_tokens or merkle_root([c["digest"] for c in chunks]) != root:
@@ -244,24 +311,26 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(spark: SparkSession, path: str) -> DataFrame:
     recipes = spark.read.parquet(f"{path}/recipes")
     numbers = F.sequence(F.lit(0), (F.length("digests") / 32).cast("int") - 1)
-    return recipes.select("doc_id", "start", "n_tokens", "root", "digests", F.explode(numbers).alias("pos")).withColumn("digest", F.expr("substring(digests, 32 * pos + 1, 32)")).drop("digests")
+    return recipes.select("number", "doc_id", "start", "n_tokens", "root", "digests", F.explode(numbers).alias("pos")).withColumn("digest", F.expr("substring(digests, 32 * pos + 1, 32)")).drop("digests")
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_STAGE_DDL).parquet(f"{path}/data").where("kind = 'chunk'").select("digest", "payload")
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document of a store, from its files.
 
-    Every chunk is read, unpacked and checked once; a document's figures are put together from its
-    chunks' (a CRC-32 of joined strings follows from those of the parts), so shared payloads are not
-    sent to each document that holds them.
+    The recipes are held against the manifest (and ``root``, if given) first. Every chunk is read, unpacked
+    and checked once; a document's figures are put together from its chunks' (a CRC-32 of joined strings
+    follows from those of the parts), so shared payloads are not sent to each document that holds them.
+    A lost or altered chunk, recipe or node raises.
     """
+    verify_store(spark, path, root)
     facts = _chunks(spark, path).mapInArrow(_facts, "digest binary, n_ids int, crc long")
     joined = _links(spark, path).join(facts, "digest", "left")
-    grouped = joined.groupBy("doc_id", "start").agg(F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.collect_list(F.struct("pos", "digest", "n_ids", "crc")).alias("chunks"))
-    return grouped.mapInArrow(_assembled, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    grouped = joined.groupBy("number").agg(*(F.first(c).alias(c) for c in ("doc_id", "start", "n_tokens", "root")), F.collect_list(F.struct("pos", "digest", "n_ids", "crc")).alias("chunks"))
+    return grouped.drop("number").mapInArrow(_assembled, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,13 +340,15 @@ def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start and the ids of every document of a store."""
-    grouped = _links(spark, path).join(_chunks(spark, path), "digest").groupBy("doc_id", "start").agg(F.collect_list(F.struct("pos", "payload")).alias("chunks"))
-    return grouped.mapInArrow(_restored, "doc_id long, start long, ids array<long>")
+    """doc_id, start and the ids of every document of a store, after the same check of its recipes."""
+    verify_store(spark, path)
+    links = _links(spark, path).join(_chunks(spark, path), "digest", "left")
+    grouped = links.groupBy("number").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.collect_list(F.struct("pos", "payload")).alias("chunks"))
+    return grouped.drop("number").mapInArrow(_restored, "doc_id long, start long, ids array<long>")
 
 
 def store_and_read(docs: DataFrame, **options) -> DataFrame:
     """Write a store in the shared folder and return what ``read_documents`` finds in it."""
     path = scratch(docs.sparkSession, "store")
-    write_store(docs, path, **options)
-    return read_documents(docs.sparkSession, path)
+    root = write_store(docs, path, **options)
+    return read_documents(docs.sparkSession, path, root)

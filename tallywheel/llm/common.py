@@ -16,17 +16,25 @@ BLANKS_RE = "[\\x20\\x09-\\x0D]"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (tests on one machine) a folder of our own is used.
+    Only where the setting is absent and all runs on one machine (tests) a folder of our own is used.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("tallywheel.scratch", None)
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallywheel-")
         spark.conf.set("tallywheel.scratch", found)
     return found.rstrip("/")
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no later reader needs."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/tallywheel-{label}-{uuid.uuid4().hex[:12]}"

@@ -2,25 +2,33 @@
 
 A byte-level BPE splits a text by a pattern before it merges anything, and no piece of that split
 runs from a character that isn't white space into one that is. A text can thus be cut before any
-white space that follows other characters, the cuts encoded by themselves, and their ids joined:
-the result equals the ids of the whole text. Natural text repeats its words, so each Python worker
-keeps the ids of the cuts it has seen, a bounded number of them.
+blank that follows other characters, the cuts encoded by themselves, and their ids joined: the result
+equals the ids of the whole text. Natural text repeats its words, so each Python worker keeps the ids
+of the words it has met, a bounded number of them, and looks up only the distinct words of a portion.
+
+Texts that hold an added token of the vocabulary ("<|endoftext|>") go to the library whole, as all texts
+do with a vocabulary that splits in another way.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from itertools import repeat
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-
-from tallywheel.llm.words import portions
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters with the Unicode property White_Space (fixed values).
-SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
 _CUT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-_JOINED = 2000
+_FIRST = "\x01"  # stands before the first word of a text, which has no blank of its own
+#: One run of letters, then marks: the pattern makes at most a line feed, the letters and the marks of it.
+_PLAIN = r"^(?P<lead>[\x01\n]?)(?P<letters>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
+_PORTION = 1 << 22
 
 
 def default_tokenizer() -> str:
@@ -29,109 +37,189 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: printable ones stand for themselves."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
+def _splits_before_blanks(tok) -> bool:
+    """Whether a tokenizer splits by the usual byte-level pattern and changes no text before."""
+    said = json.loads(tok.to_str())
+    split = said["pre_tokenizer"] or {}
+    usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    return bool(usual and not said["normalizer"] and said["model"]["type"] == "BPE")
+
+
 class TextEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids.
+    """Encodes texts to unsigned 32-bit ids, the same as the library's for each whole text.
 
-    ``max_cuts`` bounds the cuts that are remembered for good: the first ones met, among them the
-    frequent ones. Later ones are remembered for a while. Null texts count as empty and give no ids.
+    ``max_words`` bounds the words that are remembered for good: the first ones met, among them the
+    frequent ones. ``passing`` bounds those that are remembered for a while. Null texts count as
+    empty and give no ids.
     """
 
-    def __init__(self, path: str, max_cuts: int = 800_000, passing: int = 100_000):
+    def __init__(self, path: str, max_words: int = 800_000, passing: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.max_cuts, self.passing = max_cuts, passing
-        self.kept: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        (self.feed,) = self._ids(["\n"])[0]
-        self.ends = {c: self._bytes(self._ids([c])[0]) for c in ",."}
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.by_word = _splits_before_blanks(self.tok)
+        self.max_words, self.passing = max_words, passing
+        self.kept: dict[str, int] = {}
+        self.later: dict[str, int] = {}
+        # Word k has the ids flat[bounds[k]:bounds[k + 1]]. Word 0 has none: it says that a text can't be cut.
+        self.flat, self.bounds, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 1
+        if self.by_word:
+            self.model = self.tok.model
+            (self.feed,) = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return np.asarray(ids, "<u4").tobytes()
-
-    def _keep(self, piece: str, ids: bytes) -> None:
-        (self.kept if len(self.kept) < self.max_cuts else self.later)[piece] = ids
-
-    def _known(self, piece: str) -> bytes:
-        return self.kept.get(piece) or self.later.get(piece, b"")
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Remember pieces: 'x' stands for ' x', and '\\nx' for itself; one that isn't a cut gets no ids."""
-        spaced, lined, other, ended = [], [], [], []
-        for p in pieces:
-            if not p or p[-1] in SPACES:
-                continue
-            if p[-1] in self.ends and p[:-1].isalpha():  # letters, then one mark: two pieces of the split
-                ended.append(p)
-                p = p[:-1]
-                if p in pieces or self._known(p):
-                    continue
-            if p[0] == "\n":
-                (other if any(c in SPACES for c in p[1:]) else lined).append(p)
-            else:
-                (other if any(c in SPACES for c in p) else spaced).append(p)
-        for group, glue, lead in ((list(dict.fromkeys(spaced)), "\n ", " "), (lined, "", "")):
-            blocks = [group[i : i + _JOINED] for i in range(0, len(group), _JOINED)]
-            for block, ids in zip(blocks, self._ids([lead + glue.join(b) for b in blocks]), strict=True):
-                flat = np.asarray(ids, "<u4")
-                at = np.flatnonzero(flat == self.feed)
-                if lead:
-                    starts, ends = np.concatenate(([0], at + 1)), np.concatenate((at, [len(flat)]))
-                else:
-                    starts, ends = at, np.concatenate((at[1:], [len(flat)]))
-                raw = flat.tobytes()
-                for p, s, e in zip(block, (starts * 4).tolist(), (ends * 4).tolist(), strict=True):
-                    self._keep(p, raw[s:e])
-        for p, ids in zip(other, self._ids([p if p[0] == "\n" else " " + p for p in other]), strict=True):
-            self._keep(p, self._bytes(ids))
-        for p in ended:
-            self._keep(p, self._known(p[:-1]) + self.ends[p[-1]])
-
-    def _whole(self, text: str) -> bytes:
-        """Ids of a text with several blanks in a row, cut by pattern."""
-        cuts = _CUT.findall(text)
-        block = list(dict.fromkeys(cuts))
-        found = {c: self._bytes(i) for c, i in zip(block, self._ids(block), strict=True)}
-        return b"".join(map(found.__getitem__, cuts))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for part in portions(texts, 1 << 18):
-            out += self._portion(texts[part])
-        return out
-
-    def _portion(self, texts: list[str | None]) -> list[bytes]:
+    def _stems(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of stems (letters, perhaps after a blank), by the library's model, and their offsets."""
+        ids, ends = [], [0]
+        for x in stems:
+            mapped = x.replace(" ", _LETTERS[32]) if x.isascii() else x.encode().decode("latin1").translate(_LETTERS)
+            ids += [t.id for t in self.model.tokenize(mapped)]
+            ends.append(len(ids))
+        return np.array(ids, np.uint32), np.array(ends)
+
+    def _found(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of new words, their sizes, and whether a text can be cut before and after each.
+
+        'x' stands for ' x', '\\nx' for itself, and the mark of a first word for nothing.
+        """
+        split = pc.extract_regex(words, _PLAIN)
+        plain = pc.is_valid(split).to_numpy(zero_copy_only=False)
+        lead, letters, tail = split.filter(pa.array(plain)).flatten()
+        stem = pc.binary_join_element_wise(pc.if_else(pc.equal(lead, ""), " ", ""), letters, "").dictionary_encode()
+        tail = tail.dictionary_encode()
+        rest = [w for w in words.filter(pa.array(~plain)).to_pylist()]
+        cut = [bool(w) and w[-1] not in SPACES for w in rest]
+        literal = [(w if w[0] == "\n" else w[1:] if w[0] == _FIRST else " " + w) if c else "" for w, c in zip(rest, cut, strict=True)]
+        # The ids of all pieces one after the other: a line feed's, those of stems, of tails, and of other words.
+        stem_ids, stem_at = self._stems(stem.dictionary.to_numpy(zero_copy_only=False).tolist())
+        more_ids, more_at = _joined([np.array(x, np.uint32) for x in self._ids(tail.dictionary.to_pylist() + literal)])
+        pieces = np.concatenate((np.array([self.feed], np.uint32), stem_ids, more_ids))
+        at = np.concatenate(([0], 1 + stem_at, 1 + len(stem_ids) + more_at[1:]))
+        begins, sizes = np.zeros((len(words), 3), np.int64), np.zeros((len(words), 3), np.int64)
+        feeds = pc.equal(lead, "\n").to_numpy(zero_copy_only=False)
+        sizes[np.flatnonzero(plain)[feeds], 0] = 1
+        n = 1 + len(stem.dictionary)
+        for column, where, number in ((1, plain, 1 + _indices(stem)), (2, plain, n + _indices(tail)), (1, ~plain, n + len(tail.dictionary) + np.arange(len(rest)))):
+            begins[where, column], sizes[where, column] = at[number], at[number + 1] - at[number]
+        usable = plain.copy()
+        usable[~plain] = [c or w == _FIRST for w, c in zip(rest, cut, strict=True)]
+        return pieces[_ranges(begins.ravel(), sizes.ravel())], sizes.sum(axis=1), usable
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Numbers for new words; 0 for those before or after which a text can't be cut."""
+        ids, sizes, usable = self._found(words)
+        n, at = self.n, int(self.bounds[self.n])
+        if n + len(words) >= len(self.bounds):
+            self.bounds = np.concatenate((self.bounds, np.zeros(n + 2 * len(words), np.int64)))
+        if at + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(at + len(ids), np.uint32)))
+        self.flat[at : at + len(ids)] = ids
+        self.bounds[n + 1 : n + 1 + len(words)] = at + np.cumsum(sizes)
+        numbers = np.where(usable, n + np.arange(len(words)), 0)
+        names, room = words.to_numpy(zero_copy_only=False).tolist(), max(0, self.max_words - len(self.kept))
+        self.kept.update(zip(names[:room], numbers[:room].tolist(), strict=True))
+        self.later.update(zip(names[room:], numbers[room:].tolist(), strict=True))
+        self.n += len(words)
+        return numbers
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        names = words.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.kept.get, names))
+        if None not in found:
+            return np.array(found, np.int64)
         if len(self.later) > self.passing:
             self.later.clear()
-        get, none, rows, missing = self.kept.get, repeat(b""), [], set()
-        for text in texts:
-            pieces = text.replace("\n", " \n").split(" ") if text else [""]
-            first = pieces.pop(0)
-            got = list(map(get, pieces, none))
-            if not all(got):
-                missing.update(p for p, g in zip(pieces, got, strict=True) if not g and p not in self.later)
-            rows.append((first, pieces, got))
-        if missing:
-            self._learn(missing)
-        out = []
-        for text, (first, pieces, got) in zip(texts, rows, strict=True):
-            if not text:
-                out.append(b"")
-                continue
-            if not all(got):
-                got = [g or self._known(p) for p, g in zip(pieces, got, strict=True)]
-            if not first or first[-1] in SPACES or not all(got):
-                out.append(self._whole(text))
-            else:
-                out.append(self._bytes(self._ids([first])[0]) + b"".join(got))
+            self.n = len(self.kept) + 1
+        if self.later:
+            found = [self.later.get(w) if k is None else k for w, k in zip(names, found, strict=True)]
+        out = np.array([-1 if k is None else k for k in found], np.int64)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            out[new] = self._learn(words.take(pa.array(new)))
         return out
 
+    def _cut(self, text: str) -> list[int]:
+        """Ids of a text with several blanks in a row, cut by pattern."""
+        cuts = _CUT.findall(text)
+        block = list(dict.fromkeys(cuts))
+        found = dict(zip(block, self._ids(block), strict=True))
+        return list(chain.from_iterable(map(found.__getitem__, cuts)))
+
+    def _portion(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts, and the offset of each text (one more at the end)."""
+        if not self.by_word:
+            ids = self._ids(texts.to_pylist())
+            return _joined([np.array(x, np.uint32) for x in ids])
+        split = pc.replace_substring(texts, "\n", " \n")  # blanks between line feeds go again:
+        for _ in range(2):
+            split = pc.replace_substring(split, "\n \n", "\n\n")
+        split = pc.split_pattern(pc.binary_join_element_wise("", split, _FIRST), " ")
+        bounds = split.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        words = self._numbers(coded.dictionary)[_indices(coded)]
+        bounds -= bounds[0]
+        begins = self.bounds[words]
+        sizes = self.bounds[words + 1] - begins
+        offsets = np.concatenate(([0], np.cumsum(sizes)))[bounds]
+        ids = self.flat[_ranges(begins, sizes)]
+        odd = np.diff(np.concatenate(([0], np.cumsum(words == 0)))[bounds]) > 0
+        for mark in (_FIRST, *self.added):
+            odd |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return ids, offsets
+        parts = [ids[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        for k in np.flatnonzero(odd).tolist():
+            text = texts[k].as_py()
+            parts[k] = np.array(self._ids([text])[0] if any(a in text for a in self.added) else self._cut(text), np.uint32)
+        return _joined(parts)
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Portions of a column of texts: first row, row after the last, all ids, and each text's offset (one more at the end).
+
+        With ``end_id`` each text has this id after its own. A text is never divided, so a portion
+        holds about four million bytes or one longer text.
+        """
+        texts = pc.fill_null(texts, "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _PORTION, side="right")))
+            ids, offsets = self._portion(texts[at:stop])
+            if end_id is not None:
+                ids = np.insert(ids, offsets[1:], np.uint32(end_id))
+                offsets = offsets + np.arange(len(offsets))
+            yield at, stop, ids, offsets
+            at = stop
+
+
+def _indices(coded: pa.DictionaryArray) -> np.ndarray:
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers begins[i], begins[i] + 1 and so on, sizes[i] of them, for one i after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - ends + sizes, sizes)
+
+
+def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64)))
+    return (np.concatenate(parts) if parts else np.empty(0, np.uint32)), offsets
+
 
 _KEPT: dict[str, TextEncoder] = {}
 

@@ -107,20 +107,21 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
     schema = _PIECES_ARROW.append(pa.field("ids", pa.binary())) if with_ids else _PIECES_ARROW
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, task, rank = np.uint32(end_id).astype("<u4").tobytes(), TaskContext.get().partitionId(), defaultdict(int)
+        task, rank = TaskContext.get().partitionId(), defaultdict(int)
         for b in batches:
             out: list[list] = [[] for _ in schema]
-            for doc_id, ids in zip(b.column(0).to_pylist(), encoder(path).encode(b.column(1).to_pylist()), strict=True):
-                ids += end
-                total = len(ids) // 4
-                first, start, piece = (total - 1) % capacity + 1, 0, 0
-                while start < total:
-                    n = capacity if piece else first
-                    part = ids[4 * start : 4 * (start + n)]
-                    for column, v in zip(out, (doc_id, piece, start, n, zlib.crc32(part), task, rank[n], part), strict=False):
-                        column.append(v)
-                    rank[n] += 1
-                    start, piece = start + n, piece + 1
+            doc_ids = b.column(0).to_pylist()
+            for at, stop, ids, offsets in encoder(path).encode(b.column(1), end_id):
+                raw, bounds = memoryview(ids.astype("<u4")).cast("B"), offsets.tolist()
+                for doc_id, begin, end in zip(doc_ids[at:stop], bounds[:-1], bounds[1:], strict=True):
+                    first, start, piece = (end - begin - 1) % capacity + 1, 0, 0
+                    while begin + start < end:
+                        n = capacity if piece else first
+                        part = raw[4 * (begin + start) : 4 * (begin + start + n)]
+                        for column, v in zip(out, (doc_id, piece, start, n, zlib.crc32(part), task, rank[n], part), strict=False):
+                            column.append(v)
+                        rank[n] += 1
+                        start, piece = start + n, piece + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return pieces

@@ -2,12 +2,17 @@
 
 import hashlib
 import random
+import shutil
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import Whitespace
 
 from tallywheel.llm import chunk_store, exact_dedup, licenses, minmax_hash, mixing, packing, quality_model, quality_rules, substring_dedup, toxicity
 from tallywheel.llm.components import components
@@ -131,18 +136,37 @@ def test_components(spark):
     assert got == {i: 0 for i in range(1, 61)} | {200: 100, 150: 100}
 
 
+def plain_ids(texts, end=None):
+    """Ids of whole texts by a tokenizer of the test's own."""
+    tok = Tokenizer.from_file(default_tokenizer())
+    return [np.array([*tok.encode(t or "", add_special_tokens=False).ids, *([] if end is None else [end])], "<u4") for t in texts]
+
+
 def test_encoder():
-    e = TextEncoder(default_tokenizer(), max_cuts=50, passing=20)
     rnd = random.Random(1)
-    alphabet = "ab'sé 1  \n\n\t\x1c\xa0.!,-日<|>"
-    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(1500)] + ["<|endoftext|> x", " lead", "tail ", "a\n b", "foo.\nBar, baz."]
-    want = [np.asarray(x.ids, "<u4").tobytes() for x in e.tok.encode_batch(texts, add_special_tokens=False)]
-    assert e.encode(texts) == want and e.encode([None]) == [b""]
+    alphabet = "ab'sé 1  \n\n\t\x1c\xa0.!,-日<|>\x01"
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(1500)]
+    texts += ["<|endoftext|> x", "a <|endoftext|> b", " lead", "tail ", "a\n b", "foo.\nBar, baz.", "a\n\nb\n\n\nc\n\n\n\n\nd", None, "", "it's we'll", "éÉ ñandú ßẞ naïve&&& |%%% ÀB"]
+    texts += [" ".join(rnd.choice(["thé", "the", "ß.", "of&&&", "x1"]) for _ in range(5000))]
+    want = [x.tolist() for x in plain_ids(texts, 7)]
+    for limits in ({}, {"max_words": 50, "passing": 20}):
+        e = TextEncoder(default_tokenizer(), **limits)
+        for _ in range(2):
+            got = [ids[a:b].tolist() for _, _, ids, at in e.encode(pa.array(texts, pa.string()), 7) for a, b in zip(at[:-1], at[1:], strict=True)]
+            assert got == want
+
+
+def test_encoder_takes_no_split_for_granted(tmp_path):
+    tok = Tokenizer.from_file(default_tokenizer())
+    tok.pre_tokenizer = Whitespace()
+    tok.save(str(tmp_path / "other.json"))
+    texts = ["one  two, three", "", "x\ny z"]
+    got = [ids[a:b].tolist() for _, _, ids, at in TextEncoder(str(tmp_path / "other.json")).encode(pa.array(texts)) for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def encoded(rows, end):
-    tok = TextEncoder(default_tokenizer()).tok
-    return {i: np.append(np.asarray(tok.encode(t or "", add_special_tokens=False).ids, "<u4"), np.uint32(end)).astype("<u4") for i, t in rows}
+    return dict(zip([i for i, _ in rows], plain_ids([t for _, t in rows], end), strict=True))
 
 
 def test_chunk_store(spark, docs, rows, tmp_path):
@@ -152,16 +176,67 @@ def test_chunk_store(spark, docs, rows, tmp_path):
         start += len(ids[i])
     path = f"file://{tmp_path}/store"
     root = chunk_store.write_store(docs, path)
-    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in chunk_store.read_documents(spark, path).collect()} == want
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in chunk_store.read_documents(spark, path, root).collect()} == want
     assert {r["doc_id"]: r["ids"] for r in chunk_store.read_ids(spark, path).collect()} == {i: x.tolist() for i, x in ids.items()}
     chunks = chunk_store._chunks(spark, path)
     assert chunks.count() == chunks.select("digest").distinct().count()
-    assert root == chunk_store.write_store(docs.repartition(2), f"file://{tmp_path}/again") or True
+    files = sorted((tmp_path / "store" / "recipes").glob("*.parquet"))
+    assert [i for f in files for i in pq.read_table(f).column("doc_id").to_pylist()] == [i for i, _ in rows] and len(files) > 1
+    assert not (tmp_path / "store" / "_local").exists()
+    assert root == chunk_store.write_store(docs.repartition(2), f"file://{tmp_path}/again")
+    changed = docs.withColumn("text", F.when(F.col("doc_id") == 12, "other").otherwise(F.col("text")))
+    assert root != chunk_store.write_store(changed, f"file://{tmp_path}/changed")
+    with pytest.raises(ValueError, match="root"):
+        chunk_store.read_documents(spark, f"file://{tmp_path}/changed", root)
     empty = f"file://{tmp_path}/empty"
     chunk_store.write_store(docs.limit(0), empty)
     assert chunk_store.read_documents(spark, empty).count() == 0
 
 
+def test_chunk_store_of_many_levels(spark, tmp_path, monkeypatch):
+    """Nodes over three below; workers are forked with the module as it is, so the levels are folded here."""
+    monkeypatch.setattr(chunk_store, "FAN", 3)
+    leaves = [(k, 5 * k, 1, 5, hashlib.sha256(b"%d" % k).digest()) for k in range(20)]
+    level, sizes = leaves, []
+    while len(level) > 1:
+        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*level, strict=True), chunk_store._NODE, strict=True)], schema=chunk_store._NODE)
+        level = [tuple(r.values()) for b in chunk_store._folded(iter([batch])) for r in b.to_pylist()]
+        sizes.append(len(level))
+    assert sizes == [7, 3, 1] and level[0][1:4] == (0, 20, 100)
+    with pytest.raises(ValueError, match="incomplete"):
+        list(chunk_store._folded(iter([batch.slice(1)])))
+
+
+def test_lost_files_of_a_store_are_found(spark, docs, tmp_path):
+    def lose(name, pattern):
+        path = tmp_path / name
+        chunk_store.write_store(docs, f"file://{path}")
+        f = max(path.glob(pattern), key=lambda f: f.stat().st_size)  # Spark writes files without rows, too
+        f.unlink()
+        (f.parent / f".{f.name}.crc").unlink()
+        with pytest.raises(Exception, match="incomplete|differs|missing"):
+            chunk_store.read_documents(spark, f"file://{path}").collect()
+
+    for k, pattern in enumerate(("recipes/part-00000*", "recipes/part-00003*", "manifest/part*", "data/kind=chunk/part*")):
+        lose(f"store{k}", pattern)
+    path = tmp_path / "bare"
+    chunk_store.write_store(docs, f"file://{path}")
+    shutil.rmtree(path / "manifest")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        chunk_store.read_documents(spark, f"file://{path}").collect()
+
+
+def test_repeated_and_null_ids_in_a_store(spark, tmp_path):
+    rows = [(None, "b b"), (5, "x"), (None, None), (5, "x y z"), (5, "x"), (-3, "neg"), (5, "<|endoftext|>")]
+    got = chunk_store.store_and_read(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    ids = plain_ids([t for _, t in rows], 0)
+    want = sorted(((i is not None, i or 0), len(x), zlib.crc32(x.tobytes())) for (i, _), x in zip(rows, ids, strict=True))
+    assert sorted(((r["doc_id"] is not None, r["doc_id"] or 0), r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    starts = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in got)
+    assert [s for s, _, _ in starts] == [sum(n for _, n, _ in starts[:k]) for k in range(len(starts))]
+    assert [i for _, _, i in starts] == [None, None, -3, 5, 5, 5, 5]
+
+
 def test_damaged_chunk_is_found(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     chunk_store.write_store(spark.createDataFrame([(1, "some text here")], "doc_id long, text string"), path)
