@@ -87,6 +87,21 @@ def test_native(docs, rows):
     assert Counter(r["doc_id"] for r in plan if r["pass"] == 0) == Counter(r[0] for r in rows)
 
 
+def test_mixed_rows_are_those_of_the_plan(spark):
+    """Rows that share an id aren't multiplied, and equal rows go as often as the plan takes them in all."""
+    say = lambda n: " ".join(f"v{RNG.randint(0, 900)}" for _ in range(n))
+    rows = [(1, say(9), "a", 7), (1, say(8), "a", 7), (1, say(7), "b", None), (None, say(5), "b", 1), (None, None, "b", 1), (None, None, "b", 1), (2, "x y", "b", 3), (2, "x y", "b", 3), (2, "x y", "b", 4), (2, "x y", None, 3), (3, "", "c", 0)]
+    rows += [(k, say(30), "a", k) for k in range(10, 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, _block int").repartition(3)
+    plan = Counter(r["doc_id"] for r in mixing.mix_plan(d, max_repeats=3.0).collect())
+    got = mixing.mix_sources(d, 3, max_repeats=3.0)
+    assert got.columns == d.columns
+    found = Counter(tuple(r) for r in got.collect())
+    assert Counter({i: sum(n for r, n in found.items() if r[0] == i) for i in {r[0] for r in rows}}) == plan
+    assert all(found[r] >= n for r, n in Counter(rows).items()) and set(found) == set(rows)
+    assert max(found.values()) > 1 and mixing.mix_sources(d.limit(0), 3).count() == 0
+
+
 def test_long_lines_of_few_words_are_judged_by_characters_only(spark):
     url = lambda n: "click here " + "u" * (n - 9)
     d = spark.createDataFrame([(1, url(400)), (2, url(401)), (3, "#" * 401)], "doc_id long, text string")
