@@ -59,3 +59,17 @@ STATUSES = ["unmatched", "unexpected", "ambiguous", "partial", "not_expected", "
 NO_MOVEMENT_KINDS = ["unstake_requested", "reward_accrued", "pool_config_changed"]
 YEAR_SECONDS = 31_536_000
 FINALITY_DEPTH, OVERLAP_BLOCKS = 64, 50
+
+#: What edges say; {} is a kind, a number or two of them.
+REASONS = {
+    "idle": "{} has no expected token movement",
+    "none": "no movements in tx for this action",
+    "exact": "exact amount match",
+    "ambiguous": "{} movements match action amount; requires manual disambiguation",
+    "partial": "batched movement {}/{}",
+    "no_sum": "no subset of {} movements sums to {}",
+    "unexpected": "movement with no matching action",
+    "pa_idle": "{} has no expected movement",
+    "pa_none": "no PA movement with matching amount",
+    "pa_exact": "PA action amount matches token movement",
+}

@@ -35,10 +35,18 @@ def on_canonical(rows: DataFrame, canonical: DataFrame, by_hash: bool = False) -
     return rows.join(canonical.select(*keys), keys, "left_semi")
 
 
-def block_gaps(canonical: DataFrame) -> DataFrame:
-    """Places where a chain's block numbers are not consecutive."""
-    ahead = F.lead("block_number").over(Window.partitionBy("chain_id").orderBy("block_number"))
-    return canonical.select("chain_id", "block_number", ahead.alias("next_block")).where("next_block - block_number > 1").withColumn("missing", F.col("next_block") - F.col("block_number") - 1)
+def block_gaps(canonical: DataFrame, span: int = 1_000_000) -> DataFrame:
+    """Places where a chain's block numbers are not consecutive.
+
+    Windows run over stretches of ``span`` numbers, so that a long chain isn't one task; the least block
+    of each stretch follows the greatest of the last one before it.
+    """
+    stretch = F.floor(F.col("block_number") / span)
+    rows = canonical.select("chain_id", "block_number", stretch.alias("_at"))
+    ends = rows.groupBy("chain_id", "_at").agg(F.min("block_number").alias("_least"), F.max("block_number").alias("block_number"))
+    between = ends.select("chain_id", "block_number", F.lead("_least").over(Window.partitionBy("chain_id").orderBy("_at")).alias("next_block"))
+    within = rows.select("chain_id", "block_number", F.lead("block_number").over(Window.partitionBy("chain_id", "_at").orderBy("block_number")).alias("next_block"))
+    return within.unionAll(between).where("next_block - block_number > 1").withColumn("missing", F.col("next_block") - F.col("block_number") - 1)
 
 
 def finality_watermark(head: int, finalized: int | None, depth: int = FINALITY_DEPTH) -> int:

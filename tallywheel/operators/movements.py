@@ -12,10 +12,11 @@ COLUMNS = ["movement_id", "chain_id", "block_number", "tx_hash", "token_address"
 
 
 def from_logs(events: DataFrame) -> DataFrame:
-    """Movements of decoded transfer events."""
-    pick = lambda m, *names: F.coalesce(*[F.try_element_at(m, F.lit(n)) for n in names])
-    both = F.map_concat("indexed_params", "data_params")
-    rows = events.where(F.col("event_signature") == TRANSFER_TOPIC).withColumns({"from_addr": F.lower(F.coalesce(pick(both, "from", "_from"), F.lit(""))), "to_addr": F.lower(F.coalesce(pick(both, "to", "_to"), F.lit(""))), "amount": pick(both, "value", "_value", "amount").cast("decimal(38,0)")})
+    """Movements of decoded transfer events: sides from the indexed parameters, the amount from the others, 0 where it has none."""
+    pick = lambda params, *names: F.coalesce(*[F.try_element_at(F.col(params), F.lit(n)) for n in names], F.lit(""))
+    amount = F.coalesce(F.nullif(pick("data_params", "value", "_value", "amount"), F.lit("")), F.lit("0")).try_cast("decimal(38,0)")
+    sides = {side: F.lower(pick("indexed_params", *names)) for side, names in (("from_addr", ("from", "_from")), ("to_addr", ("to", "_to")))}
+    rows = events.where(F.lower("event_signature") == TRANSFER_TOPIC).withColumns(sides | {"amount": amount})
     return rows.select(ids.movement_id("chain_id", "tx_hash", "from_addr", "to_addr", "amount", "log_index").alias("movement_id"), "chain_id", "block_number", "tx_hash", F.col("contract_address").alias("token_address"), "from_addr", "to_addr", "amount", F.array("raw_log_id").alias("evidence_ids"), F.lit("log").alias("source_priority"), F.lit(True).alias("is_canonical"), F.array(F.col("log_index").cast("int")).alias("position"))
 
 

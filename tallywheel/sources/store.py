@@ -1,19 +1,19 @@
 """Tables on disk: partitioned writes, merge by key, manifests, run metadata and checkpoints.
 
-Small bookkeeping files are JSON on a path that the driver can reach; tables go through Spark's writers
-to any file system that Spark knows.
+All of it goes to any file system that Spark knows. Small bookkeeping files are JSON and replaced in one
+step; they are written and read by the driver alone.
 """
 
 from __future__ import annotations
 
 import json
-import os
+import operator
 import time
 import uuid
 from dataclasses import asdict, dataclass, field
-from pathlib import Path
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LAYOUT = ("chain_id", "block_date", "run_partition_id")
@@ -43,49 +43,143 @@ def append(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), cluster
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
-def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those with the same keys; nothing is deleted."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+def latest(rows: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """One row for each key: the last in the order of ``by`` (columns, the greatest last; all others decide ties)."""
+    others = [c for c, kind in rows.dtypes if c not in keys and not kind.startswith("map")]
+    order = [F.col(c).desc_nulls_last() for c in dict.fromkeys([*(by or []), *others])]
+    if not order:
+        return rows.dropDuplicates(keys)
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_last", last).where("_last = 1").drop("_last")
+
+
+def merged(old: DataFrame, new: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """``old`` with the rows of ``new`` in place of those with the same keys; nothing is deleted.
+
+    Of rows of ``new`` that share a key the last by ``by`` counts, as ``latest`` has it. A null is equal to a null.
+    """
+    rows = latest(new, keys, by)
+    told = rows.select(*[F.col(c).alias(f"_new_{c}") for c in keys])
+    same = reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_new_{c}")) for c in keys])
+    return old.join(told, same, "left_anti").unionByName(rows, allowMissingColumns=True)
+
+
+class Files:
+    """The few steps on small files and folders that Spark has no writer for, on Hadoop's file systems."""
+
+    def __init__(self, spark: SparkSession | None = None):
+        context = (spark or SparkSession.builder.getOrCreate()).sparkContext
+        self.gateway, self.conf = context._gateway, context._jsc.hadoopConfiguration()
+        self.fs = context._jvm.org.apache.hadoop.fs
+
+    def _at(self, path: str):
+        at = self.fs.Path(path)
+        system = at.getFileSystem(self.conf)
+        return system.makeQualified(at), system
+
+    def text(self, path: str) -> str | None:
+        at, system = self._at(path)
+        if not system.exists(at):
+            return None
+        stream = system.open(at)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def put(self, path: str, text: str) -> None:
+        """Replace a file in one step: a reader finds the old text or the new one."""
+        at, system = self._at(path)
+        new = self.fs.Path(at.getParent(), f".{at.getName()}.{uuid.uuid4().hex}")
+        stream = system.create(new)  # makes the folder, too
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        kinds = getattr(self.fs, "Options$Rename")
+        flags = self.gateway.new_array(kinds, 1)
+        flags[0] = kinds.OVERWRITE
+        self.fs.FileContext.getFileContext(at.toUri(), self.conf).rename(new, at, flags)
+
+    def names(self, path: str) -> list[str]:
+        at, system = self._at(path)
+        return sorted(x.getPath().getName() for x in system.listStatus(at)) if system.exists(at) else []
+
+    def delete(self, path: str) -> None:
+        at, system = self._at(path)
+        system.delete(at, True)
 
 
 class Table:
-    """A Parquet table whose versions are folders; a pointer file, replaced in one step, names the current one."""
+    """A Parquet table whose rows lie in folders of versions; a pointer file, replaced in one step, names the current ones.
+
+    With ``by_block``, a column that a row's key decides, each range of ``span`` of its numbers has a folder of
+    its own, and a merge reads and writes only the ranges that the new rows touch.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str]):
-        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], by_block: str | None = None, span: int = 10_000):
+        self.spark, self.path, self.keys, self.by_block, self.span = spark, path.rstrip("/"), keys, by_block, span
+        self.files = Files(spark)
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _pointer(self) -> str:
+        return f"{self.path}/_current.json"
 
-    def version(self) -> str | None:
-        jvm, fs = self._fs()
-        names = [s.getPath().getName() for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current-*")) or []]
-        return max(names).split("-", 2)[2] if names else None
+    def folders(self) -> dict[str, str]:
+        """The current folder of each range."""
+        text = self.files.text(self._pointer())
+        return json.loads(text) if text else {}
 
-    def read(self) -> DataFrame | None:
-        v = self.version()
-        return self.spark.read.parquet(f"{self.path}/{v}") if v else None
+    def _load(self, folders: list[str]) -> DataFrame | None:
+        return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.path}/{f}" for f in folders]) if folders else None
 
-    def merge(self, new: DataFrame) -> DataFrame:
-        """Merge by key and switch to the result; a failed run leaves the current version as it was."""
-        old = self.read()
-        jvm, fs = self._fs()
-        v = uuid.uuid4().hex
-        (merged(old, new, self.keys) if old is not None else new).write.parquet(f"{self.path}/{v}")
-        gone = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current-*")) or []
-        fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current-{time.time_ns():020d}-{v}")).close()
-        for s in gone:
-            fs.delete(s.getPath(), False)
-        return self.spark.read.parquet(f"{self.path}/{v}")
+    def read(self) -> DataFrame | None:
+        return self._load(sorted(self.folders().values()))
 
+    def _range(self):
+        return F.coalesce(F.floor(F.col(self.by_block) / self.span), F.lit(-1)) if self.by_block else F.lit(0)
 
-def _put(path: Path, value) -> None:
-    path.parent.mkdir(parents=True, exist_ok=True)
-    tmp = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
-    tmp.write_text(json.dumps(value, sort_keys=True, indent=1))
-    os.replace(tmp, path)
+    def _write(self, rows: DataFrame, known: dict[str, str], ranges: list[str]) -> DataFrame | None:
+        v = uuid.uuid4().hex
+        rows.withColumn("range_of", self._range().cast("string")).repartition("range_of").write.partitionBy("range_of").parquet(f"{self.path}/{v}")
+        new = known | {r: f"{v}/range_of={r}" for r in ranges}
+        self.files.put(self._pointer(), json.dumps(new))
+        return self._load(sorted(new.values()))
+
+    def _ranges(self, rows: DataFrame) -> list[str]:
+        return [r[0] for r in rows.select(self._range().cast("string")).distinct().collect()]  # one row for each range that is touched
+
+    def merge(self, new: DataFrame, by: list[str] | None = None) -> DataFrame | None:
+        """Merge by key and switch to the result; a failed run leaves the current version as it was.
+
+        Of new rows that share a key the last by the columns ``by`` counts.
+        """
+        known, touched = self.folders(), self._ranges(new)
+        old = self._load([known[r] for r in touched if r in known])
+        rows = merged(old, new, self.keys, by) if old is not None else latest(new, self.keys, by)
+        return self._write(rows, known, touched) if touched else self.read()
+
+    def replace(self, rows: DataFrame) -> DataFrame | None:
+        """Switch to ``rows`` alone."""
+        ranges = self._ranges(rows)
+        if not ranges:
+            self.files.put(self._pointer(), "{}")
+            return None
+        return self._write(rows, {}, ranges)
+
+    def vacuum(self, keep: tuple[str, ...] = ()) -> None:
+        """Delete the folders that neither the pointer nor ``keep`` (folders that a reader still uses) names."""
+        used = {*self.folders().values(), *keep}
+        for v in self.files.names(self.path):
+            if v.startswith(("_", ".")):
+                continue
+            own = [f"{v}/{r}" for r in self.files.names(f"{self.path}/{v}") if r.startswith("range_of=")]
+            gone = [f for f in own if f not in used]
+            for f in [v] if gone == own else gone:
+                self.files.delete(f"{self.path}/{f}")
+
+
+def _put(path: str, value) -> None:
+    Files().put(path, json.dumps(value, sort_keys=True, indent=1))
 
 
 @dataclass
@@ -103,13 +197,13 @@ class Manifest:
         self.total_rows = sum(self.row_counts.values())
 
     def save(self, folder: str) -> str:
-        path = Path(folder) / f"{self.manifest_id}.json"
+        path = f"{folder.rstrip('/')}/{self.manifest_id}.json"
         _put(path, asdict(self))
-        return str(path)
+        return path
 
     @classmethod
     def load(cls, path: str) -> Manifest:
-        found = json.loads(Path(path).read_text())
+        found = json.loads(Files().text(path))
         found.pop("total_rows")
         return cls(**found)
 
@@ -118,28 +212,30 @@ class Runs:
     """Metadata of runs; a later record of a run replaces the earlier one."""
 
     def __init__(self, folder: str):
-        self.folder = Path(folder)
+        self.folder = folder.rstrip("/")
 
     def record(self, run_id: str, dag_id: str, chain_id: int, status: str, partitions: int = 0, manifest_ids: list[str] | None = None, started_at: int = 0, completed_at: int | None = None) -> dict:
         if status not in ("running", "success", "failed"):
             raise ValueError(status)
         row = {"run_id": run_id, "dag_id": dag_id, "chain_id": chain_id, "status": status, "partitions": partitions, "manifest_ids": manifest_ids or [], "started_at": started_at, "completed_at": completed_at}
-        _put(self.folder / f"{run_id}.json", row)
+        _put(f"{self.folder}/{run_id}.json", row)
         return row
 
     def get(self, run_id: str) -> dict:
-        return json.loads((self.folder / f"{run_id}.json").read_text())
+        text = Files().text(f"{self.folder}/{run_id}.json")
+        if text is None:
+            raise FileNotFoundError(run_id)
+        return json.loads(text)
 
     def record_source(self, run_id: str, source: str, chain_id: int, partition_key: str, paths: list[str], rows: int, watermark_block: int) -> None:
         """Once for each run, source and partition; a repeat replaces."""
-        path = self.folder / f"{run_id}.sources.json"
-        known = json.loads(path.read_text()) if path.exists() else {}
+        path = f"{self.folder}/{run_id}.sources.json"
+        known = json.loads(Files().text(path) or "{}")
         known[f"{source}|{partition_key}"] = {"source_name": source, "chain_id": chain_id, "partition_key": partition_key, "paths": paths, "rows": rows, "watermark_block": watermark_block}
         _put(path, known)
 
     def lineage(self, run_id: str) -> dict:
-        path = self.folder / f"{run_id}.sources.json"
-        sources = list(json.loads(path.read_text()).values()) if path.exists() else []
+        sources = list(json.loads(Files().text(f"{self.folder}/{run_id}.sources.json") or "{}").values())
         return {"run_id": run_id, "sources": sources, "total_rows": sum(s["rows"] for s in sources)}
 
 
@@ -147,8 +243,8 @@ class Checkpoint:
     """Last processed block of each chain and source, and block ranges to replay."""
 
     def __init__(self, path: str):
-        self.path = Path(path)
-        self.state = json.loads(self.path.read_text()) if self.path.exists() else {}
+        self.path = path
+        self.state = json.loads(Files().text(path) or "{}")
 
     def _at(self, chain_id: int, source: str) -> dict:
         return self.state.setdefault(f"{chain_id}|{source}", {"block": 0, "hash": None, "replays": []})

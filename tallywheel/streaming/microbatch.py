@@ -33,7 +33,10 @@ def finality_sink(final: Table, shadow: Table, transform: Callable[[DataFrame],
             ready = everything.where(F.col("block_number") <= mark)
             if ready.take(1):
                 final.merge(ready)
-            shadow.merge(rows)
+            before = tuple(shadow.folders().values())
+            shadow.replace(everything.where(F.col("block_number") > mark))
+            final.vacuum()
+            shadow.vacuum(keep=before)
             checkpoint.advance(chain_id, source, mark, "")
         finally:
             rows.unpersist()

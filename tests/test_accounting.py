@@ -1,6 +1,9 @@
 """From logs and traces to ledger and marts, on rows of a real staking transaction and on small made-up ones."""
 
+import itertools
 import json
+import random
+from collections import Counter
 from decimal import Decimal
 
 import pytest
@@ -123,6 +126,101 @@ def test_first_batch_is_the_first_by_size_and_order():
     assert matching.first_batch([1] * 7, 6) == [0, 1, 2, 3, 4, 5] and matching.first_batch([1] * 7, 7) is None and matching.first_batch([1, -1], 0) is None
 
 
+def test_first_batch_against_all_combinations():
+    rnd = random.Random(2)
+    for _ in range(300):
+        amounts = [rnd.randint(1, 30) for _ in range(rnd.randint(0, 9))]
+        target = rnd.randint(1, 90)
+        every = (list(c) for size in range(2, 7) for c in itertools.combinations(range(len(amounts)), size) if sum(amounts[i] for i in c) == target)
+        assert matching.first_batch(amounts, target) == next(every, None)
+    many = [2 * rnd.randint(10**6, 10**9) for _ in range(60)]
+    assert matching.first_batch(many, 10**9 + 1) is None  # all amounts are even
+    assert sum(many[i] for i in matching.first_batch(many, sum(many[7:13]))) == sum(many[7:13])
+
+
+def test_reasons_and_methods_of_edges(spark):
+    a = spark.createDataFrame([("a", "stake", 1, 1, "T", Decimal(9)), ("b", "reward_accrued", 1, 1, None, None), ("c", "stake", 1, 1, "t", None), ("d", None, 1, 1, "t", Decimal(4)), ("e", "stake", 1, 1, None, Decimal(1)), ("f", "slashed", 1, 1, "t", Decimal(100))], ACTION)
+    m = spark.createDataFrame([move("m1", "log", 4), move("m2", "trace", 5)], MOVE)
+    got = {(r["action_id"], r["movement_id"]): (r["status"], r["method"], r["reason"]) for r in matching.match_actions(a, m).collect()}
+    assert got == {
+        ("a", "m1"): ("partial", "event_log", "batched movement 1/2"),
+        ("a", "m2"): ("partial", "trace", "batched movement 2/2"),
+        ("b", None): ("not_expected", None, "reward_accrued has no expected token movement"),
+        ("c", None): ("unmatched", None, "no movements in tx for this action"),
+        ("d", "m1"): ("exact", "event_log", "exact amount match"),
+        ("e", None): ("unmatched", None, "no movements in tx for this action"),
+        ("f", None): ("unmatched", None, "no subset of 2 movements sums to 100"),
+    }
+
+
+def test_transfer_parameters(spark):
+    rows = [("a", {"_from": A, "to": B}, {"_value": "5", "from": C}), ("b", {"from": A}, {"to": B}), ("c", {"from": A, "value": "1"}, {"value": "2"}), ("d", {}, None)]
+    e = spark.createDataFrame([(f"d{i}", i, 1, 1, "t", 0, C, "Transfer", TRANSFER_TOPIC.upper().replace("X", "x"), x, y) for i, x, y in rows], EVENT)
+    got = {r["evidence_ids"][0]: (r["from_addr"], r["to_addr"], int(r["amount"])) for r in movements.from_logs(e).collect()}
+    assert got == {"a": (A, B, 5), "b": (A, "", 0), "c": (A, "", 2), "d": ("", "", 0)}
+
+
+def test_gaps_over_stretches(spark):
+    from tallywheel.operators import blocks
+
+    rows = [(1, n) for n in [*range(0, 25), *range(31, 60), 95, 200]] + [(2, 5)]
+    b = spark.createDataFrame(rows, "chain_id int, block_number long")
+    for span in (7, 10, 1000):
+        got = {(r["block_number"], r["next_block"], r["missing"]) for r in blocks.block_gaps(b, span).collect()}
+        assert got == {(24, 31, 6), (59, 95, 35), (95, 200, 104)}
+
+
+def test_unbalanced_transactions_are_named(spark):
+    e = spark.createDataFrame([(f"t{i:02}", "debit", Decimal(1)) for i in range(40)], "tx_hash string, direction string, amount_link decimal(38,0)")
+    r = quality.ledger_balanced(e).first()
+    assert not r["passed"] and r["metric_value"] == 40 and r["detail"] == "40 unbalanced: " + ", ".join(f"t{i:02}" for i in range(10))
+    assert quality.ledger_balanced(e.limit(0)).first()["passed"]
+
+
+def test_sql_ids_agree_with_the_columns(spark):
+    from tallywheel.functions import ids, sql
+
+    sql.register(spark)
+    rows = spark.createDataFrame([(1, 5, "0xAB", 2), (None, 5, None, 2), (1, None, "x", None), (None, None, None, None)], "c int, b long, t string, i int")
+    for name in ("raw_log_id", "decoded_event_id"):
+        a = [r[0] for r in spark.sql(f"SELECT {name}(c, b, t, i) FROM {{rows}}", rows=rows).collect()]
+        assert a == [r[0] for r in rows.select(getattr(ids, name)("c", "b", "t", "i")).collect()]
+
+
+def test_merge_of_repeated_and_null_keys(spark):
+    old = spark.createDataFrame([(1, "a", 0), (None, "n", 0), (3, "c", 0)], "k int, v string, at int")
+    new = spark.createDataFrame([(1, "x", 1), (1, "y", 3), (1, "z", 2), (None, "m", 1), (4, "d", 1), (4, "d", 1)], "k int, v string, at int")
+    got = Counter(tuple(r) for r in store.merged(old, new, ["k"], by=["at"]).collect())
+    assert got == Counter([(1, "y", 3), (None, "m", 1), (3, "c", 0), (4, "d", 1)])
+
+
+def test_table_by_ranges_of_blocks(spark, tmp_path):
+    t = store.Table(spark, str(tmp_path / "t"), ["block_number", "i"], by_block="block_number", span=10)
+    rows = lambda *x: spark.createDataFrame(x, "block_number long, i int, v string")
+    t.merge(rows((1, 0, "a"), (11, 0, "b"), (12, 0, "c")))
+    before = t.folders()
+    got = t.merge(rows((12, 0, "C"), (25, 1, "d"), (None, 1, "e")))
+    assert sorted((r["block_number"] or 0, r["v"]) for r in got.collect()) == [(0, "e"), (1, "a"), (11, "b"), (12, "C"), (25, "d")]
+    after = t.folders()
+    assert after["0"] == before["0"] and after["1"] != before["1"] and set(after) == {"0", "1", "2", "-1"}
+    t.vacuum()
+    assert t.read().count() == 5 and not (tmp_path / "t" / before["1"]).exists()
+    t.replace(rows((99, 0, "z")))
+    assert t.read().count() == 1
+    t.replace(rows((1, 0, "a")).limit(0))
+    assert t.read() is None
+
+
+def test_replay_of_reorgs(spark, tmp_path):
+    from tallywheel.streaming.microbatch import replay_reorgs
+
+    known = spark.createDataFrame([(1, n, f"h{n}") for n in range(10)], "chain_id int, block_number long, block_hash string")
+    seen = known.withColumn("block_hash", F.when(F.col("block_number").isin(4, 7), "other").otherwise(F.col("block_hash")))
+    check = store.Checkpoint(str(tmp_path / "cp.json"))
+    assert replay_reorgs(known, seen, check, 1, "logs") == 2 and check.pending_replays(1, "logs") == [(4, 7)]
+    assert replay_reorgs(known, known, check, 1, "blocks") == 0 and check.pending_replays(1, "blocks") == []
+
+
 def test_partition(spark):
     a = spark.createDataFrame([("a", "stake", 1, 1, "t1", Decimal(5)), ("b", "stake", 1, 1, "t2", Decimal(5))], ACTION)
     m = spark.createDataFrame([move("x", "log", 5, "t1"), move("y", "log", 1, "t3")], MOVE)
@@ -247,6 +345,8 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, n, "y") for n in range(100, 120)], schema).write.mode("append").parquet(str(src))
     start(spark.readStream.schema(schema).parquet(str(src)), sink, str(tmp_path / "offsets")).awaitTermination()
     assert final.read().count() == 110 and check.last_block(1, "logs") == 109
+    assert sorted(r["block_number"] for r in shadow.read().collect()) == list(range(110, 120))
+    assert len([f for f in (tmp_path / "final").iterdir() if f.is_dir()]) == 1
 
 
 def test_schemas(spark):
