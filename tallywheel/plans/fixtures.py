@@ -10,8 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywheel.functions import ids
+from tallywheel.functions.fixed import REASONS
 from tallywheel.operators.actions import lookup
 
+def _said(name: str, *values: str) -> str:
+    """A reason as the inside of an SQL string, with values in its places."""
+    return REASONS[name].format(*[f"' || ({v}) || '" for v in values])
+
+
 KINDS = {"purchase": "stake", "signup": "unstake_finalized", "click": "reward_claimed", "view": "reward_accrued", "error": "slashed"}
 EVENT_NAMES = {"purchase": "Staked", "signup": "Unstaked", "click": "RewardClaimed", "view": "RewardAdded", "error": "Slashed"}
 
@@ -109,7 +115,7 @@ def small_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(ids.action_id(ids.decoded_event_id(*keys), "kind").alias("action_id"), "kind", "chain_id", "block_number", "tx_hash", "amount_link")
 
 
-SMALL_ACTIONS = """
+SMALL_ACTIONS = f"""
     small AS (SELECT action_id, kind, block_number, tx_hash, ((cents % 13) + 13) % 13 + 1 AS amount_link FROM actions),
     ranked AS (
         SELECT s.*, m.movement_id, m.amount, m.source_priority, m.from_addr,
@@ -122,9 +128,12 @@ SMALL_ACTIONS = """
         SELECT c.action_id, c.amount_link, k.r, c.size + 1, c.total + k.amount, list_append(c.path, k.r)
         FROM combos c JOIN ranked k ON k.action_id = c.action_id AND k.r > c.last WHERE c.size < 6),
     best AS (SELECT action_id, first(path ORDER BY size, path) AS path FROM combos WHERE size >= 2 AND total = amount_link GROUP BY action_id),
+    picks AS (
+        SELECT action_id, NULL AS r, 'not_expected' AS status, 0 AS idx, '{_said("idle", "kind")}' AS reason FROM small WHERE kind = 'reward_accrued'
+        UNION ALL SELECT action_id, r, 'exact', 0, '{REASONS["exact"]}' FROM ranked WHERE equals = 1 AND amount = amount_link
+        UNION ALL SELECT action_id, min(r), 'ambiguous', 0, '{_said("ambiguous", "any_value(equals)")}' FROM ranked WHERE equals > 1 AND amount = amount_link GROUP BY action_id
+        UNION ALL SELECT action_id, unnest(path), 'partial', unnest(range(len(path))), '{_said("partial", "unnest(range(len(path))) + 1", "len(path)")}' FROM best
+        UNION ALL SELECT action_id, NULL, 'unmatched', 0, '{_said("no_sum", "any_value(n)", "any_value(amount_link)")}' FROM ranked WHERE equals = 0 AND action_id NOT IN (SELECT action_id FROM best) GROUP BY action_id),
     edges AS (
-        SELECT action_id, CAST(NULL AS VARCHAR) AS movement_id, 0 AS allocated, 'not_expected' AS status, 0 AS idx, tx_hash, block_number FROM small WHERE kind = 'reward_accrued'
-        UNION ALL SELECT action_id, movement_id, amount, 'exact', 0, tx_hash, block_number FROM ranked WHERE equals = 1 AND amount = amount_link
-        UNION ALL SELECT action_id, first(movement_id ORDER BY r), first(amount ORDER BY r), 'ambiguous', 0, any_value(tx_hash), any_value(block_number) FROM ranked WHERE equals > 1 AND amount = amount_link GROUP BY action_id
-        UNION ALL SELECT k.action_id, k.movement_id, k.amount, 'partial', list_position(b.path, k.r) - 1, k.tx_hash, k.block_number FROM ranked k JOIN best b ON b.action_id = k.action_id WHERE list_contains(b.path, k.r)
-        UNION ALL SELECT action_id, NULL, 0, 'unmatched', 0, any_value(tx_hash), any_value(block_number) FROM ranked WHERE equals = 0 AND action_id NOT IN (SELECT action_id FROM best) GROUP BY action_id)"""
+        SELECT p.action_id, k.movement_id, coalesce(k.amount, 0) AS allocated, p.status, p.idx, s.tx_hash, s.block_number, k.source_priority AS source, p.reason
+        FROM picks p JOIN small s ON s.action_id = p.action_id LEFT JOIN ranked k ON k.action_id = p.action_id AND k.r = p.r)"""
