@@ -376,23 +376,69 @@ def labelled(n, bad):
 def test_every_paragraph_has_the_models_verdict(spark):
     model, rng = licenses.train(), np.random.default_rng(4)
     lines = ["Released under the MIT.", "Text: CC BY 4.0", "under CC BY-NC 4.0", "under cc by 4.0", "Released under the BSD.", "", "..."]
-    for t in [*[t for own in licenses.TEMPLATES.values() for t in own], *licenses.OTHER]:
+    for t in [*[t for own in licenses.NOTICES.values() for t in own], *licenses.OTHER_NOTICES, *licenses.OTHER]:
         words = t.split()
         cuts = [sorted(rng.integers(0, len(words) + 1, 2)) for _ in range(12)]
         lines += [" ".join(words[a:b]) for a, b in cuts] + [" ".join(rng.permutation(words))]
+    lines += [f.replace("{the}", "the").replace("{}", n) for f in licenses.FRAMES for n in [x for own in licenses.NAMES.values() for x in own[:2]]]
     lines += [" / ".join(rng.choice(model.vocabulary, int(rng.integers(1, 9)))) for _ in range(400)]
-    place = {g: i for i, g in enumerate(model.vocabulary)}
-    want = []
-    for x in lines:
-        own = [place[g] for g in set(licenses.grams(licenses.words_of(x))) if g in place]
-        p = licenses._softmax((model.weights[own].sum(axis=0) + model.biases)[None])[0]
-        want.append(licenses.FAMILIES[int(p[1:].argmax())] if p[1:].max() >= model.cut else None)
-    assert {*want} == {None, *licenses.FAMILIES} and want[0] == "mit" and want[3] == "cc-by"
+    want = [verdict(model, x)[0] for x in lines]
+    assert {*want} == {None, licenses.UNKNOWN, *licenses.FAMILIES} and want[0] == "mit" and want[3] == "cc-by"
     d = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
     got = {r["doc_id"]: r["findings"] for r in licenses.license_scan(d).collect()}
     assert [got[i][0]["family"] if got[i] else None for i in range(len(lines))] == want
 
 
+def verdict(model, paragraph):
+    """The model's verdict on a paragraph and its score, in numpy."""
+    place = {g: i for i, g in enumerate(model.vocabulary)}
+    own = [place[g] for g in set(licenses.grams(licenses.words_of(paragraph))) if g in place]
+    p = licenses._softmax((model.weights[own].sum(axis=0) + model.biases)[None])[0]
+    k = int(p[1:-1].argmax())
+    if p[1 + k] >= model.cut:
+        return licenses.FAMILIES[k], float(p[1 + k])
+    return (licenses.UNKNOWN, float(1 - p[0])) if 1 - p[0] >= model.cut else (None, 0.0)
+
+
+def test_licences_in_other_words(spark):
+    """Wordings, names and notices that the fit hasn't seen; licences of no family are unknown, and prose is nothing."""
+    grant = licenses.NOTICES["mit"][0].split()
+    wrapped = [""]
+    for w in grant:
+        wrapped = [*wrapped, w] if len(wrapped[-1]) + len(w) > 75 else [*wrapped[:-1], f"{wrapped[-1]} {w}".strip()]
+    cases = [
+        ("Distributed under the terms of Apache 2.0", "apache-2.0"), ("Released under GPLv3.", "gpl"), ("Code under the MPL 2.0", "mpl-2.0"), ("SPDX-License-Identifier: ISC", "unknown"),
+        ("SPDX-License-Identifier: AGPL-3.0", "unknown"), ("Distributed under the Boost Software License, Version 1.0.", "unknown"), ("CC BY-SA 4.0", "unknown"), ("\n".join(f"// {x}" for x in wrapped), "mit"),
+        ("Released under the MIT License.", "mit"), ("Licensed under the Apache License, Version 2.0.", "apache-2.0"), ("This work is licensed under the GNU General Public License, version 3.", "gpl"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+        ("(c) 2020 Some Body. BSD licensed.", "bsd"), ("This repository is licensed under the BSD 2-clause license", "bsd"), ("This library is under LGPL v3", "lgpl"), ("Licensed under the European Union Public Licence", "unknown"),
+        ("The license of the driver was revoked under the law.", None), ("He studied at MIT and works under a license from the state.", None), ("Er fuhr mit der Bahn unter dem Berg hindurch, die Lizenz lag daheim.", None),
+        ("The general public may copy the apache costume, version two, for free.", None), ("", None), ("under the", None),
+    ]
+    filler = prose(40)
+    docs = [(i, f"{filler}\n\n{x}\n\n{filler}" if i % 2 else x, f) for i, (x, f) in enumerate(cases)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, want string")
+    model = licenses.train()
+    for r in licenses.license_scan(d).collect():
+        found = [f["family"] for f in r["findings"]]
+        assert found == ([r["want"]] if r["want"] else []), (r["text"], found)
+        assert r["licenses"] == [f for f in found if f != "unknown"]
+        for f in r["findings"]:
+            family, score = verdict(model, f["paragraph"])
+            assert family == f["family"] and abs(score - f["score"]) < 1e-4
+    rng = np.random.default_rng(99)
+    lists, labels = licenses._pieces(rng)  # other draws than those of the fit
+    right = [(licenses._CLASSES[y - 1] if y else None, verdict(model, " ".join(x))[0]) for x, y in list(zip(lists, labels, strict=True))[::5]]
+    named = [(y, v) for y, v in right if v]
+    assert sum(y is not None for y, _ in named) >= 0.97 * len(named) and sum(v is not None for y, v in right if y) >= 0.93 * sum(y is not None for y, _ in right)
+
+
+def test_paragraphs(spark):
+    long = "x" * 130
+    cases = {"a\nb\n\nc": ["a b", "c"], f"a\n{long}\nb": ["a", long, "b"], "a\n \t\nb\r\nc": ["a", "b\r c"], "": [""], "a": ["a"], f"{'y' * 120}\n{'z' * 120}": [f"{'y' * 120} {'z' * 120}"]}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", licenses.paragraphs(F.col("t")).alias("p")).collect()
+    assert {r["t"]: r["p"] for r in got} == cases
+
+
 def test_toxicity(spark):
     def bad(w):
         w[RNG.randrange(len(w))] = RNG.choice(["nastyword", "nastyful", "vileword"])
