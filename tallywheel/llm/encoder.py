@@ -16,7 +16,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ _CUT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 _FIRST = "\x01"  # stands before the first word of a text, which has no blank of its own
 #: One run of letters, then marks: the pattern makes at most a line feed, the letters and the marks of it.
 _PLAIN = r"^(?P<lead>[\x01\n]?)(?P<letters>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
-_PORTION = 1 << 22
+_PORTION, _BLOCK = 1 << 22, 1 << 15
 
 
 def default_tokenizer() -> str:
@@ -63,7 +63,7 @@ class TextEncoder:
     empty and give no ids.
     """
 
-    def __init__(self, path: str, max_words: int = 800_000, passing: int = 100_000):
+    def __init__(self, path: str, max_words: int = 800_000, passing: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -85,7 +85,12 @@ class TextEncoder:
     def _stems(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of stems (letters, perhaps after a blank), by the library's model, and their offsets."""
         ids, ends = [], [0]
-        for x in stems:
+        known = map(self.kept.get, [x[1:] if x[0] == " " else _FIRST + x for x in stems])
+        for x, number in zip(stems, known, strict=True):
+            if number is not None:
+                ids += self.flat[self.bounds[number] : self.bounds[number + 1]].tolist()
+                ends.append(len(ids))
+                continue
             mapped = x.replace(" ", _LETTERS[32]) if x.isascii() else x.encode().decode("latin1").translate(_LETTERS)
             ids += [t.id for t in self.model.tokenize(mapped)]
             ends.append(len(ids))
@@ -138,16 +143,14 @@ class TextEncoder:
 
     def _numbers(self, words: pa.Array) -> np.ndarray:
         names = words.to_numpy(zero_copy_only=False).tolist()
-        found = list(map(self.kept.get, names))
-        if None not in found:
-            return np.array(found, np.int64)
-        if len(self.later) > self.passing:
-            self.later.clear()
-            self.n = len(self.kept) + 1
-        if self.later:
-            found = [self.later.get(w) if k is None else k for w, k in zip(names, found, strict=True)]
-        out = np.array([-1 if k is None else k for k in found], np.int64)
+        out = np.fromiter(map(self.kept.get, names, repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(out < 0)
+        if len(new) and self.later:
+            if len(self.later) > self.passing:
+                self.later.clear()
+                self.n = len(self.kept) + 1
+            out[new] = np.fromiter((self.later.get(names[k], -1) for k in new.tolist()), np.int64, len(new))
+            new = new[out[new] < 0]
         if len(new):
             out[new] = self._learn(words.take(pa.array(new)))
         return out
@@ -172,12 +175,18 @@ class TextEncoder:
         coded = split.flatten().dictionary_encode()
         words = self._numbers(coded.dictionary)[_indices(coded)]
         bounds -= bounds[0]
-        begins = self.bounds[words]
-        sizes = self.bounds[words + 1] - begins
-        offsets = np.concatenate(([0], np.cumsum(sizes)))[bounds]
-        ids = self.flat[_ranges(begins, sizes)]
+        begins, parts, ends, total = self.bounds, [], np.zeros(len(words) + 1, np.int64), 0
+        for at in range(0, len(words), _BLOCK):  # blocks stay in the processor's cache
+            own = words[at : at + _BLOCK]
+            first = begins[own]
+            sizes = begins[own + 1] - first
+            parts.append(self.flat[_ranges(first, sizes)])
+            ends[at + 1 : at + 1 + len(own)] = total + np.cumsum(sizes)
+            total += len(parts[-1])
+        ids, offsets = np.concatenate(parts) if parts else np.empty(0, np.uint32), ends[bounds]
         odd = np.diff(np.concatenate(([0], np.cumsum(words == 0)))[bounds]) > 0
-        for mark in (_FIRST, *self.added):
+        held = _bytes_of(texts)
+        for mark in (m for m in (_FIRST, *self.added) if m.encode() in held):
             odd |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
         if not odd.any():
             return ids, offsets
@@ -206,6 +215,13 @@ class TextEncoder:
             at = stop
 
 
+def _bytes_of(texts: pa.Array) -> bytes:
+    """The bytes of all texts, one after the other."""
+    wide = pa.types.is_large_string(texts.type)
+    ends = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset :][[0, len(texts)]]
+    return texts.buffers()[2].slice(int(ends[0]), int(ends[1] - ends[0])).to_pybytes() if ends[1] > ends[0] else b""
+
+
 def _indices(coded: pa.DictionaryArray) -> np.ndarray:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -213,7 +229,9 @@ def _indices(coded: pa.DictionaryArray) -> np.ndarray:
 def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers begins[i], begins[i] + 1 and so on, sizes[i] of them, for one i after the other."""
     ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - ends + sizes, sizes)
+    out = np.repeat(begins - ends + sizes, sizes)
+    out += np.arange(len(out))
+    return out
 
 
 def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
