@@ -12,6 +12,11 @@ Occurrences with the same anchor and the same windows are folded before the shuf
 in a portion of a task's rows are repeats whatever other tasks hold. A passage in a third of all
 documents thus sends one row for each portion. Windows are told apart by 64 bits of the anchor, the
 place in it and 48 bits more.
+
+A short passage that many documents hold in other surroundings would still bring all of them to one
+anchor. So a first pass counts occurrences by 16 bits of the anchor. Under those that have many times
+their share each window is sent by itself, dealt by its own hash; of equal ones a task sends the first and
+those that come before what it has sent.
 """
 
 from __future__ import annotations
@@ -32,6 +37,10 @@ _SEED_DDL = "anchor long, id long, text_key int, start int, place int, windows b
 _MARK = pa.schema([("id", pa.int64()), ("text_key", pa.int32()), ("ranges", pa.binary())])
 _MARK_DDL = "id long, text_key int, ranges binary"
 _BYTES = 6
+_GROUPS = 1 << 16
+#: A group of anchors is hot with so many times the mean of all groups, and so many occurrences at least.
+HOT_TIMES, HOT_LEAST = 8, 1000
+_SENT = 200_000  # windows under hot anchors that a task remembers
 
 
 def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -72,15 +81,57 @@ def _runs(texts: list[str | None], least: int):
     return best[at[first]], t, (at[first] - offsets[t]).astype(np.int32), place[first], counts, whole[at]
 
 
-def _seeds(least: int):
+def _counted(least: int):
+    """Occurrences of anchors by group, one batch at the end of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_GROUPS, np.int64)
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            for part in portions(texts, 2 << 20):
+                if (found := _runs(texts[part], least)) is not None:
+                    total += np.bincount((found[0] % np.uint64(_GROUPS)).astype(np.int64), minlength=_GROUPS)
+        group = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int32)), pa.array(total[group])], names=["group", "n"])
+
+    return run
+
+
+def hot_groups(texts: DataFrame, least: int) -> np.ndarray:
+    """For each group of anchors whether it is hot; at most one in ``HOT_TIMES`` is."""
+    rows = texts.mapInArrow(_counted(least), "group int, n long").groupBy("group").agg(F.sum("n").alias("n")).collect()  # 65536 rows at most
+    total = np.zeros(_GROUPS, np.int64)
+    total[[r["group"] for r in rows]] = [r["n"] for r in rows]
+    return total > max(HOT_LEAST, HOT_TIMES * total.sum() / _GROUPS)
+
+
+def _apart(found, hot: np.ndarray):
+    """``found`` (as of ``_runs``) with runs under hot anchors divided into single windows, dealt by their own hash; and which these are."""
+    anchor, t, start, place, counts, windows = found
+    warm = hot[(anchor % np.uint64(_GROUPS)).astype(np.int64)]
+    if not warm.any():
+        return (*found, warm)
+    run = np.repeat(np.arange(len(anchor)), counts)
+    k = (np.arange(len(windows)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+    keep = warm[run] | (k == 0)  # a row for each window under a hot anchor, and one for each other run
+    row, own = run[keep], k[keep]
+    single = warm[row]
+    at = place[row] - own
+    with np.errstate(over="ignore"):
+        spread = mixed(mixed(windows[keep] + anchor[row] * np.uint64(0x9E3779B97F4A7C15)) + at.astype(np.uint64))
+    return np.where(single, spread, anchor[row]), t[row], start[row] + own, at.astype(np.int32), np.where(single, 1, counts[row]), windows, single
+
+
+def _seeds(least: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[int, tuple[int, int]] = {}
         for b in batches:
             all_ids, all_keys = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             texts = b.column(2).to_pylist()
             for part in portions(texts, 2 << 20):
                 if (found := _runs(texts[part], least)) is None:
                     continue
-                anchor, t, start, place, counts, windows = found
+                anchor, t, start, place, counts, windows, single = _apart(found, hot)
                 ids, keys = all_ids[part][t], all_keys[part][t]
                 begins = np.concatenate(([0], np.cumsum(counts)[:-1]))
                 with np.errstate(over="ignore"):
@@ -91,6 +142,16 @@ def _seeds(least: int):
                 lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
                 later = order[same & ((ids[order] != ids[lead]) | (start[order] != start[lead]))]
                 send = order[~same]
+                if single.any():
+                    past = np.zeros(len(anchor), bool)
+                    for i in send[single[send]].tolist():
+                        key, here = int(anchor[i]), (int(ids[i]), int(start[i]))
+                        before = sent.get(key)
+                        if before is not None and before < here:
+                            past[i] = True
+                        elif before is not None or len(sent) < _SENT:
+                            sent[key] = here
+                    later, send = np.concatenate((later, send[past[send]])), send[~past[send]]
                 which = np.repeat(begins[send], counts[send]) + np.arange(int(counts[send].sum())) - np.repeat(np.cumsum(counts[send]) - counts[send], counts[send])
                 low = windows[which].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[send].view(np.int64)), pa.array(ids[send]), pa.array(keys[send]), pa.array(start[send]), pa.array(place[send]), _binary(low, counts[send])], schema=_SEED)
@@ -214,7 +275,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)).alias("id"), F.hash(docs[text_col]).alias("text_key"), docs[text_col].alias("text"))
-    seeds = texts.select("id", "text_key", "text").mapInArrow(_seeds(min_words), _SEED_DDL)
+    hot = hot_groups(texts.select("text"), min_words)
+    seeds = texts.select("id", "text_key", "text").mapInArrow(_seeds(min_words, hot), _SEED_DDL)
     met = seeds.repartition(width(spark), "anchor").sortWithinPartitions("anchor", "id", "start")
     marks = met.mapInArrow(_extend, _MARK_DDL).groupBy("id", "text_key").agg(F.collect_list("ranges").alias("marks"))
     return texts.join(marks, ["id", "text_key"], "left").select("doc_id", "text", "marks").mapInArrow(_remove(min_words), "doc_id long, n_words long, n_removed long, kept_text string, spans array<array<int>>")
