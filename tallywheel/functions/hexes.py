@@ -60,6 +60,31 @@ def word_to_decimal(w) -> Column:
     return F.when(ok, value.try_cast("decimal(38,0)"))
 
 
+def word_to_text(w, negative: bool = False) -> Column:
+    """An unsigned 256-bit word in base 10, of up to 78 digits; null where it isn't a word.
+
+    With ``negative`` the word is all bits of a number below zero turned over, and the text that of its
+    magnitude. Numbers beyond DECIMAL(38,0) are built in nine groups of nine digits, 32 bits at a time.
+    """
+    x, more = F.lower(_c(w)), int(negative)
+    limbs = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substr(x, i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+    base = 10**9
+
+    def step(groups: Column, factor: int, add: Column) -> Column:
+        """groups * factor + add, the least group first."""
+        start = F.struct(add.cast("long").alias("carry"), F.array().cast("array<bigint>").alias("out"))
+        total = lambda s, g: g * F.lit(factor).cast("long") + s["carry"]
+        digits = lambda s, g: F.concat(s["out"], F.array(F.pmod(total(s, g), F.lit(base).cast("long"))))
+        return F.aggregate(groups, start, lambda s, g: F.struct(F.call_function("div", total(s, g), F.lit(base).cast("long")).alias("carry"), digits(s, g).alias("out")), lambda s: s["out"])
+
+    groups = F.aggregate(limbs, F.array_repeat(F.lit(0).cast("long"), 9), lambda s, limb: step(s, 2**32, limb))
+    groups = step(groups, 1, F.lit(more)) if more else groups
+    digits = F.array_join(F.transform(F.reverse(groups), lambda g: F.lpad(g.cast("string"), 9, "0")), "")
+    large = F.when(x.rlike("^[0-9a-f]{64}$"), F.regexp_replace(digits, "^0+(?=.)", ""))
+    small = F.try_add(word_to_decimal(w), F.lit(more).cast("decimal(38,0)")) if more else word_to_decimal(w)
+    return F.coalesce(small.cast("string"), large)
+
+
 def quantity(x) -> Column:
     """A 0x quantity of up to sixteen digits as a number."""
     return F.conv(bare(x), 16, 10).cast("decimal(20,0)")

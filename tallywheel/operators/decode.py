@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywheel.functions import ids
+from tallywheel.functions.abi import nested_values
 from tallywheel.functions.fixed import TRANSFER_FROM_SELECTOR, TRANSFER_SELECTOR
-from tallywheel.functions.hexes import bare, is_hex_bytes, method_selector, word_to_address, word_to_decimal
+from tallywheel.functions.hexes import bare, is_hex_bytes, method_selector, word_to_address, word_to_decimal, word_to_text
 from tallywheel.sources.registry import Registry, in_phase
 
 _COMPLEMENT = ("0123456789abcdef", "fedcba9876543210")
@@ -15,8 +16,7 @@ _COMPLEMENT = ("0123456789abcdef", "fedcba9876543210")
 
 def _signed(w: Column) -> Column:
     minus = F.lower(w).rlike("^[89a-f]")
-    size = word_to_decimal(F.translate(F.lower(w), *_COMPLEMENT))
-    return F.when(minus, -(size + 1)).otherwise(word_to_decimal(w))
+    return F.when(minus, F.concat(F.lit("-"), word_to_text(F.translate(F.lower(w), *_COMPLEMENT), negative=True))).otherwise(word_to_text(w))
 
 
 def value_text(kind: Column, w: Column, body: Column) -> Column:
@@ -30,8 +30,8 @@ def value_text(kind: Column, w: Column, body: Column) -> Column:
     whole = F.when(F.length(tail) == size, tail)
     fixed = F.regexp_extract(kind, "^bytes([0-9]+)$", 1)
     return (
-        F.when(kind.rlike("^uint[0-9]*$"), word_to_decimal(w).cast("string"))
-        .when(kind.rlike("^int[0-9]*$"), _signed(w).cast("string"))
+        F.when(kind.startswith("uint"), word_to_text(w))
+        .when(kind.startswith("int"), _signed(w))
         .when(kind == "address", F.when(w.startswith("0" * 24), word_to_address(w)))
         .when(kind == "bool", F.when(F.lower(w) == "0" * 64, F.lit("false")).when(F.lower(w) == "0" * 63 + "1", F.lit("true")))
         .when(fixed != "", F.concat(F.lit("0x"), F.lower(F.substr(w, F.lit(1), fixed.try_cast("int") * 2))))
@@ -40,8 +40,17 @@ def value_text(kind: Column, w: Column, body: Column) -> Column:
     )
 
 
-def _values(inputs: Column, words_at, body: Column) -> Column:
-    return F.transform(inputs, lambda x, i: value_text(x["type"], words_at(i), body))
+def _values(inputs: Column, words_at, body: Column, nested: bool, ok: Column) -> Column:
+    """Texts of all values where ``ok``; rows with arrays or tuples among them go to Python, if there can be any."""
+    # A word is bound to a name of its own, as an expression in a lambda is evaluated at each of its places.
+    one = lambda kind, word: F.get(F.transform(F.array(word), lambda w: value_text(kind, w, body)), 0)
+    plain = F.transform(inputs, lambda x, i: one(x["type"], words_at(i)))
+    if not nested:
+        return F.when(ok, plain)
+    deep = ok & F.exists(inputs, lambda x: x["type"].contains("[") | x["type"].contains("("))
+    kinds = F.transform(inputs, lambda x: x["type"])
+    found = nested_values(kinds, F.when(deep, body))
+    return F.when(deep, F.coalesce(found, F.transform(inputs, lambda x: F.lit(None).cast("string")))).when(ok, plain)
 
 
 def _as_map(inputs: Column, values: Column) -> Column:
@@ -57,25 +66,29 @@ def decode_logs(logs: DataFrame, registry: Registry) -> DataFrame:
 
     Reasons in the order they are looked for: unregistered_contract (no phase covers the block),
     unknown_topic, abi_mismatch (number of indexed parameters), malformed_data (data needed, but empty
-    or no whole words), abi_mismatch (a value doesn't fit its type, or has over 38 digits).
+    or no whole words), abi_mismatch (a value doesn't fit its type). A log without topics is held against
+    the ABI's first anonymous event. Arrays and tuples are JSON text.
     """
     spark = logs.sparkSession
     phased = in_phase(logs, registry.phase_table(spark).select("phase_address", "from_block", "to_block", "abi", "abi_version", "role"), "address", "block_number")
-    topic = F.lower(F.get("topics", 0))
+    topics = F.coalesce("topics", F.array().cast("array<string>"))
+    topic, named = F.lower(F.get(topics, 0)), F.least(F.size(topics), F.lit(1))  # the first topic names the event
     events = registry.event_table(spark).withColumnRenamed("abi", "event_abi")
     joined = phased.withColumn("_topic", topic)
-    joined = joined.join(events, (joined["abi"] == events["event_abi"]) & (joined["_topic"] == events["topic0"]), "left")
+    joined = joined.join(events, (joined["abi"] == events["event_abi"]) & joined["_topic"].eqNullSafe(events["topic0"]), "left")
     indexed, plain = F.filter("inputs", lambda x: x["indexed"]), F.filter("inputs", lambda x: ~x["indexed"])
-    body = F.coalesce(bare("data"), F.lit(""))
-    topic_values = _values(indexed, lambda i: bare(F.get("topics", i + 1)), body)
-    data_values = _values(plain, lambda i: F.substr(body, i * 64 + 1, F.lit(64)), body)
-    staged = joined.withColumns({"_indexed": indexed, "_plain": plain, "_body": body})
-    staged = staged.withColumn("_reason", F.when(F.col("phase_address").isNull(), "unregistered_contract").when(F.col("event_name").isNull(), "unknown_topic").when(F.size("_indexed") != F.size("topics") - 1, "abi_mismatch").when((F.size("_plain") > 0) & ((F.length("_body") == 0) | (F.length("_body") % 64 != 0) | ~is_hex_bytes("_body")), "malformed_data"))
-    staged = staged.withColumns({"_topics": F.when(F.col("_reason").isNull(), topic_values), "_data": F.when(F.col("_reason").isNull(), data_values)})
+    joined = joined.withColumn("_body", F.coalesce(bare("data"), F.lit("")))
+    body = F.col("_body")
+    sound, nested = F.col("_reason").isNull(), registry.has_nested("event")
+    topic_values = _values(indexed, lambda i: bare(F.get(topics, i + named)), body, False, sound)
+    data_values = _values(plain, lambda i: F.substr(body, i * 64 + 1, F.lit(64)), body, nested, sound)
+    staged = joined.withColumns({"_indexed": indexed, "_plain": plain})
+    staged = staged.withColumn("_reason", F.when(F.col("phase_address").isNull(), "unregistered_contract").when(F.col("event_name").isNull(), "unknown_topic").when(F.size("_indexed") != F.size(topics) - named, "abi_mismatch").when((F.size("_plain") > 0) & ((F.length("_body") == 0) | (F.length("_body") % 64 != 0) | ~is_hex_bytes("_body")), "malformed_data"))
+    staged = staged.withColumns({"_topics": topic_values, "_data": data_values})
     reason = F.coalesce("_reason", F.when(~_complete(F.col("_topics")) | ~_complete(F.col("_data")), "abi_mismatch"))
     staged = staged.withColumn("failure_reason", reason)
     ok = F.col("failure_reason").isNull()
-    detail = F.when(F.col("_reason").isNull() & ~ok, "a value does not fit its type or has over 38 digits").when(F.col("failure_reason") == "unknown_topic", F.coalesce("_topic", F.lit("no topics")))
+    detail = F.when(F.col("_reason").isNull() & ~ok, "a value does not fit its type").when(F.col("failure_reason") == "unknown_topic", F.coalesce("_topic", F.lit("no topics")))
     return staged.select(
         *logs.columns,
         ids.raw_log_id("chain_id", "block_number", "tx_hash", "log_index").alias("raw_log_id"),
@@ -87,7 +100,7 @@ def decode_logs(logs: DataFrame, registry: Registry) -> DataFrame:
         "failure_reason",
         detail.alias("detail"),
         F.when(ok, F.col("event_name")).alias("event_name"),
-        F.when(ok, F.col("_topic")).alias("event_signature"),
+        F.when(ok, F.coalesce("_topic", F.lit(""))).alias("event_signature"),
         F.when(ok, _as_map(F.col("_indexed"), F.col("_topics"))).alias("indexed_params"),
         F.when(ok, _as_map(F.col("_plain"), F.col("_data"))).alias("data_params"),
     )
@@ -104,13 +117,16 @@ def decode_calldata(calls: DataFrame, registry: Registry, address: str = "to_add
     phased = phased.withColumn("method_selector", method_selector(data))
     methods = registry.method_table(spark).withColumnRenamed("abi", "method_abi")
     joined = phased.join(methods, (phased["abi"] == methods["method_abi"]) & (phased["method_selector"] == methods["selector"]), "left")
-    body = F.substr(F.coalesce(bare(data), F.lit("")), F.lit(9))
-    values = _values(F.col("inputs"), lambda i: F.substr(body, i * 64 + 1, F.lit(64)), body)
+    joined = joined.withColumn("_body", F.substr(F.coalesce(bare(data), F.lit("")), F.lit(9)))
+    body = F.col("_body")
+    sound = F.col("_reason").isNull()
+    values = _values(F.col("inputs"), lambda i: F.substr(body, i * 64 + 1, F.lit(64)), body, registry.has_nested("function"), sound)
     staged = joined.withColumns({"_reason": F.when(F.col("method_name").isNull(), "unknown_topic").when(F.length(body) % 64 != 0, "malformed_data")})
-    staged = staged.withColumn("_values", F.when(F.col("_reason").isNull(), values))
+    staged = staged.withColumn("_values", values)
     staged = staged.withColumn("failure_reason", F.coalesce("_reason", F.when(~_complete(F.col("_values")), "abi_mismatch")))
     ok = F.col("failure_reason").isNull()
-    fast = fast_transfer(F.col(data))
+    staged = staged.withColumn("_fast", fast_transfer(F.col(data), body))
+    fast = F.col("_fast")
     return staged.select(
         *calls.columns,
         F.when(ok, F.col("method_name")).when(fast["method"].isNotNull(), fast["method"]).otherwise("<unknown>").alias("method_name"),
@@ -120,12 +136,16 @@ def decode_calldata(calls: DataFrame, registry: Registry, address: str = "to_add
     )
 
 
-def fast_transfer(data: Column) -> Column:
-    """method and params of token transfer calldata; further bytes are ignored, null where it is neither."""
-    sel, body = method_selector(data), F.substr(F.coalesce(bare(data), F.lit("")), F.lit(9))
+def fast_transfer(data: Column, body: Column | None = None) -> Column:
+    """method and params of token transfer calldata; further bytes are ignored, null where it is neither.
+
+    ``body`` is the hex after the selector, if a column has it already.
+    """
+    sel = method_selector(data)
+    body = F.substr(F.coalesce(bare(data), F.lit("")), F.lit(9)) if body is None else body
     w = lambda i: F.substr(body, F.lit(64 * i + 1), F.lit(64))
     address = lambda i: F.when(w(i).startswith("0" * 24), word_to_address(w(i)))
-    amount = lambda i: word_to_decimal(w(i)).cast("string")
+    amount = lambda i: word_to_text(w(i))
     plain = (sel == TRANSFER_SELECTOR) & (F.length(body) >= 128) & address(0).isNotNull() & amount(1).isNotNull()
     other = (sel == TRANSFER_FROM_SELECTOR) & (F.length(body) >= 192) & address(0).isNotNull() & address(1).isNotNull() & amount(2).isNotNull()
     none = F.lit(None).cast("string")

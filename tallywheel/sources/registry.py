@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywheel.functions import keccak
+from tallywheel.functions.abi import is_nested
 
 ZERO = "0x" + "0" * 40
+_SENT_ROWS = 10_000
 _INPUT = "array<struct<name:string,type:string,indexed:boolean>>"
 
 
@@ -27,6 +29,12 @@ class Phase:
     implementation: str | None = None
 
 
+def _dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of rows that the driver holds; one of at most ``_SENT_ROWS`` is sent to every executor where it is joined."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= _SENT_ROWS else df
+
+
 def validate(phases: list[Phase]) -> None:
     """Phases of a contract must not overlap, and an open one must be the last."""
     by: dict[str, list[Phase]] = {}
@@ -100,28 +108,34 @@ class Registry:
 
     def phase_table(self, spark: SparkSession) -> DataFrame:
         rows = [(p.address, p.role, p.abi_version, p.from_block, p.to_block, p.abi, p.deployed_block, p.implementation) for p in self.phases]
-        return spark.createDataFrame(rows, "phase_address string, role string, abi_version string, from_block long, to_block long, abi string, deployed_block long, implementation string")
+        return _dimension(spark, rows, "phase_address string, role string, abi_version string, from_block long, to_block long, abi string, deployed_block long, implementation string")
 
     def role_table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(sorted({(p.address, p.role) for p in self.phases}), "role_address string, role string")
+        return _dimension(spark, sorted({(p.address, p.role) for p in self.phases}), "role_address string, role string")
 
     def _items(self, kind: str) -> list[tuple]:
-        rows = []
+        """ABI, key, name and inputs; an anonymous event has no key. Of items with one key in an ABI the first."""
+        rows: dict[tuple, tuple] = {}
         for name, items in self.abis.items():
             for item in items:
-                if item.get("type") == kind and not item.get("anonymous"):
-                    text = keccak.signature(item)
-                    key = keccak.topic0(text) if kind == "event" else keccak.selector(text)
-                    inputs = [(i.get("name") or f"arg{k}", keccak.canonical_type(i), bool(i.get("indexed"))) for k, i in enumerate(item.get("inputs", []))]
-                    rows.append((name, key, item["name"], inputs))
-        return rows
+                if item.get("type") != kind:
+                    continue
+                text = keccak.signature({"name": "", **item})
+                key = None if item.get("anonymous") else keccak.topic0(text) if kind == "event" else keccak.selector(text)
+                inputs = [(i.get("name") or f"arg{k}", keccak.canonical_type(i), bool(i.get("indexed"))) for k, i in enumerate(item.get("inputs", []))]
+                rows.setdefault((name, key), (name, key, item.get("name") or "<unnamed>", inputs))
+        return list(rows.values())
+
+    def has_nested(self, kind: str) -> bool:
+        """Whether any event or function has an array or a tuple."""
+        return any(is_nested(t) for *_, inputs in self._items(kind) for _, t, _ in inputs)
 
     def event_table(self, spark: SparkSession) -> DataFrame:
         """One row for each ABI and topic, so overloaded names are told apart."""
-        return spark.createDataFrame(self._items("event"), f"abi string, topic0 string, event_name string, inputs {_INPUT}").dropDuplicates(["abi", "topic0"])
+        return _dimension(spark, self._items("event"), f"abi string, topic0 string, event_name string, inputs {_INPUT}")
 
     def method_table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self._items("function"), f"abi string, selector string, method_name string, inputs {_INPUT}").dropDuplicates(["abi", "selector"])
+        return _dimension(spark, self._items("function"), f"abi string, selector string, method_name string, inputs {_INPUT}")
 
 
 def in_phase(rows: DataFrame, phases: DataFrame, address: str, block: str, how: str = "left") -> DataFrame:

@@ -9,6 +9,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from tallywheel.functions import hexes
 from tallywheel.functions.fixed import TOKEN, TRANSFER_TOPIC
 from tallywheel.operators import actions, balances, decode, ledger, matching, movements, quality, traces
 from tallywheel.plans import marts
@@ -51,12 +52,14 @@ def logs(spark):
 
 def test_decode_ladder(spark, logs):
     got = {r["log_index"]: r["failure_reason"] for r in decode.decode_logs(logs, REGISTRY).collect()}
-    assert got == {138: None, 140: None, 141: "unregistered_contract", 142: "unknown_topic", 143: "unknown_topic", 144: "abi_mismatch", 145: "malformed_data", 146: "malformed_data", 147: "abi_mismatch"}
+    assert got == {138: None, 140: None, 141: "unregistered_contract", 142: "unknown_topic", 143: "unknown_topic", 144: "abi_mismatch", 145: "malformed_data", 146: "malformed_data", 147: None}
+    row = decode.decode_logs(logs, REGISTRY).where("log_index = 147").first()
+    assert row["data_params"] == {"value": str(2**256 - 1)} and movements.from_logs(decode.decode_logs(logs, REGISTRY).where("log_index = 147")).first()["amount"] is None
 
 
 def test_movements_of_the_staking_transaction(spark, logs):
     found = movements.from_logs(decode.decode_logs(logs, REGISTRY).where("success"))
-    assert {r["movement_id"] for r in found.collect()} == {"df44807deef23a67a68c34bc9e35e1bd7afd084c39b764b8c9ccd5b88539941f", "c517c54fbd534d793483205479969eee2b7098bcd21113647596fcad0aa7431d"}
+    assert {r["movement_id"] for r in found.where("amount IS NOT NULL").collect()} == {"df44807deef23a67a68c34bc9e35e1bd7afd084c39b764b8c9ccd5b88539941f", "c517c54fbd534d793483205479969eee2b7098bcd21113647596fcad0aa7431d"}
 
 
 def test_dynamic_and_signed_values(spark):
@@ -68,6 +71,43 @@ def test_dynamic_and_signed_values(spark):
     assert row["data_params"] == {"s": "hi", "n": "-5", "b": "0xdeadbeef"}
 
 
+def test_numbers_of_all_sizes(spark):
+    rnd = random.Random(1)
+    numbers = [0, 1, 10**9 - 1, 10**9, 10**38 - 1, 10**38, 2**128 - 1, 2**128, 2**255 - 1, 2**255, 2**256 - 1, *(rnd.getrandbits(rnd.randint(100, 256)) for _ in range(40))]
+    rows = spark.createDataFrame([(format(n, "064x"),) for n in numbers], "w string")
+    got = rows.select(hexes.word_to_text("w"), decode._signed(F.col("w"))).collect()
+    assert [r[0] for r in got] == [str(n) for n in numbers]
+    assert [r[1] for r in got] == [str(n - 2**256 if n >> 255 else n) for n in numbers]
+    assert spark.createDataFrame([("12",), (None,), ("g" * 64,)], "w string").select(hexes.word_to_text("w")).distinct().collect() == [(None,)]
+
+
+def test_arrays_tuples_and_anonymous_events(spark):
+    pair = {"name": "p", "type": "tuple[]", "components": [{"name": "x", "type": "uint256"}, {"name": "y", "type": "string"}]}
+    abi = [
+        {"type": "event", "name": "Many", "inputs": [{"name": "who", "type": "address", "indexed": True}, {"name": "ns", "type": "uint256[]"}, {"name": "fixed", "type": "int8[2]"}, {"name": "ok", "type": "bool"}, pair]},
+        {"type": "event", "name": "Quiet", "anonymous": True, "inputs": [{"name": "n", "type": "uint256"}]},
+        {"type": "event", "name": "Other", "anonymous": True, "inputs": []},
+        {"type": "function", "name": "send", "inputs": [{"name": "to", "type": "address[]"}, {"name": "note", "type": "string"}]},
+    ]
+    reg = Registry.of([Phase(C, "r", "v", 0, None, "e")], {"e": abi})
+    topic = next(key for _, key, name, _ in reg._items("event") if name == "Many")
+    head = word(160) + word(1) + format(2**256 - 2, "064x") + word(1) + word(256)
+    arrays = word(2) + word(7) + word(2**200)
+    tuples = word(1) + word(32) + word(5) + word(64) + word(2) + "6869" + "0" * 60
+    data = "0x" + head + arrays + tuples
+    rows = [(0, [topic, padded(A)], data), (1, [topic, padded(A)], data[:-64]), (2, [], "0x" + word(9)), (3, None, "0x" + word(9)), (4, [], "0x"), (5, [topic], data), (6, [topic, padded(A)], "0x" + word(2**255) * 9)]
+    logs = spark.createDataFrame([(1, 1, TX, i, C, t, d) for i, t, d in rows], LOG)
+    got = {r["log_index"]: r for r in decode.decode_logs(logs, reg).collect()}
+    assert got[0]["indexed_params"] == {"who": A} and got[0]["data_params"] == {"ns": f"[7,{2**200}]", "fixed": "[1,-2]", "ok": "true", "p": '[[5,"hi"]]'}
+    assert {i: r["failure_reason"] for i, r in got.items()} == {0: None, 1: "abi_mismatch", 2: None, 3: None, 4: "malformed_data", 5: "abi_mismatch", 6: "abi_mismatch"}
+    assert got[2]["event_name"] == "Quiet" and got[2]["event_signature"] == "" and got[3]["data_params"] == {"n": "9"}
+    body = word(64) + word(160) + word(2) + "0" * 24 + A[2:] + "0" * 24 + B[2:] + word(2) + "6869" + "0" * 60
+    key = reg._items("function")[0][1]
+    calls = spark.createDataFrame([(1, C, key + body), (1, C, key + body[:128])], "block_number long, to_address string, input string")
+    a, b = decode.decode_calldata(calls, reg).collect()
+    assert a["method_name"] == "send" and a["params"] == {"to": f'["{A}","{B}"]', "note": "hi"} and b["failure_reason"] == "abi_mismatch"
+
+
 def test_fast_transfer(spark):
     data = "0xa9059cbb" + "0" * 24 + A[2:] + word(7) + "ff"
     r = spark.createDataFrame([(data,), (data[:100],), ("0x",)], "d string").select(decode.fast_transfer(F.col("d")).alias("x")).collect()
