@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet in the
 shared folder and hands what it reads again to the next one. All stages but the last return the
 columns of ``documents``.
+
+Each stage takes nulls in any column, texts of any length and repeated rows. Rows without a text, or
+with a blank one, are rejected by the first stage. Rows that repeat an id are documents of their own:
+equal ones stay together through both deduplications and are mixed and packed as often as they stand
+there; a null id is the largest one where copies are compared, and links with nothing where near copies
+are. An empty table gives an empty result at every stage. Further columns go along to the last stage.
 """
 
 from __future__ import annotations
