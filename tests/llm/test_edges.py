@@ -5,9 +5,11 @@ import zlib
 from collections import Counter
 
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tallywheel.llm import chunk_store, exact_dedup, licenses, minmax_hash, mixing, packing, quality_model, quality_rules, substring_dedup, toxicity
+from tallywheel.llm.encoder import default_tokenizer
 
 RNG = random.Random(9)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, length string, kept string, s string"
@@ -116,6 +118,49 @@ def test_scores(spark, docs, rows):
         assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_stages_against_brute_force(spark):
+    """Every stage of the pipeline on rows with null and repeated ids, equal rows and near copies."""
+    say = lambda n: " ".join(f"v{RNG.randint(0, 900)}" for _ in range(n))
+    base = [say(60) for _ in range(12)]
+    near = " ".join([*base[0].split()[:-1], "other"])
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(base, 20)]
+    rows += [(1, base[0], "en", "s0", 1), (1, base[0], "en", "s0", 1), (1, base[1] + " ", "de", None, None), (None, base[2], None, None, None), (None, say(50), None, "s1", 5), (2, near, "en", "s1", 2), (3, None, "en", "s1", 0), (4, " \n", "en", "s1", 2), (20, say(70), "fr", "s2", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+
+    def run(name, rows):
+        return [tuple(r) for r in stages[name](spark, spark.createDataFrame(rows, docs.schema).repartition(2), "").collect()]
+
+    cleaned = run("quality_rules", rows)
+    want = Counter((r["doc_id"], r["clean_text"], r["lang"], r["source"], len(r["clean_text"])) for r in quality_rules.quality_rules(docs).where("kept").collect())
+    assert Counter(cleaned) == want and not {3, 4} & {r[0] for r in cleaned}
+
+    once, best = run("exact_dedup", cleaned), {}
+    for r in cleaned:
+        key = "".join(r[1].split())
+        best[key] = min(best.get(key, (0, 0)), (-len(r[1]), 2**63 - 1 if r[0] is None else r[0]))
+    assert Counter(once) == Counter(r for r in cleaned if best["".join(r[1].split())][1] == (2**63 - 1 if r[0] is None else r[0]))
+
+    apart = run("minmax_near_dedup", once)
+    grams = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    links = lambda a, b: a[0] is not None and b[0] is not None and 100 * len(grams(a[1]) & grams(b[1])) >= 80 * len(grams(a[1]) | grams(b[1]))
+    gone = {b[0] for a in once for b in once if a[0] != b[0] and links(a, b) and a[0] < b[0]}
+    assert 2 in gone and Counter(apart) == Counter(r for r in once if r[0] not in gone)
+
+    mixed = run("mixing", apart)
+    assert set(mixed) == set(apart) and all(n <= Counter(mixed)[r] <= 2 * n for r, n in Counter(apart).items())
+
+    packed = stages["packing"](spark, spark.createDataFrame(mixed, docs.schema), "").collect()
+    tok = Tokenizer.from_file(default_tokenizer())
+    ids = Counter((r[0], zlib.crc32(b"".join(i.to_bytes(4, "little") for i in [*tok.encode(r[1], add_special_tokens=False).ids, 2]))) for r in mixed)
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in packed) == ids  # all are shorter than a sequence
+    spans = sorted((r["sequence_id"], r["offset"], r["length"]) for r in packed)
+    for (s, o, n), (t, p, _) in zip(spans, [*spans[1:], (-1, 0, 0)], strict=True):
+        assert p == (o + n if s == t else 0) and o + n <= 1024
+    for name, _ in corpus_pipeline.STAGES[:-1]:
+        assert run(name, [(None, None, None, None, None)][:0]) == []
+
+
 def test_stages(spark, docs):
     d = docs.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
