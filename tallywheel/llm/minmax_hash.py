@@ -15,7 +15,12 @@ class is first held against the most central one, whose buckets hold most classe
 the text that others were made from, so that large groups join by a number of pairs in proportion to
 their size. After that only classes of one bucket that are still in different components
 are held against each other: pairs within a component can't change anything, and every other candidate
-pair is confirmed or refused, so no link is lost to a group's size.
+pair is confirmed or refused, so no link is lost to a group's size. Large buckets, as those of a family of
+texts on one template that are alike but not enough, are dealt once more by the members' rarest shingles:
+linked sets share one of so many of them, others mostly don't, and the work doesn't grow with the square.
+
+The second sketch refuses a pair at the threshold in fewer than one case in 10^10 (seven standard
+deviations of a binomial count), the first never does.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywheel.llm.common import settled, width
@@ -39,6 +44,7 @@ PERMUTATIONS, BAND_ROWS, SHINGLE = 182, 7, 5
 #: 64-bit words of the two sketches: parities of shingles by bin, and one bit of each signature value.
 PARITIES, BITS = 32, 5
 _BLOCK = 2048
+_LARGE = _BLOCK  # members of a bucket that are held against each other as they are: one block of them
 _SIG = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
 
@@ -185,7 +191,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     stars = settled(met.join(classes.select(*_sketched("a")), "a").join(classes.select(*_sketched("b")), "b").where(_near(percent)).select("a", "b"), "stars")
     edges = settled(_linked(stars, classes, texts, percent).unionAll(_same_id(linked, classes)), "links")
     first = components(edges)
-    rest = _across(shared, classes, first, stars, percent)
+    rest = _across(shared, classes, texts, first, stars, percent)
     more = settled(_linked(rest, classes, texts, percent), "links")
     final = components(first.unionAll(more)) if more.take(1) else first
     of = classes.select("set_key", "rep", "id").join(final, F.col("rep") == F.col("v"), "left").select("set_key", "id", F.coalesce("m", "rep").alias("m"))
@@ -250,13 +256,51 @@ def _pairs_in_blocks(percent: int):
     return run
 
 
-def _across(shared: DataFrame, classes: DataFrame, first: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column(1).to_pylist()
+        for part in portions(texts):
+            sets = shingle_sets(texts[part])
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+            flat = np.concatenate(sets).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(part.start, part.stop - part.start), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["rep", "tokens"])
+
+
+def _prefixes(members: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """bucket (a shingle) and rep for the rarest shingles of each member, as many as two linked sets can't both avoid.
+
+    Sets of which one has n shingles share percent * n / 100 of them at least. So with all shingles in
+    one order, the rarest among the members first, linked sets share one of their first
+    n - ceil(percent * n / 100) + 1. Members of a family that is alike but not linked have words of
+    their own there and meet nobody.
+    """
+    wanted = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "id", "text_key", "n")
+    held = texts.join(wanted, ["id", "text_key"]).dropDuplicates(["rep"])
+    tokens = settled(held.select("rep", "text").mapInArrow(_tokens, "rep long, tokens array<long>"), "tokens").select("rep", F.explode("tokens").alias("bucket"))
+    shared = tokens.groupBy("bucket").agg(F.count("*").alias("df")).where("df > 1")
+    met = tokens.join(shared, "bucket").join(wanted.select("rep", "n"), "rep")
+    own = Window.partitionBy("rep")
+    alone = F.col("n") - F.count("*").over(own)  # shingles that no other member has come first
+    place = alone + F.row_number().over(own.orderBy("df", "bucket"))
+    reach = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
+    return met.withColumn("place", place).where(F.col("place") <= reach).select("bucket", "rep")
+
+
+def _across(shared: DataFrame, classes: DataFrame, texts: DataFrame, first: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of one bucket in different components that weren't tried yet.
 
-    A bucket with many members is dealt into blocks, and each pair of blocks is a group of its own.
+    The members of buckets with more than ``_LARGE`` are dealt by their rarest shingles instead, which
+    pair nobody who can't be linked by more than those. What is still large is dealt into blocks, and
+    each pair of blocks is a group of its own.
     """
     spark = shared.sparkSession
-    at = settled(shared.join(first, F.col("rep") == F.col("v"), "left").select("bucket", "rep", F.coalesce("m", "rep").alias("comp")), "members")
+    of = first.select(F.col("v").alias("rep"), F.col("m").alias("comp"))
+    at = settled(shared.join(of, "rep", "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp")), "members")
+    sizes = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi")
+    large = settled(at.join(sizes.where(F.col("c") > _LARGE).select("bucket"), "bucket").select("rep", "comp").distinct(), "large")
+    at = at.join(sizes.where(F.col("c") <= _LARGE).select("bucket"), "bucket")
+    if large.take(1):
+        at = settled(at.unionByName(_prefixes(large, classes, texts, percent).join(large, "rep")), "members")
     mixed_up = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / F.lit(_BLOCK)).cast("int").alias("blocks")).where("lo < hi").select("bucket", "blocks")
     members = at.join(mixed_up, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = members.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "comp").join(classes.select("rep", "n", "sketch"), "rep")

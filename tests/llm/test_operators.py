@@ -247,6 +247,69 @@ def test_damaged_chunk_is_found(spark, tmp_path):
         chunk_store.read_documents(spark, path).collect()
 
 
+def brute_substrings(rows, least=20):
+    """n_words and kept words of each document, window by window."""
+    first, out = {}, {}
+    lists = {i: words(t) for i, t in rows}
+    for i in sorted(lists):
+        w = lists[i]
+        gone = set()
+        for at in range(len(w) - least + 1):
+            window = tuple(w[at : at + least])
+            if first.setdefault(window, (i, at)) != (i, at):
+                gone.update(range(at, at + least))
+        out[i] = (len(w), [x for k, x in enumerate(w) if k not in gone])
+    return out
+
+
+@pytest.mark.parametrize("length, parts", [(20, 3), (26, 7), (60, 3)])
+def test_a_passage_in_most_documents_is_dealt_out(spark, monkeypatch, length, parts):
+    """No key of the shuffle gets a row for each document, and the words removed are those of brute force."""
+    passage = prose(length)
+    rows = [(i, f"{prose(RNG.randint(0, 30))} {passage} {prose(RNG.randint(0, 30))}".strip()) for i in range(1500)] + [(9000 + i, prose(40)) for i in range(50)]
+    RNG.shuffle(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    texts = d.select("doc_id", F.hash("text").alias("text_key"), "text")
+    hot = substring_dedup.hot_groups(texts.select("text"), 20)
+    assert 0 < hot.sum() < 200
+    seeds = lambda which: texts.mapInArrow(substring_dedup._seeds(20, which), substring_dedup._SEED_DDL).where("place >= 0").groupBy("anchor").count().agg(F.max("count")).first()[0]
+    assert seeds(np.zeros_like(hot)) > 1000 and seeds(hot) <= substring_dedup.HOT_LEAST
+    got = {r["doc_id"]: (r["n_words"], r["kept_text"]) for r in substring_dedup.substring_dedup(d).collect()}
+    assert got == {i: (n, " ".join(x.decode() for x in kept)) for i, (n, kept) in brute_substrings(rows).items()}
+
+
+def test_families_that_are_alike_but_not_linked(spark, monkeypatch):
+    """Texts of one template at a similarity of about 0.7, with linked ones among them, against brute force."""
+    monkeypatch.setattr(minmax_hash, "_LARGE", 8)
+    template, rows = [f"t{i}" for i in range(100)], []
+    for k in range(90):
+        text = list(template)
+        text[RNG.randrange(20) : 20] = []
+        for at in RNG.sample(range(len(text)), 3):
+            text[at] = f"own{k}x{at}"
+        rows.append((3 * k, " ".join(text)))
+        if k % 9 == 0:
+            rows.append((3 * k + 1, " ".join([*text, "end"])))
+            rows.append((3 * k + 2, " ".join([*text[1:], f"last{k}"])))
+    RNG.shuffle(rows)
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in minmax_hash.near_duplicates(d, 85).collect()}
+    assert got == {i: root(i) for i in sets} and len(set(got.values())) > 20
+
+
 def test_joined_crc():
     for a, b in ((b"", b"x"), (b"abc", b""), (b"hello " * 50, b"world" * 9)):
         assert chunk_store.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
