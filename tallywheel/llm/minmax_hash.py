@@ -19,8 +19,8 @@ pair is confirmed or refused, so no link is lost to a group's size. Large bucket
 texts on one template that are alike but not enough, are dealt once more by the members' rarest shingles:
 linked sets share one of so many of them, others mostly don't, and the work doesn't grow with the square.
 
-The second sketch refuses a pair at the threshold in fewer than one case in 10^10 (seven standard
-deviations of a binomial count), the first never does.
+The second sketch refuses a pair at the threshold in four cases of 10^10 at 0.85 and in one at 0.8 (the
+tail of a binomial count beyond seven standard deviations); the first never does.
 """
 
 from __future__ import annotations
