@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywheel.llm.chunk_store import store_and_read
-from tallywheel.llm.common import documents
+from tallywheel.llm.common import BLANKS, documents
 from tallywheel.llm.exact_dedup import exact_dedup
 from tallywheel.llm.labelled import fold
 from tallywheel.llm.licenses import license_scan
 from tallywheel.llm.minmax_hash import near_duplicates
 from tallywheel.llm.mixing import mix_plan
 from tallywheel.llm.packing import pack_documents
+from tallywheel.llm.periodic_runs import periodic_runs
+from tallywheel.llm.phrases import collocations
 from tallywheel.llm.quality_rules import BOILERPLATE, MENU_WORDS, quality_rules
 from tallywheel.llm.quality_model import quality_scores
+from tallywheel.llm.simhash import simhash_duplicates
 from tallywheel.llm.substring_dedup import substring_dedup
 from tallywheel.llm.toxicity import toxicity
 
@@ -71,8 +74,33 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where one id in ten (by its CRC) has its words from a place on replaced by repetitions of those that follow it."""
+    words = F.split(F.trim(F.translate("text", BLANKS, " " * len(BLANKS))), " +")
+    drawn = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    placed = drawn.withColumn("a", F.expr("(h div 10) % size(w)")).withColumn("p", F.expr("1 + (size(w) - a) div (3 + (h div 10) % 8)"))
+    renewed = F.expr("array_join(transform(w, (x, i) -> IF(i < a, x, w[CAST(a + (i - a) % p AS int)])), ' ')")
+    return placed.select("doc_id", F.when(F.col("w").isNotNull(), renewed).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(made_periodic(documents(spark, sf_dir)))
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    of = found.withColumn("top", longest)
+    return of.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.period")).alias("period"), F.expr("1000 * top.length div -top.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_toxicity, op4_quality_model, op5_substring_dedup, op6_minmax_near_dedup, op7_token_store, op8_quality_rules, op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_toxicity, op4_quality_model, op5_substring_dedup, op6_minmax_near_dedup, op7_token_store, op8_quality_rules, op9_mixing, op10_packing, op11_phrases, op12_simhash, op13_periodic_runs)}
 
 
 _PHRASES = " OR ".join(f"contains(lower(line), '{x}')" for x in BOILERPLATE)
@@ -142,6 +170,39 @@ ORACLE_SQL = {
         SELECT doc_id, source, CAST(pass AS INTEGER) AS pass, n_tokens, before, least(before // greatest(1, CAST(ceil(CAST(budget AS DOUBLE) / blocks) AS BIGINT)), blocks - 1) AS block
         FROM c, n WHERE before < budget OR n_tokens = 0
     """,
+    "op11_phrases": """
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+        n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, k, w[i : i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 5) AS x(k) WHERE len(w) >= k)),
+        f AS (SELECT lang, k, g, count(*) AS a FROM g GROUP BY lang, k, g HAVING count(*) >= 30),
+        cuts AS (SELECT f.*, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+        s AS (SELECT c.lang, c.k, c.g, c.a, x.a AS l, y.a AS r, CAST(2000000::HUGEINT * c.a // (x.a + y.a) AS BIGINT) AS score, cut
+              FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : cut] JOIN f y ON y.lang = c.lang AND y.g = c.g[cut + 1 : c.k]),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+        inner_parts AS (SELECT lang, k, a, g[i : i + m - 1] AS part FROM (SELECT lang, k, g, a, m, unnest(range(1, k - m + 2)) AS i FROM f, range(2, 4) AS x(m) WHERE k > m)),
+        longest AS (SELECT lang, part, max(a) AS most FROM inner_parts GROUP BY lang, part),
+        kept AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.a, l, r, score FROM b LEFT JOIN longest o ON o.lang = b.lang AND o.part = b.g WHERE most IS NULL OR 100 * most < 80 * b.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang)
+        QUALIFY rank <= 2000
+    """,
+    "op13_periodic_runs": """
+        WITH c AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+                xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+                    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)::UBIGINT[]), lambda v, _: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END)), 4294967295::UBIGINT)::BIGINT AS h FROM documents),
+        q AS (SELECT *, CAST(len(w) AS BIGINT) AS n, (h // 10) % greatest(len(w), 1) AS a FROM c),
+        d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + (CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END)]) ELSE w END AS w FROM q),
+        t AS (SELECT doc_id, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
+        e AS (SELECT x.doc_id, y.i - x.i AS p, x.i FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i),
+        isles AS (SELECT doc_id, p, min(i) AS start, max(i) + 1 - min(i) + p AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS isle FROM e) GROUP BY doc_id, p, isle HAVING count(*) >= greatest(p, 12 - p)),
+        runs AS (SELECT doc_id, start, length, min(p) AS period FROM isles GROUP BY doc_id, start, length),
+        of AS (SELECT doc_id, count(*) AS n_runs, first({'s': start, 'l': length, 'p': period} ORDER BY length DESC, start, period) AS top, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+        kept AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.i) AS text FROM t ANTI JOIN gone ON gone.doc_id = t.doc_id AND gone.i = t.i GROUP BY t.doc_id)
+        SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(top.s AS BIGINT) AS start, CAST(top.l AS BIGINT) AS length, CAST(top.p AS BIGINT) AS period, CAST(1000 * top.l // top.p AS BIGINT) AS exponent_milli,
+            sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+        FROM d LEFT JOIN of USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
 }
 
 
