@@ -40,15 +40,20 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tallywheel-{label}-{uuid.uuid4().hex[:12]}"
 
 
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again.
+def settled_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet in the shared folder and read again, and the folder, which ``removed`` takes away.
 
     This cuts lineage in a way that survives the loss of any executor.
     """
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """As ``settled_at``, for tables that stay as long as the result may be read."""
+    return settled_at(df, label)[0]
 
 
 def width(spark: SparkSession) -> int:

@@ -10,9 +10,10 @@ or of one between them, which is at least as frequent.
 
 The corpus goes along as blocks of about two million words. A block holds its sequence with numbers of
 its own, and a list of what they stand for with a count of each, so that what is shuffled is one row for
-a block and distinct phrase, and no phrase brings more rows than there are blocks. The part of the list
-that proved frequent returns to its block, which is rewritten a level higher; what can't be part of a
-longer phrase shrinks to one separator.
+a block and distinct phrase, once for each level: a phrase has no more rows than there are blocks, which
+are summed where they meet and carry the lowest of their places as its number from then on. Those that
+proved frequent return to their blocks, which are rewritten a level higher; what can't be part of a longer
+phrase shrinks to one separator. Blocks of a level are removed when the next one is written.
 """
 
 from __future__ import annotations
@@ -25,18 +26,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywheel.llm.common import settled, width
+from tallywheel.llm.common import removed, settled_at, width
 
 #: A piece ends at one of these characters; the other blanks separate words.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _TO_END = bytes.maketrans(PIECE_ENDS, b"\n" * len(PIECE_ENDS))
 _END = b"\xff"  # a byte that no UTF-8 text has
 BLOCK_WORDS = 1 << 21
+#: A place is a block's number followed by so many bits for an entry of its list; a block's number is a task's followed by so many for its blocks.
+_LOCAL, _OWN = 28, 12
 
-_WORDS = pa.schema([("block", pa.int64()), ("seq", pa.binary()), ("local", pa.int32()), ("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
-_PAIRS = pa.schema([("block", pa.int64()), ("seq", pa.binary()), ("local", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
-_WORDS_DDL = "block long, seq binary, local int, lang string, word binary, n long"
-_PAIRS_DDL = "block long, seq binary, local int, left long, right long, n long"
+_WORDS = pa.schema([("at", pa.int64()), ("seq", pa.binary()), ("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
+_PAIRS = pa.schema([("at", pa.int64()), ("seq", pa.binary()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
+_WORDS_DDL = "at long, seq binary, lang string, word binary, n long"
+_PAIRS_DDL = "at long, seq binary, left long, right long, n long"
 
 
 class _Numbers(dict):
@@ -58,16 +61,18 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def _rows(schema: pa.Schema, block: int, seq: np.ndarray, names: list[pa.Array], n: np.ndarray) -> pa.Table:
-    """A block's list, one row an entry, and one row with its sequence."""
+    """A block's list, one row an entry at its place, and one row with its sequence."""
     k = len(n)
-    listed = [pa.array(np.full(k, block, np.int64)), pa.nulls(k, pa.binary()), pa.array(np.arange(k, dtype=np.int32)), *names, pa.array(n.astype(np.int64))]
-    own = [pa.array([block], pa.int64()), pa.array([seq.astype(np.int32).tobytes()], pa.binary()), *[pa.nulls(1, f.type) for f in list(schema)[2:]]]
+    if k >> _LOCAL or block >> 63 - _LOCAL:
+        raise ValueError(f"no places for {k} distinct phrases in block {block}")
+    listed = [pa.array((block << _LOCAL) + np.arange(k)), pa.nulls(k, pa.binary()), *names, pa.array(n.astype(np.int64))]
+    own = [pa.array([block << _LOCAL], pa.int64()), pa.array([seq.astype(np.int32).tobytes()], pa.binary()), *[pa.nulls(1, f.type) for f in list(schema)[2:]]]
     return pa.Table.from_batches([pa.RecordBatch.from_arrays(x, schema=schema) for x in (listed, own)])
 
 
 def _blocks(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, names, by_lang, held, n = TaskContext.get().partitionId() << 32, [], {}, [], 0
+        number, names, by_lang, held, n = TaskContext.get().partitionId() << _OWN, [], {}, [], 0
 
         def block() -> Iterator[pa.RecordBatch]:
             seq = np.concatenate(held)
@@ -96,7 +101,7 @@ def _raised(left: pa.Table, right: pa.Table) -> pa.Table:
     if not left.num_rows or not right.num_rows:
         return _PAIRS.empty_table()
     seq = np.frombuffer(left["seq"][0].as_py(), np.int32)
-    local = right["local"].to_numpy()
+    local = right["at"].to_numpy() & ((1 << _LOCAL) - 1)
     number = np.full(max(int(seq.max()), int(local.max())) + 1, -1, np.int64)
     number[local] = right["id"].to_numpy()
     seq = np.where((seq >= 0) & (number[seq] >= 0), seq, -1).astype(np.int64)
@@ -108,24 +113,34 @@ def _raised(left: pa.Table, right: pa.Table) -> pa.Table:
     above[at] = inverse
     above = above[(above >= 0) | np.concatenate(([False], above[:-1] >= 0))]
     names = [pa.array(number[pairs >> 32]), pa.array(number[pairs & 0xFFFFFFFF])]
-    return _rows(_PAIRS, left["at"][0].as_py(), above, names, n)
+    return _rows(_PAIRS, left["block"][0].as_py(), above, names, n)
 
 
-def _next(rows: DataFrame, frequent: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """All blocks one level higher, where pairs stand for phrases of k words."""
-    numbers = rows.where("local IS NOT NULL").select("block", "local", *keys).join(frequent.select(*keys, "id"), keys).select("block", "local", "id")
-    seqs = rows.where("seq IS NOT NULL").select(F.col("block").alias("at"), "seq")
-    return settled(seqs.groupBy("at").cogroup(numbers.groupBy("block")).applyInArrow(_raised, _PAIRS_DDL), f"phrases{k}")
+def _frequent(rows: DataFrame, keys: list[str], min_count: int, k: int) -> DataFrame:
+    """at, id, a and the keys of all entries that stand for a phrase with ``min_count`` or more occurrences in all blocks.
+
+    The entries of a phrase meet, at most one a block.
+    """
+    same = Window.partitionBy(*keys)
+    listed = rows.where("n IS NOT NULL").select("at", *keys, F.sum("n").over(same).alias("a"), F.min("at").over(same).alias("id"))
+    return settled_at(listed.where(F.col("a") >= min_count), f"frequent{k}")[0]
+
+
+def _next(rows: DataFrame, frequent: DataFrame, k: int) -> tuple[DataFrame, str]:
+    """All blocks one level higher, where pairs stand for phrases of k words, and the folder they lie in."""
+    numbers = frequent.select(F.shiftright("at", _LOCAL).alias("of"), "at", "id")
+    seqs = rows.where("n IS NULL").select(F.shiftright("at", _LOCAL).alias("block"), "seq")
+    return settled_at(seqs.groupBy("block").cogroup(numbers.groupBy("of")).applyInArrow(_raised, _PAIRS_DDL), f"phrases{k}")
 
 
-def _named(rows: DataFrame, below: DataFrame, min_count: int, k: int) -> DataFrame:
+def _named(frequent: DataFrame, below: DataFrame, k: int) -> DataFrame:
     """The frequent phrases of k words with numbers and parents; ``heads`` and ``tails`` count their beginnings and ends of 1 to k words."""
-    counted = rows.where("local IS NOT NULL").groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
+    counted = frequent.where("at = id").select("id", "left", "right", "a")
     first = below.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("first"), F.col("heads").alias("over"))
     rest = below.select(F.col("id").alias("right"), "last", F.col("tails").alias("under"))
     both = counted.join(first, "left").join(rest, "right")
     own = F.array("a")
-    return settled(both.select(F.monotonically_increasing_id().alias("id"), "left", "right", "lang", F.concat_ws(" ", "first", "last").alias("phrase"), "last", "a", F.concat("over", own).alias("heads"), F.concat("under", own).alias("tails"), F.lit(k).alias("k")), f"named{k}")
+    return settled_at(both.select("id", "left", "right", "lang", F.concat_ws(" ", "first", "last").alias("phrase"), "last", "a", F.concat("over", own).alias("heads"), F.concat("under", own).alias("tails"), F.lit(k).alias("k")), f"named{k}")[0]
 
 
 def _cut(k: int, scale: int):
@@ -150,17 +165,21 @@ def collocations(docs: DataFrame, min_count: int = 30, max_words: int = 4, perce
     if max_words < 2:
         raise ValueError("a phrase has two words at least")
     texts = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), docs[text_col].cast("binary").alias("text"))
-    rows = settled(texts.mapInArrow(_blocks(block_words), _WORDS_DDL), "words")
-    listed = rows.where("local IS NOT NULL")
-    totals = listed.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = listed.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
+    spark = docs.sparkSession
+    rows, folder = settled_at(texts.mapInArrow(_blocks(block_words), _WORDS_DDL), "words")
+    totals = settled_at(rows.where("n IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")), "totals")[0]
+    frequent = _frequent(rows, ["lang", "word"], min_count, 1)
     text, own = F.col("word").cast("string"), F.array("a")
-    level = settled(words.select(F.monotonically_increasing_id().alias("id"), "lang", "word", text.alias("phrase"), text.alias("last"), "a", own.alias("heads"), own.alias("tails")), "named1")
-    keys, found = ["lang", "word"], []
+    level = settled_at(frequent.where("at = id").select("id", "lang", text.alias("phrase"), text.alias("last"), "a", own.alias("heads"), own.alias("tails")), "named1")[0]
+    found = []
     for k in range(2, max_words + 1):
-        rows = _next(rows, level, keys, k)
-        level, keys = _named(rows, level, min_count, k), ["left", "right"]
+        above, at = _next(rows, frequent, k)
+        removed(spark, folder)
+        rows, folder = above, at
+        frequent = _frequent(rows, ["left", "right"], min_count, k)
+        level = _named(frequent, level, k)
         found.append(level)
+    removed(spark, folder)
     kept = []
     for k, phrases in enumerate(found, 2):
         if k < max_words:
@@ -173,7 +192,7 @@ def collocations(docs: DataFrame, min_count: int = 30, max_words: int = 4, perce
         every = every.unionAll(more)
     every = every.select("lang", "phrase", "a", F.col("k").alias("words"), "at.score", "at.cut", "at.l", "at.r")
     best = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    share = F.pmod(F.xxhash64("phrase"), F.lit(width(docs.sparkSession)))
+    share = F.pmod(F.xxhash64("phrase"), F.lit(width(spark)))
     dealt = every.withColumn("share", share).withColumn("place", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*best))).where(F.col("place") <= top)
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "words", "cut")

@@ -61,15 +61,16 @@ def _point(fp):
 
 def links(fingerprints: DataFrame) -> DataFrame:
     """Pairs (v, m) whose links join what two differing bits or fewer join, from distinct ``fp``."""
-    steps = F.explode(F.array(F.struct(F.lit(-1).alias("s"), F.lit(0).alias("by")), *[F.struct(F.lit(s).alias("s"), F.lit(by).alias("by")) for s in range(SEGMENTS) for by in (-1, 1)]))
+    steps = F.explode(F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("by")), *[F.struct(F.lit(4 * s).alias("s"), F.lit(by).alias("by")) for s in range(SEGMENTS) for by in (-1, 1)]))
     points = fingerprints.select("fp", _point(F.col("fp")).alias("point"), steps.alias("to")).select("fp", "point", "to.s", "to.by")
-    set_bits = F.expr("shiftrightunsigned(point, 4 * s) & 15")
-    reached = points.where((F.col("by") == 0) | ((F.col("by") < 0) & (set_bits > 0)) | ((F.col("by") > 0) & (set_bits < 4)))
-    reached = reached.select("fp", "s", "by", F.expr("CASE WHEN by = 0 THEN point ELSE point + by * shiftleft(1L, 4 * s) END").alias("cell"))
-    crowded = reached.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("cell")
-    met = reached.join(crowded, "cell").select("fp", "s", "by")
-    flipped = "filter(transform(sequence(4 * s, 4 * s + 3), i -> shiftleft(1L, i)), b -> (fp & b <> 0) = (by < 0))"
-    values = settled(met.select("fp", F.explode(F.expr(f"CASE WHEN by = 0 THEN array(fp) ELSE transform({flipped}, b -> fp ^ b) END")).alias("value")), "values")
+    set_bits = F.expr("shiftrightunsigned(point, s) & 15")
+    reached = points.where((F.col("by") == 0) | ((F.col("by") < 0) & (set_bits > 0)) | ((F.col("by") > 0) & (set_bits < 4))).selectExpr("fp", "point + by * shiftleft(1L, s) AS cell")
+    crowded = reached.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1").select("cell")
+    met = reached.join(crowded, "cell").select("fp", "cell", _point(F.col("fp")).alias("point"))
+    # a cell one step away differs in one segment: four bits, of which those that are clear (or set) lead there
+    segment = "sequence(bit_count(abs(cell - point) - 1), bit_count(abs(cell - point) - 1) + 3)"
+    flipped = f"filter(transform({segment}, i -> shiftleft(1L, i)), b -> (fp & b <> 0) = (cell < point))"
+    values = settled(met.select("fp", F.explode(F.expr(f"CASE WHEN cell = point THEN array(fp) ELSE transform({flipped}, b -> fp ^ b) END")).alias("value")), "values")
     shared = values.groupBy("value").agg(F.min("fp").alias("m"), F.max("fp").alias("hi")).where("m < hi").select("value", "m")
     found = values.join(shared, "value").where("fp <> m").select(F.col("fp").alias("v"), "m").distinct()
     return found.where(F.bit_count(F.col("v").bitwiseXOR(F.col("m"))) <= 2)
