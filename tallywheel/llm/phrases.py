@@ -13,7 +13,9 @@ its own, and a list of what they stand for with a count of each, so that what is
 a block and distinct phrase, once for each level: a phrase has no more rows than there are blocks, which
 are summed where they meet and carry the lowest of their places as its number from then on. Those that
 proved frequent return to their blocks, which are rewritten a level higher; what can't be part of a longer
-phrase shrinks to one separator. Blocks of a level are removed when the next one is written.
+phrase shrinks to one separator. Pairs travel as lists, one for a block and left part; the lists of a part
+that is very frequent are dealt out by the right part, so that no part's pairs meet in one task. What a
+level needed is removed when the next one is written.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywheel.llm.common import removed, settled_at, width
+from tallywheel.llm.words import mixed
 
 #: A piece ends at one of these characters; the other blanks separate words.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -36,10 +39,13 @@ BLOCK_WORDS = 1 << 21
 #: A place is a block's number followed by so many bits for an entry of its list; a block's number is a task's followed by so many for its blocks.
 _LOCAL, _OWN = 28, 12
 
+#: Occurrences of a left part for which its pairs go to one place.
+_SHARE = 1 << 16
+
 _WORDS = pa.schema([("at", pa.int64()), ("seq", pa.binary()), ("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
-_PAIRS = pa.schema([("at", pa.int64()), ("seq", pa.binary()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
+_PAIRS = pa.schema([("at", pa.int64()), ("seq", pa.binary()), ("left", pa.int64()), ("share", pa.int64()), ("rights", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
 _WORDS_DDL = "at long, seq binary, lang string, word binary, n long"
-_PAIRS_DDL = "at long, seq binary, left long, right long, n long"
+_PAIRS_DDL = "at long, seq binary, left long, share long, rights array<long>, n array<long>"
 
 
 class _Numbers(dict):
@@ -60,14 +66,22 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().translate(_TO_END).replace(b"\n", b" " + _END + b" ").split()
 
 
-def _rows(schema: pa.Schema, block: int, seq: np.ndarray, names: list[pa.Array], n: np.ndarray) -> pa.Table:
-    """A block's list, one row an entry at its place, and one row with its sequence."""
-    k = len(n)
-    if k >> _LOCAL or block >> 63 - _LOCAL:
-        raise ValueError(f"no places for {k} distinct phrases in block {block}")
-    listed = [pa.array((block << _LOCAL) + np.arange(k)), pa.nulls(k, pa.binary()), *names, pa.array(n.astype(np.int64))]
-    own = [pa.array([block << _LOCAL], pa.int64()), pa.array([seq.astype(np.int32).tobytes()], pa.binary()), *[pa.nulls(1, f.type) for f in list(schema)[2:]]]
-    return pa.Table.from_batches([pa.RecordBatch.from_arrays(x, schema=schema) for x in (listed, own)])
+def _packed(seq: np.ndarray) -> bytes:
+    raw = seq.astype(np.int32).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(seq: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(seq[8:], decompressed_size=int.from_bytes(seq[:8], "little"), codec="zstd"), np.int32)
+
+
+def _rows(schema: pa.Schema, block: int, seq: np.ndarray, places: np.ndarray, listed: list[pa.Array], entries: int) -> pa.Table:
+    """A block's list, entries at their places, and one row with its sequence."""
+    if entries >> _LOCAL or block >> 63 - _LOCAL:
+        raise ValueError(f"no places for {entries} distinct phrases in block {block}")
+    rows = [pa.array((block << _LOCAL) + places), pa.nulls(len(places), pa.binary()), *listed]
+    own = [pa.array([block << _LOCAL], pa.int64()), pa.array([_packed(seq)], pa.binary()), *[pa.nulls(1, f.type) for f in list(schema)[2:]]]
+    return pa.Table.from_batches([pa.RecordBatch.from_arrays(x, schema=schema) for x in (rows, own)])
 
 
 def _blocks(most: int):
@@ -76,8 +90,8 @@ def _blocks(most: int):
 
         def block() -> Iterator[pa.RecordBatch]:
             seq = np.concatenate(held)
-            listed = [pa.array([x[0] for x in names], pa.string()), pa.array([x[1] for x in names], pa.binary())]
-            yield from _rows(_WORDS, number, seq, listed, np.bincount(seq[seq >= 0], minlength=len(names))).to_batches()
+            listed = [pa.array([x[0] for x in names], pa.string()), pa.array([x[1] for x in names], pa.binary()), pa.array(np.bincount(seq[seq >= 0], minlength=len(names)).astype(np.int64))]
+            yield from _rows(_WORDS, number, seq, np.arange(len(names)), listed, len(names)).to_batches()
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -100,35 +114,49 @@ def _raised(left: pa.Table, right: pa.Table) -> pa.Table:
     """A block one level higher: its pairs of neighbours that are both frequent, from its sequence and the numbers of the frequent entries of its list."""
     if not left.num_rows or not right.num_rows:
         return _PAIRS.empty_table()
-    seq = np.frombuffer(left["seq"][0].as_py(), np.int32)
+    seq = _unpacked(left["seq"][0].as_py())
     local = right["at"].to_numpy() & ((1 << _LOCAL) - 1)
-    number = np.full(max(int(seq.max()), int(local.max())) + 1, -1, np.int64)
-    number[local] = right["id"].to_numpy()
+    number, often = np.full((2, max(int(seq.max()), int(local.max())) + 1), -1, np.int64)
+    number[local], often[local] = right["id"].to_numpy(), right["a"].to_numpy()
     seq = np.where((seq >= 0) & (number[seq] >= 0), seq, -1).astype(np.int64)
     at = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0))
     if not len(at):
         return _PAIRS.empty_table()
     pairs, inverse, n = np.unique(seq[at] << 32 | seq[at + 1], return_inverse=True, return_counts=True)
+    first, rest = number[pairs >> 32], number[pairs & 0xFFFFFFFF]
+    share = (mixed(rest.view(np.uint64)) % (1 + often[pairs >> 32] // _SHARE).astype(np.uint64)).astype(np.int64)
+    order = np.lexsort((share, first))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
     above = np.full(len(seq), -1, np.int64)
-    above[at] = inverse
+    above[at] = place[inverse]
     above = above[(above >= 0) | np.concatenate(([False], above[:-1] >= 0))]
-    names = [pa.array(number[pairs >> 32]), pa.array(number[pairs & 0xFFFFFFFF])]
-    return _rows(_PAIRS, left["block"][0].as_py(), above, names, n)
+    first, rest, share, n = first[order], rest[order], share[order], n[order]
+    starts = np.concatenate(([0], np.flatnonzero((first[1:] != first[:-1]) | (share[1:] != share[:-1])) + 1))
+    ends = pa.array(np.append(starts, len(order)).astype(np.int32))
+    listed = [pa.array(first[starts]), pa.array(share[starts]), pa.ListArray.from_arrays(ends, pa.array(rest)), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int64)))]
+    return _rows(_PAIRS, left["block"][0].as_py(), above, starts, listed, len(order))
 
 
-def _frequent(rows: DataFrame, keys: list[str], min_count: int, k: int) -> DataFrame:
-    """at, id, a and the keys of all entries that stand for a phrase with ``min_count`` or more occurrences in all blocks.
+def _frequent(listed: DataFrame, keys: list[str], min_count: int, k: int) -> tuple[DataFrame, str]:
+    """at, id, a and the keys of all entries that stand for a phrase with ``min_count`` or more occurrences in all blocks, and their folder.
 
     The entries of a phrase meet, at most one a block.
     """
     same = Window.partitionBy(*keys)
-    listed = rows.where("n IS NOT NULL").select("at", *keys, F.sum("n").over(same).alias("a"), F.min("at").over(same).alias("id"))
-    return settled_at(listed.where(F.col("a") >= min_count), f"frequent{k}")[0]
+    summed = listed.select("at", *keys, F.sum("n").over(same).alias("a"), F.min("at").over(same).alias("id"))
+    return settled_at(summed.where(F.col("a") >= min_count), f"frequent{k}")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """at, left, share, right and n of all pairs of all blocks, dealt by left part and share."""
+    lists = rows.where("n IS NOT NULL").select("at", "left", "share", "rights", "n").repartition("left", "share")
+    return lists.select("at", "left", "share", "n", F.posexplode("rights").alias("i", "right")).select(F.expr("at + i").alias("at"), "left", "share", "right", F.get("n", F.col("i")).alias("n"))
 
 
 def _next(rows: DataFrame, frequent: DataFrame, k: int) -> tuple[DataFrame, str]:
     """All blocks one level higher, where pairs stand for phrases of k words, and the folder they lie in."""
-    numbers = frequent.select(F.shiftright("at", _LOCAL).alias("of"), "at", "id")
+    numbers = frequent.select(F.shiftright("at", _LOCAL).alias("of"), "at", "id", "a")
     seqs = rows.where("n IS NULL").select(F.shiftright("at", _LOCAL).alias("block"), "seq")
     return settled_at(seqs.groupBy("block").cogroup(numbers.groupBy("of")).applyInArrow(_raised, _PAIRS_DDL), f"phrases{k}")
 
@@ -167,19 +195,21 @@ def collocations(docs: DataFrame, min_count: int = 30, max_words: int = 4, perce
     texts = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), docs[text_col].cast("binary").alias("text"))
     spark = docs.sparkSession
     rows, folder = settled_at(texts.mapInArrow(_blocks(block_words), _WORDS_DDL), "words")
-    totals = settled_at(rows.where("n IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")), "totals")[0]
-    frequent = _frequent(rows, ["lang", "word"], min_count, 1)
+    listed = rows.where("n IS NOT NULL")
+    totals = settled_at(listed.groupBy("lang").agg(F.sum("n").alias("n")), "totals")[0]
+    frequent, used = _frequent(listed, ["lang", "word"], min_count, 1)
     text, own = F.col("word").cast("string"), F.array("a")
     level = settled_at(frequent.where("at = id").select("id", "lang", text.alias("phrase"), text.alias("last"), "a", own.alias("heads"), own.alias("tails")), "named1")[0]
     found = []
     for k in range(2, max_words + 1):
-        above, at = _next(rows, frequent, k)
-        removed(spark, folder)
-        rows, folder = above, at
-        frequent = _frequent(rows, ["left", "right"], min_count, k)
-        level = _named(frequent, level, k)
+        rows, above = _next(rows, frequent, k)
+        for folder in (folder, used):
+            removed(spark, folder)
+        frequent, used = _frequent(_pairs(rows), ["left", "share", "right"], min_count, k)
+        level, folder = _named(frequent, level, k), above
         found.append(level)
-    removed(spark, folder)
+    for folder in (folder, used):
+        removed(spark, folder)
     kept = []
     for k, phrases in enumerate(found, 2):
         if k < max_words:
