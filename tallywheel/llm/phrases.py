@@ -67,12 +67,14 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def _packed(seq: np.ndarray) -> bytes:
-    raw = seq.astype(np.int32).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """A sequence byte by byte: all lowest bytes, then the next ones; early numbers are the frequent words', so the upper ones are mostly alike."""
+    planes = np.ascontiguousarray(seq.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unpacked(seq: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(seq[8:], decompressed_size=int.from_bytes(seq[:8], "little"), codec="zstd"), np.int32)
+    planes = pa.decompress(seq[8:], decompressed_size=int.from_bytes(seq[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
 
 
 def _rows(schema: pa.Schema, block: int, seq: np.ndarray, places: np.ndarray, listed: list[pa.Array], entries: int) -> pa.Table:
@@ -116,15 +118,15 @@ def _raised(left: pa.Table, right: pa.Table) -> pa.Table:
         return _PAIRS.empty_table()
     seq = _unpacked(left["seq"][0].as_py())
     local = right["at"].to_numpy() & ((1 << _LOCAL) - 1)
-    number, often = np.full((2, max(int(seq.max()), int(local.max())) + 1), -1, np.int64)
-    number[local], often[local] = right["id"].to_numpy(), right["a"].to_numpy()
+    number, shares = np.full((2, max(int(seq.max()), int(local.max())) + 1), -1, np.int64)
+    number[local], shares[local] = right["id"].to_numpy(), right["shares"].to_numpy()
     seq = np.where((seq >= 0) & (number[seq] >= 0), seq, -1).astype(np.int64)
     at = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0))
     if not len(at):
         return _PAIRS.empty_table()
     pairs, inverse, n = np.unique(seq[at] << 32 | seq[at + 1], return_inverse=True, return_counts=True)
     first, rest = number[pairs >> 32], number[pairs & 0xFFFFFFFF]
-    share = (mixed(rest.view(np.uint64)) % (1 + often[pairs >> 32] // _SHARE).astype(np.uint64)).astype(np.int64)
+    share = (mixed(rest.view(np.uint64)) % shares[pairs >> 32].astype(np.uint64)).astype(np.int64)
     order = np.lexsort((share, first))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -156,7 +158,7 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 def _next(rows: DataFrame, frequent: DataFrame, k: int) -> tuple[DataFrame, str]:
     """All blocks one level higher, where pairs stand for phrases of k words, and the folder they lie in."""
-    numbers = frequent.select(F.shiftright("at", _LOCAL).alias("of"), "at", "id", "a")
+    numbers = frequent.select(F.shiftright("at", _LOCAL).alias("of"), "at", "id", F.expr(f"1 + a div {_SHARE}").alias("shares"))
     seqs = rows.where("n IS NULL").select(F.shiftright("at", _LOCAL).alias("block"), "seq")
     return settled_at(seqs.groupBy("block").cogroup(numbers.groupBy("of")).applyInArrow(_raised, _PAIRS_DDL), f"phrases{k}")
 
