@@ -69,16 +69,19 @@ def _value(kind: str, data: bytes, at: int):
         of, n = array
         if n is None:
             n, at = _number(data, at), at + _WORD
-        if n * _size(of) > len(data) - at:
+        if n > len(data) or n * _size(of) > len(data) - at:
             raise ValueError("beyond the end")
         return _row([of] * n, data, at)
     if kind.startswith("("):
         return _row(parts(kind), data, at)
     n = _number(data, at)
     if kind in ("string", "bytes"):
-        raw = data[at + _WORD : at + _WORD + n]
-        if len(raw) < n:
+        if n > len(data):
             raise ValueError("beyond the end")
+        padded = data[at + _WORD : at + _WORD + -(-n // _WORD) * _WORD]
+        raw = padded[:n]
+        if len(padded) < -(-n // _WORD) * _WORD or any(padded[n:]):
+            raise ValueError("beyond the end, or padded with other bytes than zeros")
         return raw.decode() if kind == "string" else "0x" + raw.hex()
     if kind == "address":
         if n >> 160:
@@ -93,6 +96,8 @@ def _value(kind: str, data: bytes, at: int):
             raise ValueError("out of range")
         return value
     if m := re.fullmatch(r"bytes(\d+)", kind):
+        if any(data[at + int(m[1]) : at + _WORD]):
+            raise ValueError("padded with other bytes than zeros")
         return "0x" + data[at : at + int(m[1])].hex()
     raise ValueError(kind)
 

@@ -19,31 +19,52 @@ def _signed(w: Column) -> Column:
     return F.when(minus, F.concat(F.lit("-"), word_to_text(F.translate(F.lower(w), *_COMPLEMENT), negative=True))).otherwise(word_to_text(w))
 
 
+def _bound(value: Column, f) -> Column:
+    """``f`` of a value that gets a name, as an expression in a lambda is evaluated at each of its places."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _whole(kind: Column, w: Column) -> Column:
+    """Whether a number's word holds no more bits than its type: the digits above are zeros, or for one below zero all ones."""
+    bits = F.coalesce(F.regexp_extract(kind, "^u?int([0-9]+)$", 1).try_cast("int"), F.lit(256))
+
+    def fits(spare: Column) -> Column:
+        above, first = F.lower(F.substr(w, F.lit(1), spare)), F.lower(F.substr(w, spare + 1, F.lit(1)))
+        zeros = above == F.repeat(F.lit("0"), spare)
+        return F.when(kind.startswith("u"), zeros).otherwise(zeros & (first < "8") | (above == F.repeat(F.lit("f"), spare)) & (first >= "8"))
+
+    return _bound(F.lit(64) - F.shiftright(F.least(bits, F.lit(256)), 2), fits)
+
+
+def _content(w: Column, body: Column) -> Column:
+    """Hex digits of a string or bytes: at the place in ``w`` their size, then so many bytes, padded with zeros to whole words."""
+    within = lambda word: _bound(word_to_decimal(word), lambda x: F.when(x <= F.length(body) / 2, x.cast("int") * 2))
+    padded = lambda size: F.ceil(size / 64).cast("int") * 64
+    cut = lambda size: lambda tail: F.when((F.length(tail) == padded(size)) & F.substr(tail, size + 1, F.lit(64)).rlike("^0*$"), F.substr(tail, F.lit(1), size))
+    return _bound(within(w), lambda at: _bound(within(F.substr(body, at + 1, F.lit(64))), lambda size: _bound(F.substr(body, at + 65, padded(size)), cut(size))))
+
+
 def value_text(kind: Column, w: Column, body: Column) -> Column:
     """One value as text: numbers in base 10, addresses and bytes as 0x hex; null where it doesn't fit its type.
 
-    ``w`` is the value's word in the head and ``body`` all hex digits, where strings and bytes lie.
+    ``w`` is the value's word in the head and ``body`` all hex digits, where strings and bytes lie. No value
+    ends a job: places and sizes beyond the data, numbers of more bits than their type, padding other than
+    zeros and text that isn't UTF-8 give null.
     """
-    at = word_to_decimal(w).try_cast("int") * 2
-    size = word_to_decimal(F.substr(body, at + 1, F.lit(64))).try_cast("int") * 2
-    tail = F.substr(body, at + 65, size)
-    whole = F.when(F.length(tail) == size, tail)
-    fixed = F.regexp_extract(kind, "^bytes([0-9]+)$", 1)
+    long = lambda hexes: F.when(kind == "bytes", F.concat(F.lit("0x"), F.lower(hexes))).otherwise(F.try_validate_utf8(F.unhex(hexes).cast("string")))
+    fixed = lambda n: F.when(F.substr(w, n + 1, F.lit(64)).rlike("^0*$"), F.concat(F.lit("0x"), F.lower(F.substr(w, F.lit(1), n))))
     return (
-        F.when(kind.startswith("uint"), word_to_text(w))
-        .when(kind.startswith("int"), _signed(w))
+        F.when(kind.rlike("^u?int[0-9]*$"), F.when(_whole(kind, w), F.when(kind.startswith("u"), word_to_text(w)).otherwise(_signed(w))))
         .when(kind == "address", F.when(w.startswith("0" * 24), word_to_address(w)))
         .when(kind == "bool", F.when(F.lower(w) == "0" * 64, F.lit("false")).when(F.lower(w) == "0" * 63 + "1", F.lit("true")))
-        .when(fixed != "", F.concat(F.lit("0x"), F.lower(F.substr(w, F.lit(1), fixed.try_cast("int") * 2))))
-        .when(kind == "bytes", F.concat(F.lit("0x"), F.lower(whole)))
-        .when(kind == "string", F.decode(F.unhex(whole), "UTF-8"))
+        .when(kind.isin("bytes", "string"), _bound(_content(w, body), long))
+        .when(kind.startswith("bytes"), _bound(F.regexp_extract(kind, "^bytes([0-9]+)$", 1).try_cast("int") * 2, fixed))
     )
 
 
 def _values(inputs: Column, words_at, body: Column, nested: bool, ok: Column) -> Column:
     """Texts of all values where ``ok``; rows with arrays or tuples among them go to Python, if there can be any."""
-    # A word is bound to a name of its own, as an expression in a lambda is evaluated at each of its places.
-    one = lambda kind, word: F.get(F.transform(F.array(word), lambda w: value_text(kind, w, body)), 0)
+    one = lambda kind, word: _bound(word, lambda w: value_text(kind, w, body))
     plain = F.transform(inputs, lambda x, i: one(x["type"], words_at(i)))
     if not nested:
         return F.when(ok, plain)

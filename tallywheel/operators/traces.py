@@ -7,8 +7,9 @@ is the pre-order of a walk, so nothing recurses after the nested JSON has been f
 from __future__ import annotations
 
 import json
+import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.udtf import UserDefinedTableFunction
 
@@ -22,20 +23,38 @@ from tallywheel.sources.registry import Registry
 def flatten_call_trace() -> UserDefinedTableFunction:
     """Table function over the JSON of a nested call trace; register it, or use it with LATERAL.
 
-    A frame has status 0 if it or a frame above it failed.
+    A frame has status 0 if it or a frame above it failed. Nothing that a text can hold ends the job:
+    one that isn't JSON gives a single row with problem ``malformed_json``, a child that is no object one
+    with ``malformed_frame``, and a value that is no 0x quantity (as "0x") is null, with ``malformed_value``.
     """
 
-    @F.udtf(returnType="trace_address array<int>, call_type string, from_address string, to_address string, value string, gas string, gas_used string, input string, output string, error string, revert_reason string, status int, subtraces int")
+    @F.udtf(returnType="trace_address array<int>, call_type string, from_address string, to_address string, value string, gas string, gas_used string, input string, output string, error string, revert_reason string, status int, subtraces int, problem string")
     class Flatten:
         def eval(self, text: str):
             if not text:
                 return
-            stack = [(json.loads(text), [], False)]
+            try:
+                root = json.loads(text)
+            except (ValueError, RecursionError):
+                yield [], *[None] * 10, 0, 0, "malformed_json"
+                return
+            text_of = lambda x: x if x is None or isinstance(x, str) else json.dumps(x)
+            stack = [(root, [], False)]
             while stack:
                 node, path, above = stack.pop()
+                if not isinstance(node, dict):
+                    yield path, *[None] * 10, 0, 0, "malformed_frame"
+                    continue
                 failed = above or bool(node.get("error")) or bool(node.get("revertReason"))
                 calls = node.get("calls") or []
-                yield path, node.get("type"), (node.get("from") or "").lower(), (node.get("to") or "").lower() or None, str(int(node.get("value") or "0x0", 16)), node.get("gas"), node.get("gasUsed"), node.get("input"), node.get("output"), node.get("error"), node.get("revertReason"), int(not failed), len(calls)
+                calls = calls if isinstance(calls, list) else [calls]
+                value, problem = node.get("value") or "0x0", None
+                if isinstance(value, str) and re.fullmatch("0[xX][0-9a-fA-F]+", value):
+                    value = str(int(value, 16))
+                else:
+                    value, problem = None, "malformed_value"
+                lower = lambda name, node=node: (text_of(node.get(name)) or "").lower()
+                yield path, text_of(node.get("type")), lower("from"), lower("to") or None, value, *[text_of(node.get(n)) for n in ("gas", "gasUsed", "input", "output", "error", "revertReason")], int(not failed), len(calls), problem
                 stack.extend((c, [*path, i], failed) for i, c in reversed(list(enumerate(calls))))
 
     return Flatten
@@ -69,14 +88,20 @@ def walk(frames: DataFrame, predicate) -> DataFrame:
 def with_ancestor_success(frames: DataFrame) -> DataFrame:
     """``frames`` with success (no error of its own) and parent_success (none above it; true for the root).
 
-    A failed frame sends its path once and a frame looks up its own prefixes, so the join carries only
-    failures on one side.
+    In path order the frames below one follow it without a break, up to the path with its last number
+    plus one. So a frame lies below a failed one exactly if the greatest such bound of the failed frames
+    with smaller paths is above its own path: one pass over each transaction's frames, whatever their
+    depth, with one shuffle. Frames that share a path aren't below each other; those without a
+    transaction have no frames above them.
     """
     own = frames.withColumn("success", F.col("error").isNull() & (F.col("revert_reason").isNull() if "revert_reason" in frames.columns else F.lit(True)))
-    failed = own.where("NOT success").select("tx_hash", F.col("trace_address").alias("_prefix"), F.lit(True).alias("_failed")).distinct()
-    prefixes = own.where(F.size("trace_address") > 0).select("tx_hash", "trace_address", F.explode(F.transform(F.sequence(F.lit(0), F.size("trace_address") - 1), lambda n: F.slice("trace_address", F.lit(1), n))).alias("_prefix"))
-    under = prefixes.join(failed, ["tx_hash", "_prefix"]).select("tx_hash", "trace_address", "_failed").distinct()
-    return own.join(under, ["tx_hash", "trace_address"], "left").withColumn("parent_success", F.col("_failed").isNull()).drop("_failed")
+    path, depth = F.col("trace_address"), F.size("trace_address")
+    bound = F.when(depth == 0, F.array(F.lit(2**31 - 1))).otherwise(F.concat(F.slice(path, F.lit(1), depth - 1), F.array(F.element_at(path, -1) + 1)))
+    tree = Window.partitionBy("tx_hash")
+    placed = own.withColumn("_place", F.dense_rank().over(tree.orderBy("trace_address")))
+    before = tree.orderBy("_place").rangeBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.when(~F.col("success"), bound)).over(before)
+    return placed.withColumn("_reach", reach).withColumn("parent_success", F.coalesce(F.col("tx_hash").isNull() | (F.col("_reach") <= path), F.lit(True))).drop("_place", "_reach")
 
 
 def decode_trace_calls(frames: DataFrame, registry: Registry) -> DataFrame:
@@ -94,6 +119,6 @@ def token_transfer_calls(calls: DataFrame, token: str, receipts: DataFrame, fill
     ok = receipts.where("status = 1").select(F.lower("tx_hash").alias("_tx")).distinct()
     kept = calls.where((F.col("contract_address") == token) & named & F.col("success") & F.col("parent_success")).join(ok, F.lower("tx_hash") == F.col("_tx"), "left_semi")
     sender = F.coalesce(F.try_element_at("params", F.lit("from")), F.lower("from_address") if fill_caller else F.lit(""))
-    amount = F.coalesce(*[F.try_element_at("params", F.lit(n)) for n in ("amount", "value", "_value")]).cast("decimal(38,0)")
+    amount = F.coalesce(*[F.try_element_at("params", F.lit(n)) for n in ("amount", "value", "_value")]).try_cast("decimal(38,0)")  # null beyond 38 digits
     to = F.coalesce(*[F.try_element_at("params", F.lit(n)) for n in ("to", "_to", "recipient")])
     return kept.withColumns({"token_address": F.lit(token), "from_addr": sender, "to_addr": to, "amount": amount})

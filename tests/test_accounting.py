@@ -108,6 +108,70 @@ def test_arrays_tuples_and_anonymous_events(spark):
     assert a["method_name"] == "send" and a["params"] == {"to": f'["{A}","{B}"]', "note": "hi"} and b["failure_reason"] == "abi_mismatch"
 
 
+HOSTILE = {
+    "uint8": ("uint8", [word(255), word(256), "f" * 64], ["255", None, None]),
+    "int8": ("int8", [word(127), word(128), "f" * 62 + "80", "f" * 62 + "7f"], ["127", None, "-128", None]),
+    "bytes2": ("bytes2", ["abcd" + "0" * 60, "abcd" + "0" * 59 + "1"], ["0xabcd", None]),
+    "address": ("address", ["0" * 23 + "1" + "0" * 40], [None]),
+    "bool": ("bool", [word(2)], [None]),
+    "string": (
+        "string",
+        [word(32) + word(2) + "6869" + "0" * 60, word(32) + word(1) + "ff" + "0" * 62, word(32) + word(2) + "6869" + "1" * 60, word(32) + word(2**30) + word(0), word(2**30) + word(1), word(2**31) + word(1), word(2**62) + word(1), "f" * 64, word(32) + "f" * 64, word(32) + word(0), word(64) + word(0)],
+        ["hi", None, None, None, None, None, None, None, None, "", None],
+    ),
+    "bytes": ("bytes", [word(32) + word(1) + "ff" + "0" * 62, word(32) + word(33) + word(1)], ["0xff", None]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+@pytest.mark.parametrize("nested", [False, True])
+def test_hostile_values(spark, name, nested):
+    """Data that doesn't fit its type is a failure with a reason, in the JVM as beside an array in Python."""
+    kind, datas, want = HOSTILE[name]
+    inputs = [{"name": "v", "type": kind}] + ([{"name": "none", "type": "uint256[0]"}] if nested else [])
+    abi = [{"type": "function", "name": "f", "inputs": inputs}]
+    reg = Registry.of([Phase(C, "r", "v", 0, None, "e")], {"e": abi})
+    sel = reg._items("function")[0][1]
+    calls = spark.createDataFrame([(i, 1, C, sel + d) for i, d in enumerate(datas)], "i int, block_number long, to_address string, input string")
+    got = {r["i"]: r for r in decode.decode_calldata(calls, reg).collect()}
+    assert [got[i]["params"].get("v") for i in range(len(datas))] == want
+    assert [got[i]["failure_reason"] for i in range(len(datas))] == [None if v is not None else "abi_mismatch" for v in want]
+
+
+def test_hostile_traces(spark):
+    spark.udtf.register("flatten_call_trace", traces.flatten_call_trace())
+    texts = ["{", "[1]", "null", '{"type": "CALL", "value": "0x"}', '{"value": 7, "calls": [5, {"from": 3, "value": "0xg"}]}', "", None, '{"calls": {"type": "CALL"}}', "[" * 100000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, js string")
+    got = [(r["i"], list(r["trace_address"]), r["value"], r["problem"]) for r in spark.sql("SELECT i, t.* FROM {rows}, LATERAL flatten_call_trace(js) t", rows=rows).collect()]
+    assert sorted(got) == [(0, [], None, "malformed_json"), (1, [], None, "malformed_frame"), (2, [], None, "malformed_frame"), (3, [], None, "malformed_value"), (4, [], None, "malformed_value"), (4, [0], None, "malformed_frame"), (4, [1], None, "malformed_value"), (7, [], "0", None), (7, [0], "0", None), (8, [], None, "malformed_json")]
+
+
+def test_amounts_beyond_38_digits_in_transfer_calls(spark):
+    frames = spark.createDataFrame([(1, 5, TX, [], A, TOKEN, "0xa9059cbb" + padded(C)[2:] + "f" * 64, None)], "chain_id int, block_number long, tx_hash string, trace_address array<int>, from_address string, to_address string, input string, error string")
+    got = traces.token_transfer_calls(traces.decode_trace_calls(frames, REGISTRY), TOKEN, spark.createDataFrame([(TX, 1)], "tx_hash string, status int")).first()
+    assert got["amount"] is None and got["params"]["amount"] == str(2**256 - 1)
+
+
+def test_ancestors_by_one_pass(spark):
+    """Random trees, a chain of a thousand frames, twin paths and frames without a transaction against a look at each prefix."""
+    rnd, rows = random.Random(3), []
+    for t in range(40):
+        paths = [[]]
+        for _ in range(rnd.randint(0, 60)):
+            above = rnd.choice(paths)
+            paths.append([*above, sum(len(p) == len(above) + 1 and p[:-1] == above for p in paths)])
+        rows += [(f"t{t}", p, "x" if rnd.random() < 0.1 else None) for p in paths]
+    rows += [("deep", [0] * n, "x" if n == 700 else None) for n in range(1000)] + [("deep", [0] * 700 + [1], None), ("deep", [1], None)]
+    rows += [("twin", [0], "x"), ("twin", [0], "x"), ("twin", [0], None), ("twin", [0, 3], None), (None, [0], "x"), (None, [0, 1], None), ("top", [], "x"), ("top", [2**31 - 2], None)]
+    frames = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, tx_hash string, trace_address array<int>, error string")
+    failed = {(t, tuple(p)) for t, p, e in rows if e and t is not None}
+    found = traces.with_ancestor_success(frames)
+    got = {r["i"]: r["parent_success"] for r in found.collect()}
+    assert got == {i: not any((t, tuple(p[:n])) in failed for n in range(len(p))) for i, (t, p, _) in enumerate(rows)}
+    plan = traces.with_ancestor_success(frames)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
+
+
 def test_fast_transfer(spark):
     data = "0xa9059cbb" + "0" * 24 + A[2:] + word(7) + "ff"
     r = spark.createDataFrame([(data,), (data[:100],), ("0x",)], "d string").select(decode.fast_transfer(F.col("d")).alias("x")).collect()
