@@ -128,7 +128,7 @@ def staking_link_flows(actions: DataFrame, recon: DataFrame) -> DataFrame:
     return found.select(F.col("decoded_event_id").alias("event_id"), "wallet", F.col("kind").alias("flow_type"), "amount_link", "tx_hash", "block_number", status.alias("reconciliation_status"), "run_partition_id")
 
 
-def _dated(rows: DataFrame, canonical: DataFrame) -> DataFrame:
+def dated(rows: DataFrame, canonical: DataFrame) -> DataFrame:
     """Rows with the day of their block; by block number alone, as the marts do."""
     return rows.join(canonical.select("block_number", date_from_seconds("timestamp").alias("snapshot_date"), "timestamp"), "block_number")
 
@@ -137,36 +137,64 @@ def _sum_of(column: str, kind: str):
     return F.coalesce(F.sum(F.when(F.col(column) == kind, F.col("amount_link"))), F.lit(0))
 
 
+def wallet_days(flows: DataFrame) -> DataFrame:
+    net = F.when(F.col("flow_type") == "stake", -F.col("amount_link")).when(F.col("flow_type").isin("unstake_finalized", "reward_claimed"), F.col("amount_link")).otherwise(F.lit(0))
+    return flows.groupBy("wallet", "snapshot_date").agg(_sum_of("flow_type", "stake").alias("total_staked"), _sum_of("flow_type", "reward_claimed").alias("total_claimed"), _sum_of("flow_type", "slashed").alias("total_slashed"), F.sum(net).alias("net_flow"), F.max("run_partition_id").alias("run_partition_id"))
+
+
 @model("marts", "staking_link_flows", "stg_canonical_blocks", key=("wallet", "snapshot_date"))
 def wallet_economics(flows: DataFrame, canonical: DataFrame) -> DataFrame:
-    net = F.when(F.col("flow_type") == "stake", -F.col("amount_link")).when(F.col("flow_type").isin("unstake_finalized", "reward_claimed"), F.col("amount_link")).otherwise(F.lit(0))
-    return _dated(flows, canonical).groupBy("wallet", "snapshot_date").agg(_sum_of("flow_type", "stake").alias("total_staked"), _sum_of("flow_type", "reward_claimed").alias("total_claimed"), _sum_of("flow_type", "slashed").alias("total_slashed"), F.sum(net).alias("net_flow"), F.max("run_partition_id").alias("run_partition_id"))
+    return wallet_days(dated(flows, canonical))
+
+
+def pool_days(actions: DataFrame) -> DataFrame:
+    return actions.groupBy(F.col("contract_address").alias("pool_address"), "snapshot_date").agg(_sum_of("kind", "reward_accrued").alias("rewards_distributed"), _sum_of("kind", "slashed").alias("slashes_applied"), F.max("run_partition_id").alias("run_partition_id"))
+
+
+def pool_tops(snapshots: DataFrame) -> DataFrame:
+    return snapshots.where(F.col("token_address") == TOKEN).groupBy(F.col("holder_address").alias("pool_address")).agg(F.max("balance").alias("_top"))
+
+
+def with_tops(days: DataFrame, tops: DataFrame) -> DataFrame:
+    return days.join(tops, "pool_address", "left").withColumn("end_of_day_balance", F.coalesce("_top", F.lit(0))).drop("_top")
 
 
 @model("marts", "int_economic_actions", "stg_balance_snapshots", "stg_canonical_blocks", key=("pool_address", "snapshot_date"))
 def pool_economics(actions: DataFrame, snapshots: DataFrame, canonical: DataFrame) -> DataFrame:
     """Rewards and slashes by pool and day; the balance is the highest snapshot of all time."""
-    top = snapshots.where(F.col("token_address") == TOKEN).groupBy(F.col("holder_address").alias("pool_address")).agg(F.max("balance").alias("_top"))
-    days = _dated(actions, canonical).groupBy(F.col("contract_address").alias("pool_address"), "snapshot_date").agg(_sum_of("kind", "reward_accrued").alias("rewards_distributed"), _sum_of("kind", "slashed").alias("slashes_applied"), F.max("run_partition_id").alias("run_partition_id"))
-    return days.join(top, "pool_address", "left").withColumn("end_of_day_balance", F.coalesce("_top", F.lit(0))).drop("_top")
+    return with_tops(pool_days(dated(actions, canonical)), pool_tops(snapshots))
+
+
+_ORDER = ("exact", "partial", "unmatched", "not_expected", "unexpected", "ambiguous")
+
+
+def edge_counts(edges: DataFrame, *by) -> DataFrame:
+    """Edges of each chain by status; finer counts can be summed by ``summed_counts``."""
+    return edges.groupBy("chain_id", *by).agg(F.min("block_number").alias("block_range_start"), F.max("block_number").alias("block_range_end"), F.count("*").alias("_n"), *[_count(s).alias(f"_{s}") for s in _ORDER], F.max("run_partition_id").alias("run_partition_id"))
+
+
+def summed_counts(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("chain_id").agg(F.min("block_range_start").alias("block_range_start"), F.max("block_range_end").alias("block_range_end"), *[F.sum(c).alias(c) for c in ("_n", *(f"_{s}" for s in _ORDER))], F.max("run_partition_id").alias("run_partition_id"))
+
+
+def status_of_counts(counts: DataFrame, canonical: DataFrame) -> DataFrame:
+    text = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{s}":'), F.col(f"_{s}").cast("string")) for s in _ORDER]), F.lit("}"))
+    on = canonical.select("chain_id", F.col("block_number").alias("block_range_end"))
+    return counts.join(on, ["chain_id", "block_range_end"], "left_semi").select(ids.surrogate_key("chain_id", "block_range_start", "block_range_end").alias("partition_id"), "chain_id", "block_range_start", "block_range_end", safe_divide(F.col("_exact") + F.col("_not_expected"), "_n").alias("pass_rate"), text.alias("counts_by_status"), "run_partition_id")
 
 
 @model("marts", "stg_action_movement_edges", "stg_canonical_blocks", key=("partition_id",))
 def reconciliation_status(edges: DataFrame, canonical: DataFrame) -> DataFrame:
-    order = ("exact", "partial", "unmatched", "not_expected", "unexpected", "ambiguous")
-    r = edges.groupBy("chain_id").agg(F.min("block_number").alias("block_range_start"), F.max("block_number").alias("block_range_end"), F.count("*").alias("_n"), *[_count(s).alias(f"_{s}") for s in order], F.max("run_partition_id").alias("run_partition_id"))
-    text = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{s}":'), F.col(f"_{s}").cast("string")) for s in order]), F.lit("}"))
-    on = canonical.select("chain_id", F.col("block_number").alias("block_range_end"))
-    return r.join(on, ["chain_id", "block_range_end"], "left_semi").select(ids.surrogate_key("chain_id", "block_range_start", "block_range_end").alias("partition_id"), "chain_id", "block_range_start", "block_range_end", safe_divide(F.col("_exact") + F.col("_not_expected"), "_n").alias("pass_rate"), text.alias("counts_by_status"), "run_partition_id")
+    return status_of_counts(edge_counts(edges), canonical)
 
 
 @model("analytics", "staking_link_flows", "stg_canonical_blocks")
 def apy_realized_by_pool(flows: DataFrame, canonical: DataFrame) -> DataFrame:
     """Principal changes and rewards by day, and their ratio over a year; stakes and rewards of one time meet each other."""
-    dated = _dated(flows, canonical)
+    rows = dated(flows, canonical)
     delta = F.when(F.col("flow_type") == "stake", F.col("amount_link")).otherwise(-F.col("amount_link"))
-    stakes = dated.where(F.col("flow_type").isin("stake", "unstake_finalized")).select("timestamp", delta.alias("principal_delta"))
-    rewards = dated.where("flow_type = 'reward_claimed'").select("timestamp", F.col("amount_link").alias("reward"))
+    stakes = rows.where(F.col("flow_type").isin("stake", "unstake_finalized")).select("timestamp", delta.alias("principal_delta"))
+    rewards = rows.where("flow_type = 'reward_claimed'").select("timestamp", F.col("amount_link").alias("reward"))
     agg = canonical.select("timestamp").join(stakes, "timestamp", "left").join(rewards, "timestamp", "left").groupBy(date_from_seconds("timestamp").alias("snapshot_date")).agg(F.coalesce(F.sum("principal_delta"), F.lit(0)).alias("net_principal_delta"), F.coalesce(F.sum("reward"), F.lit(0)).alias("rewards_distributed"))
     rate = F.try_divide(F.col("rewards_distributed").cast("double") * F.lit(float(YEAR_SECONDS)), F.col("net_principal_delta").cast("double"))
     return agg.withColumn("reward_yield_proxy_annualized", rate)
@@ -174,14 +202,14 @@ def apy_realized_by_pool(flows: DataFrame, canonical: DataFrame) -> DataFrame:
 
 @model("analytics", "ledger_entries", "stg_canonical_blocks")
 def fee_attribution_by_source(entries: DataFrame, canonical: DataFrame) -> DataFrame:
-    rows = _dated(entries.where((F.col("direction") == "debit") & F.col("account").startswith("service_contract:")), canonical)
+    rows = dated(entries.where((F.col("direction") == "debit") & F.col("account").startswith("service_contract:")), canonical)
     payer = F.regexp_replace("account", "^[^:]*:", "")
     return rows.groupBy("snapshot_date", service(payer).alias("service"), payer.alias("source_address")).agg(F.sum("amount_link").alias("inflow_link"), F.count_distinct("tx_hash").alias("tx_count"))
 
 
 @model("analytics", "ledger_entries", "stg_canonical_blocks")
 def staker_reward_sustainability(entries: DataFrame, canonical: DataFrame) -> DataFrame:
-    credits = _dated(entries.where("direction = 'credit'"), canonical)
+    credits = dated(entries.where("direction = 'credit'"), canonical)
     rewards = credits.where(F.col("account").endswith(":rewards")).groupBy("snapshot_date").agg(F.sum("amount_link").alias("_r"))
     reserves = credits.where(F.col("account").startswith("pa_reserves:")).groupBy("snapshot_date").agg(F.sum("amount_link").alias("_v"))
     both = rewards.join(reserves, "snapshot_date", "full_outer").select("snapshot_date", F.coalesce("_r", F.lit(0)).alias("rewards_distributed"), F.coalesce("_v", F.lit(0)).alias("reserves_inflow"))
@@ -192,7 +220,7 @@ def staker_reward_sustainability(entries: DataFrame, canonical: DataFrame) -> Da
 def weekly_reserve_accumulation(entries: DataFrame, canonical: DataFrame) -> DataFrame:
     """Credits to the reserves by Monday week, and whether their transaction also touched the fee aggregator."""
     fee = entries.where(F.col("account").startswith("pa_fee_aggregator:")).select("tx_hash", F.lit(True).alias("_fee")).distinct()
-    rows = _dated(entries.where(F.col("account").startswith("pa_reserves:")), canonical).join(fee, "tx_hash", "left")
+    rows = dated(entries.where(F.col("account").startswith("pa_reserves:")), canonical).join(fee, "tx_hash", "left")
     return rows.groupBy(week_start("snapshot_date").alias("week_start"), F.when(F.col("_fee"), "pa_fee_inflow").otherwise("other_inflow").alias("inflow_source")).agg(F.coalesce(F.sum(F.when(F.col("direction") == "credit", F.col("amount_link"))), F.lit(0)).alias("link_inflow"), F.count_distinct("tx_hash").alias("tx_count"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from tallywheel.operators import blocks as B
 from tallywheel.operators import movements as M
 from tallywheel.plans import fixtures as X
 from tallywheel.plans import marts
-from tallywheel.plans.catalogue import _frames, _registry, _with, query
+from tallywheel.plans.incremental import Incremental
+from tallywheel.plans.catalogue import _DAY, _frames, _registry, _with, query
+from tallywheel.session import shared_folder
 
 _FINAL = "block_number <= (SELECT max(block_number) - 64 FROM base)"
 _TOKEN_UPPER = TOKEN.upper().replace("X", "x")
@@ -100,6 +104,52 @@ def ledger_entries(spark, d):
     return e.select("entry_id", F.col("amount_link").cast("long").alias("amount"), "block_number")
 
 
+# Incremental runs
+
+
+def growing_inputs(spark, d) -> dict[str, DataFrame]:
+    """All inputs of the keyed models; balances are the highest amounts of a pool's block."""
+    edges = matching.match_actions(X.small_actions(spark, d), X.movements(spark, d)).withColumn("run_partition_id", F.lit("run-1"))
+    snapshots = X.base(spark, d).groupBy("block_number", F.col("contract_address").alias("holder_address")).agg(F.max("cents").cast("decimal(38,0)").alias("balance")).withColumn("token_address", F.lit(TOKEN))
+    actions = X.actions(spark, d)
+    failures = X.events(spark, d).select(F.col("raw_log_id").alias("raw_id"), "block_number", (F.col("event_type") != "error").alias("success"))
+    return {"blocks": X.blocks(spark, d), "economic_actions": actions, "token_movements": X.movements(spark, d), "edges": edges, "ledger": ledger.staking_entries(actions), "balance_snapshots": snapshots, "decode_results": failures}
+
+
+def caught_up(spark, d, root: str | None = None) -> tuple[Incremental, dict[str, int], dict[str, int]]:
+    """Models over all blocks but the last tenth, and then brought up to date; rows written by both runs."""
+    inputs = growing_inputs(spark, d)
+    top = X.base(spark, d).agg(F.max("block_number")).first()[0] or 0
+    state = Incremental(spark, root or shared_folder(spark, "incremental"), span=max(1, top // 20))
+    whole = dict(state.run({k: v.where(F.col("block_number") <= top - top // 10) for k, v in inputs.items()}))
+    return state, whole, dict(state.run(inputs))
+
+
+_MODEL_TOTALS = _with(X.BASE, X.ACTIONS, X.MOVEMENTS, X.SMALL_ACTIONS) + f"""
+    , f AS (SELECT a.*, {_DAY} AS snapshot_date FROM actions a JOIN blocks b USING (block_number) WHERE a.{_FINAL}),
+    p AS (SELECT contract_address AS pool, block_number, max(cents) AS balance FROM base GROUP BY ALL),
+    s AS (SELECT balance - lag(balance) OVER (PARTITION BY pool ORDER BY block_number) AS step FROM p)
+    SELECT 'int_economic_actions' AS model, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total FROM f
+    UNION ALL SELECT 'int_token_movements', count(*), CAST(sum(amount) AS BIGINT) FROM movements
+    UNION ALL SELECT 'int_action_movement_recon', count(DISTINCT tx_hash), count(*) FROM edges
+    UNION ALL SELECT 'int_pool_balance_deltas', count(*), CAST(sum(step) AS BIGINT) FROM s WHERE step IS NOT NULL
+    UNION ALL SELECT 'int_decode_failures', count(*), CAST(sum(block_number) AS BIGINT) FROM base WHERE event_type = 'error'
+    UNION ALL SELECT 'ledger_entries', 2 * count(*), CAST(2 * sum(cents) AS BIGINT) FROM f WHERE cents > 0
+    UNION ALL SELECT 'staking_link_flows', count(*), CAST(sum(cents) AS BIGINT) FROM f
+    UNION ALL SELECT 'wallet_economics', count(*), CAST(sum(x) AS BIGINT) FROM (SELECT sum(CASE WHEN kind = 'stake' THEN -cents WHEN kind IN ('unstake_finalized', 'reward_claimed') THEN cents ELSE 0 END) AS x FROM f GROUP BY wallet, snapshot_date)
+    UNION ALL SELECT 'pool_economics', count(*), CAST(sum(top) AS BIGINT) FROM (SELECT DISTINCT contract_address, snapshot_date FROM f) JOIN (SELECT pool, max(balance) AS top FROM p GROUP BY pool) ON pool = contract_address
+"""
+
+
+@query(_MODEL_TOTALS)
+def incremental_models(spark, d):
+    """Rows and a sum of each keyed model after two runs, the second over the last tenth of the blocks."""
+    state, _, _ = caught_up(spark, d)
+    amounts = {"int_economic_actions": "amount_link", "int_token_movements": "amount", "int_action_movement_recon": "edge_count", "int_pool_balance_deltas": "observed_delta", "int_decode_failures": "block_number", "ledger_entries": "amount_link", "staking_link_flows": "amount_link", "wallet_economics": "net_flow", "pool_economics": "end_of_day_balance"}
+    totals = [state.read(m).agg(F.lit(m).alias("model"), F.count("*").alias("n"), F.sum(x).cast("long").alias("total")) for m, x in amounts.items()]
+    return reduce(DataFrame.unionAll, totals)
+
+
 # Movements
 
 

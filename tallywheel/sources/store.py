@@ -10,6 +10,7 @@ import json
 import operator
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
@@ -141,7 +142,8 @@ class Table:
     def _write(self, rows: DataFrame, known: dict[str, str], ranges: list[str]) -> DataFrame | None:
         v = uuid.uuid4().hex
         rows.withColumn("range_of", self._range().cast("string")).repartition("range_of").write.partitionBy("range_of").parquet(f"{self.path}/{v}")
-        new = known | {r: f"{v}/range_of={r}" for r in ranges}
+        written = [n.partition("=")[2] for n in self.files.names(f"{self.path}/{v}") if n.startswith("range_of=")]
+        new = {r: f for r, f in known.items() if r not in ranges} | {r: f"{v}/range_of={r}" for r in written}
         self.files.put(self._pointer(), json.dumps(new))
         return self._load(sorted(new.values()))
 
@@ -166,6 +168,13 @@ class Table:
             return None
         return self._write(rows, {}, ranges)
 
+    def exchange(self, rows: DataFrame, stays: Callable[[DataFrame], DataFrame], touched: Callable[[int], bool]) -> DataFrame | None:
+        """In the ranges that are touched keep what ``stays`` lets through of the old rows, add ``rows``, which lie in them, and switch to the result."""
+        known = self.folders()
+        ranges = [r for r in known if touched(int(r))]
+        old = self._load([known[r] for r in ranges])
+        return self._write(rows if old is None else stays(old).unionByName(rows), known, ranges)
+
     def vacuum(self, keep: tuple[str, ...] = ()) -> None:
         """Delete the folders that neither the pointer nor ``keep`` (folders that a reader still uses) names."""
         used = {*self.folders().values(), *keep}
