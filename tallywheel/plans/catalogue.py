@@ -399,7 +399,10 @@ def apy_realized_by_pool(spark, d):
 
 
 def _fee_entries(spark, d) -> DataFrame:
-    b = X.base(spark, d)
+    return _fee_entries_of(X.base(spark, d))
+
+
+def _fee_entries_of(b: DataFrame) -> DataFrame:
     known = F.array(*[F.lit(a) for a in SERVICES])
     payer = F.when(F.col("user_id") % 6 < 4, F.get(known, (F.col("user_id") % 6).cast("int"))).otherwise(F.col("wallet"))
     account = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("service_contract:"), payer)).when(F.col("event_id") % 3 == 1, F.lit("pa_reserves:link")).otherwise(F.when(F.col("event_id") % 4 == 0, F.lit("pa_fee_aggregator:x")).otherwise(F.lit("pool:rewards")))

@@ -31,7 +31,10 @@ def hexed(x, digits: int):
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return base_of(table(spark, sf_dir, "events"))
+
+
+def base_of(e: DataFrame) -> DataFrame:
     return e.select(
         "event_id",
         "user_id",

@@ -15,8 +15,9 @@ from tallywheel.operators import movements as M
 from tallywheel.plans import fixtures as X
 from tallywheel.plans import marts
 from tallywheel.plans.incremental import Incremental
-from tallywheel.plans.catalogue import _DAY, _frames, _registry, _with, query
+from tallywheel.plans.catalogue import _DAY, _FEES, _fee_entries_of, _frames, _registry, _with, query
 from tallywheel.session import shared_folder
+from tallywheel.streaming import stateful
 
 _FINAL = "block_number <= (SELECT max(block_number) - 64 FROM base)"
 _TOKEN_UPPER = TOKEN.upper().replace("X", "x")
@@ -150,6 +151,44 @@ def incremental_models(spark, d):
     return reduce(DataFrame.unionAll, totals)
 
 
+# Streams over the given tables
+
+
+def _streamed(spark, d) -> DataFrame:
+    """The base rows of ``events`` as a stream."""
+    schema = X.table(spark, d, "events").schema
+    return X.base_of(spark.readStream.schema(schema).parquet(f"{d}/events*.parquet"))
+
+
+@query(_with(X.BASE) + " SELECT block_number, sha256(CAST(block_number AS VARCHAR)) AS old_hash, sha256(block_number || 'x') AS new_hash FROM base WHERE block_number % 9 = 0 GROUP BY block_number HAVING count(*) > 1")
+def stream_reorgs(spark, d):
+    """Headers, one with each event; the last event of some blocks sees another hash."""
+    b = _streamed(spark, d)
+    other = (F.col("block_number") % 9 == 0) & (F.col("log_index") == 9)
+    text = F.concat(F.col("block_number").cast("string"), F.when(other, "x").otherwise(""))
+    headers = b.select("chain_id", "block_number", F.sha2(text, 256).alias("block_hash"), F.col("event_id").alias("ingested_at"))
+    return stateful.drained(stateful.changed_hashes(headers), shared_folder(spark, "reorgs"))[0].select("block_number", "old_hash", "new_hash")
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_deduplicated(spark, d):
+    """Each event comes twice."""
+    b = _streamed(spark, d).unionAll(_streamed(spark, d)).withColumn("at", F.timestamp_seconds("timestamp"))
+    found, _ = stateful.drained(stateful.deduplicated(b, ["event_id"], "at", "40 days"), shared_folder(spark, "deduplicated"))
+    return found.select("event_id", "user_id", "event_type")
+
+
+_WEEK = "date_trunc('week', to_timestamp(b.timestamp) AT TIME ZONE 'UTC')"
+
+
+@query(_with(X.BASE, _FEES) + f", w AS (SELECT *, {_WEEK} AS week, to_timestamp(b.timestamp) AT TIME ZONE 'UTC' AS posted FROM fees JOIN blocks b USING (block_number) WHERE side IN ('reserves', 'aggregator')) SELECT CAST(CAST(week AS DATE) AS VARCHAR) AS week_start, CASE WHEN tx_hash IN (SELECT tx_hash FROM fees WHERE side = 'aggregator') THEN 'pa_fee_inflow' ELSE 'other_inflow' END AS inflow_source, CAST(sum(cents) AS BIGINT) AS link_inflow, count(DISTINCT tx_hash) AS tx_count FROM w WHERE side = 'reserves' AND week + INTERVAL 7 DAY <= (SELECT max(posted) FROM w) - INTERVAL 2 DAY GROUP BY ALL")
+def stream_weeks(spark, d):
+    """Inflow of the reserves by week, for the weeks that ended two days before the last posting."""
+    entries = _fee_entries_of(_streamed(spark, d)).join(X.blocks(spark, d).select("block_number", F.timestamp_seconds("timestamp").alias("block_time")), "block_number")
+    found, _ = stateful.drained(stateful.closed_weeks(entries, "2 days"), shared_folder(spark, "weeks"))
+    return found.select(F.col("week_start").cast("string").alias("week_start"), "inflow_source", F.col("link_inflow").cast("long").alias("link_inflow"), "tx_count")
+
+
 # Movements
 
 

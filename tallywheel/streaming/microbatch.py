@@ -19,7 +19,12 @@ from tallywheel.sources.store import Checkpoint, Table
 
 
 def finality_sink(final: Table, shadow: Table, transform: Callable[[DataFrame], DataFrame], checkpoint: Checkpoint, chain_id: int, source: str, depth: int = FINALITY_DEPTH) -> Callable[[DataFrame, int], None]:
-    """A function for foreachBatch. The checkpoint is advanced last."""
+    """A function for foreachBatch. The checkpoint is advanced last, to the mark and the hash of its block.
+
+    Where rows carry a ``block_hash``, waiting rows of a block that comes again with another one go, and the
+    range of such blocks is marked for replay. The version of a table that a reader holds when a batch
+    begins stays until the next batch ends.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         rows = transform(batch).persist()
@@ -28,16 +33,23 @@ def finality_sink(final: Table, shadow: Table, transform: Callable[[DataFrame],
             if top is None:
                 return
             mark = max(top - depth, checkpoint.last_block(chain_id, source))
+            hashed = "block_hash" in rows.columns
             waiting = shadow.read()
+            if hashed and waiting is not None:
+                named = lambda x: x.select(F.lit(chain_id).alias("chain_id"), "block_number", "block_hash").distinct()
+                changed = reorg_conflicts(named(waiting), named(rows)).select("block_number").distinct()
+                if replay_reorgs(named(waiting), named(rows), checkpoint, chain_id, source):
+                    waiting = waiting.join(changed, "block_number", "left_anti")
             everything = rows if waiting is None else rows.unionByName(waiting.join(rows.select(*shadow.keys), shadow.keys, "left_anti"), allowMissingColumns=True)
             ready = everything.where(F.col("block_number") <= mark)
+            held = tuple(final.folders().values()), tuple(shadow.folders().values())
+            block_hash = ready.where(F.col("block_number") == mark).agg(F.max("block_hash")).first()[0] if hashed else None
             if ready.take(1):
                 final.merge(ready)
-            before = tuple(shadow.folders().values())
             shadow.replace(everything.where(F.col("block_number") > mark))
-            final.vacuum()
-            shadow.vacuum(keep=before)
-            checkpoint.advance(chain_id, source, mark, "")
+            final.vacuum(keep=held[0])
+            shadow.vacuum(keep=held[1])
+            checkpoint.advance(chain_id, source, mark, block_hash or "")
         finally:
             rows.unpersist()
 
