@@ -15,7 +15,7 @@ from pyspark.sql.udtf import UserDefinedTableFunction
 
 from tallywheel.functions import ids
 from tallywheel.functions.fixed import TRANSFER_FROM_SELECTOR, TRANSFER_SELECTOR
-from tallywheel.functions.hexes import parse_path
+from tallywheel.functions.hexes import parse_path, word_to_text
 from tallywheel.operators.decode import decode_calldata
 from tallywheel.sources.registry import Registry
 
@@ -25,7 +25,8 @@ def flatten_call_trace() -> UserDefinedTableFunction:
 
     A frame has status 0 if it or a frame above it failed. Nothing that a text can hold ends the job:
     one that isn't JSON gives a single row with problem ``malformed_json``, a child that is no object one
-    with ``malformed_frame``, and a value that is no 0x quantity (as "0x") is null, with ``malformed_value``.
+    with ``malformed_frame``, calls that are no list are none (``malformed_calls``), and a value that is no 0x
+    quantity of 256 bits (as "0x") is null (``malformed_value``).
     """
 
     @F.udtf(returnType="trace_address array<int>, call_type string, from_address string, to_address string, value string, gas string, gas_used string, input string, output string, error string, revert_reason string, status int, subtraces int, problem string")
@@ -38,18 +39,19 @@ def flatten_call_trace() -> UserDefinedTableFunction:
             except (ValueError, RecursionError):
                 yield [], *[None] * 10, 0, 0, "malformed_json"
                 return
-            text_of = lambda x: x if x is None or isinstance(x, str) else json.dumps(x)
+            text_of = lambda x: x if x is None or isinstance(x, str) else json.dumps(x, separators=(",", ":"), sort_keys=True)
             stack = [(root, [], False)]
             while stack:
                 node, path, above = stack.pop()
                 if not isinstance(node, dict):
                     yield path, *[None] * 10, 0, 0, "malformed_frame"
                     continue
-                failed = above or bool(node.get("error")) or bool(node.get("revertReason"))
-                calls = node.get("calls") or []
-                calls = calls if isinstance(calls, list) else [calls]
-                value, problem = node.get("value") or "0x0", None
-                if isinstance(value, str) and re.fullmatch("0[xX][0-9a-fA-F]+", value):
+                failed = above or any(text_of(node.get(n)) for n in ("error", "revertReason"))
+                calls, problem = node.get("calls") or [], None
+                if not isinstance(calls, list):
+                    calls, problem = [], "malformed_calls"
+                value = node.get("value") or "0x0"
+                if isinstance(value, str) and re.fullmatch("0[xX][0-9a-fA-F]{1,64}", value):
                     value = str(int(value, 16))
                 else:
                     value, problem = None, "malformed_value"
@@ -60,6 +62,50 @@ def flatten_call_trace() -> UserDefinedTableFunction:
     return Flatten
 
 
+_LEVELS = """
+    WITH RECURSIVE frames AS (
+        SELECT own, try_parse_json(text) AS node, CAST(array() AS array<int>) AS path, false AS above FROM {rows} WHERE text <> ''
+        UNION ALL
+        SELECT own, c.value, concat(path, array(c.pos)), above OR coalesce(try_variant_get(node, '$.error', 'string'), '') <> '' OR coalesce(try_variant_get(node, '$.revertReason', 'string'), '') <> ''
+        FROM frames, LATERAL posexplode(try_variant_get(node, '$.calls', 'array<variant>')) AS c(pos, value))
+    SELECT * FROM frames
+"""
+
+
+def flatten_trace_json(rows: DataFrame, text: str) -> DataFrame:
+    """The frames of nested call traces, as the table function gives them, with the other columns of ``rows``; all in the JVM.
+
+    The JSON is parsed once into a variant; from then on each step of a recursive query takes the calls of all
+    frames of one level of all traces, so there are as many steps as levels in the deepest trace. Problems
+    are those of the table function. Its parser takes a thousand nested brackets, five hundred levels of
+    calls; a deeper trace ends as ``malformed_json`` here and is left to the table function.
+    """
+    spark = rows.sparkSession
+    for limit, most in (("Row", -1), ("Level", 600)):
+        spark.conf.set(f"spark.sql.cteRecursion{limit}Limit", most)
+    given = rows.select(F.struct(*[rows[c] for c in rows.columns if c != text]).alias("own"), rows[text].alias("text"))
+    found = spark.sql(_LEVELS, rows=given)
+    of = lambda name, kind="string": F.try_variant_get("node", f"$.{name}", kind)
+    calls, said = of("calls", "array<variant>"), lambda name: F.coalesce(of(name), F.lit("")) != ""
+    value = F.coalesce(F.nullif(of("value"), F.lit("")), F.lit("0x0"))
+    frame = F.try_variant_get("node", "$", "map<string,variant>").isNotNull()
+    sound = value.rlike("^0[xX][0-9a-fA-F]{1,64}$")
+    failed = F.col("above") | said("error") | said("revertReason")
+    problem = F.when(F.col("node").isNull(), "malformed_json").when(~frame, "malformed_frame").when(~sound, "malformed_value").when(calls.isNull() & of("calls", "variant").isNotNull() & ~F.is_variant_null(of("calls", "variant")), "malformed_calls")
+    known = {
+        "trace_address": F.col("path"),
+        "call_type": of("type"),
+        "from_address": F.coalesce(F.lower(of("from")), F.lit("")),
+        "to_address": F.nullif(F.lower(of("to")), F.lit("")),
+        "value": F.when(sound, word_to_text(F.lpad(F.substr(value, F.lit(3)), 64, "0"))),
+        **{column: of(name) for column, name in (("gas", "gas"), ("gas_used", "gasUsed"), ("input", "input"), ("output", "output"), ("error", "error"), ("revert_reason", "revertReason"))},
+        "status": (~failed).cast("int"),
+        "subtraces": F.coalesce(F.size(calls), F.lit(0)),
+    }
+    none = {"trace_address": F.col("path"), "status": F.lit(0), "subtraces": F.lit(0)}
+    return found.select("own.*", *[F.when(frame, x).otherwise(none.get(c, F.lit(None))).alias(c) for c, x in known.items()], problem.alias("problem"))
+
+
 def normalise_traces(rows: DataFrame) -> DataFrame:
     """Trace rows of a warehouse table: paths parsed, call types filled in, failed frames without an error marked reverted."""
     kind = F.coalesce(F.nullif("call_type", F.lit("")), F.nullif("trace_type", F.lit("")) if "trace_type" in rows.columns else F.lit(None), F.lit("call"))

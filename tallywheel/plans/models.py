@@ -214,18 +214,34 @@ def movements_from_traces(spark, d):
     return M.from_traces(found).select("movement_id", "from_addr", "to_addr", F.col("amount").cast("long").alias("amount"))
 
 
-@query(_with(X.BASE) + " SELECT tx_hash, p.path AS trace_address, 'CALL' AS call_type, CASE WHEN p.path = '' THEN wallet ELSE contract_address END AS from_address, contract_address AS to_address, CASE WHEN p.path = '' THEN 0 ELSE 1 END AS status_below FROM (SELECT tx_hash, min(wallet) AS wallet, min(contract_address) AS contract_address FROM base GROUP BY tx_hash), (VALUES (''), ('0'), ('1')) AS p(path)")
-def flattened_frames(spark, d):
-    """Nested traces of a root and two calls through the table function."""
+_FLAT = _with(X.BASE) + " SELECT tx_hash, p.path AS trace_address, 'CALL' AS call_type, CASE WHEN p.path = '' THEN wallet ELSE contract_address END AS from_address, contract_address AS to_address, CASE WHEN p.path = '' THEN 0 ELSE 1 END AS status_below FROM (SELECT tx_hash, min(wallet) AS wallet, min(contract_address) AS contract_address FROM base GROUP BY tx_hash), (VALUES (''), ('0'), ('1')) AS p(path)"
+
+
+def _nested(spark, d) -> DataFrame:
+    """tx_hash and the JSON of a root with two calls."""
     b = X.base(spark, d).groupBy("tx_hash").agg(F.min("wallet").alias("wallet"), F.min("contract_address").alias("contract_address"))
     leaf = F.struct(F.lit("CALL").alias("type"), F.col("contract_address").alias("from"), F.col("contract_address").alias("to"), F.lit("0x1").alias("value"))
     text = F.to_json(F.struct(F.lit("CALL").alias("type"), F.upper("wallet").alias("from"), F.col("contract_address").alias("to"), F.lit("0x0").alias("value"), F.array(leaf, leaf).alias("calls")))
-    spark.udtf.register("flatten_call_trace", traces.flatten_call_trace())
-    rows = b.select("tx_hash", text.alias("js"))
-    frames = spark.sql("SELECT tx_hash, t.* FROM {rows}, LATERAL flatten_call_trace(js) t", rows=rows)
+    return b.select("tx_hash", text.alias("js"))
+
+
+def _flat(frames: DataFrame) -> DataFrame:
     return frames.select("tx_hash", F.array_join("trace_address", ",").alias("trace_address"), "call_type", "from_address", "to_address", F.col("value").cast("int").alias("status_below"))
 
 
+@query(_FLAT)
+def flattened_frames(spark, d):
+    """Nested traces of a root and two calls through the table function."""
+    spark.udtf.register("flatten_call_trace", traces.flatten_call_trace())
+    return _flat(spark.sql("SELECT tx_hash, t.* FROM {rows}, LATERAL flatten_call_trace(js) t", rows=_nested(spark, d)))
+
+
+@query(_FLAT)
+def flattened_levels(spark, d):
+    """The same, level by level in the JVM."""
+    return _flat(traces.flatten_trace_json(_nested(spark, d), "js"))
+
+
 # Actions, postings and balances
 
 

@@ -140,10 +140,18 @@ def test_hostile_values(spark, name, nested):
 
 def test_hostile_traces(spark):
     spark.udtf.register("flatten_call_trace", traces.flatten_call_trace())
-    texts = ["{", "[1]", "null", '{"type": "CALL", "value": "0x"}', '{"value": 7, "calls": [5, {"from": 3, "value": "0xg"}]}', "", None, '{"calls": {"type": "CALL"}}', "[" * 100000]
+    deep = {"type": "CALL", "value": "0x" + "f" * 64}
+    for n in range(120):
+        deep = {"type": "CALL", "from": A.upper(), "to": "" if n % 3 else B, "gas": "0x5", "gasUsed": 7, "error": "out of gas" if n == 60 else None, "revertReason": "", "calls": [{"input": "0x", "output": "0x1"}, deep]}
+    texts = ["{", "[1]", "null", '{"type": "CALL", "value": "0x"}', '{"value": 7, "calls": [5, {"from": 3, "value": "0xg"}]}', "", None, '{"calls": {"type": "CALL"}}', "[" * 100000, json.dumps(deep), json.dumps(TRACE), '{"calls": null, "value": "0x' + "1" * 65 + '"}', '{"error": {"b": 1, "a": []}, "calls": []}']
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, js string")
-    got = [(r["i"], list(r["trace_address"]), r["value"], r["problem"]) for r in spark.sql("SELECT i, t.* FROM {rows}, LATERAL flatten_call_trace(js) t", rows=rows).collect()]
-    assert sorted(got) == [(0, [], None, "malformed_json"), (1, [], None, "malformed_frame"), (2, [], None, "malformed_frame"), (3, [], None, "malformed_value"), (4, [], None, "malformed_value"), (4, [0], None, "malformed_frame"), (4, [1], None, "malformed_value"), (7, [], "0", None), (7, [0], "0", None), (8, [], None, "malformed_json")]
+    both = spark.sql("SELECT i, t.* FROM {rows}, LATERAL flatten_call_trace(js) t", rows=rows), traces.flatten_trace_json(rows, "js")
+    assert both[0].columns == both[1].columns
+    table, levels = ([str(tuple(r)) for r in df.orderBy("i", "trace_address").collect()] for df in both)
+    assert table == levels
+    got = [(r["i"], list(r["trace_address"]), r["value"], r["problem"]) for r in both[0].collect() if r["i"] not in (9, 10)]
+    assert sorted(got) == [(0, [], None, "malformed_json"), (1, [], None, "malformed_frame"), (2, [], None, "malformed_frame"), (3, [], None, "malformed_value"), (4, [], None, "malformed_value"), (4, [0], None, "malformed_frame"), (4, [1], None, "malformed_value"), (7, [], "0", "malformed_calls"), (8, [], None, "malformed_json"), (11, [], None, "malformed_value"), (12, [], "0", None)]
+    assert "Python" not in both[1]._jdf.queryExecution().executedPlan().toString()
 
 
 def test_amounts_beyond_38_digits_in_transfer_calls(spark):
