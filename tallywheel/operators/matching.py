@@ -7,7 +7,10 @@ actions with windows; only the rest look for a batch of movements that sums to t
 from __future__ import annotations
 
 import itertools
+import math
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,44 +21,105 @@ from tallywheel.functions.fixed import NO_MOVEMENT_KINDS, REASONS, STATUSES
 
 EDGE = ["edge_id", "action_id", "movement_id", "allocated_amount", "status", "method", "reason", "chain_id", "block_number", "tx_hash"]
 LARGEST_BATCH = 6
+_PRIME = 2**61 - 1  # sums are compared by their remainders; those that agree are added up in full
+_TABLE = 80  # amounts whose threes are one table
+
+
+def _places(residues: np.ndarray, size: int, want: int, modulus: int) -> np.ndarray:
+    """All combinations of one, two or three places, in order, whose residues sum to ``want``."""
+    n = len(residues)
+    if size == 1:
+        return np.flatnonzero(residues == want)[:, None]
+    i, j = np.triu_indices(n, 1)
+    if size == 2:
+        keep = (residues[i] + residues[j]) % modulus == want
+        return np.stack((i[keep], j[keep]), axis=1)
+    by = np.argsort(residues, kind="stable")  # a third place is looked up by the residue it must have
+    first = np.searchsorted(residues[by], np.arange(modulus + 1))
+    needed = (want - residues[i] - residues[j]) % modulus
+    n_third = first[needed + 1] - first[needed]
+    pair = np.repeat(np.arange(len(i)), n_third)
+    third = by[first[needed][pair] + np.arange(len(pair)) - np.repeat(np.cumsum(n_third) - n_third, n_third)]
+    keep = third > j[pair]
+    return np.stack((i[pair][keep], j[pair][keep], third[keep]), axis=1)
+
+
+def _meeting(front: np.ndarray, back: np.ndarray, amounts: list[int], small: np.ndarray, target: int) -> list[int] | None:
+    """The first combination in order of one of ``front`` and one of ``back`` behind it that sums to the target."""
+    if not len(front) or not len(back):
+        return None
+    sums, ends = small[front].sum(axis=1) % _PRIME, small[back].sum(axis=1) % _PRIME
+    order = np.lexsort((back[:, 0], ends))
+    ends, back = ends[order], back[order]
+    latest = np.append(ends[1:] != ends[:-1], True)  # of equal sums the one that starts last
+    known, starts = ends[latest], back[latest][:, 0]
+    left = (target % _PRIME - sums) % _PRIME
+    at = np.minimum(np.searchsorted(known, left), len(known) - 1)
+    for f in np.flatnonzero((known[at] == left) & (starts[at] > front[:, -1])).tolist():
+        lo, hi = np.searchsorted(ends, left[f]), np.searchsorted(ends, left[f], "right")
+        exact = target - sum(amounts[p] for p in front[f])
+        behind = sorted(x for x in back[lo:hi].tolist() if x[0] > front[f][-1] and sum(amounts[p] for p in x) == exact)
+        if behind:
+            return [*front[f].tolist(), *behind[0]]
+    return None
 
 
-def _last_starts(amounts: list[int], size: int) -> dict[int, int]:
-    """Each sum of so many amounts, with the greatest place at which a combination for it starts."""
-    found: dict[int, int] = {}
-    for places in itertools.combinations(range(len(amounts)), size):  # starts rise
-        found[sum(amounts[p] for p in places)] = places[0]
-    return found
-
-
-def first_batch(amounts: list[int], target: int, largest: int = LARGEST_BATCH) -> list[int] | None:
+def first_batch(amounts: list[int], target: int, largest: int = LARGEST_BATCH, part: int = 0, parts: int | None = None) -> list[int] | None:
     """Places of the first combination, by size and then in order, of two or more amounts that sum to the target.
 
-    Only amounts above zero count. A combination is met in the middle: the first one's first half is the
-    first to leave a sum that a half behind it makes up. For six of n amounts that takes steps in
-    proportion to n ** 3.
+    Only amounts above zero and below the target count, and of equal ones the first ``largest``, since an
+    earlier place of the same amount is always the better one. A combination is met in the middle: its
+    first half is the first to leave a sum that a half behind it makes up. Sizes whose least or greatest sum
+    can't be the target are passed over.
+
+    For the largest sizes the halves are three amounts. They are told apart by the remainder of their
+    sum by a prime near the number of amounts, one remainder after the other, so that the table of halves grows
+    with the square of their number. With ``parts`` only the remainders of one part are looked at, so
+    that one action can be dealt out: the first of the parts' results, by size and order, is the result.
     """
-    use = [p for p, x in enumerate(amounts) if 0 < x < target]
+    seen: Counter = Counter()
+    use = []
+    for p, x in enumerate(amounts):
+        if 0 < x < target and seen[x] < largest:
+            seen[x] += 1
+            use.append(p)
     values = [amounts[p] for p in use]
-    halves: dict[int, dict[int, int]] = {}
-    for size in range(2, min(largest, len(use)) + 1):
+    rising, n = sorted(values), len(use)
+    small = np.array([x % _PRIME for x in values], np.int64)
+    for size in range(2, min(largest, n) + 1):
+        if not sum(rising[:size]) <= target <= sum(rising[n - size :]):
+            continue
         back = size // 2
-        starts = halves.setdefault(back, {}) or _last_starts(values, back)
-        halves[back] = starts
-        for front in itertools.combinations(range(len(use)), size - back):
-            left = target - sum(values[p] for p in front)
-            if starts.get(left, -1) > front[-1]:
-                behind = itertools.combinations(range(front[-1] + 1, len(use)), back)
-                rest = next(x for x in behind if sum(values[p] for p in x) == left)
-                return [use[p] for p in (*front, *rest)]
+        wide = n > _TABLE and size - back > 2
+        if not wide and part:
+            continue
+        modulus = _prime(n) if wide else 1
+        residues = np.array([x % modulus for x in values], np.int64)
+        found = []
+        for r in range(part, modulus, parts or 1):
+            one = _meeting(_places(residues, size - back, r, modulus), _places(residues, back, (target - r) % modulus, modulus), values, small, target)
+            if one:
+                found.append(one)
+        if found:
+            return [use[p] for p in min(found)]
     return None
 
 
+def _prime(least: int) -> int:
+    """The least prime from a number on."""
+    return next(p for p in itertools.count(max(2, least)) if all(p % d for d in range(2, math.isqrt(p) + 1)))
+
+
 @F.pandas_udf(ArrayType(IntegerType()))
 def batch_places(amounts: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([first_batch([int(x) for x in a], int(t)) if len(a) > 1 else None for a, t in zip(amounts, target, strict=True)])
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def batch_part(amounts: pd.Series, target: pd.Series, part: pd.Series, parts: pd.Series) -> pd.Series:
+    return pd.Series([first_batch([int(x) for x in a], int(t), part=int(k), parts=int(n)) for a, t, k, n in zip(amounts, target, part, parts, strict=True)])
+
+
 def _says(name: str, *values):
     """A reason's text with values in its places."""
     parts = REASONS[name].split("{}")
@@ -76,7 +140,15 @@ def _edge(status: str, movement=None, reason: str = "", index=0):
     )
 
 
-def match_actions(actions: DataFrame, movements: DataFrame) -> DataFrame:
+def _dealt(large: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """``large`` with ``_at``, found by so many tasks for each action."""
+    rows = large.select(*keys, "_amounts", "_target", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part")).repartition(*keys, "_part")
+    tried = rows.select(*keys, batch_part("_amounts", "_target", "_part", F.lit(parts)).alias("_found")).where("_found IS NOT NULL")
+    best = tried.groupBy(*keys).agg(F.min(F.struct(F.size("_found"), "_found")).getField("_found").alias("_at"))
+    return large.drop("_at").join(best, keys, "left")
+
+
+def match_actions(actions: DataFrame, movements: DataFrame, deal_above: int | None = None, parts: int = 64) -> DataFrame:
     """At least one edge for each action.
 
     not_expected for kinds that move nothing; unmatched without a movement; exact for one movement of
@@ -86,7 +158,8 @@ def match_actions(actions: DataFrame, movements: DataFrame) -> DataFrame:
 
     Actions of kinds that move nothing are answered by themselves. The others need one join by
     transaction, whose partitioning the grouping by action keeps; only amounts of actions without an
-    equal movement are sent to Python.
+    equal movement are sent to Python. With ``deal_above``, an action that has so many movements to try is dealt
+    out to ``parts`` rows that are looked at apart, so that a transaction with thousands isn't one task's work.
     """
     still = F.coalesce(F.col("kind").isin(NO_MOVEMENT_KINDS), F.lit(False))
     own = ["action_id", "kind", "amount_link", "chain_id", "block_number", "tx_hash"]
@@ -98,7 +171,13 @@ def match_actions(actions: DataFrame, movements: DataFrame) -> DataFrame:
     met = met.withColumn("_same", F.filter("_c", lambda m: m["amount"] == F.col("amount_link")))
     rest = (F.size("_c") > 1) & (F.size("_same") == 0)
     amounts = F.when(rest, F.transform("_c", lambda m: m["amount"].cast("string"))).otherwise(F.array().cast("array<string>"))
-    met = met.withColumn("_at", batch_places(amounts, F.coalesce(F.col("amount_link"), F.lit(0)).cast("string")))
+    target = F.coalesce(F.col("amount_link"), F.lit(0)).cast("string")
+    if deal_above is None:
+        met = met.withColumn("_at", batch_places(amounts, target))
+    else:
+        met = met.withColumns({"_amounts": amounts, "_target": target})
+        few, many = met.where(F.size("_amounts") <= deal_above), met.where(F.size("_amounts") > deal_above)
+        met = few.withColumn("_at", batch_places("_amounts", "_target")).unionByName(_dealt(many, ["action_id"], parts))
     first, n = F.get("_same", 0), F.size("_same")
     edges = (
         F.when(F.size("_c") == 0, F.array(_edge("unmatched", reason=REASONS["none"])))
@@ -111,18 +190,26 @@ def match_actions(actions: DataFrame, movements: DataFrame) -> DataFrame:
     return found.select(ids.edge_id("action_id", "movement_id", "status", "index").alias("edge_id"), *EDGE[1:])
 
 
-def unexpected(edges: DataFrame, movements: DataFrame) -> DataFrame:
-    """Edges for movements that no action of their transaction was matched to; a movement's number is its place in the transaction."""
+def _spare(movements: DataFrame) -> DataFrame:
+    """An edge for each movement, as if no action were matched to it; a movement's number is its place in the transaction."""
     place = F.row_number().over(Window.partitionBy(F.lower("tx_hash")).orderBy("source_priority", "from_addr", "movement_id")) - 1
-    left = movements.withColumn("_place", place).join(edges.where("movement_id IS NOT NULL").select("movement_id").distinct(), "movement_id", "left_anti").withColumn("action_id", F.lit(None).cast("string"))
+    left = movements.withColumns({"_place": place, "action_id": F.lit(None).cast("string")})
     edge = _edge("unexpected", F.struct("movement_id", "amount", "source_priority"), REASONS["unexpected"], F.col("_place"))
     flat = left.select("action_id", "chain_id", "block_number", "tx_hash", edge.alias("_e")).select("action_id", "chain_id", "block_number", "tx_hash", "_e.*")
     return flat.select(ids.edge_id("action_id", "movement_id", "status", "index").alias("edge_id"), *EDGE[1:])
 
 
-def match_transactions(actions: DataFrame, movements: DataFrame) -> DataFrame:
-    edges = match_actions(actions, movements)
-    return edges.unionAll(unexpected(edges, movements))
+def unexpected(edges: DataFrame, movements: DataFrame) -> DataFrame:
+    """Edges for movements that no action of their transaction was matched to."""
+    return _spare(movements).join(edges.where("movement_id IS NOT NULL").select("movement_id").distinct(), "movement_id", "left_anti").select(*EDGE)
+
+
+def match_transactions(actions: DataFrame, movements: DataFrame, **how) -> DataFrame:
+    """The edges of all actions, and one for each movement that none of them has; the matching is planned once, as both meet by movement."""
+    edges = match_actions(actions, movements, **how).withColumn("_matched", F.lit(True))
+    met = Window.partitionBy(F.coalesce("movement_id", "edge_id"))
+    both = edges.unionByName(_spare(movements).withColumn("_matched", F.lit(False))).withColumn("_met", F.max("_matched").over(met))
+    return both.where("_matched OR NOT _met").select(*EDGE)
 
 
 def _rank(column: str = "status"):

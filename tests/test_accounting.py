@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import time
 from collections import Counter
 from decimal import Decimal
 
@@ -250,6 +251,40 @@ def test_first_batch_against_all_combinations():
     assert sum(many[i] for i in matching.first_batch(many, sum(many[7:13]))) == sum(many[7:13])
 
 
+def test_first_batch_of_large_transactions():
+    """Wide tables, met by remainders and in parts, against all combinations, and a thousand movements in seconds."""
+    rnd = random.Random(12)
+    for k in range(6):
+        amounts = [rnd.randint(1, 10**30) for _ in range(90)]
+        amounts[5] = amounts[4]
+        pick = sorted(rnd.sample(range(90), 2 + k % 5)) if k else [4, 5, 20]
+        target = sum(amounts[p] for p in pick)
+        whole = matching.first_batch(amounts, target)
+        assert whole is not None and sum(amounts[p] for p in whole) == target and (len(whole), whole) <= (len(pick), pick)
+        split = [x for x in (matching.first_batch(amounts, target, part=p, parts=7) for p in range(7)) if x]
+        assert min(split, key=lambda x: (len(x), x)) == whole
+    small = [rnd.randint(1, 40) for _ in range(100)]
+    few = [2 * x for x in small[:12]]
+    assert matching.first_batch([*few, *[10**9] * 90], 10**6) is None
+    assert matching.first_batch([*[10**9 + k for k in range(90)], 3, 4, 5, 6, 7, 8], 33) == [90, 91, 92, 93, 94, 95]
+    many = [2 * rnd.randint(10**20, 10**24) for _ in range(200)]
+    began = time.perf_counter()
+    assert matching.first_batch(many, sum(many[:6]) + 1) is None and time.perf_counter() - began < 4
+    many = [rnd.randint(10**20, 10**24) for _ in range(1000)]
+    began = time.perf_counter()
+    matching.first_batch(many, sum(many[10:16]), part=3, parts=500)
+    assert time.perf_counter() - began < 4
+
+
+def test_dealt_actions_match_alike(spark):
+    rnd = random.Random(3)
+    m = spark.createDataFrame([move(f"m{t}-{i:03}", "log", rnd.randint(1, 10**9), f"t{t}", i) for t in range(3) for i in range(100)], MOVE)
+    amounts = [int(r["amount"]) for r in m.where("tx_hash = 't1'").orderBy("movement_id").collect()]
+    a = spark.createDataFrame([(f"a{k}", "stake", 1, 1, "t1", Decimal(sum(amounts[3 * k : 3 * k + k])) if k else Decimal(7)) for k in range(7)] + [("b", "stake", 1, 1, "t2", Decimal(11))], ACTION)
+    plain, dealt = (sorted(str(tuple(r)) for r in matching.match_actions(a, m, **how).collect()) for how in ({}, {"deal_above": 50, "parts": 5}))
+    assert plain == dealt and sum("partial" in r for r in plain) == 2 + 3 + 4 + 5 + 6
+
+
 def test_reasons_and_methods_of_edges(spark):
     a = spark.createDataFrame([("a", "stake", 1, 1, "T", Decimal(9)), ("b", "reward_accrued", 1, 1, None, None), ("c", "stake", 1, 1, "t", None), ("d", None, 1, 1, "t", Decimal(4)), ("e", "stake", 1, 1, None, Decimal(1)), ("f", "slashed", 1, 1, "t", Decimal(100))], ACTION)
     m = spark.createDataFrame([move("m1", "log", 4), move("m2", "trace", 5)], MOVE)
