@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywheel.functions.fixed import TOKEN, TRANSFER_TOPIC
 from tallywheel.operators import actions as A
-from tallywheel.operators import balances, ledger, matching, traces
+from tallywheel.operators import balances, ledger, matching, quality, traces
 from tallywheel.operators import blocks as B
 from tallywheel.operators import movements as M
 from tallywheel.plans import fixtures as X
@@ -17,6 +17,7 @@ from tallywheel.plans import marts
 from tallywheel.plans.incremental import Incremental
 from tallywheel.plans.catalogue import _DAY, _FEES, _fee_entries_of, _frames, _registry, _with, query
 from tallywheel.session import shared_folder
+from tallywheel.sources.registry import in_phase_by_bins
 from tallywheel.streaming import stateful
 
 _FINAL = "block_number <= (SELECT max(block_number) - 64 FROM base)"
@@ -151,6 +152,23 @@ def incremental_models(spark, d):
     return reduce(DataFrame.unionAll, totals)
 
 
+# Large tables
+
+
+@query("SELECT count(*) AS left_rows, count(*) AS right_rows, CAST(sum(a) AS BIGINT) AS left_amount, CAST(sum(b) AS BIGINT) AS right_amount, count(*) FILTER (WHERE a <> b) AS only_left, count(*) FILTER (WHERE a <> b) AS only_right FROM (SELECT l_suppkey AS a, l_suppkey + CASE WHEN l_orderkey % 997 = 5 THEN 1 ELSE 0 END AS b FROM lineitem)")
+def parity_by_digests(spark, d):
+    """Two versions of the line items of which one in a thousand differs; keys repeat."""
+    rows = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    changed = rows.withColumn("l_suppkey", F.col("l_suppkey") + F.when(F.col("l_orderkey") % 997 == 5, 1).otherwise(0))
+    return quality.parity_by_digests(rows, changed, "l_suppkey", ["l_orderkey", "l_linenumber", "l_extendedprice"])
+
+
+@query(_with(X.BASE) + " SELECT event_id, CASE WHEN user_id % 7 < 5 AND block_number < 300 THEN 'v1' WHEN user_id % 7 < 5 AND block_number >= 400 THEN 'v2' END AS abi_version FROM base")
+def abi_phase_bins(spark, d):
+    phases = _registry().phase_table(spark).select("phase_address", "from_block", "to_block", "abi_version")
+    return in_phase_by_bins(X.base(spark, d), phases, "contract_address", "block_number", 50).select("event_id", "abi_version")
+
+
 # Streams over the given tables
 
 

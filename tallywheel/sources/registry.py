@@ -142,3 +142,18 @@ def in_phase(rows: DataFrame, phases: DataFrame, address: str, block: str, how:
     """``rows`` with the phase that covers their block; an equi-join on the address with a range condition."""
     on = (F.lower(rows[address]) == phases["phase_address"]) & (rows[block] >= phases["from_block"]) & (rows[block] <= F.coalesce(phases["to_block"], F.lit(2**63 - 1)))
     return rows.join(phases, on, how)
+
+
+def in_phase_by_bins(rows: DataFrame, phases: DataFrame, address: str, block: str, bin_blocks: int = 100_000) -> DataFrame:
+    """As ``in_phase`` for tables of phases that are too large to be sent to all executors.
+
+    Blocks are dealt into bins of ``bin_blocks``, and a phase stands in each bin that it reaches, so that the
+    rows of one busy address go to as many places as it has bins. Phases without an end reach up to the
+    last block of ``rows``.
+    """
+    last = rows.agg(F.max(block)).first()[0]
+    ends = phases.withColumn("_end", F.least(F.coalesce("to_block", F.lit(2**63 - 1)), F.lit(last if last is not None else -1)))
+    reached = ends.where("from_block <= _end").withColumn("_bin", F.explode(F.sequence(F.expr(f"from_block div {bin_blocks}"), F.expr(f"_end div {bin_blocks}"))))
+    given = rows.withColumns({"_of": F.lower(address), "_bin": F.expr(f"`{block}` div {bin_blocks}")})
+    met = (given["_of"] == reached["phase_address"]) & (given["_bin"] == reached["_bin"]) & (given[block] >= reached["from_block"]) & (given[block] <= reached["_end"])
+    return given.join(reached, met, "left").drop("_of", "_end", given["_bin"], reached["_bin"])

@@ -15,7 +15,7 @@ from tallywheel.functions.fixed import TOKEN, TRANSFER_TOPIC
 from tallywheel.operators import actions, balances, decode, ledger, matching, movements, quality, traces
 from tallywheel.plans import marts
 from tallywheel.sources import rpc, scans, store
-from tallywheel.sources.registry import Phase, Registry, validate
+from tallywheel.sources.registry import Phase, Registry, in_phase, in_phase_by_bins, validate
 
 TX = "0x08c2902756cb2808c056499225d6dbd40c3e656a3b53fe9d31679fcb8dc15e96"
 A, B, C = "0x3feb1e09b4bb0e7f0387cee092a52e85797ab889", "0xedf03cd5075f93174614febf9c6789a3e7581d4c", "0xbc10f2e862ed4502144c7d632a3459f49dfcdb5e"
@@ -429,6 +429,29 @@ def test_checks(spark):
     assert quality.alert_text(got[0]).startswith("[CRITICAL] no_duplicate_event_ids")
 
 
+def test_parity_by_digests(spark):
+    """Same figures as by rows, with nulls, repeats and empty tables; only rows near differences are compared."""
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice([None, "x", "y"]), rnd.randint(0, 5)) for i in range(3000)] * 2
+    left = spark.createDataFrame(rows, "i long, s string, a long")
+    for other in (rows, rows[:-1], [*rows, rows[7]], [(i, s, a + (i == 1234)) for i, s, a in rows], [], [(None, None, None)]):
+        right = spark.createDataFrame(other, "i long, s string, a long")
+        for x, y in ((left, right), (right, left)):
+            assert quality.parity_by_digests(x, y, "a", ["i", "s"], 64).first().asDict() == quality.parity(x, y, "a", ["i", "s"]).fillna({"only_left": 0, "only_right": 0}).first().asDict()
+    _, compared = quality.differing_rows(left, left.withColumn("a", F.when(F.col("i") == 1234, 99).otherwise(F.col("a"))), "a", ["i", "s"], 64)
+    assert {r["i"] for r in compared.collect()} >= {1234} and compared.count() < 100
+
+
+def test_phases_by_bins(spark):
+    rnd = random.Random(6)
+    phases = [(f"p{k % 7}", 100 * (k // 7), 100 * (k // 7) + rnd.choice([99, 99, 40]), f"v{k}") for k in range(70)] + [("open", 30, None, "o"), ("later", 10**6, None, "l")]
+    p = spark.createDataFrame(phases, "phase_address string, from_block long, to_block long, abi_version string")
+    rows = spark.createDataFrame([(i, rnd.choice(["P1", "p2", "p6", "Open", "later", "none", None]), rnd.choice([rnd.randint(0, 1100), 29, 30, 99, 100, None])) for i in range(500)], "i int, address string, b long")
+    for found in (in_phase_by_bins(rows, p, "address", "b", 64), in_phase_by_bins(rows.where("i < 0"), p, "address", "b")):
+        want = in_phase(rows.where("i < 0") if found.count() == 0 else rows, p, "address", "b")
+        assert found.columns == want.columns and sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+
+
 def test_store(spark, tmp_path):
     t = store.Table(spark, str(tmp_path / "t"), ["k"])
     t.merge(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"))
