@@ -39,6 +39,12 @@ def unknown_signatures(failures: DataFrame, threshold_percent: float = 0.5, atte
     return _check(r, "unknown_signatures", "warn", F.col("share") <= threshold_percent, F.col("share"), _said(F.col("n"), " of ", F.col("d"), " logs have an unknown topic"))
 
 
+def unknown_share(failures: DataFrame, threshold_percent: float = 0.5) -> DataFrame:
+    """One row if more than the threshold of all failures are unknown topics, else none; none without failures."""
+    r = failures.agg(F.count("*").alias("total_failures"), F.count_if(F.col("failure_reason") == "unknown_topic").alias("unknown_topic_count"))
+    return r.where((F.col("total_failures") > 0) & (F.col("unknown_topic_count") * 100.0 / F.col("total_failures") > threshold_percent))
+
+
 def balance_consistency(differences: DataFrame, tolerance: int = 0, column: str = "difference") -> DataFrame:
     r = differences.agg(F.count_if(F.abs(column) > tolerance).alias("n"), F.coalesce(F.max(F.abs(column)), F.lit(0)).alias("worst"))
     return _check(r, "balance_consistency", "critical", F.col("n") == 0, F.col("worst"), _said(F.col("n"), " pools differ"))

@@ -95,9 +95,10 @@ def block_gaps(spark, d):
     return B.block_gaps(o).drop("chain_id")
 
 
-@query(_with(X.BASE) + " SELECT block_number, count(*) AS n FROM base WHERE block_number > 700 - 50 GROUP BY block_number")
+@query(_with(X.BASE) + " SELECT block_number, count(*) AS n FROM base WHERE block_number > (SELECT max(block_number) * 7 // 10 FROM base) - 50 GROUP BY block_number")
 def incremental_overlap(spark, d):
-    return B.since_last_run(X.base(spark, d), 700).groupBy("block_number").agg(F.count("*").alias("n"))
+    """What a run reads again whose target has seven tenths of the blocks."""
+    return B.since_last_run(X.base(spark, d), _span(spark, d)[1] * 7 // 10).groupBy("block_number").agg(F.count("*").alias("n"))
 
 
 @query(_with(X.BASE) + " SELECT block_number, sha256(CAST(block_number AS VARCHAR)) AS old_hash, sha256(block_number || 'x') AS new_hash FROM blocks WHERE block_number % 9 = 0")

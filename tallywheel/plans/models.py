@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywheel.functions.fixed import TOKEN, TRANSFER_TOPIC
+from tallywheel.functions.keccak import selector
 from tallywheel.operators import actions as A
 from tallywheel.operators import balances, ledger, matching, quality, traces
 from tallywheel.operators import blocks as B
 from tallywheel.operators import movements as M
+from tallywheel.operators.decode import decode_calldata, decode_logs
 from tallywheel.plans import fixtures as X
 from tallywheel.plans import marts
 from tallywheel.plans.incremental import Incremental
-from tallywheel.plans.catalogue import _DAY, _FEES, _fee_entries_of, _frames, _registry, _with, query
+from tallywheel.plans.catalogue import _DAY, _FEES, _REASON, _fee_entries_of, _frames, _logs, _registry, _with, query
 from tallywheel.session import shared_folder
-from tallywheel.sources.registry import in_phase_by_bins
+from tallywheel.sources import scans
+from tallywheel.sources.registry import Phase, Registry, in_phase_by_bins
 from tallywheel.streaming import stateful
 
 _FINAL = "block_number <= (SELECT max(block_number) - 64 FROM base)"
@@ -52,8 +55,6 @@ def stg_link_transfers(spark, d):
 def _calls(spark, d) -> DataFrame:
     """Decoded calls of all frames; roots call a staking method."""
     word = F.lpad(F.lower(F.hex("event_id")), 64, "0")
-    from tallywheel.functions.keccak import selector
-
     frames = _frames(spark, d).withColumn("input", F.concat(F.lit(selector("stake(uint256)")), word))
     return traces.decode_trace_calls(frames, _registry())
 
@@ -152,6 +153,51 @@ def incremental_models(spark, d):
     return reduce(DataFrame.unionAll, totals)
 
 
+# Hostile rows, failures and freshness
+
+_K = "event_id % 12"
+
+
+@query(
+    f"""SELECT event_id, CASE {_K}
+            WHEN 0 THEN CASE WHEN event_id % 300 < 256 THEN CAST(event_id % 300 AS VARCHAR) END WHEN 1 THEN 'hi' WHEN 5 THEN '0xdeadbeef' WHEN 7 THEN CAST(event_id % 100 - 32768 AS VARCHAR)
+            WHEN 9 THEN '115792089237316195423570985008687907853269984665640564039457584007913129639935' WHEN 10 THEN CASE WHEN event_id % 300 < 256 THEN '[1,' || event_id % 300 || ']' END END AS v,
+        CASE WHEN {_K} IN (2, 3, 4, 6, 8, 11) OR {_K} IN (0, 10) AND event_id % 300 >= 256 THEN 'abi_mismatch' END AS failure_reason
+        FROM events"""
+)
+def decode_hostile(spark, d):
+    """Calldata with numbers beyond their type, bad text, padding and places, of plain and nested types."""
+    kinds = ("uint8", "string", "bytes4", "int16", "uint256", "uint8[]")
+    abi = [{"type": "function", "name": f"f{i}", "inputs": [{"name": "v", "type": k}]} for i, k in enumerate(kinds)]
+    phases = [Phase("0x" + format(4096 + k, "040x"), "pool", "v1", 0, None, "hostile.json") for k in range(7)]
+    sel = [selector(f"f{i}({k})") for i, k in enumerate(kinds)]
+    word = lambda x: F.lpad(F.lower(F.hex(x)), 64, "0")
+    n = lambda x: word(F.lit(x))
+    of = F.col("event_id") % 300
+    datas = [
+        (0, [word(of)]), (1, [n(32), n(2), F.lit("6869" + "0" * 60)]), (1, [n(32), n(1), F.lit("ff" + "0" * 62)]), (1, [n(2**30), n(1)]), (1, [n(32), n(2**31), n(0)]), (2, [F.lit("deadbeef" + "0" * 56)]),
+        (2, [F.lit("deadbeef" + "0" * 55 + "1")]), (3, [F.concat(F.lit("f" * 60), F.lower(F.hex(F.col("event_id") % 100 + 0x8000)))]), (3, [n(0x8000)]), (4, [F.lit("f" * 64)]), (5, [n(32), n(2), n(1), word(of)]), (5, [n(32), n(2**40), n(1)]),
+    ]
+    data = F.get(F.array(*[F.concat(F.lit(sel[i]), *words) for i, words in datas]), (F.col("event_id") % 12).cast("int"))
+    calls = X.base(spark, d).select("event_id", "block_number", F.col("contract_address").alias("to_address"), data.alias("input"))
+    found = decode_calldata(calls, Registry.of(phases, {"hostile.json": abi}))
+    return found.select("event_id", F.try_element_at("params", F.lit("v")).alias("v"), "failure_reason")
+
+
+@query(_with(X.BASE) + f", r AS (SELECT {_REASON} AS reason FROM base) SELECT count(*) AS total_failures, count(*) FILTER (WHERE reason = 'unknown_topic') AS unknown_topic_count FROM r WHERE reason IS NOT NULL HAVING count(*) > 0 AND count(*) FILTER (WHERE reason = 'unknown_topic') * 100.0 / count(*) > 0.5")
+def unknown_signature_share(spark, d):
+    return quality.unknown_share(marts.int_decode_failures(decode_logs(_logs(spark, d), _registry())))
+
+
+@query("SELECT source, CAST(t AS BIGINT) AS latest, 1706400000 - CAST(t AS BIGINT) AS age_seconds, CASE WHEN 1706400000 - t > 21600 THEN 'error' WHEN 1706400000 - t > 3600 THEN 'warn' ELSE 'pass' END AS status FROM (SELECT event_type AS source, max(least(floor(epoch(ts)), 1706400000 - CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 7200 ELSE 90000 END)) AS t FROM events GROUP BY event_type)")
+def source_freshness(spark, d):
+    """Each type of event as a source of its own, ingested up to now, two hours or more than a day ago."""
+    b = X.base(spark, d)
+    lag = {"view": 0, "click": 7200}
+    tables = {t: b.where(F.col("event_type") == t).select(F.least("timestamp", F.lit(1706400000 - lag.get(t, 90000))).alias("ingested_at")) for t in X.KINDS}
+    return scans.source_freshness(tables, 1706400000)
+
+
 # Large tables
 
 

@@ -6,8 +6,11 @@ down; days are derived from block ranges by the caller where tables are partitio
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from tallywheel.functions.fixed import TRANSFER_FROM_SELECTOR, TRANSFER_SELECTOR, TRANSFER_TOPIC
 from tallywheel.functions.hexes import topic_to_address
@@ -104,5 +107,35 @@ def seed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, quote='"', escape='"')
 
 
+#: Columns of the eight seed files in their order; those of maps and lists are JSON text in the file. Fixed values.
+SEEDS = {
+    "seed_decoded_events": "raw_log_id string, decoded_event_id string, chain_id int, block_number bigint, block_hash string, tx_hash string, log_index int, contract_address string, event_name string, event_signature string, indexed_params map<string,string>, data_params map<string,string>, run_partition_id string",
+    "seed_decoded_trace_calls": "raw_trace_call_id string, chain_id int, block_number bigint, tx_hash string, trace_address array<int>, contract_address string, method_name string, method_selector string, params map<string,string>, success boolean, parent_success boolean, run_partition_id string",
+    "seed_link_transfers": "chain_id int, block_number bigint, block_hash string, tx_hash string, tx_index int, log_index int, address string, topics array<string>, data string, ingested_at bigint, run_partition_id string",
+    "seed_canonical_blocks": "chain_id int, block_number bigint, block_hash string, parent_hash string, timestamp bigint, ingested_at bigint, run_partition_id string",
+    "seed_economic_actions": "action_id string, kind string, chain_id int, block_number bigint, tx_hash string, log_index int, contract_address string, pool_role string, wallet string, amount_link decimal(38,0), source_event_signature string, raw_log_id string, decoded_event_id string, run_partition_id string",
+    "seed_token_movements": "movement_id string, chain_id int, block_number bigint, tx_hash string, token_address string, from_addr string, to_addr string, amount decimal(38,0), evidence_ids array<string>, source_priority string, is_canonical boolean, run_partition_id string",
+    "seed_action_movement_edges": "edge_id string, action_id string, movement_id string, allocated_amount decimal(38,0), status string, method string, reason string, chain_id int, block_number bigint, tx_hash string, run_partition_id string",
+    "seed_ledger_entries": "entry_id string, action_id string, entry_index int, account string, direction string, amount_link decimal(38,0), chain_id int, block_number bigint, tx_hash string, run_partition_id string",
+}
+
+
+def read_seed(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One of the eight seed files with its types; JSON text that doesn't fit is null, and so is an empty cell."""
+    wanted = StructType.fromDDL(SEEDS[name])
+    deep = {f.name: f.dataType for f in wanted if isinstance(f.dataType, (ArrayType, MapType))}
+    plain = StructType([StructField(f.name, StringType() if f.name in deep else f.dataType) for f in wanted])
+    rows = seed(spark, path, plain)
+    return rows.withColumns({c: F.from_json(c, kind) for c, kind in deep.items()}) if deep else rows
+
+
+def source_freshness(tables: dict[str, DataFrame], now: int, warn_after: int = 3600, error_after: int = 6 * 3600, column: str = "ingested_at") -> DataFrame:
+    """source, latest, age_seconds and status (pass, warn, error) of each table; an empty one is an error. Only the one column is read."""
+    age = F.lit(now) - F.col("latest")
+    status = F.when(F.coalesce(age > error_after, F.lit(True)), "error").when(age > warn_after, "warn").otherwise("pass")
+    each = [latest_ingest(t, column).select(F.lit(name).alias("source"), F.col("latest").cast("long").alias("latest")) for name, t in tables.items()]
+    return reduce(DataFrame.unionAll, each).withColumns({"age_seconds": F.greatest(age, F.lit(0)), "status": status})
+
+
 def latest_ingest(table: DataFrame, column: str = "ingested_at") -> DataFrame:
     return table.agg(F.max(column).alias("latest"))

@@ -429,6 +429,30 @@ def test_checks(spark):
     assert quality.alert_text(got[0]).startswith("[CRITICAL] no_duplicate_event_ids")
 
 
+def test_seed_files(spark, tmp_path):
+    path = str(tmp_path / "m.csv")
+    columns = [f.split(" ")[0] for f in scans.SEEDS["seed_token_movements"].replace("(38,0)", "").split(", ")]
+    with open(path, "w") as f:
+        f.write(",".join(columns) + "\n" + 'm1,1,5,t,tok,,b,12345678901234567890123456789,"[""a"",""b""]",trace,true,run\nm2,1,5,t,tok,a,b,1,not json,log,false,run\n')
+    a, b = scans.read_seed(spark, path, "seed_token_movements").orderBy("movement_id").collect()
+    assert a["from_addr"] is None and a["evidence_ids"] == ["a", "b"] and a["amount"] == Decimal("12345678901234567890123456789") and a["is_canonical"] is True
+    assert b["evidence_ids"] is None
+    assert len(scans.SEEDS) == 8 and all(spark.createDataFrame([], ddl).columns for ddl in scans.SEEDS.values())
+
+
+def test_freshness_by_source(spark):
+    t = lambda *x: spark.createDataFrame([(v,) for v in x], "ingested_at long")
+    got = {r["source"]: (r["age_seconds"], r["status"]) for r in scans.source_freshness({"a": t(1, 10_000), "b": t(6399), "c": t(None), "d": t(20_000), "e": t(10_000 - 6 * 3600 + 1)}, 10_000).collect()}
+    assert got["a"] == (0, "pass") and got["b"] == (3601, "warn") and got["c"][1] == "error" and got["d"] == (0, "pass")
+    assert scans.source_freshness({"b": t(1)}, 6 * 3600 + 2).first()["status"] == "error"
+
+
+def test_unknown_share(spark):
+    f = lambda *x: spark.createDataFrame([(v,) for v in x], "failure_reason string")
+    assert quality.unknown_share(f("unknown_topic", "abi_mismatch"), 50.0).count() == 0 and quality.unknown_share(f("unknown_topic", "abi_mismatch")).first()["total_failures"] == 2
+    assert quality.unknown_share(f("x").limit(0)).count() == 0
+
+
 def test_parity_by_digests(spark):
     """Same figures as by rows, with nulls, repeats and empty tables; only rows near differences are compared."""
     rnd = random.Random(5)
