@@ -332,17 +332,32 @@ def read_documents(spark: SparkSession, path: str, root: str | None = None) -> D
     return grouped.drop("number").mapInArrow(_assembled, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _whole(doc_id: int | None, chunks: list[dict]) -> np.ndarray:
+    """The ids of a document from its chunks, each held against its digest."""
+    parts = []
+    for c in sorted(chunks, key=lambda c: c["pos"]):
+        if c["payload"] is None:
+            raise ValueError(f"a chunk of document {doc_id} is missing")
+        raw = unpack_ids(c["payload"])
+        if hashlib.sha256(raw).digest() != c["digest"]:
+            raise ValueError(f"chunk {c['digest'].hex()} of document {doc_id} is damaged")
+        parts.append(raw)
+    return np.frombuffer(b"".join(parts), "<u4")
+
+
 def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids = [np.frombuffer(b"".join(unpack_ids(c["payload"]) for c in sorted(chunks, key=lambda c: c["pos"])), "<u4").tolist() for chunks in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
+        ids = [_whole(i, chunks) for i, chunks in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+        flat = np.concatenate(ids).astype(np.int64) if ids else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "start", "ids"])
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start and the ids of every document of a store, after the same check of its recipes."""
+    """doc_id, start and the ids of every document of a store, after the same check of its recipes; a lost or altered chunk raises."""
     verify_store(spark, path)
     links = _links(spark, path).join(_chunks(spark, path), "digest", "left")
-    grouped = links.groupBy("number").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.collect_list(F.struct("pos", "payload")).alias("chunks"))
+    grouped = links.groupBy("number").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.collect_list(F.struct("pos", "digest", "payload")).alias("chunks"))
     return grouped.drop("number").mapInArrow(_restored, "doc_id long, start long, ids array<long>")
 
 

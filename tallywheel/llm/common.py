@@ -65,6 +65,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with lines below before it where the table has such a column already, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def squeezed(text):
     """``text`` without any of the six blanks; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")

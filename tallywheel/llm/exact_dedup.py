@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywheel.llm.common import scratch, squeezed, width
+from tallywheel.llm.common import free_name, scratch, squeezed, width
 
 _SCHEMA = pa.schema([("bucket", pa.int64()), ("text_sha256", pa.string()), ("content", pa.string()), ("code_points", pa.int32()), ("best_id", pa.int64()), ("group_size", pa.int64())])
 _DDL = "bucket long, text_sha256 string, content string, code_points int, best_id long, group_size long"
@@ -214,6 +214,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with their columns unchanged."""
     keyed = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1)).alias("id"), F.sha2(squeezed(docs[text_col]), 256).alias("text_sha256"), squeezed(docs[text_col]).alias("content"), F.length(F.coalesce(docs[text_col], F.lit(""))).alias("code_points"))
-    stay = content_groups(keyed).select(F.col("keep_id").alias("_stays"), F.col("text_sha256").alias("_content"))
-    rows = docs.withColumns({"_id": F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1)), "_sha256": F.sha2(squeezed(docs[text_col]), 256)})
-    return rows.join(stay, (F.col("_id") == F.col("_stays")) & (F.col("_sha256") == F.col("_content")), "left_semi").drop("_id", "_sha256")
+    own_id, own_sha, keep_id, keep_sha = (free_name(docs, n) for n in ("own_id", "own_sha256", "stays_id", "stays_sha256"))
+    stay = content_groups(keyed).select(F.col("keep_id").alias(keep_id), F.col("text_sha256").alias(keep_sha))
+    rows = docs.withColumns({own_id: F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1)), own_sha: F.sha2(squeezed(docs[text_col]), 256)})
+    return rows.join(stay, (F.col(own_id) == F.col(keep_id)) & (F.col(own_sha) == F.col(keep_sha)), "left_semi").drop(own_id, own_sha)

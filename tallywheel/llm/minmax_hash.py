@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywheel.llm.common import settled, width
+from tallywheel.llm.common import free_name, settled, width
 from tallywheel.llm.components import components
 from tallywheel.llm.words import mixed, portions, run_hashes, word_hashes, word_lists
 
@@ -311,5 +311,6 @@ def _across(shared: DataFrame, classes: DataFrame, texts: DataFrame, first: Data
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, columns unchanged."""
-    gone = near_duplicates(docs, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "gone")
+    gone = near_duplicates(docs, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == F.col(name), "left_anti")

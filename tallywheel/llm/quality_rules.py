@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywheel.llm.common import squeezed
+from tallywheel.llm.common import free_name, squeezed
 
 _BLANK_CLASS = "\\x20\\x09-\\x0D"
 SYMBOLS = "#*$%&|<>"
 #: Phrases of page furniture (fixed values); a line of at most 20 words that holds one fails.
 BOILERPLATE = ("all rights reserved", "cookie policy", "accept cookies", "privacy policy", "terms of service", "terms of use", "subscribe to our newsletter", "sign up for our newsletter", "click here", "read more", "enable javascript", "skip to content", "back to top", "share this", "follow us on", "lorem ipsum")
+#: A line of at most 20 words; the match ends at the next word, however long the line is.
+_FEW = f"^[{_BLANK_CLASS}]*+(?:[^{_BLANK_CLASS}]++[{_BLANK_CLASS}]*+){{0,20}}+$"
 #: Words of menus (fixed values); a line of at most 10 words, half of them of this kind, fails.
 MENU_WORDS = ("home", "menu", "login", "logout", "about", "contact", "search", "next", "previous", "sitemap", "faq", "help", "register", "share", "subscribe", "cart")
 
@@ -48,8 +50,9 @@ def repeated_words(words: Column, window: int = 8) -> Column:
         return _let(_let(pairs, flagged), spread)
 
     def count(w: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda i: F.xxhash64(F.slice(w, i, window)))
-        return F.when(F.size(w) <= window, F.lit(0).cast("long")).otherwise(_let(runs, lambda r: F.when(F.size(F.array_distinct(r)) == F.size(r), F.lit(0).cast("long")).otherwise(covered(r))))
+        runs = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(window)]))
+        once = F.transform(w, lambda x: F.xxhash64(x))  # a window is hashed from its words' hashes
+        return F.when(F.size(w) <= window, F.lit(0).cast("long")).otherwise(_let(_let(once, runs), lambda r: F.when(F.size(F.array_distinct(r)) == F.size(r), F.lit(0).cast("long")).otherwise(covered(r))))
 
     return _let(words, count)
 
@@ -67,11 +70,11 @@ def _fails(line: Column) -> Column:
     def by_words(words: Column) -> Column:
         n = F.size(words)
         bare = F.transform(words, lambda w: F.lower(F.regexp_replace(w, "[^\\p{L}]+", "")))
-        return ((n <= 20) & any_phrase) | ((n <= 10) & (2 * F.size(F.filter(bare, lambda w: F.array_contains(menu, w))) >= n))
+        return any_phrase | ((n <= 10) & (2 * F.size(F.filter(bare, lambda w: F.array_contains(menu, w))) >= n))
 
     punctuation = 10 * symbols >= dense
     shouting = (dense >= 20) & ~F.rlike(line, F.lit("\\p{Ll}")) & F.rlike(line, F.lit("\\p{Lu}"))
-    return F.when(punctuation | shouting, F.lit(True)).otherwise(F.when(dense > 400, F.lit(False)).otherwise(_let(words_of(line), by_words)))
+    return F.when(punctuation | shouting, F.lit(True)).otherwise(F.when(F.rlike(line, F.lit(_FEW)), _let(words_of(line), by_words)).otherwise(F.lit(False)))
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", min_kept: float = 0.5) -> DataFrame:
@@ -84,24 +87,23 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_kept: float = 0.5
     least ``min_kept``). Columns of ``docs`` with these names are replaced, others pass through.
 
     Null texts count as empty: no words, base_failed, clean_text empty. Lines without a word are
-    neither judged nor removed. The rules on boilerplate and menus hold for lines of at most 400
-    non-blank characters, as in the SQL; a longer line is judged by its symbols and capitals only,
-    however few words it has. Equal rows get equal results; an empty table gives none.
+    neither judged nor removed; one of any length is judged by its number of words. Equal rows get equal
+    results; an empty table gives none.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "kept_share", "kept")
     has_word = lambda line: F.length(squeezed(line)) > 0
-    lines = F.split(text, "\n")
+    lines, both = F.split(text, "\n"), free_name(docs, "words")
     worded = F.filter(lines, has_word)
     figures = docs.select(
         *[c for c in docs.columns if c not in new],
-        _let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias("_w"),
+        _let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias(both),
         F.length(squeezed(text)).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _let(worded, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         F.array_join(F.filter(lines, lambda x: ~has_word(x) | ~_fails(x)), "\n").alias("clean_text"),
     )
-    found = figures.withColumns({"n_words": F.col("_w.n_words"), "n_repeat_words": F.col("_w.n_repeat_words")}).drop("_w")
+    found = figures.withColumns({"n_words": F.col(both)["n_words"], "n_repeat_words": F.col(both)["n_repeat_words"]}).drop(both)
     found = found.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     found = found.withColumn("kept_share", F.when(F.col("word_chars") > 0, F.length(squeezed(F.col("clean_text"))) / F.col("word_chars")).otherwise(F.lit(0.0)))
     found = found.withColumn("kept", ~F.col("base_failed") & (F.col("kept_share") >= min_kept))

@@ -141,8 +141,8 @@ ORACLE_SQL = {
         f AS (SELECT doc_id, line, length(dense) AS n,
                 10 * length(regexp_replace(dense, '[^#*$%&|<>]', '', 'g')) >= length(dense)
                 OR (length(dense) >= 20 AND NOT regexp_matches(line, '\\p{{Ll}}') AND regexp_matches(line, '\\p{{Lu}}'))
-                OR (length(dense) <= 400 AND ((len(lw) <= 20 AND ({_PHRASES}))
-                    OR (len(lw) <= 10 AND 2 * len(list_filter(lw, lambda x: lower(regexp_replace(x, '[^\\p{{L}}]+', '', 'g')) IN ({_MENU}))) >= len(lw)))) AS fails
+                OR (len(lw) <= 20 AND ({_PHRASES}))
+                OR (len(lw) <= 10 AND 2 * len(list_filter(lw, lambda x: lower(regexp_replace(x, '[^\\p{{L}}]+', '', 'g')) IN ({_MENU}))) >= len(lw)) AS fails
               FROM l WHERE dense <> ''),
         g AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS word_chars, CAST(coalesce(sum(n) FILTER (NOT fails), 0) AS BIGINT) AS kept_chars, count(*) - count(DISTINCT line) AS dup FROM f GROUP BY doc_id),
         o AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

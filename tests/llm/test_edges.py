@@ -104,11 +104,26 @@ def test_mixed_rows_are_those_of_the_plan(spark):
     assert max(found.values()) > 1 and mixing.mix_sources(d.limit(0), 3).count() == 0
 
 
-def test_long_lines_of_few_words_are_judged_by_characters_only(spark):
-    url = lambda n: "click here " + "u" * (n - 9)
-    d = spark.createDataFrame([(1, url(400)), (2, url(401)), (3, "#" * 401)], "doc_id long, text string")
-    got = {r["doc_id"]: r["clean_text"] for r in quality_rules.quality_rules(d).collect()}
-    assert got == {1: "", 2: url(401), 3: ""}
+def test_lines_are_judged_by_words_whatever_their_length(spark):
+    url = lambda n: "click here " + "u" * n
+    many = lambda n: "click here " + " ".join(["word"] * n)
+    long = lambda n: "click here " + " ".join(["v" * 300] * n)
+    texts = {1: url(391), 2: url(392), 3: "#" * 401, 4: url(500), 5: url(5000), 6: url(200_000), 7: many(18), 8: many(19), 9: long(18), 10: long(19), 11: "home " + "x" * 5000, 12: "home " + "x" * 5000 + " y", 13: " \t" + many(18) + " \r", 14: "home menu " + " ".join(["z" * 900] * 2), 15: many(30_000)}
+    gone = {1, 2, 3, 4, 5, 6, 7, 9, 11, 13, 14}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["clean_text"] for r in quality_rules.quality_rules(d).collect()} == {i: "" if i in gone else t for i, t in texts.items()}
+
+
+def test_columns_with_the_names_of_inner_ones(spark):
+    """Whatever a table calls its further columns, the stages that pass rows on leave them as they are."""
+    names = ["words", "_words", "gone", "own_id", "Own_SHA256", "stays_id", "stays_sha256", "_id", "_sha256", "_w"]
+    text = " ".join(f"v{k}" for k in range(40))
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in ((1, text), (2, text), (3, text + " more"), (4, None))]
+    d = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    cleaned = quality_rules.quality_rules(d)
+    assert [tuple(r)[: len(d.columns)] for r in cleaned.orderBy("doc_id").collect()] == rows
+    assert sorted(tuple(r) for r in exact_dedup.keep_first_copies(d).collect() if r["doc_id"] < 4) == [rows[0], rows[2]]
+    assert sorted(tuple(r) for r in minmax_hash.drop_near_duplicates(d).collect()) == [rows[0], rows[3]]
 
 
 def test_scores(spark, docs, rows):

@@ -180,6 +180,11 @@ def test_chunk_store(spark, docs, rows, tmp_path):
     assert {r["doc_id"]: r["ids"] for r in chunk_store.read_ids(spark, path).collect()} == {i: x.tolist() for i, x in ids.items()}
     chunks = chunk_store._chunks(spark, path)
     assert chunks.count() == chunks.select("digest").distinct().count()
+    good = [{"pos": k, "digest": r["digest"], "payload": r["payload"]} for k, r in enumerate(chunks.limit(2).collect())]
+    assert len(chunk_store._whole(5, good)) == sum(len(chunk_store.unpack_ids(c["payload"])) // 4 for c in good)
+    for bad, said in (({"payload": good[0]["payload"]}, "damaged"), ({"payload": None}, "missing")):
+        with pytest.raises(ValueError, match=f"{said}|missing"):
+            chunk_store._whole(5, [good[0], {**good[1], **bad}])
     files = sorted((tmp_path / "store" / "recipes").glob("*.parquet"))
     assert [i for f in files for i in pq.read_table(f).column("doc_id").to_pylist()] == [i for i, _ in rows] and len(files) > 1
     assert not (tmp_path / "store" / "_local").exists()
