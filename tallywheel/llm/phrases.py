@@ -141,13 +141,13 @@ def _raised(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def _frequent(listed: DataFrame, keys: list[str], min_count: int, k: int) -> tuple[DataFrame, str]:
-    """at, id, a and the keys of all entries that stand for a phrase with ``min_count`` or more occurrences in all blocks, and their folder.
+    """at, id and a of all entries that stand for a phrase with ``min_count`` or more occurrences in all blocks, and their folder.
 
-    The entries of a phrase meet, at most one a block.
+    The entries of a phrase meet, at most one a block; the one whose place is the number keeps the keys.
     """
     same = Window.partitionBy(*keys)
-    summed = listed.select("at", *keys, F.sum("n").over(same).alias("a"), F.min("at").over(same).alias("id"))
-    return settled_at(summed.where(F.col("a") >= min_count), f"frequent{k}")
+    summed = listed.select("at", *keys, F.sum("n").over(same).alias("a"), F.min("at").over(same).alias("id")).where(F.col("a") >= min_count)
+    return settled_at(summed.select("at", "id", "a", *[F.when(F.col("at") == F.col("id"), F.col(c)).alias(c) for c in keys]), f"frequent{k}")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
