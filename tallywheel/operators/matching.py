@@ -148,7 +148,7 @@ def _dealt(large: DataFrame, keys: list[str], parts: int) -> DataFrame:
     return large.drop("_at").join(best, keys, "left")
 
 
-def match_actions(actions: DataFrame, movements: DataFrame, deal_above: int | None = None, parts: int = 64) -> DataFrame:
+def match_actions(actions: DataFrame, movements: DataFrame, deal_above: int | None = None, parts: int = 64, lowered: bool = False) -> DataFrame:
     """At least one edge for each action.
 
     not_expected for kinds that move nothing; unmatched without a movement; exact for one movement of
@@ -160,13 +160,15 @@ def match_actions(actions: DataFrame, movements: DataFrame, deal_above: int | No
     transaction, whose partitioning the grouping by action keeps; only amounts of actions without an
     equal movement are sent to Python. With ``deal_above``, an action that has so many movements to try is dealt
     out to ``parts`` rows that are looked at apart, so that a transaction with thousands isn't one task's work.
+    With ``lowered`` the tx_hash of both tables is lower case as stored; if both are bucketed by it, nothing is shuffled.
     """
+    tx = F.col("tx_hash") if lowered else F.lower("tx_hash")
     still = F.coalesce(F.col("kind").isin(NO_MOVEMENT_KINDS), F.lit(False))
     own = ["action_id", "kind", "amount_link", "chain_id", "block_number", "tx_hash"]
     flat = ["action_id", "chain_id", "block_number", "tx_hash"]
     idle = actions.where(still).select(*flat, F.inline(F.array(_edge("not_expected", reason=_says("idle", F.col("kind"))))))
-    asked = actions.where(~still).select(*own, F.lower("tx_hash").alias("_tx"))
-    given = movements.where("amount > 0").select(F.lower("tx_hash").alias("_tx"), F.struct("source_priority", "from_addr", "movement_id", "amount").alias("_m"))
+    asked = actions.where(~still).select(*own, tx.alias("_tx"))
+    given = movements.where("amount > 0").select(tx.alias("_tx"), F.struct("source_priority", "from_addr", "movement_id", "amount").alias("_m"))
     met = asked.join(given, "_tx", "left").groupBy("_tx", *own).agg(F.array_sort(F.collect_list("_m")).alias("_c"))
     met = met.withColumn("_same", F.filter("_c", lambda m: m["amount"] == F.col("amount_link")))
     rest = (F.size("_c") > 1) & (F.size("_same") == 0)

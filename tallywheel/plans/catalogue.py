@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,10 @@ from tallywheel.operators import blocks as B
 from tallywheel.operators import movements as M
 from tallywheel.plans import fixtures as X
 from tallywheel.plans import marts
+from tallywheel.session import shared_folder
 from tallywheel.sources import scans
 from tallywheel.sources.registry import Phase, Registry, in_phase
-from tallywheel.sources.store import merged
+from tallywheel.sources.store import merged, save_bucketed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -295,6 +297,16 @@ def match_actions(spark, d):
     return e.select("edge_id", "action_id", "movement_id", F.col("allocated_amount").cast("long").alias("allocated"), "status", "method", "reason")
 
 
+@query(ORACLE["match_actions"])
+def bucketed_matching(spark, d):
+    """Matching over tables that are bucketed by transaction; it shuffles nothing more."""
+    at, name = shared_folder(spark, "bucketed"), f"tallywheel_{uuid.uuid4().hex}"
+    a = save_bucketed(X.small_actions(spark, d), f"{name}_actions", ["tx_hash"], 16, f"{at}/actions")
+    m = save_bucketed(X.movements(spark, d).drop("position", "evidence_ids"), f"{name}_movements", ["tx_hash"], 16, f"{at}/movements")
+    e = matching.match_actions(a, m, lowered=True)
+    return e.select("edge_id", "action_id", "movement_id", F.col("allocated_amount").cast("long").alias("allocated"), "status", "method", "reason")
+
+
 _WORST = "['unmatched', 'unexpected', 'ambiguous', 'partial', 'not_expected', 'exact']"
 _ALL_EDGES = """
     every AS (

@@ -14,20 +14,17 @@ from pyspark.sql.types import ArrayType, MapType, StringType, StructField, Struc
 
 from tallywheel.functions.fixed import TRANSFER_FROM_SELECTOR, TRANSFER_SELECTOR, TRANSFER_TOPIC
 from tallywheel.functions.hexes import topic_to_address
+from tallywheel.sources.footers import scan_bytes
 
 
 class CostError(RuntimeError):
     """A query whose inputs are larger than its budget."""
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Size of the optimised plan's input as Catalyst estimates it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def guarded(df: DataFrame, most_bytes: int = 50 << 30) -> DataFrame:
-    if (n := estimated_bytes(df)) > most_bytes:
-        raise CostError(f"about {n} bytes, over the limit of {most_bytes}")
+    """``df``, or an error before anything of its tables but footers is read."""
+    if (n := scan_bytes(df, enough=most_bytes)) > most_bytes:
+        raise CostError(f"{n} bytes to read, over the limit of {most_bytes}")
     return df
 
 

@@ -44,6 +44,18 @@ def append(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), cluster
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
+def save_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, path: str | None = None, sort_by: tuple[str, ...] = ()) -> DataFrame:
+    """Replace the catalogue's table ``name`` by ``df`` in ``buckets`` files by the hash of ``keys``, each sorted, and read it.
+
+    Tables with the same number of buckets by the same keys meet by them, and are grouped and ranked by them, without
+    a shuffle: it is paid once, when they are written. Rows are dealt by the same hash first, so that
+    each task writes one file. A bucket is read as one task: choose their number for the largest table to come.
+    """
+    w = df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys, *sort_by)
+    (w.option("path", path) if path else w).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def latest(rows: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
     """One row for each key: the last in the order of ``by`` (columns, the greatest last; all others decide ties)."""
     others = [c for c, kind in rows.dtypes if c not in keys and not kind.startswith("map")]
