@@ -95,8 +95,11 @@ class Network:
         return np.fromiter(map(seen.__getitem__, itertools.chain.from_iterable(lists)), np.int64, int(offsets[-1])), offsets
 
     def rows(self, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Table rows of all words (of the word, of its beginning) with padding after each text, and where each text starts."""
-        gap, n = max(WIDTHS), len(offsets) - 1
+        """Table rows of all words (of the word, of its beginning) with padding after each text, and where each text starts.
+
+        A filter starts at a word or at the first place after the last; what it covers then is the text's own or padding.
+        """
+        gap, n = max(WIDTHS) + 1, len(offsets) - 1
         out = np.full((len(codes) + gap * n, 2), _PAD, np.int32)
         at = np.arange(len(codes)) + gap * np.repeat(np.arange(n), np.diff(offsets))
         out[at, 0], out[at, 1] = codes & 0xFFFFFF, (codes >> 24) & 0xFFFFFF
@@ -115,7 +118,10 @@ class Network:
 
     def logits(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         rows, starts = self.rows(codes, offsets)
-        pooled = [np.maximum(np.maximum.reduceat(r, starts, axis=0), 0) for r in self.responses(rows).values()]
+        if not len(starts):
+            return np.empty(0, np.float32)
+        bounds = np.stack((starts, starts + np.diff(offsets) + 1), axis=1).ravel()  # every other stretch lies between two texts
+        pooled = [np.maximum(np.maximum.reduceat(r, bounds, axis=0)[::2], 0) for r in self.responses(rows).values()]
         return np.concatenate(pooled, axis=1) @ self.out + self.out_bias
 
 
@@ -179,9 +185,9 @@ def _epochs(net: Network, coded: list[np.ndarray], y: np.ndarray, epochs: int, r
             pick = order[at : at + batch]
             offsets = np.concatenate(([0], np.cumsum([len(coded[i]) for i in pick])))
             rows, starts = net.rows(np.concatenate([coded[i] for i in pick]), offsets)
-            ends = np.concatenate((starts[1:], [len(rows)]))
+            ends = starts + np.diff(offsets) + 1
             got = net.responses(rows)
-            where = {w: np.stack([s + np.argmax(got[w][s : min(e, len(got[w]))], axis=0) for s, e in zip(starts, ends, strict=True)]) for w in WIDTHS}
+            where = {w: np.stack([s + np.argmax(got[w][s:e], axis=0) for s, e in zip(starts, ends, strict=True)]) for w in WIDTHS}
             pooled = {w: np.take_along_axis(got[w], where[w], axis=0) for w in WIDTHS}
             full = np.concatenate([np.maximum(pooled[w], 0) for w in WIDTHS], axis=1)
             p = 1 / (1 + np.exp(-np.clip(full @ net.out + bias[0], -30, 30)))

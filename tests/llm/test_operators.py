@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import shutil
 import zlib
 from collections import Counter
@@ -522,6 +523,77 @@ def test_toxicity(spark):
     assert toxicity.toxicity(d.limit(0), labels).count() == 0
 
 
+def plain_toxicity(net, text):
+    """A score by loops over one text's words, filters and places."""
+    words = [w for w in "".join(c if ord(c) > 127 or c.isalnum() or c == "'" else " " for c in text).encode().lower().split()]
+    known = set(net.known.tolist())
+
+    def vector(word):
+        out = np.zeros(net.table.shape[1])
+        for h in toxicity.word_keys(word):
+            out += net.table[h % (len(net.table) - 2) + 2 if h in known else 1]
+        return out
+
+    at = [*map(vector, words), *[np.zeros(net.table.shape[1])] * 3]
+    full = []
+    for w in toxicity.WIDTHS:
+        for k in range(net.filters[w].shape[2]):
+            full.append(max(0.0, *[sum(float(at[i + j] @ net.filters[w][j][:, k]) for j in range(w)) + float(net.biases[w][k]) for i in range(len(words) + 1)], -9e9))
+    z = sum(a * float(b) for a, b in zip(full, net.out, strict=True)) + net.out_bias
+    counts = [sum(w.decode() in known_words.split() for w in words) for known_words in toxicity.FUNCTION_WORDS.values()]
+    z += np.log(0.7 / 0.3) - net.shifts[counts.index(max(counts))]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_toxicity_by_loops():
+    """Each text's score is what plain loops over it alone give, whatever texts stand beside it."""
+
+    def bad(w):
+        w[RNG.randrange(len(w))] = RNG.choice(["nastyword", "nastyful", "vileword"])
+
+    rows = labelled(500, bad)
+    net = toxicity.train([t for _, t, _ in rows], [y for _, _, y in rows], epochs=3)
+    texts = ["", None, "nastyword", "nastyful vileword nastyword", " .;", "Le NASTYWORD, est-ce pour la maison?", *[t for _, t, _ in rows[:40]], "vileword nastyful", "", "der die das und für nastyword's Ärger"]
+    want = [plain_toxicity(net, t or "") for t in texts]
+    assert np.allclose(toxicity.score_texts(net, texts), want, atol=1e-4)
+    assert np.allclose(toxicity.score_texts(net, texts[::-1])[::-1], want, atol=1e-4)
+    assert np.allclose(np.concatenate([toxicity.score_texts(net, [t]) for t in texts]), want, atol=1e-4)
+    assert len(toxicity.score_texts(net, [])) == 0
+
+
+def plain_figures(text):
+    words, lines = [w for w in re.split("[\x20\x09-\x0D]+", text) if w], [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    if not words:
+        return [0.0] * len(quality_model.FIGURES)
+    n, dense = len(words), sum(len(w.encode()) for w in words)
+    share = lambda ok: sum(map(ok, text)) / dense
+    fours = [tuple(words[i : i + 4]) for i in range(n - 3)]
+    adjacent = sum(a == b for a, b in zip(words, words[1:], strict=False)) / (n - 1) if n > 1 else 0.0
+    again = 1 - len(set(fours)) / len(fours) if fours else 0.0
+    return [np.log(1 + n), dense / n, len(set(words)) / n, share(lambda c: c in "#*$%&<>"), share(lambda c: "A" <= c <= "Z"), share(lambda c: "0" <= c <= "9"), text.count("!") / n, text.count("|") / n, adjacent, again, 1 - len(set(lines)) / len(lines), np.log(1 + dense / len(lines)), (text.count(".") + text.count(",")) / n]
+
+
+def test_quality_by_loops():
+    """Each text's score is the sum of table entries that plain loops over figures, cuts and pairs find."""
+
+    def bad(w):
+        for k in range(0, len(w), 3):
+            w[k] += "$$$" if k % 2 else "!,|"
+
+    rows = [(t, 1 - y) for _, t, y in labelled(500, bad)]
+    model = quality_model.train(quality_model.figures([t for t, _ in rows]), np.asarray([y for _, y in rows]))
+    texts = ["", None, " \n", "a", "a a a a a a a a", "A1, b2! | c3.\n\nA1, b2! | c3.\n \nÄrger über 7 %", *[t for t, _ in rows[:60]]]
+    want = []
+    for t in texts:
+        x = plain_figures(t or "")
+        b = [sum(c <= v for c in cuts) for cuts, v in zip(model.cuts, quality_model.figures([t])[0], strict=True)]
+        z = model.base + sum(float(tab[k]) for tab, k in zip(model.tables, b, strict=True)) + sum(float(tab[b[i], b[j]]) for i, j, tab in model.pairs)
+        want.append(1 / (1 + np.exp(-(z - model.shift + np.log(0.3 / 0.7)))))
+        assert np.allclose(quality_model.figures([t])[0], x, atol=1e-9)
+    assert np.allclose(quality_model.score_texts(model, texts), want, atol=1e-9)
+    assert len(model.pairs) > 0 and max(want) > 0.9 and min(want) < 0.1
+
+
 def test_quality_model(spark):
     def bad(w):
         for k in range(0, len(w), 3):
