@@ -59,20 +59,29 @@ def _point(fp):
     return sum((F.shiftrightunsigned(fp, i).bitwiseAND(ones) for i in range(1, 4)), fp.bitwiseAND(ones))
 
 
-def links(fingerprints: DataFrame) -> DataFrame:
-    """Pairs (v, m) whose links join what two differing bits or fewer join, from distinct ``fp``."""
+def _met(fingerprints: DataFrame) -> DataFrame:
+    """fp, cell and point for each cell that a fingerprint shares with another one."""
     steps = F.explode(F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("by")), *[F.struct(F.lit(4 * s).alias("s"), F.lit(by).alias("by")) for s in range(SEGMENTS) for by in (-1, 1)]))
     points = fingerprints.select("fp", _point(F.col("fp")).alias("point"), steps.alias("to")).select("fp", "point", "to.s", "to.by")
     set_bits = F.expr("shiftrightunsigned(point, s) & 15")
     reached = points.where((F.col("by") == 0) | ((F.col("by") < 0) & (set_bits > 0)) | ((F.col("by") > 0) & (set_bits < 4))).selectExpr("fp", "point + by * shiftleft(1L, s) AS cell")
     crowded = reached.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1").select("cell")
-    met = reached.join(crowded, "cell").select("fp", "cell", _point(F.col("fp")).alias("point"))
+    return reached.join(crowded.hint("merge"), "cell").select("fp", "cell", _point(F.col("fp")).alias("point"))
+
+
+def links(fingerprints: DataFrame) -> DataFrame:
+    """Pairs (v, m) whose links join what two differing bits or fewer join, from distinct ``fp``.
+
+    The joins here and of the components are told to merge: estimates of size come from the files and know
+    nothing of the 33 cells of a row, so that cells were broadcast through the driver.
+    """
+    met = _met(fingerprints)
     # a cell one step away differs in one segment: four bits, of which those that are clear (or set) lead there
     segment = "sequence(bit_count(abs(cell - point) - 1), bit_count(abs(cell - point) - 1) + 3)"
     flipped = f"filter(transform({segment}, i -> shiftleft(1L, i)), b -> (fp & b <> 0) = (cell < point))"
     values = settled(met.select("fp", F.explode(F.expr(f"CASE WHEN cell = point THEN array(fp) ELSE transform({flipped}, b -> fp ^ b) END")).alias("value")), "values")
     shared = values.groupBy("value").agg(F.min("fp").alias("m"), F.max("fp").alias("hi")).where("m < hi").select("value", "m")
-    found = values.join(shared, "value").where("fp <> m").select(F.col("fp").alias("v"), "m").distinct()
+    found = values.join(shared.hint("merge"), "value").where("fp <> m").select(F.col("fp").alias("v"), "m").distinct()
     return found.where(F.bit_count(F.col("v").bitwiseXOR(F.col("m"))) <= 2)
 
 
@@ -92,7 +101,7 @@ def simhash_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marked = settled(texts.mapInArrow(_fingerprints, "id long, fp long"), "fingerprints")
     classes = settled(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "classes")
     joined = components(links(classes.select("fp")))
-    of = classes.join(joined, F.col("fp") == F.col("v"), "left").select("fp", "least", "n", F.coalesce("m", "fp").alias("m"))
+    of = classes.join(joined.hint("merge"), F.col("fp") == F.col("v"), "left").select("fp", "least", "n", F.coalesce("m", "fp").alias("m"))
     label = of.groupBy("m").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_size"))
-    found = marked.join(of.select("fp", "m").join(label, "m"), "fp")
+    found = marked.join(of.select("fp", "m").join(label.hint("merge"), "m").hint("merge"), "fp")
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.col("component_id").isNull()).alias("kept"), "group_size")

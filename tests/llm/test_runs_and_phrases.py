@@ -238,3 +238,15 @@ def test_query_of_periodic_runs(spark, tmp_path):
 
 def test_runs_of_nothing(spark):
     assert periods.periodic_runs(table(spark, [(1, "a", "en")]).where("false")).count() == 0
+
+
+def test_links_broadcast_nothing(spark):
+    """Tables of fingerprints and edges unpack to far more than their files' size, so no join of them may go through the driver."""
+    from tallywheel.llm import components
+    from tallywheel.llm.common import settled
+
+    fps = settled(spark.range(3000).selectExpr("id * 2654435761 AS fp"), "fps")
+    edges = settled(spark.range(3000).selectExpr("id + 1 AS v", "id AS m"), "edges")
+    for found in (simhash._met(fps), simhash.links(fps), components._large_star(edges), components._small_star(edges)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
