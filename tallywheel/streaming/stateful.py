@@ -19,14 +19,16 @@ from tallywheel.sources.store import Checkpoint
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CONFLICT = "chain_id int, block_number long, old_hash string, new_hash string"
+SHARES = 256  # of a chain's blocks
 
 
 class HashWatch(StatefulProcessor):
-    """Of one chain: the hash of each of its last blocks as of its latest sight, and a row for each that changes.
+    """Of a share of one chain's blocks: the hash of each of the last ones as of its latest sight, and a row for each that changes.
 
     Of the sights in one micro-batch the first and the last (by ``ingested_at``, then hash) of a block count, so
     the result doesn't depend on the order of rows within it. What lies so far below the highest block that it
-    was final before the batch isn't watched any more.
+    was final before the batch isn't watched any more. The highest block is the chain's: each share has a row
+    without a hash that names it.
     """
 
     def __init__(self, depth: int):
@@ -37,44 +39,62 @@ class HashWatch(StatefulProcessor):
         self.head = handle.getValueState("head", "block_number long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, last = {}, {}
+        before = self.head.get()[0] if self.head.exists() else None
+        top, first, last = before, {}, {}
         for part in rows:
-            ordered = part.sort_values(["ingested_at", "block_hash"]).groupby("block_number")
-            for keep, found, better in ((first, ordered.first(), min), (last, ordered.last(), max)):
-                for block, at, of in zip(found.index.tolist(), found["ingested_at"].tolist(), found["block_hash"].tolist(), strict=True):
-                    keep[block] = better(keep.get(block, (at, of)), (at, of))
-        head = self.head.get()[0] if self.head.exists() else None
-        top, out = max([*last, *([] if head is None else [head])]), []
+            highest = int(part["block_number"].max())
+            top = highest if top is None else max(top, highest)
+            for block, of, at in part[part["block_hash"].notna()][["block_number", "block_hash", "ingested_at"]].itertuples(index=False, name=None):
+                if before is None or block > before - self.depth:
+                    sight = (at, of)
+                    first[block] = min(first.get(block, sight), sight)
+                    last[block] = max(last.get(block, sight), sight)
+        known = {k[0]: tuple(v) for k, v in self.hashes.iterator()}  # at most ``depth`` blocks
+        out = []
         for block in sorted(last):
-            if head is not None and block <= head - self.depth:
-                continue
             at, new = last[block]
-            known = self.hashes.getValue((block,)) if self.hashes.containsKey((block,)) else None
-            if known is not None and known[1] > at:
+            if block in known and known[block][1] > at:
                 continue
-            old = known[0] if known is not None else first[block][1]
+            old = known[block][0] if block in known else first[block][1]
             if old != new:
                 out.append((int(key[0]), block, old, new))
             if block > top - self.depth:
                 self.hashes.updateValue((block,), (new, at))
-        if top != head:
+        if top != before:
             self.head.update((top,))
-            for block in [k[0] for k in self.hashes.keys() if k[0] <= top - self.depth]:
-                self.hashes.removeKey((block,))
+            for block in known:
+                if block <= top - self.depth:
+                    self.hashes.removeKey((block,))
         yield pd.DataFrame(out, columns=["chain_id", "block_number", "old_hash", "new_hash"])
 
     def close(self) -> None:
         pass
 
 
+def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """First and last sights of the blocks of each batch of rows, and for each share of a chain its highest block here, without a hash."""
+    heads: dict[int, int] = {}
+    for b in batches:
+        of = ["chain_id", "block_number"]
+        b = b.sort_values([*of, "ingested_at", "block_hash"])
+        for chain, top in b.groupby("chain_id")["block_number"].max().items():
+            heads[chain] = max(int(top), heads.get(chain, int(top)))
+        b = b[~b.duplicated(of) | ~b.duplicated(of, keep="last")]
+        yield b.assign(share=b["block_number"] % SHARES)
+    for chain, top in heads.items():
+        yield pd.DataFrame({"chain_id": chain, "block_number": top, "block_hash": None, "ingested_at": 0, "share": range(SHARES)})
+
+
 def changed_hashes(headers: DataFrame, depth: int = FINALITY_DEPTH) -> DataFrame:
     """chain_id, block_number, old_hash and new_hash of the blocks of a stream of headers (with ``ingested_at``) whose hash changes before they are final.
 
     Headers without a chain, a number or a hash are passed over; one without a time of ingestion is the oldest.
+    A chain's blocks are dealt out to shares by number, so that a chain isn't one task.
     """
     headers.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)  # keeps maps
     rows = headers.select(F.col("chain_id").cast("int").alias("chain_id"), F.col("block_number").cast("long").alias("block_number"), "block_hash", F.coalesce(F.col("ingested_at").cast("long"), F.lit(0)).alias("ingested_at")).dropna()
-    return rows.groupBy("chain_id").transformWithStateInPandas(HashWatch(depth), CONFLICT, "append", "none")
+    dealt = rows.mapInPandas(_ends, "chain_id int, block_number long, block_hash string, ingested_at long, share int")
+    return dealt.groupBy("chain_id", "share").transformWithStateInPandas(HashWatch(depth), CONFLICT, "append", "none")
 
 
 def mark_replays(conflicts: DataFrame, checkpoint: Checkpoint, source: str, folder: str, checkpoint_location: str) -> StreamingQuery:

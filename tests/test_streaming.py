@@ -5,6 +5,7 @@ from collections import defaultdict
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
+from pyspark.sql import functions as F
 
 from tallywheel.sources import store
 from tallywheel.streaming import stateful
@@ -62,6 +63,15 @@ def test_changed_hashes(spark, tmp_path):
     assert sorted(tuple(r) for r in found.collect()) == want and len(want) > 20
 
 
+def test_a_chain_is_no_task(spark, tmp_path):
+    """Changes of one chain come from several tasks, and a block that its share never saw is final by the chain's head."""
+    seen = [[(1, n, h, k) for n in range(0, 400) for k, h in enumerate((f"a{n}", f"b{n}"))], [(1, n, f"c{n}", 5) for n in (100, 391, 395, 401)] + [(1, 150, "d", 9), (1, 401, "x", 9)]]
+    stream = stateful.changed_hashes(feed(spark, tmp_path / "in", HEADER, seen), depth=10).withColumn("task", F.spark_partition_id())
+    found = stateful.drained(stream, str(tmp_path / "out"))[0].collect()
+    assert len({r["task"] for r in found}) > 1
+    assert sorted(tuple(r)[:4] for r in found) == conflicts_by_hand(seen, 10) and len(found) == 403
+
+
 def test_marked_replays(spark, tmp_path):
     check = store.Checkpoint(str(tmp_path / "cp.json"))
     seen = [[(c, n, f"a{n}", n) for c in (1, 2) for n in range(20)], [(1, n, f"b{n}", 50) for n in (15, 17)] + [(2, 3, "b", 60), (2, 19, "b19", 60)]]
