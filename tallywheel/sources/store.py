@@ -127,7 +127,8 @@ class Table:
     """A Parquet table whose rows lie in folders of versions; a pointer file, replaced in one step, names the current ones.
 
     With ``by_block``, a column that a row's key decides, each range of ``span`` of its numbers has a folder of
-    its own, and a merge reads and writes only the ranges that the new rows touch.
+    its own, and a merge reads and writes only the ranges that the new rows touch. A range of many rows is
+    dealt out to several tasks and files by its size.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], by_block: str | None = None, span: int = 10_000):
@@ -153,7 +154,7 @@ class Table:
 
     def _write(self, rows: DataFrame, known: dict[str, str], ranges: list[str]) -> DataFrame | None:
         v = uuid.uuid4().hex
-        rows.withColumn("range_of", self._range().cast("string")).repartition("range_of").write.partitionBy("range_of").parquet(f"{self.path}/{v}")
+        rows.withColumn("range_of", self._range().cast("string")).hint("rebalance", "range_of").write.partitionBy("range_of").parquet(f"{self.path}/{v}")
         written = [n.partition("=")[2] for n in self.files.names(f"{self.path}/{v}") if n.startswith("range_of=")]
         new = {r: f for r, f in known.items() if r not in ranges} | {r: f"{v}/range_of={r}" for r in written}
         self.files.put(self._pointer(), json.dumps(new))

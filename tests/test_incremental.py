@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallywheel.plans import marts
 from tallywheel.plans.incremental import Incremental
 from tallywheel.plans.models import growing_inputs
+from tallywheel.sources.store import Table
 
 DIR = "/root/testdata/sf0.001"
 KEYED = [name for name, (_, _, key, _) in marts.MODELS.items() if key]
@@ -67,6 +68,25 @@ def test_late_rows_and_reorganisation(spark, inputs, tmp_path):
     same(state, deep, 4)
 
 
+def test_a_range_is_no_task(spark, tmp_path):
+    """A range with many rows is written by several tasks, whatever the number of ranges; all rows are there."""
+    sizes = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.files.maxPartitionBytes": "64k"}
+    before = {k: spark.conf.get(k, None) for k in sizes}
+    rows = spark.range(60_000).selectExpr("id AS block_number", "sha2(string(id), 256) AS h")
+    rows.repartition(8).write.parquet(str(tmp_path / "in"))
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        table = Table(spark, str(tmp_path / "t"), [], "block_number", 100_000)
+        table.exchange(spark.read.parquet(str(tmp_path / "in")), lambda old: old, lambda r: True)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    (folder,) = table.folders().values()
+    assert len(list((tmp_path / "t" / folder).glob("*.parquet"))) > 4
+    assert table.read().count() == table.read().distinct().count() == 60_000
+
+
 def test_nothing_to_read(spark, tmp_path):
     with pytest.raises(ValueError, match="no run"):
         Incremental(spark, str(tmp_path)).read("ledger_entries")
