@@ -1,4 +1,4 @@
-"""Bounded samples of labelled texts for fitting classifiers."""
+"""Labelled texts for fitting classifiers: all of them as a table, or a bounded sample."""
 
 from __future__ import annotations
 
@@ -11,13 +11,25 @@ def fold(id_col: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def usable_labels(labels: DataFrame, label: str, modulus: int, held_out: int, id_col: str = "doc_id") -> DataFrame:
+    """_id and _label of all ids outside the held-out fold; of contradictory labels of an id the lesser counts."""
+    fits = labels[label].isin(0, 1) & labels[id_col].isNotNull() & (fold(labels[id_col], modulus) != held_out)
+    return labels.where(fits).select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).groupBy("_id").agg(F.min("_label").alias("_label"))
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_id, _label and _text (null is empty) of all rows of ``docs`` with a usable label."""
+    texts = docs.where(fold(docs[id_col], modulus) != held_out).select(docs[id_col].cast("long").alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
+    return texts.join(usable_labels(labels, label, modulus, held_out, id_col).hint("merge"), "_id").select("_id", "_label", "_text")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
     """At most ``most`` texts of each label from rows outside the held-out fold, and their labels.
 
     The rows with the least hash of their id are taken, so a sample doesn't depend on the partitioning.
     Rows without a label or an id aren't used; of contradictory labels of an id the lesser counts.
     """
-    usable = labels.where(labels[label].isin(0, 1) & labels[id_col].isNotNull() & (fold(labels[id_col], modulus) != held_out)).select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).groupBy("_id").agg(F.min("_label").alias("_label"))
+    usable = usable_labels(labels, label, modulus, held_out, id_col)
     picked = None
     for value in (0, 1):
         part = usable.where(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(most)

@@ -523,6 +523,26 @@ def test_toxicity(spark):
     assert toxicity.toxicity(d.limit(0), labels).count() == 0
 
 
+def test_toxicity_learns_from_all_rows(spark):
+    """Two rare marks stand in a few rows each, far more rows of either label don't have them; shares of 300 rows and any partitioning give one network."""
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(4000):
+        y = i % 2
+        mark = ("awful" if i % 8 == 1 else "vile" if y else "fine")
+        rows.append((i, y, " ".join(rnd.choices(words, k=12) + [mark] + rnd.choices(words, k=5))))
+    table = spark.createDataFrame(rows, "_id long, _label int, _text string")
+    nets = [toxicity.train_on(table.repartition(n), share_rows=300) for n in (2, 5)]
+    assert np.array_equal(nets[0].table, nets[1].table) and np.array_equal(nets[0].shifts, nets[1].shifts)
+    keys = {k for m in ("awful", "vile", "fine") for k in toxicity.word_keys(m.encode())}
+    assert keys <= set(nets[0].known.tolist())
+    right = (toxicity.score_texts(nets[0], [t for _, _, t in rows]) >= 0.7) == np.array([y for _, y, _ in rows], bool)
+    assert right.mean() > 0.99
+    once = toxicity.train_on(table.where("_id < 3000").unionAll(table.where("_id >= 3000").selectExpr("_id", "1 - _label", "_text")), share_rows=300)
+    assert not np.array_equal(once.table, nets[0].table)  # no row is left out
+
+
 def plain_toxicity(net, text):
     """A score by loops over one text's words, filters and places."""
     words = [w for w in "".join(c if ord(c) > 127 or c.isalnum() or c == "'" else " " for c in text).encode().lower().split()]
