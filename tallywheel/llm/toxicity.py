@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywheel.llm.common import settled
+from tallywheel.llm.common import removed, settled_at
 from tallywheel.llm.labelled import labelled_rows
 from tallywheel.llm.words import portions
 
@@ -304,16 +304,29 @@ def _packed(state: Fit, start: Fit, share: int) -> Iterator[tuple]:
 _CHANGES = "share long, slice int, change binary, met binary, steps long"
 
 
+_SHARE_DDL = "share long, labels binary, sizes binary, codes binary"
+
+
+def _share(part: pa.Table) -> pa.Table:
+    """All rows of a share as one, in an order that doesn't depend on the partitioning."""
+    part = part.sort_by([("_id", "ascending"), ("_label", "ascending"), ("codes", "ascending")])
+    codes = [c.as_py() for c in part["codes"]]
+    cells = [part["_label"].to_numpy().astype(np.float32).tobytes(), np.array([len(c) // 8 for c in codes], np.int64).tobytes(), b"".join(codes)]
+    return pa.table([part["share"].slice(0, 1), *[pa.array([c], pa.binary()) for c in cells]], names=["share", "labels", "sizes", "codes"])
+
+
 def _round(sent, seed: int, k: int):
-    def once(part: pa.Table) -> pa.Table:
-        part = part.sort_by([("_id", "ascending"), ("_label", "ascending"), ("codes", "ascending")])
-        share, start = part["share"][0].as_py(), sent.value
-        mine = pickle.loads(pickle.dumps(start))
-        epoch(mine, [np.frombuffer(c.as_buffer(), np.int64) for c in part["codes"]], part["_label"].to_numpy().astype(np.float32), np.random.default_rng((seed, k, share)))
-        out = list(zip(*_packed(mine, start, share), strict=True))
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary()), pa.array([mine.dense.t] * len(out[0]), pa.int64())], names=["share", "slice", "change", "met", "steps"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                share, start = b.column(0)[i].as_py(), sent.value
+                y, sizes, codes = (np.frombuffer(b.column(j)[i].as_buffer(), kind) for j, kind in ((1, np.float32), (2, np.int64), (3, np.int64)))
+                mine = pickle.loads(pickle.dumps(start))
+                epoch(mine, np.split(codes, np.cumsum(sizes)[:-1]), y, np.random.default_rng((seed, k, share)))
+                out = list(zip(*_packed(mine, start, share), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary()), pa.array([mine.dense.t] * len(out[0]), pa.int64())], names=["share", "slice", "change", "met", "steps"])
 
-    return once
+    return run
 
 
 def _mean(part: pa.Table) -> pa.Table:
@@ -353,7 +366,7 @@ def train_on(rows: DataFrame, share_rows: int = 6000, most_words: int = 1 << 18,
     their own, the least frequent ones share it, too.
     """
     spark = rows.sparkSession
-    dealt = settled(rows.select("_id", "_label", "_text", F.pmod(F.xxhash64("_id"), F.lit(4)).alias("_part")), "labelled")
+    dealt, texts_at = settled_at(rows.select("_id", "_label", "_text", F.pmod(F.xxhash64("_id"), F.lit(4)).alias("_part")), "labelled")
     sizes = {(r["_part"] == 0, r["_label"]): r["n"] for r in dealt.groupBy((F.col("_part") == 0).alias("_part"), "_label").agg(F.count("*").alias("n")).collect()}  # four rows
     n, ones = sizes.get((False, 0), 0) + sizes.get((False, 1), 0), sizes.get((False, 1), 0)
 
@@ -365,7 +378,7 @@ def train_on(rows: DataFrame, share_rows: int = 6000, most_words: int = 1 << 18,
                 key, count = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], names=["key", "n"])
 
-    counted = settled(dealt.where("_part <> 0").select("_text").mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least_texts), "words")
+    counted, words_at = settled_at(dealt.where("_part <> 0").select("_text").mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least_texts), "words")
     least, words = least_texts, 0
     for r in counted.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():  # 65 536 rows at most
         words += r["words"]
@@ -389,12 +402,13 @@ def train_on(rows: DataFrame, share_rows: int = 6000, most_words: int = 1 << 18,
                 own = b.slice(at.start, at.stop - at.start)
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(3), pa.array([codes[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["_id", "_label", "_part", "codes"])
 
-    table = settled(dealt.mapInArrow(coded, "_id long, _label int, _part long, codes binary"), "coded")
+    table, coded_at = settled_at(dealt.mapInArrow(coded, "_id long, _label int, _part long, codes binary"), "coded")
     shares = max(1, -(-n // share_rows))
-    fit = table.where("_part <> 0").withColumn("share", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(shares)))
+    removed(spark, texts_at)
+    fit, fit_at = settled_at(table.where("_part <> 0").select("_id", "_label", "codes", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(shares)).alias("share")).groupBy("share").applyInArrow(_share, _SHARE_DDL), "shares")  # the rounds shuffle no rows
     for k in range(epochs if 0 < ones < n else 0):
         sent = spark.sparkContext.broadcast(state)
-        changes = fit.groupBy("share").applyInArrow(_round(sent, seed, k), _CHANGES)
+        changes = fit.mapInArrow(_round(sent, seed, k), _CHANGES)
         _mixed(state, changes.groupBy("slice").applyInArrow(_mean, "slice int, change binary, steps long").collect())  # one network
         sent.unpersist()
     trained = spark.sparkContext.broadcast(net)
@@ -409,6 +423,8 @@ def train_on(rows: DataFrame, share_rows: int = 6000, most_words: int = 1 << 18,
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["lang", "score", "y"])
 
     held = table.where("_part = 0").select("_label", "codes").mapInArrow(judged, "lang long, score long, y long").groupBy("lang", "score", "y").agg(F.count("*").alias("n")).collect()  # a row for each step of the scores
+    for path in (fit_at, words_at, coded_at):
+        removed(spark, path)
     if held:
         net.shifts = thresholds(*np.array([[r["lang"], r["score"], r["y"], r["n"]] for r in held], np.int64).T)
     return net
