@@ -23,6 +23,7 @@ EDGE = ["edge_id", "action_id", "movement_id", "allocated_amount", "status", "me
 LARGEST_BATCH = 6
 _PRIME = 2**61 - 1  # sums are compared by their remainders; those that agree are added up in full
 _TABLE = 80  # amounts whose threes are one table
+_FEW = 8  # amounts that are tried one combination after the other; 238 at most
 
 
 def _places(residues: np.ndarray, size: int, want: int, modulus: int) -> np.ndarray:
@@ -76,6 +77,7 @@ def first_batch(amounts: list[int], target: int, largest: int = LARGEST_BATCH, p
     sum by a prime near the number of amounts, one remainder after the other, so that the table of halves grows
     with the square of their number. With ``parts`` only the remainders of one part are looked at, so
     that one action can be dealt out: the first of the parts' results, by size and order, is the result.
+    Of a few amounts, as most transactions have, all combinations are tried in turn, without tables.
     """
     seen: Counter = Counter()
     use = []
@@ -85,6 +87,11 @@ def first_batch(amounts: list[int], target: int, largest: int = LARGEST_BATCH, p
             use.append(p)
     values = [amounts[p] for p in use]
     rising, n = sorted(values), len(use)
+    if n <= _FEW:
+        if part:
+            return None
+        sizes = range(2, min(largest, n) + 1)
+        return next((list(c) for k in sizes if sum(rising[:k]) <= target <= sum(rising[n - k :]) for c in itertools.combinations(use, k) if sum(amounts[p] for p in c) == target), None)
     small = np.array([x % _PRIME for x in values], np.int64)
     for size in range(2, min(largest, n) + 1):
         if not sum(rising[:size]) <= target <= sum(rising[n - size :]):

@@ -10,17 +10,34 @@ from pyspark.sql import functions as F
 from tallywheel.operators.ledger import balance_by
 
 
-def _check(df: DataFrame, name: str, severity: str, passed: Column, metric: Column, detail: Column) -> DataFrame:
-    return df.select(F.lit(name).alias("name"), passed.alias("passed"), F.lit(severity).alias("severity"), detail.alias("detail"), metric.cast("double").alias("metric_value"))
+def _row(name: str, severity: str, passed: Column, metric: Column, detail: Column) -> Column:
+    return F.struct(F.lit(name).alias("name"), passed.alias("passed"), F.lit(severity).alias("severity"), detail.alias("detail"), metric.cast("double").alias("metric_value"))
+
+
+def _check(df: DataFrame, *row) -> DataFrame:
+    return df.select(_row(*row).alias("_row")).select("_row.*")
 
 
 def _said(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def no_unmatched_actions(partition: DataFrame) -> DataFrame:
+def _unmatched() -> tuple:
     n = F.coalesce(F.try_element_at("counts_by_status", F.lit("unmatched")), F.lit(0))
-    return _check(partition, "no_unmatched_economic_actions", "critical", n == 0, n, _said(n, " unmatched transactions"))
+    return "no_unmatched_economic_actions", "critical", n == 0, n, _said(n, " unmatched transactions")
+
+
+def _rate(least: float) -> tuple:
+    return "pass_rate", "warn", F.col("pass_rate") >= least, F.col("pass_rate"), _said("pass rate ", F.col("pass_rate"))
+
+
+def no_unmatched_actions(partition: DataFrame) -> DataFrame:
+    return _check(partition, *_unmatched())
+
+
+def partition_checks(partition: DataFrame, least: float = 0.95) -> DataFrame:
+    """``no_unmatched_actions`` and ``pass_rate`` of one partition, whose matching is planned once for both."""
+    return partition.select(F.inline(F.array(_row(*_unmatched()), _row(*_rate(least)))))
 
 
 def no_duplicate_ids(rows: DataFrame, column: str = "decoded_event_id") -> DataFrame:
@@ -58,7 +75,7 @@ def ledger_balanced(entries: DataFrame) -> DataFrame:
 
 
 def pass_rate(partition: DataFrame, least: float = 0.95) -> DataFrame:
-    return _check(partition, "pass_rate", "warn", F.col("pass_rate") >= least, F.col("pass_rate"), _said("pass rate ", F.col("pass_rate")))
+    return _check(partition, *_rate(least))
 
 
 def all_checks(*checks: DataFrame) -> DataFrame:
@@ -145,9 +162,19 @@ def first_of_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def metrics(decode_results: DataFrame, partition: DataFrame, reorgs: DataFrame) -> DataFrame:
-    """metric and value: decode failure rate in percent, pass rate, reorganised blocks and distinct unknown topics."""
-    rate = decode_results.agg((F.count_if(~F.col("success")) * 100.0 / F.greatest(F.count("*"), F.lit(1))).alias("value")).select(F.lit("decode_failure_rate").alias("metric"), F.col("value").cast("double").alias("value"))
+    """metric and value: decode failure rate in percent, pass rate, reorganised blocks and distinct unknown topics.
+
+    All logs are decoded once: unknown ones are counted by topic, all others together, and both figures follow from the counts.
+    """
+    unknown = F.col("failure_reason") == "unknown_topic"
+    by_topic = decode_results.select(F.coalesce(~F.col("success"), F.lit(False)).alias("failed"), F.when(unknown, F.get("topics", 0)).alias("topic")).groupBy("topic").agg(F.count_if("failed").alias("failures"), F.count("*").alias("logs"))
+    totals = by_topic.agg(F.coalesce(F.sum("failures"), F.lit(0)).alias("failures"), F.coalesce(F.sum("logs"), F.lit(0)).alias("logs"), F.count("topic").cast("double").alias("topics"))
+    rate = (F.col("failures") * 100.0 / F.greatest(F.col("logs"), F.lit(1))).cast("double")
+    decoded = totals.select(F.inline(F.array(_metric("decode_failure_rate", rate), _metric("unknown_signatures", F.col("topics")))))
     passed = partition.select(F.lit("reconciliation_pass_rate").alias("metric"), F.col("pass_rate").alias("value"))
     blocks = reorgs.agg(F.count("*").cast("double").alias("value")).select(F.lit("reorg_events").alias("metric"), "value")
-    unknown = decode_results.where("failure_reason = 'unknown_topic'").agg(F.count_distinct(F.get("topics", 0)).cast("double").alias("value")).select(F.lit("unknown_signatures").alias("metric"), "value")
-    return rate.unionAll(passed).unionAll(blocks).unionAll(unknown)
+    return decoded.unionAll(passed).unionAll(blocks)
+
+
+def _metric(name: str, value: Column) -> Column:
+    return F.struct(F.lit(name).alias("metric"), value.alias("value"))

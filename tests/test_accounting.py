@@ -553,3 +553,36 @@ def test_schemas(spark):
     spark.sql("DROP TABLE made_once")
     schemas.register_views({"logs": schemas.empty(spark, "logs")})
     assert spark.table("raw_logs").count() == 0
+
+
+def leaves(df):
+    return df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+def test_metrics_decode_once(spark):
+    logs = spark.createDataFrame([(True, None, ["0x1"]), (False, "unknown_topic", ["0x2"]), (False, "unknown_topic", ["0x2"]), (False, "unknown_topic", []), (False, "abi_mismatch", ["0x1"])], "success boolean, failure_reason string, topics array<string>")
+    partition, reorgs = spark.createDataFrame([(0.25,)], "pass_rate double"), spark.createDataFrame([(1,), (2,)], "block_number int")
+    got = quality.metrics(logs, partition, reorgs)
+    assert {r["metric"]: r["value"] for r in got.collect()} == {"decode_failure_rate": 80.0, "reconciliation_pass_rate": 0.25, "reorg_events": 2.0, "unknown_signatures": 1.0}
+    assert leaves(got) == 3
+    none = quality.metrics(logs.where("false"), partition, reorgs)
+    assert {r["metric"]: r["value"] for r in none.collect()}["decode_failure_rate"] == 0.0
+
+
+def test_partition_checks_match_once(spark):
+    partition = spark.createDataFrame([({"unmatched": 3}, 0.5)], "counts_by_status map<string,long>, pass_rate double")
+    both = quality.partition_checks(partition)
+    assert sorted(both.collect()) == sorted(quality.no_unmatched_actions(partition).unionAll(quality.pass_rate(partition)).collect())
+    assert leaves(both) == 1
+
+
+def test_a_few_amounts_need_no_tables(monkeypatch):
+    amounts = [[5, 3, 2, 3, 1], [1, 1, 1, 1, 1, 1, 1], [9, -4, 0, 7, 10**30, 2], [4, 4]]
+    tried = [(a, t) for a in amounts for t in (2, 6, 8, 14, 10**30 + 9)]
+    monkeypatch.setattr(matching, "_FEW", 0, raising=False)
+    by_tables = [matching.first_batch(a, t) for a, t in tried]
+    monkeypatch.undo()
+    monkeypatch.setattr(matching, "_meeting", None)
+    assert [matching.first_batch(a, t) for a, t in tried] == by_tables
+    assert matching.first_batch([5, 3, 2, 3, 1], 6) == [0, 4]
+    assert matching.first_batch([5, 3, 2, 3, 1], 6, part=1, parts=2) is None
