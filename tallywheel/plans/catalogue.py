@@ -609,8 +609,7 @@ def checks(spark, d):
         quality.no_duplicate_ids(X.table(spark, d, "lineitem"), "l_orderkey"),
         quality.freshness(X.base(spark, d), 1706745600),
         quality.ledger_balanced(entries),
-        quality.no_unmatched_actions(partition),
-        quality.pass_rate(partition),
+        quality.partition_checks(partition),
         quality.unknown_signatures(decode.decode_logs(_logs(spark, d), _registry())),
         quality.balance_consistency(reconcile_pools(spark, d)),
     )
