@@ -13,9 +13,9 @@ its own, and a list of what they stand for with a count of each, so that what is
 a block and distinct phrase, once for each level: a phrase has no more rows than there are blocks, which
 are summed where they meet and carry the lowest of their places as its number from then on. Those that
 proved frequent return to their blocks, which are rewritten a level higher; what can't be part of a longer
-phrase shrinks to one separator. Pairs travel as lists, one for a block and left part; the lists of a part
-that is very frequent are dealt out by the right part, so that no part's pairs meet in one task. What a
-level needed is removed when the next one is written.
+phrase shrinks to one separator. Pairs are dealt to buckets by a hash of both parts, so that no part's pairs
+meet in one task; they and the numbers of frequent ones travel packed, a row for each block and bucket or
+task. What a level needed is removed when the next one is written.
 """
 
 from __future__ import annotations
@@ -39,13 +39,17 @@ BLOCK_WORDS = 1 << 21
 #: A place is a block's number followed by so many bits for an entry of its list; a block's number is a task's followed by so many for its blocks.
 _LOCAL, _OWN = 28, 12
 
-#: Occurrences of a left part for which its pairs go to one place.
-_SHARE = 1 << 16
+#: Numbers that a task packs at once.
+_HELD = 1 << 22
 
 _WORDS = pa.schema([("at", pa.int64()), ("seq", pa.binary()), ("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
-_PAIRS = pa.schema([("at", pa.int64()), ("seq", pa.binary()), ("left", pa.int64()), ("share", pa.int64()), ("rights", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+_PAIRS = pa.schema([("at", pa.int64()), ("seq", pa.binary()), ("bucket", pa.int64()), ("pairs", pa.binary())])
+_NUMBERS = pa.schema([("of", pa.int64()), ("numbers", pa.binary())])
+_FREQUENT = pa.schema([*_NUMBERS, ("id", pa.int64()), ("a", pa.int64()), ("left", pa.int64()), ("right", pa.int64())])
 _WORDS_DDL = "at long, seq binary, lang string, word binary, n long"
-_PAIRS_DDL = "at long, seq binary, left long, share long, rights array<long>, n array<long>"
+_PAIRS_DDL = "at long, seq binary, bucket long, pairs binary"
+_NUMBERS_DDL = "of long, numbers binary"
+_FREQUENT_DDL = "of long, numbers binary, id long, a long, left long, right long"
 
 
 class _Numbers(dict):
@@ -66,15 +70,30 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().translate(_TO_END).replace(b"\n", b" " + _END + b" ").split()
 
 
-def _packed(seq: np.ndarray) -> bytes:
+def _packed(seq: np.ndarray, kind: type = np.int32) -> bytes:
     """A sequence byte by byte: all lowest bytes, then the next ones; early numbers are the frequent words', so the upper ones are mostly alike."""
-    planes = np.ascontiguousarray(seq.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    planes = np.ascontiguousarray(seq.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T).tobytes()
     return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _unpacked(seq: bytes) -> np.ndarray:
+def _unpacked(seq: bytes, kind: type = np.int32) -> np.ndarray:
     planes = pa.decompress(seq[8:], decompressed_size=int.from_bytes(seq[:8], "little"), codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _columns(rising: np.ndarray, *others: np.ndarray) -> bytes:
+    """Columns of equal length as one sequence, the first one by its steps."""
+    return _packed(np.concatenate((np.diff(rising, prepend=0), *others)), np.int64)
+
+
+def _of_columns(data: bytes, n: int) -> list[np.ndarray]:
+    rising, *others = _unpacked(data, np.int64).reshape(n, -1)
+    return [np.cumsum(rising), *others]
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Places where one of the columns differs from the row before, the first included; there must be a row."""
+    return np.concatenate(([0], np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1))
 
 
 def _rows(schema: pa.Schema, block: int, seq: np.ndarray, places: np.ndarray, listed: list[pa.Array], entries: int) -> pa.Table:
@@ -112,60 +131,119 @@ def _blocks(most: int):
     return run
 
 
-def _raised(left: pa.Table, right: pa.Table) -> pa.Table:
+def _by_block(at: np.ndarray, number: np.ndarray) -> list[pa.Array]:
+    """Places and numbers of frequent entries, packed for each of their blocks."""
+    order = np.argsort(at)
+    at, number = at[order], number[order]
+    starts = _starts(at >> _LOCAL)
+    ends = np.append(starts[1:], len(at))
+    packed = [_columns(at[i:j] & ((1 << _LOCAL) - 1), number[i:j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return [pa.array(at[starts] >> _LOCAL), pa.array(packed, pa.binary())]
+
+
+def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """at and id of frequent entries as one row for each of their blocks."""
+
+    def rows(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(_by_block(*(np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))), schema=_NUMBERS)
+
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= _HELD:
+            yield rows(held)
+            held, n = [], 0
+    if held:
+        yield rows(held)
+
+
+def _raised(buckets: int):
     """A block one level higher: its pairs of neighbours that are both frequent, from its sequence and the numbers of the frequent entries of its list."""
-    if not left.num_rows or not right.num_rows:
-        return _PAIRS.empty_table()
-    seq = _unpacked(left["seq"][0].as_py())
-    local = right["at"].to_numpy() & ((1 << _LOCAL) - 1)
-    number, shares = np.full((2, max(int(seq.max()), int(local.max())) + 1), -1, np.int64)
-    number[local], shares[local] = right["id"].to_numpy(), right["shares"].to_numpy()
-    seq = np.where((seq >= 0) & (number[seq] >= 0), seq, -1).astype(np.int64)
-    at = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0))
-    if not len(at):
-        return _PAIRS.empty_table()
-    pairs, inverse, n = np.unique(seq[at] << 32 | seq[at + 1], return_inverse=True, return_counts=True)
-    first, rest = number[pairs >> 32], number[pairs & 0xFFFFFFFF]
-    share = (mixed(rest.view(np.uint64)) % shares[pairs >> 32].astype(np.uint64)).astype(np.int64)
-    order = np.lexsort((share, first))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    above = np.full(len(seq), -1, np.int64)
-    above[at] = place[inverse]
-    above = above[(above >= 0) | np.concatenate(([False], above[:-1] >= 0))]
-    first, rest, share, n = first[order], rest[order], share[order], n[order]
-    starts = np.concatenate(([0], np.flatnonzero((first[1:] != first[:-1]) | (share[1:] != share[:-1])) + 1))
-    ends = pa.array(np.append(starts, len(order)).astype(np.int32))
-    listed = [pa.array(first[starts]), pa.array(share[starts]), pa.ListArray.from_arrays(ends, pa.array(rest)), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int64)))]
-    return _rows(_PAIRS, left["block"][0].as_py(), above, starts, listed, len(order))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _PAIRS.empty_table()
+        seq = _unpacked(left["seq"][0].as_py())
+        local, known = (np.concatenate(x) for x in zip(*[_of_columns(x.as_py(), 2) for x in right["numbers"]], strict=True))
+        number = np.full(max(int(seq.max()), int(local.max())) + 1, -1, np.int64)
+        number[local] = known
+        seq = np.where((seq >= 0) & (number[seq] >= 0), seq, -1).astype(np.int64)
+        at = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0))
+        if not len(at):
+            return _PAIRS.empty_table()
+        pairs, inverse, n = np.unique(seq[at] << 32 | seq[at + 1], return_inverse=True, return_counts=True)
+        first, rest = number[pairs >> 32], number[pairs & 0xFFFFFFFF]
+        with np.errstate(over="ignore"):
+            bucket = (mixed(mixed(first.view(np.uint64)) + rest.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((first, bucket))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        above = np.full(len(seq), -1, np.int64)
+        above[at] = place[inverse]
+        above = above[(above >= 0) | np.concatenate(([False], above[:-1] >= 0))]
+        first, rest, bucket, n = first[order], rest[order], bucket[order], n[order]
+        starts = _starts(bucket)
+        ends = np.append(starts[1:], len(order))
+        listed = [pa.array(bucket[starts]), pa.array([_columns(first[i:j], rest[i:j], n[i:j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())]
+        return _rows(_PAIRS, left["block"][0].as_py(), above, starts, listed, len(order))
+
+    return run
+
+
+def _summed(min_count: int):
+    """The frequent pairs of a bucket, from the lists of all blocks: one row for each pair, and one with all numbers for each block.
+
+    An entry's place is its list's and its place there; the lowest one is the pair's number.
+    """
+
+    def run(lists: pa.Table) -> pa.Table:
+        columns = [_of_columns(x.as_py(), 3) for x in lists["pairs"]]
+        left, right, n = (np.concatenate(x) for x in zip(*columns, strict=True))
+        at = np.concatenate([start + np.arange(len(x[0])) for start, x in zip(lists["at"].to_pylist(), columns, strict=True)])
+        order = np.lexsort((at, right, left))
+        left, right, n, at = left[order], right[order], n[order], at[order]
+        starts = _starts(left, right)
+        size, a = np.diff(np.append(starts, len(at))), np.add.reduceat(n, starts)
+        often = np.repeat(a >= min_count, size)
+        if not often.any():
+            return _FREQUENT.empty_table()
+        own, kept = starts[a >= min_count], a[a >= min_count]
+        phrases = [pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.binary()), *map(pa.array, (at[own], kept, left[own], right[own]))]
+        packed = _by_block(at[often], np.repeat(at[starts], size)[often])
+        numbers = [*packed, *[pa.nulls(len(packed[0]), pa.int64())] * 4]
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(x, schema=_FREQUENT) for x in (phrases, numbers)])
+
+    return run
 
 
 def _frequent(listed: DataFrame, keys: list[str], min_count: int, k: int) -> tuple[DataFrame, str]:
-    """at, id and a of all entries that stand for a phrase with ``min_count`` or more occurrences in all blocks, and their folder.
+    """at, id and a of all entries that stand for a word with ``min_count`` or more occurrences in all blocks, and their folder.
 
-    The entries of a phrase meet, at most one a block; the one whose place is the number keeps the keys.
+    The entries of a word meet, at most one a block; the one whose place is the number keeps the keys.
     """
     same = Window.partitionBy(*keys)
     summed = listed.select("at", *keys, F.sum("n").over(same).alias("a"), F.min("at").over(same).alias("id")).where(F.col("a") >= min_count)
     return settled_at(summed.select("at", "id", "a", *[F.when(F.col("at") == F.col("id"), F.col(c)).alias(c) for c in keys]), f"frequent{k}")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """at, left, share, right and n of all pairs of all blocks, dealt by left part and share."""
-    lists = rows.where("n IS NOT NULL").select("at", "left", "share", "rights", "n").repartition("left", "share")
-    return lists.select("at", "left", "share", "n", F.posexplode("rights").alias("i", "right")).select(F.expr("at + i").alias("at"), "left", "share", "right", F.get("n", F.col("i")).alias("n"))
+def _frequent_pairs(rows: DataFrame, min_count: int, k: int) -> tuple[DataFrame, str]:
+    """The frequent pairs of all blocks and their numbers, and their folder; one bucket of pairs is in memory at a time."""
+    lists = rows.where("pairs IS NOT NULL").select("at", "bucket", "pairs")
+    return settled_at(lists.groupBy("bucket").applyInArrow(_summed(min_count), _FREQUENT_DDL), f"frequent{k}")
 
 
-def _next(rows: DataFrame, frequent: DataFrame, k: int) -> tuple[DataFrame, str]:
+def _next(rows: DataFrame, numbers: DataFrame, k: int) -> tuple[DataFrame, str]:
     """All blocks one level higher, where pairs stand for phrases of k words, and the folder they lie in."""
-    numbers = frequent.select(F.shiftright("at", _LOCAL).alias("of"), "at", "id", F.expr(f"1 + a div {_SHARE}").alias("shares"))
-    seqs = rows.where("n IS NULL").select(F.shiftright("at", _LOCAL).alias("block"), "seq")
-    return settled_at(seqs.groupBy("block").cogroup(numbers.groupBy("of")).applyInArrow(_raised, _PAIRS_DDL), f"phrases{k}")
+    seqs = rows.where("seq IS NOT NULL").select(F.shiftright("at", _LOCAL).alias("block"), "seq")
+    buckets = 2 * width(rows.sparkSession)
+    return settled_at(seqs.groupBy("block").cogroup(numbers.groupBy("of")).applyInArrow(_raised(buckets), _PAIRS_DDL), f"phrases{k}")
 
 
 def _named(frequent: DataFrame, below: DataFrame, k: int) -> DataFrame:
     """The frequent phrases of k words with numbers and parents; ``heads`` and ``tails`` count their beginnings and ends of 1 to k words."""
-    counted = frequent.where("at = id").select("id", "left", "right", "a")
+    counted = frequent.where("id IS NOT NULL").select("id", "left", "right", "a")
     first = below.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("first"), F.col("heads").alias("over"))
     rest = below.select(F.col("id").alias("right"), "last", F.col("tails").alias("under"))
     both = counted.join(first, "left").join(rest, "right")
@@ -202,12 +280,14 @@ def collocations(docs: DataFrame, min_count: int = 30, max_words: int = 4, perce
     frequent, used = _frequent(listed, ["lang", "word"], min_count, 1)
     text, own = F.col("word").cast("string"), F.array("a")
     level = settled_at(frequent.where("at = id").select("id", "lang", text.alias("phrase"), text.alias("last"), "a", own.alias("heads"), own.alias("tails")), "named1")[0]
+    numbers = frequent.select("at", "id").mapInArrow(_bundled, _NUMBERS_DDL)
     found = []
     for k in range(2, max_words + 1):
-        rows, above = _next(rows, frequent, k)
+        rows, above = _next(rows, numbers, k)
         for folder in (folder, used):
             removed(spark, folder)
-        frequent, used = _frequent(_pairs(rows), ["left", "share", "right"], min_count, k)
+        frequent, used = _frequent_pairs(rows, min_count, k)
+        numbers = frequent.where("numbers IS NOT NULL").select("of", "numbers")
         level, folder = _named(frequent, level, k), above
         found.append(level)
     for folder in (folder, used):

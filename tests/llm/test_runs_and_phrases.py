@@ -11,6 +11,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from tallywheel.llm import periodic_runs as periods
 from tallywheel.llm import phrases, registry, simhash
 
@@ -250,3 +252,35 @@ def test_links_broadcast_nothing(spark):
     for found in (simhash._met(fps), simhash.links(fps), components._large_star(edges), components._small_star(edges)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_settled_tables_leave_no_shuffle_files(spark):
+    import os
+
+    from tallywheel.llm.common import settled
+
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    folders = [str(f) for f in env.blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for at in folders for _, _, found in os.walk(at) for f in found if f.startswith("shuffle_")}
+    before = files()
+    rows = settled(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "swept")
+    assert rows.count() == 7
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert spark.conf.get(setting) == "false"
+    left = {f for f in files() - before if f.split("_")[1] not in {x.split("_")[1] for x in before}}
+    assert len({f.split("_")[1] for f in left}) <= 1  # that of the count above
+
+
+def test_frequent_pairs_are_one_row_each():
+    """A row for each phrase and each block, not for each of a phrase's blocks."""
+    n, blocks = 500, 40
+    parts = np.arange(n, dtype=np.int64)
+    one = phrases._columns(parts, parts + 7, np.full(n, 2, np.int64))
+    lists = phrases.pa.table({"at": [b << phrases._LOCAL for b in range(blocks)], "pairs": phrases.pa.array([one] * blocks, phrases.pa.binary())})
+    got = phrases._summed(2 * blocks)(lists)
+    assert got.num_rows == n + blocks
+    found = [r for r in got.to_pylist() if r["id"] is not None]
+    assert [(r["id"], r["a"], r["left"], r["right"]) for r in found] == [(i, 2 * blocks, i, i + 7) for i in range(n)]
+    local, number = phrases._of_columns(next(r["numbers"] for r in got.to_pylist() if r["of"] == 3), 2)
+    assert local.tolist() == number.tolist() == list(range(n))
+    assert phrases._summed(2 * blocks + 1)(lists).num_rows == 0
